@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .decontaminate import op6_decontamination
+from .langid import op5_language_id
 from .secrets import op8_secret_scans
 from .token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op8_secret_scans": op8_secret_scans,
         "op9_token_counts": op9_token_counts,
