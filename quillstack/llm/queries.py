@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .decontaminate import op6_decontamination
 from .langid import op5_language_id
+from .minhash_join import op7_minhash_near_dedup
 from .secrets import op8_secret_scans
 from .token_counts import op9_token_counts
 
@@ -17,10 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_secret_scans": op8_secret_scans,
         "op9_token_counts": op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": sql.op6(), "op8_secret_scans": sql.op8()}
+    return {"op6_decontamination": sql.op6(), "op7_minhash_near_dedup": sql.op7(), "op8_secret_scans": sql.op8()}
