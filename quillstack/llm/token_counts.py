@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import sentencepiece
@@ -53,6 +54,12 @@ class _Counts(dict):
         return n
 
 
+@cache
+def counter(model_path: str) -> TokenCounter:
+    """One counter for each process; tasks that follow one another in a worker share it."""
+    return TokenCounter(model_path)
+
+
 class TokenCounter:
     """The library's token count of a text.
 
@@ -62,7 +69,7 @@ class TokenCounter:
     whole texts.
     """
 
-    def __init__(self, model_path: str, entries: int = 400_000):
+    def __init__(self, model_path: str, entries: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -121,10 +128,10 @@ def count_tokens(
     misses = unknown.groupBy("__digest").agg(F.first("__text").alias("__text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(model_path)
+        count = counter(model_path).count
         for b in batches:
             digests, texts = b.columns
-            n = [counter.count(x.as_py()) for x in texts]
+            n = [count(x.as_py()) for x in texts]
             yield pa.RecordBatch.from_arrays([digests, pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
