@@ -13,9 +13,14 @@ from .minhash_join import op7_minhash_near_dedup
 from .secrets import op8_secret_scans
 from .token_counts import op9_token_counts
 
+from .url_filter import op1_url_filter
+from .warc import op2_warc
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filter": op1_url_filter,
+        "op2_warc": op2_warc,
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -25,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": sql.op6(), "op7_minhash_near_dedup": sql.op7(), "op8_secret_scans": sql.op8()}
+    return {"op2_warc": sql.op2(), "op6_decontamination": sql.op6(), "op7_minhash_near_dedup": sql.op7(), "op8_secret_scans": sql.op8()}

@@ -60,3 +60,14 @@ m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, component_id = w.doc_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN m ON m.a = w.doc_id
 """
+
+
+def op2() -> str:
+    return """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
