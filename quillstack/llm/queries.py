@@ -13,6 +13,7 @@ from .minhash_join import op7_minhash_near_dedup
 from .secrets import op8_secret_scans
 from .token_counts import op9_token_counts
 
+from .topk import op3_exact_topk
 from .url_filter import op1_url_filter
 from .warc import op2_warc
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_warc": op2_warc,
+        "op3_exact_topk": op3_exact_topk,
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": sql.op2(), "op6_decontamination": sql.op6(), "op7_minhash_near_dedup": sql.op7(), "op8_secret_scans": sql.op8()}
+    return {"op2_warc": sql.op2(), "op3_exact_topk": sql.op3(), "op6_decontamination": sql.op6(), "op7_minhash_near_dedup": sql.op7(), "op8_secret_scans": sql.op8()}
