@@ -11,6 +11,7 @@ from .decontaminate import op6_decontamination
 from .langid import op5_language_id
 from .minhash_join import op7_minhash_near_dedup
 from .secrets import op8_secret_scans
+from .sentencepiece_nbest import op4_sentencepiece_nbest
 from .token_counts import op9_token_counts
 
 from .topk import op3_exact_topk
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filter": op1_url_filter,
         "op2_warc": op2_warc,
         "op3_exact_topk": op3_exact_topk,
+        "op4_sentencepiece_nbest": op4_sentencepiece_nbest,
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
