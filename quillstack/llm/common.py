@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batch_rows(spark: SparkSession, rows: int):
+    """Within this, Python gets at most so many rows in an Arrow batch: for rows that are large each."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """``(file system, path)`` of Hadoop for ``path``."""
     jvm = spark.sparkContext._jvm

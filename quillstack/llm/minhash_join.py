@@ -11,8 +11,8 @@ pair at similarity 0.85 is missed with a probability below 1e-5.
 Lists are merged in two steps.  First the members of each list are paired with two of them only, the
 least by each of two hashes, and the links confirmed on full sets give components.  Then lists whose
 members already lie in one component are done; in the others every pair across components is
-counted.  So a large group of near copies costs a few pairs a member, and no pair of classes that
-could still join two components is left out.
+counted, in blocks of members.  So a large group of near copies makes rows in proportion to its
+members, and no pair of classes that could still join two components is left out.
 
 Full sets are built again from the texts, for candidate classes only: their documents are picked out
 by a bitmap of fixed size (``BITMAP_BITS``), which lets some others pass, and then joined by digest.
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, utf8_views
+from .common import arrow_batch_rows, blocks, materialize, utf8_views
 from .components import components
 from .grams import NON_SPACE, U, mix, shingles, words
 
@@ -156,12 +156,153 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """``(key, cls)`` for the prefix of each class: its rarest values, but for those that occur once."""
+    """``(cls, keys)``: the prefix of each class, its rarest values, but for those that occur once."""
     posted = classes.select("cls", F.posexplode("sig").alias("at", "value")).select("cls", (F.col("value").cast("long") * 64 + F.col("at")).alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("posts")).filter("posts > 1")
     shared = posted.join(often, "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("posts", "key"))).alias("keys"))  # coordinates at most
     shared = shared.filter(F.size("keys") >= matches)
-    return shared.select("cls", F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("k")).select(F.col("k.key").alias("key"), "cls")
+    return shared.select("cls", F.transform(F.slice("keys", F.lit(1), F.size("keys") - matches + 1), lambda k: k["key"]).alias("keys"))
+
+
+class _Block:
+    """Members of one block of a list, as arrays."""
+
+    def __init__(self, members: pa.StructArray):
+        field = {f.name: members.field(i) for i, f in enumerate(members.type)}
+        self.cls, self.component = field["cls"].to_pylist(), field["component"].to_pylist()
+        self.n = field["n"].to_numpy()
+        self.sig = field["sig"].flatten().to_numpy().reshape(len(self.n), -1)
+        self.keys = field["keys"].flatten().to_numpy()
+        self.owner = np.repeat(np.arange(len(self.n)), field["keys"].value_lengths().to_numpy())
+        self.sets = [np.frombuffer(x.as_buffer(), U) for x in field["shingles"]] if "shingles" in field else None
+
+
+def _survivors(a: _Block, b: _Block, key: int, matches: int, percent: int) -> np.ndarray:
+    """Which pairs of two blocks are still to be confirmed.
+
+    They lie in different components, their sizes allow the similarity, their signatures agree often
+    enough, and no list of a smaller key holds both: that list counts the pair.
+    """
+    names = {c: i for i, c in enumerate({*a.component, *b.component})}
+    out = np.array([names[c] for c in a.component])[:, None] != np.array([names[c] for c in b.component])[None, :]
+    if a is b:
+        out &= np.tri(len(a.n), dtype=bool, k=-1).T
+    out &= 100 * np.minimum(a.n[:, None], b.n[None, :]) >= percent * np.maximum(a.n[:, None], b.n[None, :])
+    if out.any():
+        agree = np.zeros(out.shape, np.uint8)
+        for j in range(a.sig.shape[1]):
+            agree += a.sig[:, j][:, None] == b.sig[:, j][None, :]
+        out &= agree >= matches
+    if out.any():
+        smaller = np.unique(np.intersect1d(a.keys[a.keys < key], b.keys[b.keys < key]))
+        if len(smaller):
+            held = []
+            for x in (a, b):
+                at = np.minimum(np.searchsorted(smaller, x.keys), len(smaller) - 1)
+                there = smaller[at] == x.keys
+                m = np.zeros((len(x.n), len(smaller)), np.float32)
+                m[x.owner[there], at[there]] = 1
+                held.append(m)
+            out &= held[0] @ held[1].T == 0
+    return out
+
+
+def _joining_links(a: _Block, b: _Block, pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs that reach the similarity on full sets, enough to join all that they join."""
+    shared = np.intersect1d(np.unique(np.concatenate(a.sets)), np.unique(np.concatenate(b.sets)), assume_unique=True)
+    common = np.zeros(pairs.shape, np.float32)
+    for lo in range(0, len(shared), 8192):
+        part, sides = shared[lo : lo + 8192], []
+        for x in (a, b):
+            flat = np.concatenate(x.sets)
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            there = part[at] == flat
+            m = np.zeros((len(x.sets), len(part)), np.float32)
+            m[np.repeat(np.arange(len(x.sets)), x.n)[there], at[there]] = 1
+            sides.append(m)
+        common += sides[0] @ sides[1].T
+    linked = pairs & (100 * common.astype(np.int64) >= percent * (a.n[:, None] + b.n[None, :] - common.astype(np.int64)))
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        x, y = find(a.component[i]), find(b.component[j])
+        if x != y:
+            root[y] = x
+            out.append((i, j))
+    return out
+
+
+MEMBERS = 512  #: of a block, about
+BATCH = 4  #: pairs of blocks that are brought to Python at once
+
+
+def _blocks_of(members: DataFrame, columns: list[str], left: DataFrame | None = None) -> DataFrame:
+    """``(key, i, j, a, b)`` with the members of two blocks of a list; ``b`` is null where both are one.
+
+    ``members`` has ``key``, ``block`` and ``blocks``; ``left`` names the ``(key, i, j)`` that are wanted, or else all are.
+    """
+    rows = members.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct(*columns)).alias("a"))
+    if left is None:
+        rows = rows.select("key", F.col("block").alias("i"), "a", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    else:
+        rows = rows.withColumnRenamed("block", "i").join(left, ["key", "i"]).select("key", "i", "a", "j")
+    other = members.filter("blocks > 1").groupBy("key", F.col("block").alias("j")).agg(F.collect_list(F.struct(*columns)).alias("b"))
+    alone = rows.filter("i = j").select("key", "i", "j", "a", F.lit(None).cast(other.schema["b"].dataType).alias("b"))
+    return alone.unionByName(rows.filter("i <> j").join(other, ["key", "j"]))
+
+
+def _across(open_lists: DataFrame, named: DataFrame, classes: DataFrame, prefixes: DataFrame, sets: DataFrame, tested: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Links between the components that meet in ``open_lists(key, posts)``.
+
+    Pairs are counted block by block.  Where few survive they are confirmed one by one; where many do
+    (a large group of texts that are near copies of some and not of others) the full sets are brought
+    to the block, and only links that join components leave it.  So the rows that are made follow the
+    members of the lists, not their pairs.
+    """
+    size = F.ceil(F.col("posts") / MEMBERS).cast("int")
+    members = named.join(open_lists.withColumn("blocks", size), "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    described = members.join(classes.select("cls", "n", "sig"), "cls").join(prefixes, "cls")
+    described = materialize(described.select("key", "block", "blocks", "cls", "component", "n", "sig", "keys"), "open-members")
+    columns = ["cls", "component", "n", "sig", "keys"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in range(batch.num_rows):
+                key, i, j = (batch.column(c)[r].as_py() for c in range(3))
+                a = _Block(batch.column(3)[r].values)
+                b = _Block(batch.column(4)[r].values) if batch.column(4)[r].is_valid else a
+                at = _survivors(a, b, key, matches, percent)
+                if at.sum() > 2 * (len(a.n) + len(b.n)):
+                    rows.append({"key": key, "i": i, "j": j})
+                else:
+                    rows += [{"a": a.cls[x], "b": b.cls[y]} for x, y in zip(*np.nonzero(at))]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.binary()), ("b", pa.binary()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32())]))
+
+    with arrow_batch_rows(open_lists.sparkSession, BATCH):
+        counted = materialize(_blocks_of(described, columns).mapInArrow(count, "a binary, b binary, key long, i int, j int"), "open-pairs")
+    few = _pair("a", "b", counted.filter("a is not null")).distinct().join(tested, ["a", "b"], "left_anti")
+    crowded = counted.filter("a is null").select("key", "i", "j")
+    wanted = crowded.select("key", F.explode(F.array("i", "j")).alias("block")).distinct()
+    crowd = described.join(wanted, ["key", "block"], "left_semi").join(sets, "cls")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a = _Block(batch.column(3)[r].values)
+                b = _Block(batch.column(4)[r].values) if batch.column(4)[r].is_valid else a
+                found = _joining_links(a, b, _survivors(a, b, batch.column(0)[r].as_py(), matches, percent), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([a.cls[x] for x, _ in found], pa.binary()), pa.array([b.cls[y] for _, y in found], pa.binary())], ["a", "b"])
+
+    with arrow_batch_rows(open_lists.sparkSession, BATCH):
+        many = materialize(_blocks_of(crowd, [*columns, "shingles"], crowded).mapInArrow(link, "a binary, b binary"), "crowd-links")
+    return _confirm(few, sets, percent).unionByName(many)
 
 
 def near_duplicates(
@@ -173,9 +314,9 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = materialize(_sketch(docs, coordinates), "sketches")
     classes = materialize(rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    postings = materialize(_postings(classes, coordinates, matches), "postings")
-    members = postings.select("cls").distinct()
-    sets = materialize(_full_sets(docs, classes.join(members, "cls", "left_semi").select("cls", "rep")), "sets")
+    prefixes = materialize(_postings(classes, coordinates, matches), "postings")
+    postings = prefixes.select("cls", F.explode("keys").alias("key"))
+    sets = materialize(_full_sets(docs, classes.join(prefixes, "cls", "left_semi").select("cls", "rep")), "sets")
 
     order = [F.col("cls"), F.xxhash64("cls")]
     heads = postings.groupBy("key").agg(*(F.min_by("cls", o).alias(f"h{i}") for i, o in enumerate(order)), F.count("*").alias("posts")).filter("posts > 1")
@@ -185,11 +326,9 @@ def near_duplicates(
     found = materialize(components(links), "components")
 
     named = postings.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
-    open_lists = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    named = materialize(named.join(open_lists, "key", "left_semi"), "open-lists")
-    other = named.select("key", F.col("cls").alias("cls2"), F.col("component").alias("component2"))
-    across = _pair("cls", "cls2", named.join(other, "key").filter("component < component2")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = materialize(_confirm(_collisions(across, classes, matches, percent), sets, percent), "links")
+    named = materialize(named, "labelled-postings")
+    open_lists = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("posts")).filter("lo <> hi").select("key", "posts")
+    more = materialize(_across(open_lists, named, classes, prefixes, sets, tested, matches, percent), "links")
     joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     named = classes.select("cls", "rep").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
