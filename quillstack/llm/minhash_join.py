@@ -305,19 +305,13 @@ def _across(open_lists: DataFrame, named: DataFrame, classes: DataFrame, prefixe
     return _confirm(few, sets, percent).unionByName(many)
 
 
-def near_duplicates(
-    docs: DataFrame, percent: int = 85, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)`` for every row of ``docs``."""
-    if coordinates > 64:
-        raise ValueError("at most 64 coordinates")
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = materialize(_sketch(docs, coordinates), "sketches")
-    classes = materialize(rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    prefixes = materialize(_postings(classes, coordinates, matches), "postings")
-    postings = prefixes.select("cls", F.explode("keys").alias("key"))
-    sets = materialize(_full_sets(docs, classes.join(prefixes, "cls", "left_semi").select("cls", "rep")), "sets")
+def merge_lists(prefixes: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """``(node, component)`` of the classes that are linked.
 
+    ``prefixes(cls, keys)`` says in which lists a class stands; pairs that share a list, agree in
+    ``matches`` values of ``classes(cls, n, sig)`` and reach ``percent`` on ``sets(cls, shingles)`` are linked.
+    """
+    postings = prefixes.select("cls", F.explode("keys").alias("key"))
     order = [F.col("cls"), F.xxhash64("cls")]
     heads = postings.groupBy("key").agg(*(F.min_by("cls", o).alias(f"h{i}") for i, o in enumerate(order)), F.count("*").alias("posts")).filter("posts > 1")
     starred = postings.join(heads, "key").select("cls", F.explode(F.array(*(f"h{i}" for i in range(len(order))))).alias("head"))
@@ -329,8 +323,22 @@ def near_duplicates(
     named = materialize(named, "labelled-postings")
     open_lists = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("posts")).filter("lo <> hi").select("key", "posts")
     more = materialize(_across(open_lists, named, classes, prefixes, sets, tested, matches, percent), "links")
-    joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = 85, coordinates: int = COORDINATES, matches: int = MATCHES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``(id, n_shingles, component_id, kept)`` for every row of ``docs``."""
+    if coordinates > 64:
+        raise ValueError("at most 64 coordinates")
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = materialize(_sketch(docs, coordinates), "sketches")
+    classes = materialize(rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    prefixes = materialize(_postings(classes, coordinates, matches), "postings")
+    sets = materialize(_full_sets(docs, classes.join(prefixes, "cls", "left_semi").select("cls", "rep")), "sets")
 
+    joined = merge_lists(prefixes, classes, sets, matches, percent)
     named = classes.select("cls", "rep").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     named = materialize(named, "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -10,6 +10,7 @@ from . import sql
 from .decontaminate import op6_decontamination
 from .langid import op5_language_id
 from .minhash_join import op7_minhash_near_dedup
+from .paragraph_dedup import op10_paragraph_dedup
 from .secrets import op8_secret_scans
 from .sentencepiece_nbest import op4_sentencepiece_nbest
 from .token_counts import op9_token_counts
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_secret_scans": op8_secret_scans,
         "op9_token_counts": op9_token_counts,
+        "op10_paragraph_dedup": op10_paragraph_dedup,
     }
 
 
