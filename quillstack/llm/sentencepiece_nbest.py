@@ -102,6 +102,7 @@ class Lattice:
         self.adjacent = adjacent
         self.longest = max(map(len, self.edges))
         self._tabulate()
+        self.searched: dict[tuple[str, int], list] = {}
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.known_parts, self.known = _Kept(self.best, entries // 2), _Kept(self.best_of_word, entries)
 
@@ -115,6 +116,7 @@ class Lattice:
         move = np.array([states[p[:-1]] * self.chars + self.char_of[ord(p[-1])] for p in self.edges], np.int64)
         order = np.argsort(move)
         self.moves, self.next_state = move[order], order + 1
+        self.pairs = np.unique([self.char_of[ord(a)].astype(np.int64) * self.chars + self.char_of[ord(b)] for a, b in self.adjacent])
         self.state_id = np.array([-1, *(i for i, _ in self.edges.values())], np.int32)
         self.state_cost = np.array([0, *(c for _, c in self.edges.values())], np.int64)
 
@@ -124,64 +126,120 @@ class Lattice:
         at = np.minimum(np.searchsorted(self.moves, wanted), len(self.moves) - 1)
         return np.where((self.moves[at] == wanted) & (char >= 0), self.next_state[at], -1)
 
-    def prepare(self, texts: list[str]) -> None:
-        """Solves the parts of ``texts`` that aren't known yet, all at once: the forward pass, a position of every part at a time."""
-        words = {u for t in texts if t for u in self.units(self.prefix + t.replace(" ", SPACE)) if len(u) <= CACHED}
-        words -= self.known.keys()
-        words -= self.known.old.keys()
-        parts = {p for w in words for p in self.parts(w)}
-        parts -= self.known_parts.keys()
-        parts -= self.known_parts.old.keys()
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """The units of ``texts``; those that aren't known yet are solved, their parts all at once."""
+        units = [self.units(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        new = set().union(*units) - self.known.keys()
+        for u in new & self.known.old.keys():
+            self.known.keep(u, self.known.old.pop(u, None) or self.known[u])
+        new -= self.known.keys()
+        split = self._parts_of([u for u in new if len(u) <= CACHED])
+        solved = self._solve({p for parts in split.values() for p in parts})
+        for u, parts in split.items():
+            self.known.keep(u, solved[parts[0]] if len(parts) == 1 else _joined([solved[p] for p in parts]))
+        return units
+
+    def _parts_of(self, words: list[str]) -> dict[str, list[str]]:
+        """``parts`` of many words at once."""
+        if not words:
+            return {}
+        ends = np.cumsum([len(w) for w in words])
+        char = self.char_of[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].astype(np.int64)
+        pair = char[:-1] * self.chars + char[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        cut = (self.pairs[at] != pair) | (char[:-1] < 0) | (char[1:] < 0)  # before the next character
+        cut = np.append(True, cut)
+        cut[ends[:-1]] = False
+        out = {}
+        cuts = np.flatnonzero(cut)[1:]
+        owner = np.searchsorted(ends, cuts, "right")
+        first = dict(zip(*(x.tolist() for x in np.unique(owner, return_index=True))))
+        places, stops, n = cuts.tolist(), ends.tolist(), len(cuts)
+        owners = owner.tolist()
+        for k, w in enumerate(words):
+            x = first.get(k)
+            if x is None:
+                out[w] = [w]
+                continue
+            base, a, found = stops[k] - len(w), 0, []
+            while x < n and owners[x] == k:
+                found.append(w[a : places[x] - base])
+                a = places[x] - base
+                x += 1
+            found.append(w[a:])
+            out[w] = found
+        return out
+
+    def _solve(self, parts: set[str]) -> dict[str, tuple[bytes, int, int]]:
+        """The best paths of parts: those kept, and for the others the forward pass, a position of every part at a time."""
+        kept, out = self.known_parts, {}
+        for p in parts:
+            if (got := kept.get(p) or kept.old.get(p)) is not None:
+                out[p] = got
+        todo = sorted(parts - out.keys(), key=len, reverse=True)
+        for p, got in zip(todo, self._forward_all(todo)):
+            out[p] = kept.keep(p, got)
+        return out
+
+    def _forward_all(self, parts: list[str]) -> list[tuple[bytes, int, int]]:
+        """``best`` of every part; longer parts come first."""
         if not parts:
-            return
-        parts = sorted(parts, key=len, reverse=True)
+            return []
         lens = np.array([len(p) for p in parts])
         rows, width = len(parts), int(lens[0])
+        # By position and part, so that a position's row is contiguous.
         points = np.full((rows, width), -1, np.int64)
         points[np.arange(width) < lens[:, None]] = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+        points = np.ascontiguousarray(points.T)
         char = np.where(points >= 0, self.char_of[points], -1)
-        one, two = np.full((rows, width + 1), BIG, np.int64), np.full((rows, width + 1), BIG, np.int64)
-        back, last = np.zeros((rows, width + 1), np.int64), np.full((rows, width + 1), -1, np.int64)
-        one[:, 0] = 0
+        one, two = np.full((width + 1, rows), BIG, np.int64), np.full((width + 1, rows), BIG, np.int64)
+        back, last = np.zeros((width + 1, rows), np.int8), np.full((width + 1, rows), -1, np.int32)
+        one[0] = 0
+        alive = np.searchsorted(-lens, -np.arange(width + 1), "right")  # parts of so many characters at least
 
-        def reach(r: np.ndarray, i: int, j: int, ids: np.ndarray, cost: np.ndarray) -> None:
-            x, o, t = one[r, i] + cost, one[r, j], two[r, j]
+        def reach(at, i: int, j: int, ids: np.ndarray, cost: np.ndarray) -> None:
+            x, o = one[i][at] + cost, one[j][at]
             less = x < o
-            one[r, j] = np.where(less, x, o)
-            two[r, j] = np.minimum(np.minimum(t, np.where(less, o, x)), two[r, i] + cost)
-            back[r[less], j], last[r[less], j] = i, ids[less]
+            two[j][at] = np.minimum(np.minimum(two[j][at], np.maximum(o, x)), two[i][at] + cost)
+            one[j][at] = np.minimum(o, x)
+            back[j][at] = np.where(less, i, back[j][at])
+            last[j][at] = np.where(less, ids, last[j][at])
 
         for i in range(width):
-            r = np.arange(np.searchsorted(-lens, -i, "left"))
-            state = self._step(np.zeros(len(r), np.int64), char[r, i])
+            n = int(alive[i + 1])
+            state = self._step(np.zeros(n, np.int64), char[i, :n])
             bare = (state < 0) | (self.state_id[state] < 0)
-            size = 1 + (points[r, i] > 0x7F) + (points[r, i] > 0x7FF) + (points[r, i] > 0xFFFF)
-            reach(r, i, i + 1, np.where(bare, -1, self.state_id[state]), np.where(bare, size * self.byte_cost, self.state_cost[state]))
-            r, state = r[state >= 0], state[state >= 0]
+            size = 1 + (points[i, :n] > 0x7F) + (points[i, :n] > 0x7FF) + (points[i, :n] > 0xFFFF)
+            reach(slice(0, n), i, i + 1, np.where(bare, -1, self.state_id[state]), np.where(bare, size * self.byte_cost, self.state_cost[state]))
+            r = np.flatnonzero(state >= 0)
+            state = state[r]
             for j in range(i + 2, min(i + self.longest, width) + 1):
-                longer = lens[r] >= j
-                r = r[longer]
-                state = self._step(state[longer], char[r, j - 1])
-                r, state = r[state >= 0], state[state >= 0]
-                if not len(r):
+                longer = np.searchsorted(r, alive[j])
+                r = r[:longer]
+                state = self._step(state[:longer], char[j - 1][r])
+                there = np.flatnonzero(state >= 0)
+                if not len(there):
                     break
-                whole = self.state_id[state] >= 0
-                reach(r[whole], i, j, self.state_id[state[whole]], self.state_cost[state[whole]])
+                r, state = r[there], state[there]
+                ids = self.state_id[state]
+                whole = np.flatnonzero(ids >= 0)
+                reach(r[whole], i, j, ids[whole], self.state_cost[state[whole]])
 
         path, at, everyone, bare = np.zeros((rows, width), "<i4"), lens.copy(), np.arange(rows), np.zeros(rows, bool)
-        steps, column = np.zeros(rows, np.int64), width
-        while (going := at > 0).any():
+        steps, column, going = np.zeros(rows, np.int64), width, everyone
+        while len(going):
             column -= 1
-            ids = last[everyone, at]
-            path[going, column] = ids[going]
-            bare |= going & (ids < 0)
-            steps += going
-            at = np.where(going, back[everyone, at], 0)
+            ids = last[at[going], going]
+            path[going, column] = ids
+            bare[going] |= ids < 0
+            steps[going] += 1
+            at[going] = back[at[going], going]
+            going = going[at[going] > 0]
         raw, end = path.tobytes(), np.arange(1, rows + 1) * width * 4
-        least, gap = one[everyone, lens], two[everyone, lens]
+        least, gap = one[lens, everyone], two[lens, everyone]
         gap = np.where(gap >= BIG, BIG, gap - least)
-        for p, b, x, lo, hi, g in zip(parts, bare.tolist(), least.tolist(), (end - 4 * steps).tolist(), end.tolist(), gap.tolist()):
-            self.known_parts.keep(p, self.best(p) if b else (raw[lo:hi], x, g))
+        each = zip(parts, bare.tolist(), least.tolist(), (end - 4 * steps).tolist(), end.tolist(), gap.tolist())
+        return [self.best(p) if b else (raw[lo:hi], x, g) for p, b, x, lo, hi, g in each]
 
     def unknown(self, char: str) -> tuple[tuple[int, ...], int]:
         raw = char.encode()
@@ -195,7 +253,7 @@ class Lattice:
     def units(self, text: str) -> list[str]:
         """Words with the spaces before them, and the parts of those longer than ``CACHED``; together they spell the text."""
         found = self.words.findall(text)
-        if max(map(len, found)) > CACHED:
+        if max(map(len, found), default=0) > CACHED:
             found = [u for w in found for u in (self.parts(w) if len(w) > CACHED else (w,))]
         return found
 
@@ -241,13 +299,20 @@ class Lattice:
         return array("i", flat).tobytes(), one[-1], (two[-1] - one[-1] if two[-1] < BIG else BIG)
 
     def best_of_word(self, word: str) -> tuple[bytes, int, int]:
-        """The same for a word, whose parts are independent: the second best leaves the best in the part of the least gap."""
-        solved = [self.known_parts[p] for p in self.parts(word)]
-        if len(solved) == 1:
-            return solved[0]
-        return b"".join([s[0] for s in solved]), sum([s[1] for s in solved]), min([s[2] for s in solved])
+        """The same for a word or a part."""
+        return _joined([self.known_parts[p] for p in self.parts(word)])
 
     def search(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """``search_anew``, kept for short parts."""
+        if len(part) > CACHED:
+            return self.search_anew(part, n)
+        if len(self.searched) >= 20_000:
+            self.searched.clear()
+        if (part, n) not in self.searched:
+            self.searched[part, n] = self.search_anew(part, n)
+        return self.searched[part, n]
+
+    def search_anew(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best ``(cost, ids)`` of a part: backward A-star with the forward costs as what is still to go."""
         one = self.forward(part)[0]
         into: dict[int, list[tuple[int, tuple[int, ...], int]]] = {}
@@ -281,16 +346,19 @@ class Lattice:
                 heapq.heappush(heap, (spent + cost + one[start], pushed, start, spent + cost, (ids, path)))
         return out
 
-    def n_best(self, text: str, n: int) -> list[tuple[int, list[bytes]]]:
-        """The ``n`` best segmentations of a text: cost and the ids of each part."""
+    def n_best(self, text: str, n: int, units: list[str] | None = None) -> list[tuple[int, list[bytes], tuple]]:
+        """The ``n`` best segmentations of a text: cost, the ids of each unit, and where units leave their best."""
         if not text:
-            return [(0, [])]
-        parts = self.units(self.prefix + text.replace(" ", SPACE))
-        solved = list(map(self.known.__getitem__, parts))
-        base, costs, gaps = zip(*solved)
-        base, total, gaps = list(base), sum(costs), np.array(gaps)
-        open_parts = np.flatnonzero(gaps < BIG)
-        nearest = np.sort(open_parts[np.argsort(gaps[open_parts], kind="stable")][: n - 1])
+            return [(0, [], ())]
+        parts = self.units(self.prefix + text.replace(" ", SPACE)) if units is None else units
+        base, costs, gaps = zip(*map(self.known.__getitem__, parts))
+        total, gaps = sum(costs), np.array(gaps)
+        if len(gaps) > 4 * n:
+            near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2]) if n > 1 else np.empty(0, np.int64)
+        else:
+            near = np.arange(len(gaps))
+        near = near[gaps[near] < BIG]
+        nearest = np.sort(near[np.argsort(gaps[near], kind="stable")][: n - 1])
         choices: list[tuple[int, int, tuple]] = [(0, 0, ())]
         found: dict[int, list] = {}
         for at in nearest.tolist():
@@ -302,11 +370,11 @@ class Lattice:
         for extra, _, places in choices:
             ids = base
             if places:
-                ids = base.copy()
+                ids = list(base)
                 for at, rank in places:
                     # The search's first path may differ from the Viterbi one at equal cost; then its rank is left to that.
                     ids[at] = np.array(_others(found[at], base[at])[rank - 1], "<i4").tobytes()
-            out.append((total + extra, ids))
+            out.append((total + extra, ids, places))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -314,6 +382,14 @@ class Lattice:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+def _joined(solved: list[tuple[bytes, int, int]]) -> tuple[bytes, int, int]:
+    """Of independent parts in a row: the second best leaves the best in the part of the least gap."""
+    if len(solved) == 1:
+        return solved[0]
+    ids, costs, gaps = zip(*solved)
+    return b"".join(ids), sum(costs), min(gaps)
+
+
 def _others(found: list[tuple[int, tuple[int, ...]]], best: bytes) -> list[tuple[int, ...]]:
     """A part's segmentations after its best."""
     rest = [ids for _, ids in found if np.array(ids, "<i4").tobytes() != best]
@@ -343,8 +419,7 @@ def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_i
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 texts = part.column(part.num_columns - 1).to_pylist()
-                lat.prepare(texts)
-                rows = [_encoded(lat, t, n) for t in texts]
+                rows = [_encoded(lat, t, n, u) for t, u in zip(texts, lat.prepare(texts))]
                 columns = [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.list_(pa.int64())),
@@ -359,17 +434,15 @@ def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_i
     return chosen.mapInArrow(run, f"{schema}, {extra}" if schema else extra)
 
 
-def _encoded(lat: Lattice, text: str, n: int) -> tuple[int, list[int], list[str], bool, np.ndarray]:
-    found = lat.n_best(text, n)
-    joined = [b"".join(ids) for _, ids in found]
-    arrays = [np.frombuffer(x, "<i4") for x in joined]
-    expected = text.replace(SPACE, " ")
-    decodes = lat.decode(arrays[0]) == expected
-    for (_, ids), (_, best) in zip(found[1:], [found[0]] * len(found)):
-        for x, y in zip(ids, best):  # the rest is the best's, which has been decoded
-            if x is not y and b"".join(map(lat.text.__getitem__, np.frombuffer(x, "<i4").tolist())) != b"".join(map(lat.text.__getitem__, np.frombuffer(y, "<i4").tolist())):
-                decodes = False
-    return len(arrays[0]), [c for c, _ in found], [hashlib.sha256(x).hexdigest() for x in joined], decodes, arrays[0]
+def _encoded(lat: Lattice, text: str, n: int, units: list[str] | None = None) -> tuple[int, list[int], list[str], bool, np.ndarray]:
+    found = lat.n_best(text, n, units)
+    joined = [b"".join(ids) for _, ids, _ in found]
+    best = np.frombuffer(joined[0], "<i4")
+    decodes = lat.decode(best) == text.replace(SPACE, " ")
+    spelled = lambda ids: b"".join(map(lat.text.__getitem__, np.frombuffer(ids, "<i4").tolist()))
+    for _, ids, places in found[1:]:  # elsewhere they are the best, which has been decoded
+        decodes &= all(spelled(ids[at]) == spelled(found[0][1][at]) for at, _ in places)
+    return len(best), [c for c, _, _ in found], [hashlib.sha256(x).hexdigest() for x in joined], decodes, best
 
 
 def decode(encoded: DataFrame, model_path: str, *keep: Column | str, ids_col: str = "ids") -> DataFrame:
