@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 BIG = 1 << 60
+ENTRIES = 700_000  #: words that a worker remembers, in each of two generations
 CACHED = 32  #: characters of the longest part that is remembered
 
 
@@ -67,7 +68,7 @@ class _Kept(dict):
 class Lattice:
     """The pieces of a model, and segmentations over them."""
 
-    def __init__(self, model_path: str, entries: int = 250_000):
+    def __init__(self, model_path: str, entries: int):
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
@@ -106,6 +107,13 @@ class Lattice:
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.known_parts, self.known = _Kept(self.best, entries // 2), _Kept(self.best_of_word, entries)
 
+    def forget(self) -> None:
+        """Drops what has been remembered of words."""
+        for kept in (self.known, self.known_parts):
+            kept.clear()
+            kept.old = {}
+        self.searched.clear()
+
     def _tabulate(self) -> None:
         """The trie of pieces as arrays: state 0 is the root, and sorted ``state * chars + char`` lead to the next."""
         chars = sorted({c for piece in self.edges for c in piece})
@@ -397,16 +405,18 @@ def _others(found: list[tuple[int, tuple[int, ...]]], best: bytes) -> list[tuple
 
 
 @cache
-def lattice(model_path: str) -> Lattice:
+def lattice(model_path: str, entries: int) -> Lattice:
     """One lattice for each process; tasks that follow one another in a worker share it."""
-    return Lattice(model_path)
+    return Lattice(model_path, entries)
 
 
-def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_ids: bool = False, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_ids: bool = False, text_col: str = "text", entries: int = ENTRIES, forget: bool = False) -> DataFrame:
     """Columns ``keep`` with ``n_pieces``, ``costs``, ``ids_sha256`` (both best first), ``decodes`` and, if asked for, ``ids`` of the best.
 
     ``decodes`` tells whether the ids of every segmentation decode to the text.  A digest is the
-    SHA-256 of the ids as 32-bit little-endian integers.
+    SHA-256 of the ids as 32-bit little-endian integers.  A worker remembers up to twice ``entries``
+    words, about 300 bytes each, for its next tasks, or with ``forget`` until its task ends: where other
+    stages share the workers' memory.
     """
     chosen = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
@@ -414,7 +424,7 @@ def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_i
     names = [x.split()[0] for x in extra.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model_path)
+        lat = lattice(model_path, entries)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -430,6 +440,8 @@ def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_i
                     ends = np.cumsum([0, *(len(r[4]) for r in rows)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[4] for r in rows]) if rows else np.empty(0, np.int32))))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*b.schema.names[:-1], *names])
+        if forget:
+            lat.forget()
 
     return chosen.mapInArrow(run, f"{schema}, {extra}" if schema else extra)
 
@@ -451,7 +463,7 @@ def decode(encoded: DataFrame, model_path: str, *keep: Column | str, ids_col: st
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model_path)
+        lat = lattice(model_path, ENTRIES)
         for b in batches:
             texts = [lat.decode(np.array(x.as_py(), "<i4")) if x.is_valid else None for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], [*b.schema.names[:-1], "text"])
