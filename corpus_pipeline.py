@@ -49,7 +49,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     columns = [c for c in docs.columns if c != "text"]
-    return sentencepiece_nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), sentencepiece_nbest.N_BEST, *columns, with_ids=True)
+    return sentencepiece_nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), sentencepiece_nbest.N_BEST, *columns, with_ids=True, entries=100_000, forget=True)
 
 
 STAGES = [
