@@ -12,6 +12,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -169,7 +170,7 @@ class Manifest:
             self.entries: dict[str, dict] = json.loads(files.read(path)) if files.exists(path) else {}
             if not isinstance(self.entries, dict):
                 self.entries = {}
-        except ValueError:
+        except (ValueError, Py4JJavaError):
             self.entries = {}
 
     def set(self, path: str, status: str, **more) -> None:
