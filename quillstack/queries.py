@@ -314,23 +314,23 @@ def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Projections --------------------------------------------------------------------------------------
 
 
-def _projection(name: str, sql: str, *columns: Column) -> None:
-    query(name, f"{VIEW} SELECT message_id, {sql} FROM s")(lambda spark, sf_dir: prepared(spark, sf_dir).select("message_id", *columns))
-
-
-_projection("strip_quoted_reply", "f_body AS body", F.col("f_body").alias("body"))
-_projection("row_key", "rowid", F.col("rowid"))
-_projection("snippet", "snippet", F.col("snippet"))
-_projection("searchable_text", "sha256(f_all) AS digest", F.sha2("f_all", 256).alias("digest"))
-_projection("attachment_join_split", "attachments AS joined, len(list_filter(string_split(attachments, '; '), lambda x: x <> '')) AS n", X.attachment_text(F.col("attachment_names")).alias("joined"), F.size(X.split_attachments(X.attachment_text(F.col("attachment_names")))).cast("long").alias("n"))
-_projection("message_id_hash", "substr(sha256(subject || '|' || strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '|' || from_addr), 1, 32) AS made", X.message_id(F.lit(""), F.col("subject"), F.col("date_utc"), F.col("from_addr")).alias("made"))
-_projection("message_id_header", "message_id || '@x' AS own", X.message_id(F.concat(F.lit(" <"), "message_id", F.lit("@x> ")), F.col("subject"), F.col("date_utc"), F.col("from_addr")).alias("own"))
-_projection("gram_count", f"CAST({_LENGTH} AS BIGINT) AS n_grams", F.col("n_grams"))
-_projection("highlight", "regexp_replace(subject, '(?i)(the|on)', '<em>\\1</em>', 'g') AS marked", X.highlight(F.col("subject"), ["the", "on", "x"]).alias("marked"))
-_projection("display_times", "strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%d') AS day, strftime(make_timestamp(date_utc * 1000000), '%m-%d %H:%M') AS short, strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%d %H:%M:%S') AS long", X.day(F.col("date_utc")).alias("day"), X.short_time(F.col("date_utc")).alias("short"), X.full_time(F.col("date_utc")).alias("long"))
-_projection("size_text", "CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE format('{:.1f} KB', size_bytes / 1024.0) END AS size", X.size_text(F.col("size_bytes")).alias("size"))
-_projection("raw_preview", "base64(encode(substr(subject, 1, 0) || message_id)) AS preview, strlen(message_id) > 5 AS cut", D.preview(F.encode("message_id", "UTF-8")).alias("preview"), D.preview_cut(F.encode("message_id", "UTF-8"), 5).alias("cut"))
-_projection("locator_json", "'{\"reader\":\"eml\",\"file\":\"' || file_path || '\"}' AS locator", F.to_json(F.struct(F.lit("eml").alias("reader"), F.col("file_path").alias("file"))).alias("locator"))
+def _projection(name: str, sql: str, columns: Callable[[], list[Column]]) -> None:
+    query(name, f"{VIEW} SELECT message_id, {sql} FROM s")(lambda spark, sf_dir: prepared(spark, sf_dir).select("message_id", *columns()))
+
+
+_projection("strip_quoted_reply", "f_body AS body", lambda: [F.col("f_body").alias("body")])
+_projection("row_key", "rowid", lambda: [F.col("rowid")])
+_projection("snippet", "snippet", lambda: [F.col("snippet")])
+_projection("searchable_text", "sha256(f_all) AS digest", lambda: [F.sha2("f_all", 256).alias("digest")])
+_projection("attachment_join_split", "attachments AS joined, len(list_filter(string_split(attachments, '; '), lambda x: x <> '')) AS n", lambda: [X.attachment_text(F.col("attachment_names")).alias("joined"), F.size(X.split_attachments(X.attachment_text(F.col("attachment_names")))).cast("long").alias("n")])
+_projection("message_id_hash", "substr(sha256(subject || '|' || strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '|' || from_addr), 1, 32) AS made", lambda: [X.message_id(F.lit(""), F.col("subject"), F.col("date_utc"), F.col("from_addr")).alias("made")])
+_projection("message_id_header", "message_id || '@x' AS own", lambda: [X.message_id(F.concat(F.lit(" <"), "message_id", F.lit("@x> ")), F.col("subject"), F.col("date_utc"), F.col("from_addr")).alias("own")])
+_projection("gram_count", f"CAST({_LENGTH} AS BIGINT) AS n_grams", lambda: [F.col("n_grams")])
+_projection("highlight", "regexp_replace(subject, '(?i)(the|on)', '<em>\\1</em>', 'g') AS marked", lambda: [X.highlight(F.col("subject"), ["the", "on", "x"]).alias("marked")])
+_projection("display_times", "strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%d') AS day, strftime(make_timestamp(date_utc * 1000000), '%m-%d %H:%M') AS short, strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%d %H:%M:%S') AS long", lambda: [X.day(F.col("date_utc")).alias("day"), X.short_time(F.col("date_utc")).alias("short"), X.full_time(F.col("date_utc")).alias("long")])
+_projection("size_text", "CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE format('{:.1f} KB', size_bytes / 1024.0) END AS size", lambda: [X.size_text(F.col("size_bytes")).alias("size")])
+_projection("raw_preview", "base64(encode(substr(subject, 1, 0) || message_id)) AS preview, strlen(message_id) > 5 AS cut", lambda: [D.preview(F.encode("message_id", "UTF-8")).alias("preview"), D.preview_cut(F.encode("message_id", "UTF-8"), 5).alias("cut")])
+_projection("locator_json", "'{\"reader\":\"eml\",\"file\":\"' || file_path || '\"}' AS locator", lambda: [F.to_json(F.struct(F.lit("eml").alias("reader"), F.col("file_path").alias("file"))).alias("locator")])
 
 
 @query("row_key_order", f"{VIEW} SELECT count(*) AS pairs, count(*) FILTER (rowid > before) AS rising FROM (SELECT rowid, lag(rowid) OVER (ORDER BY date_utc) AS before FROM m) WHERE before IS NOT NULL")
