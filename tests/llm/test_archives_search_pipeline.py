@@ -1,0 +1,180 @@
+"""WARC round trips, exact top-k, and the pipeline."""
+
+from __future__ import annotations
+
+import gzip
+import hashlib
+import math
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstack.llm import topk, warc
+from quillstack.llm.queries import oracle_sql, queries
+
+# WARC ---------------------------------------------------------------------------------------------
+
+
+def odd_pages():
+    big = "<p>" + "é😀" * 200_000
+    tricky = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 5
+    shared = "s" * 150
+    return [
+        (5, "http://a/ b\r\nX: y", shared),
+        (3, "http://b/", shared),
+        (9, None, shared),
+        (9, "http://again/", shared),
+        (1, "http://c/", None),
+        (2, "http://d/", ""),
+        (4, "http://e/", "x" * 99),
+        (6, "http://f/", "x" * 99),
+        (7, "http://g/", tricky),
+        (8, "http://h/", tricky),
+        (10, "http://i/", big),
+        (None, "http://j/", shared),
+        (None, "http://k/", "n" * 200),
+        (11, "http://é/\x00\x7f", "\r\n\r\n"),
+        (12, "u", "tail\r\n"),
+    ]
+
+
+def test_warc_round_trip(spark, tmp_path):
+    rows, path = odd_pages(), str(tmp_path / "warc")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("row", F.lit(1))
+    warc.write_archives(pages, path, archive_bytes=100_000)
+    whole = warc.captures(warc.read_records(spark, path)).collect()
+    assert len(whole) == len(rows)
+    least = {}
+    for i, _, t in rows:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+    want = []
+    for i, _, t in rows:
+        t = t or ""
+        first = least.get(t)
+        revisit = len(t.encode()) >= 100 and first is not None and i != first
+        want.append((i, len(t.encode()), hashlib.sha256(t.encode()).hexdigest(), "revisit" if revisit else "response", f"<urn:page:{first}>" if revisit else None, b"" if revisit else t.encode()))
+    got = [(r["metadata"]["page_id"], r["metadata"]["bytes"], r["response"]["digest"], r["response"]["kind"], r["response"]["refers_to"], bytes(r["response"]["payload"])) for r in whole]
+    key = lambda r: (r[0] is None, str(r[0]), r[2])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    for r in whole:
+        assert bytes(r["request"]["block"]).startswith(b"GET ") and r["request"]["target"] == r["response"]["target"]
+
+
+def test_archives_are_gzip_files_of_records(spark, tmp_path):
+    path = tmp_path / "warc"
+    warc.write_archives(spark.createDataFrame([(1, "http://a/", "body")], "page_id long, url string, html string"), str(path))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted(path.glob("part-*")))
+    kinds = [k for k, _, _ in warc.parse_records(iter([raw[:10], raw[10:]]))]
+    assert kinds == ["request", "response", "metadata"]
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: request\r\n") and raw.endswith(b"\r\n\r\n")
+
+
+def test_damaged_archives_are_told(tmp_path):
+    good = b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
+    assert [b for _, _, b in warc.parse_records(iter([good, good]))] == [b"abcde"] * 2
+    for bad in (good[:30], good[:-6], b"nonsense" + good):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(iter([bad])))
+    packed = gzip.compress(good) + gzip.compress(good)
+    assert b"".join(warc._members(packed)) == good * 2
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc._members(packed[:-12]))
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
+    assert warc.captures(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
+
+
+# Top-k --------------------------------------------------------------------------------------------
+
+
+def plain_top(rows, wanted, k, scale=1024):
+    ready = []
+    for i, v in rows:
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        ready.append((i, [math.floor(scale * x) for x in v]))
+    out = []
+    for q, v in {(i, tuple(v)) for i, v in ready if wanted(i)}:
+        scores = sorted((-max(min(sum(a * b for a, b in zip(v, w)), (1 << 63) - 1), -(1 << 63)), i) for i, w in ready if i != q and len(w) == len(v))
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e12])
+def test_top_k(spark, scale, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-0.5, 0.0, 0.25, rng.uniform(-1, 1)]) * scale for _ in range(4)]) for i in range(60)]
+    rows += [(100 + i, [0.5 * scale] * 4) for i in range(40)]  # ties
+    rows += [(200, None), (210, [None, 1.0, 1.0, 1.0]), (220, [float("nan")] * 4), (230, [float("inf")] * 4), (None, [1.0] * 4), (240, [1.0, 2.0]), (250, []), (10, rows[10][1]), (11, rows[11][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("q", F.lit(1)).withColumn("score", F.lit("x"))
+    got = topk.top_k(df, df.filter("vec_id % 10 = 0"), k=7)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == plain_top(rows, lambda i: i % 10 == 0, 7)
+
+
+def test_fewer_candidates_than_k(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<float>")
+    got = topk.top_k(df, df.filter("vec_id = 0"), k=10).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 2 << 20), (2, 2, -(1 << 20))]
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    assert topk.top_k(df.limit(1), df.limit(1)).count() == 0
+
+
+# All ----------------------------------------------------------------------------------------------
+
+
+def test_the_queries_are_registered():
+    names = list(queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert set(oracle_sql()) <= set(names)
+
+
+def test_the_queries_against_sql(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for table in ("documents", "pages", "embeddings", "benchmark"):
+        db.sql(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    for name, text in oracle_sql().items():
+        want = db.sql(text)
+        df = queries()[name](spark, sf_dir)
+        assert sorted(df.columns) == sorted(want.columns)
+        got = sorted(tuple(map(str, r)) for r in df.select(*want.columns).collect())
+        assert got == sorted(tuple(map(str, r)) for r in want.fetchall()), name
+
+
+def test_pipeline(spark, documents, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    base = docs.limit(120).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in base]
+    clean = " ".join(f"{w}" for r in base[:3] for w in (r["text"] or "").split()[::7])
+    rows += [(90001, None, "en", "s", 0), (90002, "12 34", "en", "s", 5), (90003, f"{clean} {item}", "en", "s", 9), (90004, f"{clean} token=abcdefghijklmnop {clean[::-1][:50]}", "en", "s", 9)]
+    rows += [rows[0], (90005, rows[1][1], "en", "s", 1)]
+    table = documents(rows, extra=False)
+    kept = table
+    assert 4 <= len(pipeline.STAGES) <= 5
+    for name, stage in pipeline.STAGES[:-1]:
+        before = kept.count()
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == table.columns and kept.count() <= before, name
+        kept = kept.cache()
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and not {90001, 90002, 90003, 90005} & set(ids) and 90004 in ids
+    secret = kept.filter("doc_id = 90004").first()
+    assert "token=[REDACTED] " in secret["text"] and secret["n_chars"] == len(secret["text"])
+    last = pipeline.STAGES[-1][1](spark, kept, sf_dir)
+    assert last.count() == len(ids) and last.filter("not decodes").count() == 0
+
+
+def test_pipeline_of_nothing(spark, documents, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kept = documents([], extra=False)
+    for _, stage in pipeline.STAGES:
+        kept = stage(spark, kept, sf_dir)
+    assert kept.count() == 0
