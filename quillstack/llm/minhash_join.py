@@ -238,6 +238,7 @@ def _joining_links(a: _Block, b: _Block, pairs: np.ndarray, percent: int) -> lis
     return out
 
 
+SHORT = 16  #: members of a list whose pairs are simply listed
 MEMBERS = 512  #: of a block, about
 BATCH = 4  #: pairs of blocks that are brought to Python at once
 
@@ -260,13 +261,17 @@ def _blocks_of(members: DataFrame, columns: list[str], left: DataFrame | None =
 def _across(open_lists: DataFrame, named: DataFrame, classes: DataFrame, prefixes: DataFrame, sets: DataFrame, tested: DataFrame, matches: int, percent: int) -> DataFrame:
     """Links between the components that meet in ``open_lists(key, posts)``.
 
-    Pairs are counted block by block.  Where few survive they are confirmed one by one; where many do
+    Pairs of short lists are listed.  Those of longer ones are counted block by block.  Where few survive they are confirmed one by one; where many do
     (a large group of texts that are near copies of some and not of others) the full sets are brought
     to the block, and only links that join components leave it.  So the rows that are made follow the
     members of the lists, not their pairs.
     """
+    short = named.join(open_lists.filter(F.col("posts") <= SHORT).select("key"), "key")
+    other = short.select("key", F.col("cls").alias("cls2"), F.col("component").alias("component2"))
+    pairs = _pair("cls", "cls2", short.join(other, "key").filter("component < component2"))  # SHORT / 2 for a member at most
+    long = open_lists.filter(F.col("posts") > SHORT)
     size = F.ceil(F.col("posts") / MEMBERS).cast("int")
-    members = named.join(open_lists.withColumn("blocks", size), "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    members = named.join(long.withColumn("blocks", size), "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     described = members.join(classes.select("cls", "n", "sig"), "cls").join(prefixes, "cls")
     described = materialize(described.select("key", "block", "blocks", "cls", "component", "n", "sig", "keys"), "open-members")
     columns = ["cls", "component", "n", "sig", "keys"]
@@ -287,7 +292,8 @@ def _across(open_lists: DataFrame, named: DataFrame, classes: DataFrame, prefixe
 
     with arrow_batch_rows(open_lists.sparkSession, BATCH):
         counted = materialize(_blocks_of(described, columns).mapInArrow(count, "a binary, b binary, key long, i int, j int"), "open-pairs")
-    few = _pair("a", "b", counted.filter("a is not null")).distinct().join(tested, ["a", "b"], "left_anti")
+    few = _pair("a", "b", counted.filter("a is not null")).union(pairs).distinct().join(tested, ["a", "b"], "left_anti")
+    few = _collisions(few, classes, matches, percent)
     crowded = counted.filter("a is null").select("key", "i", "j")
     wanted = crowded.select("key", F.explode(F.array("i", "j")).alias("block")).distinct()
     crowd = described.join(wanted, ["key", "block"], "left_semi").join(sets, "cls")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, utf8_views
+from .common import blocks, materialize, release_shuffles, utf8_views
 from .grams import NON_SPACE, U, mix, shingles, words
 from .minhash_join import merge_lists, signatures
 
@@ -134,11 +134,10 @@ def _collisions(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(name.view(np.int64), BANDS)), pa.array(np.repeat(n, BANDS))], ["key", "name", "copies"])
 
     posted = docs.select("text").mapInArrow(run, "key long, name long, copies int")
-    parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    counted = posted.repartition(int(parts), "key").groupBy("key", "name").agg(F.sum("copies").alias("copies"))
+    # Rows of one name in one task are one row, so a list has a row a task and name: its neighbours tell whether it is shared.
     order = W.partitionBy("key").orderBy("name")
-    met = F.lag("name").over(order).isNotNull() | F.lead("name").over(order).isNotNull()
-    return counted.withColumn("met", met).filter("met or (copies > 1 and key & 63 = 0)").select("name").distinct()
+    met = F.lag("name").over(order).isNotNull() | F.lead("name").over(order).isNotNull() | (F.col("copies") > 1)
+    return posted.withColumn("met", met).filter("met").select("name").distinct()
 
 
 def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -150,10 +149,10 @@ def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     table = bits.toArrow()  # at most 2 ** (BITMAP_BITS - 5) rows
     words_of[table["w"].to_numpy()] = table["m"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(words_of)
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, sha string, place int, start long, end long, n_words int, name long, cls binary, n long, sig array<int>, keys array<bigint>, shingles binary"
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, place int, start int, end int, n_words int, cls binary, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        bitmap, described = shared.value, set()
         for b in batches:
             raw, offsets = utf8_views(b.column(2))
             for start, end in blocks(offsets):
@@ -167,65 +166,94 @@ def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 chars = np.append(0, np.cumsum((block & 0xC0) != 0x80))
                 base = chars[offsets[start : end + 1] - offsets[start]]
                 sets = [np.unique(p.flat[p.bounds[x] : p.bounds[x + 1]]) for x in hit]
-                sig = signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), BANDS * ROWS)
-                ends = lambda width: pa.array(np.arange(0, len(hit) * width + 1, width, dtype=np.int32))
+                cls = [n + hashlib.sha256(s.tobytes()).digest()[:8] for n, s in zip(_bytes_of(p.name[hit]), sets)]
                 doc = p.doc[hit]
                 columns = [
                     b.column(0).take(pa.array(doc + start)),
                     b.column(1).take(pa.array(doc + start)),
                     pa.array(p.place[hit].astype(np.int32)),
-                    pa.array(chars[p.start[hit]] - base[doc]),
-                    pa.array(chars[p.end[hit]] - base[doc]),
+                    pa.array((chars[p.start[hit]] - base[doc]).astype(np.int32)),
+                    pa.array((chars[p.end[hit]] - base[doc]).astype(np.int32)),
                     pa.array((p.last - p.first)[hit].astype(np.int32)),
-                    pa.array(name[hit]),
-                    pa.array([hashlib.sha256(s.tobytes()).digest()[:16] for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(ends(BANDS * ROWS), pa.array(sig.ravel())),
-                    pa.ListArray.from_arrays(ends(BANDS), pa.array(band_keys(sig).ravel())),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array(cls, pa.binary()),
+                    pa.array([None if c in described else s.tobytes() for c, s in zip(cls, sets)], pa.binary()),
                 ]
+                described.update(cls)  # a task describes a class once, or a few times within a block
+                if len(described) > 1 << 18:
+                    described.clear()
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("id", "sha", "text").mapInArrow(run, schema).join(wanted, "name", "left_semi")
+    found = docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
+    low = wanted.select(F.col("name").bitwiseAND(F.lit((1 << 56) - 1)).alias("low"))
+    return found.join(low, F.conv(F.hex(F.substring("cls", 2, 7)), 16, 10).cast("long") == F.col("low"), "left_semi")
+
+
+def _bytes_of(names: np.ndarray) -> list[bytes]:
+    raw = names.astype(">u8").tobytes()
+    return [raw[i : i + 8] for i in range(0, len(raw), 8)]
+
+
+def _described(found: DataFrame) -> DataFrame:
+    """``(cls, n, sig, keys, shingles)`` of every class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sets = [np.frombuffer(x.as_buffer(), U) for x in b.column(1)]
+                sig = signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), BANDS * ROWS)
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int64()), lists(sig), lists(band_keys(sig)), b.column(1)], ["cls", "n", "sig", "keys", "shingles"])
 
+    once = found.filter("shingles is not null").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    return once.mapInArrow(run, "cls binary, n long, sig array<int>, keys array<bigint>, shingles binary")
 
-def _across_documents(found: DataFrame) -> DataFrame:
-    """Occurrences whose component lies in two documents or more, with the component's least id and first occurrence."""
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "sha", "place")
-    spans = found.groupBy("component").agg(F.min(place).alias("head"), F.min(F.struct("id", "sha")).alias("lo"), F.max(F.struct("id", "sha")).alias("hi"))
-    spans = spans.filter(~F.col("lo").eqNullSafe(F.col("hi"))).drop("lo", "hi")
-    return found.drop("head").join(spans, "component")
+
+def _across_documents(found: DataFrame, heads: bool = False) -> DataFrame:
+    """Occurrences whose component lies in two documents or more; with ``heads``, also its first occurrence."""
+    document, place = F.struct("id", "text_hash"), F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "place")
+    spans = found.groupBy("component").agg(F.min(document).alias("lo"), F.max(document).alias("hi"), *([F.min(place).alias("head")] if heads else []))
+    return found.join(spans.filter(~F.col("lo").eqNullSafe(F.col("hi"))).drop("lo", "hi"), "component")
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text_sha256, paragraph, start, end, n_words, component_id, kept)`` of every paragraph that repeats across documents.
+    """``(id, text_hash, paragraph, start, end, n_words, component_id, kept)`` of every paragraph that repeats across documents.
 
-    ``start`` and ``end`` are code points of the text, ``component_id`` is the least id in the component.
+    ``start`` and ``end`` are code points of the text, ``component_id`` is the least id in the component;
+    ``text_hash`` is the text's 64-bit hash, by which rows of one id are told apart.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    spark = docs.sparkSession
     wanted = materialize(_collisions(docs), "paragraph-names")
+    release_shuffles(spark)
     found = materialize(_occurrences(docs, wanted), "paragraphs")
-    classes = materialize(found.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "sig", "keys", "shingles"))), "paragraph-classes")
+    release_shuffles(spark)
+    classes = materialize(_described(found), "paragraph-classes")
     shared = classes.select(F.explode("keys").alias("key"), "cls").groupBy("key").agg(F.count("*").alias("posts")).filter("posts > 1")
     prefixes = classes.select("cls", F.explode("keys").alias("key")).join(shared, "key").groupBy("cls").agg(F.collect_list("key").alias("keys"))
+    release_shuffles(spark)
     joined = merge_lists(materialize(prefixes, "paragraph-lists"), classes.select("cls", "n", "sig"), classes.select("cls", "shingles"), ROWS, percent)
 
-    found = found.select("id", "sha", "place", "start", "end", "n_words", "cls").dropDuplicates(["id", "sha", "place"])
-    found = found.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).drop("cls")
-    found = _across_documents(found)
-    row = W.partitionBy("id", "sha").orderBy("place")
-    found = found.withColumn("run", F.col("place") - F.row_number().over(row))
-    found = found.withColumn("run_words", F.sum("n_words").over(W.partitionBy("id", "sha", "run"))).filter(F.col("run_words") >= min_run)
-    found = _across_documents(found)
-    kept = (F.col("head.id").eqNullSafe(F.col("id"))) & (F.col("head.sha") == F.col("sha")) & (F.col("head.place") == F.col("place"))
-    return found.select(F.col("id").alias(id_col), F.col("sha").alias("text_sha256"), F.col("place").alias("paragraph"), "start", "end", "n_words", F.col("head.id").alias("component_id"), kept.alias("kept"))
+    release_shuffles(spark)
+
+    found = found.drop("shingles").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).drop("cls")
+    found = materialize(_across_documents(found), "repeats")
+    release_shuffles(spark)
+    row = W.partitionBy("id", "text_hash").orderBy("place")
+    new = found.withColumn("before", F.lag("place").over(row)).filter("before is null or before < place").drop("before")  # rows equal in id and text
+    run = new.withColumn("run", F.col("place") - F.row_number().over(row))
+    run = run.withColumn("run_words", F.sum("n_words").over(W.partitionBy("id", "text_hash", "run"))).filter(F.col("run_words") >= min_run)
+    found = materialize(run.drop("run", "run_words"), "repeats")
+    release_shuffles(spark)
+    found = _across_documents(found, heads=True)
+    kept = (F.col("head.id").eqNullSafe(F.col("id"))) & (F.col("head.text_hash") == F.col("text_hash")) & (F.col("head.place") == F.col("place"))
+    return found.select(F.col("id").alias(id_col), "text_hash", F.col("place").alias("paragraph"), "start", "end", "n_words", F.col("head.id").alias("component_id"), kept.alias("kept"))
 
 
 def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the paragraphs of ``repeats`` that are not kept cut out of their texts; all columns and rows stay."""
-    spans = repeats.filter("not kept").groupBy(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    spans = repeats.filter("not kept").groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("__text_sha", F.sha2(text, 256)).join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha")), "left")
+    joined = docs.withColumn("__text_hash", F.xxhash64(text)).join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
