@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,6 +52,21 @@ def decode(raw: Column) -> Column:
     return _decode_slow(raw)
 
 
+def inflate_bytes(raw: object) -> str:
+    if not isinstance(raw, (bytes, bytearray)):
+        return ""
+    try:
+        return zlib.decompress(raw).decode("utf-8", "replace")
+    except zlib.error:
+        return ""
+
+
+@F.pandas_udf(StringType())
+def inflate(raw: pd.Series) -> pd.Series:
+    """Text of a zlib-packed body, as other stores keep it; empty if it is null or damaged."""
+    return raw.map(inflate_bytes)
+
+
 def preview(raw: Column, most: int = 256 * 1024) -> Column:
     """Base64 of the first ``most`` bytes."""
     return F.regexp_replace(F.base64(F.substring(raw, 1, most)), r"\s", "")

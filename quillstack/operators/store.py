@@ -1,7 +1,8 @@
 """The ``mails`` table as immutable snapshots, the ingest manifest and the error log.
 
-A snapshot is a Parquet folder, partitioned by month and sorted by key within files.  An upsert
-writes the next snapshot and then swaps a pointer file, so readers see one or the other whole, and an
+The table is partitioned by month and, below that, by the upsert that wrote the month; files are
+sorted by key.  An upsert writes anew only the months that it touches and then swaps a pointer file,
+which names the valid writing of each month.  So readers see one state or the other whole, and an
 upsert that is repeated changes nothing.  Of rows with one id the last by container and place wins.
 """
 
@@ -68,6 +69,10 @@ class _Files:
         if not fs.rename(draft, p):
             raise OSError(f"could not rename {draft.toString()} to {path}")
 
+    def folders(self, pattern: str) -> list[str]:
+        fs, p = self._at(pattern)
+        return [f.getPath().toString() for f in fs.globStatus(p) or [] if f.isDirectory()]
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
@@ -113,37 +118,62 @@ def retry(action, attempts: int, waits: tuple[float, ...], transient=lambda e: "
 class MailStore:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
         self.spark, self.root, self.settings, self.files = spark, root.rstrip("/"), settings or Settings(), _Files(spark)
-        self.pointer = f"{self.root}/CURRENT"
+        self.pointer, self.data = f"{self.root}/CURRENT", f"{self.root}/data"
+
+    def months(self) -> dict[str, str]:
+        """The valid writing of each month."""
+        return json.loads(self.files.read(self.pointer)) if self.files.exists(self.pointer) else {}
 
-    def version(self) -> str | None:
-        return self.files.read(self.pointer).strip() if self.files.exists(self.pointer) else None
+    def _empty(self) -> DataFrame:
+        return with_search_columns(self.spark.createDataFrame([], MAILS_SCHEMA), self.settings.strip_quoted_replies)
 
     def mails(self) -> DataFrame:
-        """The current snapshot with its search columns; empty before the first upsert."""
-        version = self.version()
-        if version is None:
-            return with_search_columns(self.spark.createDataFrame([], MAILS_SCHEMA), self.settings.strip_quoted_replies)
-        return self.spark.read.parquet(f"{self.root}/{version}")
+        """The current table with its search columns; empty before the first upsert."""
+        valid, empty = self.months(), self._empty()
+        if not valid:
+            return empty
+        table = self.spark.read.schema(empty.schema.add("snap", "string")).parquet(self.data)
+        # Both columns are folders, so this chooses folders and no rows.
+        return table.filter(F.concat_ws("/", "month", "snap").isin([f"{m}/{s}" for m, s in valid.items()])).select(*empty.columns)
 
     def upsert(self, updates: DataFrame) -> UpsertCounts:
         return retry(lambda: self._upsert(updates), self.settings.retry_max_attempts, self.settings.retry_backoff_seconds)
 
     def _upsert(self, updates: DataFrame) -> UpsertCounts:
-        before = self.version()
-        plain = MAILS_SCHEMA.fieldNames()
-        fresh = with_search_columns(last_per_id(updates).select(*plain), self.settings.strip_quoted_replies)
+        before = self.months()
+        fresh = with_search_columns(last_per_id(updates).select(*MAILS_SCHEMA.fieldNames()), self.settings.strip_quoted_replies)
         base = self.mails().select(*fresh.columns)
         counts = merge_counts(base, fresh).first()
-        name = f"snapshot-{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        moved = base.join(fresh.select("message_id"), "message_id", "left_semi").select("month")
+        touched = sorted(r[0] for r in fresh.select("month").union(moved).distinct().collect())  # months
         # Unchanged rows keep their folded text: only new rows pass through the fold.
-        merged = separate_keys(base.join(fresh.select("message_id"), "message_id", "left_anti").unionByName(fresh))
-        merged.repartition("month").sortWithinPartitions("month", F.desc("rowid")).write.partitionBy("month").option("compression", "zstd").parquet(f"{self.root}/{name}")
-        if self.version() != before:
-            self.files.delete(f"{self.root}/{name}")
+        rest = base.filter(F.col("month").isin(touched)).join(fresh.select("message_id"), "message_id", "left_anti")
+        snap = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        merged = separate_keys(rest.unionByName(fresh)).withColumn("snap", F.lit(snap))
+        # A rebalance keeps a month together but splits a large one.
+        merged.hint("rebalance", "month").sortWithinPartitions("month", F.desc("rowid")).write.mode("append").partitionBy("month", "snap").option("compression", "zstd").parquet(self.data)
+        written = {m: snap for m in touched if self.files.exists(f"{self.data}/month={m}/snap={snap}")}
+        if self.months() != before:
+            self._drop(written)
             raise RuntimeError("conflict: another writer has changed the store")
-        self.files.replace(self.pointer, name)
+        after = {m: s for m, s in before.items() if m not in touched} | written
+        self.files.replace(self.pointer, json.dumps(after, sort_keys=True))
         return UpsertCounts(counts["inserted"], counts["updated"])
 
+    def _drop(self, months: dict[str, str]) -> None:
+        for m, s in months.items():
+            self.files.delete(f"{self.data}/month={m}/snap={s}")
+
+    def vacuum(self, older_than_s: float = 24 * 3600) -> int:
+        """Deletes writings that are no longer valid and older than that; returns their number."""
+        valid, limit, gone = self.months(), (time.time() - older_than_s) * 1000, 0
+        for path in self.files.folders(f"{self.data}/month=*/snap=*"):
+            month, snap = (x.partition("=")[2] for x in path.rsplit("/", 2)[1:])
+            if valid.get(month) != snap and int(snap.partition("-")[0]) < limit:
+                self.files.delete(path)
+                gone += 1
+        return gone
+
     def log_errors(self, errors: DataFrame) -> None:
         errors.write.mode("append").json(f"{self.root}/errors")
 

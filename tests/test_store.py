@@ -86,6 +86,23 @@ def test_upserts(spark, boxes, tmp_path):
     assert mails.mails().count() == 6 and mails.mails().filter("subject = 'changed'").count() == 1
 
 
+def test_an_upsert_writes_only_the_months_it_touches(spark, boxes, tmp_path):
+    batch = normalize(read_containers(spark, [boxes(a="FAKE:4")], **OPTIONS), now=1)
+    spread = batch.withColumn("date_utc", F.when(F.col("locator_json").contains("1"), 1709251200).otherwise(F.col("date_utc")).cast("long"))
+    mails = MailStore(spark, str(tmp_path / "store"))
+    mails.upsert(spread)
+    first = mails.months()
+    assert set(first) == {"2024-01", "2024-03"} and mails.mails().count() == 4
+    mails.upsert(spread.filter("date_utc >= 1709251200").withColumn("subject", F.lit("late")))
+    second = mails.months()
+    assert second["2024-01"] == first["2024-01"] and second["2024-03"] != first["2024-03"]
+    mails.upsert(spread.filter("date_utc >= 1709251200").withColumn("date_utc", F.lit(1704067200).cast("long")))  # moves to January
+    assert set(mails.months()) == {"2024-01"} and mails.mails().count() == 4
+    assert mails.vacuum(-1) == 3 and mails.mails().count() == 4
+    found = search.matches(mails.mails(), search.parse("after:2024-01-01 before:2024-02-01"))
+    assert found.count() == 4 and "PartitionFilters: [" in found._jdf.queryExecution().toString()
+
+
 def test_colliding_keys_keep_both_rows(spark, boxes):
     batch = normalize(read_containers(spark, [boxes(a="FAKE:1")], **OPTIONS), now=1)
     both = batch.unionByName(batch).withColumn("rowid", F.lit(5).cast("long"))

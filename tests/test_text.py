@@ -105,6 +105,13 @@ def test_decode_of_what_is_no_bytes(spark):
     assert evaluate(spark, D.decode, None, "binary")["status"] == "failed"
 
 
+def test_inflate(spark):
+    import zlib
+
+    assert evaluate(spark, D.inflate, zlib.compress("본문".encode()), "binary") == "본문"
+    assert evaluate(spark, D.inflate, b"damaged", "binary") == evaluate(spark, D.inflate, None, "binary") == ""
+
+
 def test_preview(spark):
     assert evaluate(spark, lambda c: D.preview(c, 10), b"x" * 1000, "binary") == "eHh4eHh4eHh4eA=="
     assert evaluate(spark, lambda c: D.preview_cut(c, 10), b"x" * 1000, "binary")
