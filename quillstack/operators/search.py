@@ -65,15 +65,13 @@ def search(
         if relevance_candidates is not None:
             found = found.orderBy(*newest_first()).limit(relevance_candidates)
         page = hits(top(found, limit + 1, q, rank.stats(mails, grams)), "score")
-        order = [F.asc("score"), *newest_first()]
     else:
         if sort == "relevance":
             warnings.append("nothing to rank by; newest first")
-        page, order = hits(top(found, limit + 1)), newest_first()
-    page = page.cache()
-    got = page.count()
-    result = SearchResult(page.orderBy(*order).limit(limit), warnings, got > limit)
-    if not got:
+        page = hits(top(found, limit + 1))
+    rows = page.collect()  # a page, in order
+    result = SearchResult(mails.sparkSession.createDataFrame(rows[:limit], page.schema), warnings, len(rows) > limit)
+    if not rows:
         result.diagnosis = diagnose(mails, q)
         if whole_word and matches(mails, q, False, below, folders).limit(1).count():
             result.warnings.append("whole-word matching left no message")
