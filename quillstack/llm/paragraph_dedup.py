@@ -212,7 +212,9 @@ def _across_documents(found: DataFrame, heads: bool = False) -> DataFrame:
     """Occurrences whose component lies in two documents or more; with ``heads``, also its first occurrence."""
     document, place = F.struct("id", "text_hash"), F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "place")
     spans = found.groupBy("component").agg(F.min(document).alias("lo"), F.max(document).alias("hi"), *([F.min(place).alias("head")] if heads else []))
-    return found.join(spans.filter(~F.col("lo").eqNullSafe(F.col("hi"))).drop("lo", "hi"), "component")
+    # Written first, so that the join has a shuffle on either side and a component with very many rows can be split.
+    spans = materialize(spans.filter(~F.col("lo").eqNullSafe(F.col("hi"))).drop("lo", "hi"), "spans")
+    return found.join(spans, "component")
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
