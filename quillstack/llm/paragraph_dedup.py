@@ -1,17 +1,18 @@
 """Substring removal by MinHash banding of paragraphs.
 
-A paragraph here is a run of whole sentences (a line's end ends a sentence too) of at least
-``MIN_WORDS`` words: sentences are gathered until they have that many.  A sentence of over
-``LONG_SENTENCE`` words is cut after words whose hash says so.  So a passage that sits in the midst of
-other text falls into the same paragraphs in every document, but for its first and last.
+A paragraph here is a line, cut further where the words themselves say so: after a word whose pair
+with the next one has the least hash within ``REACH`` words on either side.  So a passage that sits
+in the midst of other text falls into the same paragraphs in every document, but for its first and
+last; two cuts of a line are at least ``REACH + 1`` words apart.  Pieces of fewer than ``MIN_WORDS``
+words, which are found at the ends of lines only, are left alone.
 
 Paragraphs are sets of five-word shingles.  Their signatures are cut into bands of two minima; five
 bands give pairs at similarity 0.8 a recall of 0.994, and more above (see ``recall``).  Paragraphs
 that collide in a band are joined list by list as in ``minhash_join``, confirmed by exact Jaccard
 similarity on full sets, and grouped into components.  In each component the first occurrence, by id
 and place, is kept; the others are removals.  A component counts only if it spans two documents, and
-only within runs of neighbouring paragraphs of together at least ``MIN_RUN`` words, so that a single
-short sentence that two clean documents share is left alone.
+only within runs of neighbouring paragraphs of together at least ``MIN_RUN`` words, so that a short
+phrase that two clean documents share is left alone.
 
 The first pass sends eight-byte hashes only, each once a task, and one shuffle by band tells which
 hashes collide.  The second pass, with a bitmap of fixed size to pick them out, sends these
@@ -39,7 +40,7 @@ from .grams import NON_SPACE, U, mix, shingles, words
 from .minhash_join import merge_lists, signatures
 
 K, BANDS, ROWS, PERCENT = 5, 5, 2, 80
-MIN_WORDS, LONG_SENTENCE, CUT_ONE_IN, MIN_RUN = 8, 40, 16, 20
+REACH, MIN_WORDS, MIN_RUN = 6, 7, 12
 BITMAP_BITS = 24
 
 
@@ -72,24 +73,22 @@ def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> Paragraphs:
     final[:-1] &= ~inside[1:]
     final[offsets[1:][offsets[1:] > 0] - 1] = inside[offsets[1:][offsets[1:] > 0] - 1]
     ends = np.flatnonzero(final) + 1
-    line = np.cumsum(raw == 10)[w.starts]
-    stop = np.isin(raw[ends - 1], np.frombuffer(b".!?", np.uint8))
-    stop[:-1] |= (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
-    stop[-1] = True
-    last = np.flatnonzero(stop)
-    size = np.diff(np.append(-1, last))
-    long = np.repeat(size > LONG_SENTENCE, size)
-    stop |= long & (w.hashes % U(CUT_ONE_IN) == 0)
-    found, begin, doc = [], 0, -1
-    for e, d in zip(np.flatnonzero(stop).tolist(), w.doc[stop].tolist()):
-        if d != doc:
-            begin, doc = int(w.bounds[d]), d
-        if e + 1 - begin >= MIN_WORDS:
-            found.append((d, begin, e + 1))
-            begin = e + 1
-    if not found:
+    line = np.cumsum(raw == 10)[w.starts] + (w.doc << 32)
+    same = line[1:] == line[:-1]
+    pair = np.append(np.where(same, mix(w.hashes[:-1] * U(3) + w.hashes[1:]), ~U(0)), ~U(0))
+    cut = np.ones(n, bool)
+    for j in range(1, REACH + 1):  # of equal hashes the last is the least
+        apart = line[j:] != line[:-j]
+        cut[j:] &= apart | (pair[j:] <= pair[:-j])
+        cut[:-j] &= apart | (pair[:-j] < pair[j:])
+    cut |= np.append(~same, True)
+    after = np.flatnonzero(cut) + 1
+    first = np.append(0, after[:-1])
+    long = after - first >= MIN_WORDS
+    first, after = first[long], after[long]
+    if not len(first):
         return Paragraphs(none, none, none, none, none, none, none.astype(U), np.zeros(1, np.int64), none.astype(U))
-    doc, first, after = np.array(found).T
+    doc = w.doc[first]
     grams, at = shingles(w.hashes, w.doc, K)
     dense = np.zeros(n, U)
     dense[at] = grams
