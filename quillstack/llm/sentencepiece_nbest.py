@@ -42,7 +42,10 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 BIG = 1 << 60
+#: Ids of the best path (32-bit, little-endian), its cost, the gap to the second, whether the ids decode to the text.
+Solved = tuple[bytes, int, int, bool]
 ENTRIES = 700_000  #: words that a worker remembers, in each of two generations
+ROWS = 64  #: texts whose unknown parts are solved at once; few enough to stay in the processor's cache
 CACHED = 32  #: characters of the longest part that is remembered
 
 
@@ -58,12 +61,16 @@ class _Kept(dict):
 
     def keep(self, text: str, out):
         if len(text) <= CACHED:
-            if len(self) >= self.entries:
-                self.old = dict(self)
-                self.clear()
-            self[text] = out
+            self.keep_all({text: out})
         return out
 
+    def keep_all(self, found: dict) -> None:
+        """Keeps results of short texts."""
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self.update(found)
+
 
 class Lattice:
     """The pieces of a model, and segmentations over them."""
@@ -137,14 +144,18 @@ class Lattice:
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """The units of ``texts``; those that aren't known yet are solved, their parts all at once."""
         units = [self.units(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = set().union(*units) - self.known.keys()
-        for u in new & self.known.old.keys():
-            self.known.keep(u, self.known.old.pop(u, None) or self.known[u])
-        new -= self.known.keys()
-        split = self._parts_of([u for u in new if len(u) <= CACHED])
+        known, old, back, new = self.known, self.known.old, {}, []
+        for u in set().union(*units):
+            if u not in known:
+                if u in old:
+                    back[u] = old[u]
+                elif len(u) <= CACHED:
+                    new.append(u)
+        split = self._parts_of(new)
         solved = self._solve({p for parts in split.values() for p in parts})
         for u, parts in split.items():
-            self.known.keep(u, solved[parts[0]] if len(parts) == 1 else _joined([solved[p] for p in parts]))
+            back[u] = solved[parts[0]] if len(parts) == 1 else _joined([solved[p] for p in parts])
+        known.keep_all(back)
         return units
 
     def _parts_of(self, words: list[str]) -> dict[str, list[str]]:
@@ -178,18 +189,22 @@ class Lattice:
             out[w] = found
         return out
 
-    def _solve(self, parts: set[str]) -> dict[str, tuple[bytes, int, int]]:
+    def _solve(self, parts: set[str]) -> dict[str, Solved]:
         """The best paths of parts: those kept, and for the others the forward pass, a position of every part at a time."""
-        kept, out = self.known_parts, {}
+        kept, old, out, new = self.known_parts, self.known_parts.old, {}, []
         for p in parts:
-            if (got := kept.get(p) or kept.old.get(p)) is not None:
-                out[p] = got
-        todo = sorted(parts - out.keys(), key=len, reverse=True)
-        for p, got in zip(todo, self._forward_all(todo)):
-            out[p] = kept.keep(p, got)
-        return out
-
-    def _forward_all(self, parts: list[str]) -> list[tuple[bytes, int, int]]:
+            if p in kept:
+                out[p] = kept[p]
+            elif p in old:
+                out[p] = old[p]
+            else:
+                new.append(p)
+        new.sort(key=len, reverse=True)
+        found = dict(zip(new, self._forward_all(new)))
+        kept.keep_all(found)
+        return out | found
+
+    def _forward_all(self, parts: list[str]) -> list[Solved]:
         """``best`` of every part; longer parts come first."""
         if not parts:
             return []
@@ -247,7 +262,11 @@ class Lattice:
         least, gap = one[lens, everyone], two[lens, everyone]
         gap = np.where(gap >= BIG, BIG, gap - least)
         each = zip(parts, bare.tolist(), least.tolist(), (end - 4 * steps).tolist(), end.tolist(), gap.tolist())
-        return [self.best(p) if b else (raw[lo:hi], x, g) for p, b, x, lo, hi, g in each]
+        return [self.best(p) if b else (raw[lo:hi], x, g, self.spells(raw[lo:hi], p)) for p, b, x, lo, hi, g in each]
+
+    def spells(self, ids: bytes, part: str) -> bool:
+        """Whether ids decode to the part."""
+        return b"".join(map(self.text.__getitem__, array("i", ids))) == part.replace(SPACE, " ").encode()
 
     def unknown(self, char: str) -> tuple[tuple[int, ...], int]:
         raw = char.encode()
@@ -296,17 +315,18 @@ class Lattice:
                     two[i + 1] = b + cost
         return one, two, back
 
-    def best(self, part: str) -> tuple[bytes, int, int]:
-        """``(ids of the best path, its cost, gap to the second)`` of a part; ids are 32-bit, little-endian."""
+    def best(self, part: str) -> Solved:
+        """The best path of a part."""
         one, two, back = self.forward(part)
         steps, at = [], len(part)
         while at:
             at, ids = back[at]
             steps.append(ids)
         flat = [i for ids in reversed(steps) for i in ids]
-        return array("i", flat).tobytes(), one[-1], (two[-1] - one[-1] if two[-1] < BIG else BIG)
+        raw = array("i", flat).tobytes()
+        return raw, one[-1], (two[-1] - one[-1] if two[-1] < BIG else BIG), self.spells(raw, part)
 
-    def best_of_word(self, word: str) -> tuple[bytes, int, int]:
+    def best_of_word(self, word: str) -> Solved:
         """The same for a word or a part."""
         return _joined([self.known_parts[p] for p in self.parts(word)])
 
@@ -354,12 +374,15 @@ class Lattice:
                 heapq.heappush(heap, (spent + cost + one[start], pushed, start, spent + cost, (ids, path)))
         return out
 
-    def n_best(self, text: str, n: int, units: list[str] | None = None) -> list[tuple[int, list[bytes], tuple]]:
-        """The ``n`` best segmentations of a text: cost, the ids of each unit, and where units leave their best."""
+    def n_best(self, text: str, n: int, units: list[str] | None = None) -> list[tuple[int, list[bytes], tuple, bool]]:
+        """The ``n`` best segmentations of a text: cost, the ids of each unit, where units leave their best, whether the ids decode to the text.
+
+        A text's ids decode to it if those of each unit decode to the unit, which is tested once a unit.
+        """
         if not text:
-            return [(0, [], ())]
+            return [(0, [], (), True)]
         parts = self.units(self.prefix + text.replace(" ", SPACE)) if units is None else units
-        base, costs, gaps = zip(*map(self.known.__getitem__, parts))
+        base, costs, gaps, spelled = zip(*map(self.known.__getitem__, parts))
         total, gaps = sum(costs), np.array(gaps)
         if len(gaps) > 4 * n:
             near = np.flatnonzero(gaps <= np.partition(gaps, n - 2)[n - 2]) if n > 1 else np.empty(0, np.int64)
@@ -375,14 +398,16 @@ class Lattice:
             grown = [(c + cost - least, off + (rank > 0), places + ((at, rank),) * (rank > 0)) for c, off, places in choices for rank, (cost, _) in enumerate(found[at])]
             choices = heapq.nsmallest(n, grown)
         out = []
+        decodes = all(spelled)
         for extra, _, places in choices:
-            ids = base
+            ids, right = base, decodes
             if places:
                 ids = list(base)
                 for at, rank in places:
                     # The search's first path may differ from the Viterbi one at equal cost; then its rank is left to that.
                     ids[at] = np.array(_others(found[at], base[at])[rank - 1], "<i4").tobytes()
-            out.append((total + extra, ids, places))
+                    right = right and self.spells(ids[at], parts[at])
+            out.append((total + extra, ids, places, right))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -390,12 +415,12 @@ class Lattice:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def _joined(solved: list[tuple[bytes, int, int]]) -> tuple[bytes, int, int]:
+def _joined(solved: list[Solved]) -> Solved:
     """Of independent parts in a row: the second best leaves the best in the part of the least gap."""
     if len(solved) == 1:
         return solved[0]
-    ids, costs, gaps = zip(*solved)
-    return b"".join(ids), sum(costs), min(gaps)
+    ids, costs, gaps, spelled = zip(*solved)
+    return b"".join(ids), sum(costs), min(gaps), all(spelled)
 
 
 def _others(found: list[tuple[int, tuple[int, ...]]], best: bytes) -> list[tuple[int, ...]]:
@@ -426,8 +451,8 @@ def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model_path, entries)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 rows = [_encoded(lat, t, n, u) for t, u in zip(texts, lat.prepare(texts))]
                 columns = [
@@ -448,13 +473,9 @@ def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_i
 
 def _encoded(lat: Lattice, text: str, n: int, units: list[str] | None = None) -> tuple[int, list[int], list[str], bool, np.ndarray]:
     found = lat.n_best(text, n, units)
-    joined = [b"".join(ids) for _, ids, _ in found]
+    joined = [b"".join(ids) for _, ids, _, _ in found]
     best = np.frombuffer(joined[0], "<i4")
-    decodes = lat.decode(best) == text.replace(SPACE, " ")
-    spelled = lambda ids: b"".join(map(lat.text.__getitem__, np.frombuffer(ids, "<i4").tolist()))
-    for _, ids, places in found[1:]:  # elsewhere they are the best, which has been decoded
-        decodes &= all(spelled(ids[at]) == spelled(found[0][1][at]) for at, _ in places)
-    return len(best), [c for c, _, _ in found], [hashlib.sha256(x).hexdigest() for x in joined], decodes, best
+    return len(best), [f[0] for f in found], [hashlib.sha256(x).hexdigest() for x in joined], all(f[3] for f in found), best
 
 
 def decode(encoded: DataFrame, model_path: str, *keep: Column | str, ids_col: str = "ids") -> DataFrame:
