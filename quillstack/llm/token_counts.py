@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import path_exists, shared_path
+from .common import materialize, path_exists, shared_path
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 _RUNS = re.compile(" +[^ ]*")
@@ -139,6 +139,8 @@ def count_tokens(
     counts = (
         spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     )
+    # Written first, so that the join has a shuffle on either side and a content with very many rows can be split.
+    counts = materialize(counts, "token-counts-by-digest")
     rows = content.select(id_col, "__digest", F.octet_length("__text").cast("long").alias("n_bytes"))
     return rows.join(counts, F.col("__digest") == F.col("digest")).select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
