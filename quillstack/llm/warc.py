@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import materialize, shared_path
 
 ARCHIVE_BYTES, LEAST_SHARED = 8 << 20, 100
 END, STOP = "\r\n", "\r\n\r\n"
@@ -63,6 +63,8 @@ def first_holders(pages: DataFrame, least_shared: int = LEAST_SHARED, parts: int
     size = F.octet_length("payload").cast("long").alias("bytes")
     light = pages.select("id", page, digest, size).filter(F.col("bytes") >= least_shared)
     least = light.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written first, so that the join has a shuffle on either side and a payload with very many pages can be split.
+    least = materialize(least, "shared-payloads")
     later = light.join(least, "digest").filter("id > first or (id is null and first is not null)").select("page", "digest", "first").distinct()
     return pages.select("*", page, digest, size).repartition(parts, "page", "digest").join(later, ["page", "digest"], "left")
 
