@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grams import U, mix
+from .grams import mix
 
 
 class Counter:
@@ -71,6 +71,3 @@ def grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """``(distinct keys, sum of weights, rows)``."""
     found, at, rows = np.unique(keys, return_inverse=True, return_counts=True)
     return found, np.bincount(at, weights, len(found)), rows
-
-
-__all__ = ["Counter", "SortedHashes", "U", "bounded_counts", "grouped"]
