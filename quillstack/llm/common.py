@@ -95,7 +95,7 @@ def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = 1 << 21):
+def blocks(offsets: np.ndarray, limit: int = 1 << 19):
     """Row ranges whose bytes come to about ``limit``; a row over it stands alone, whole."""
     start, rows = 0, len(offsets) - 1
     while start < rows:
