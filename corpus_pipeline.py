@@ -20,12 +20,25 @@ from quillstack.llm import decontaminate, langid, minhash_join, secrets, sentenc
 from quillstack.llm.common import materialize, shared_path
 
 
+#: Rows of whole documents that go to Python at once.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """The stages hand whole documents to Python and get them back, so their batches are kept small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    spark.conf.set(name, min(BATCH_ROWS, rows) if rows > 0 else BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     judged = langid.predict(docs, langid.train(docs), F.struct(*docs.columns).alias("doc"))
     return judged.filter("not rejected").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     text = F.sha2(F.coalesce("text", F.lit("")), 256)
     member = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", text.alias("sha"))
     found = minhash_join.near_duplicates(docs.select(member.alias("member"), "text"), id_col="member")
@@ -35,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     judged = decontaminate.decontaminate(docs.select(F.struct(*docs.columns).alias("doc"), "text"), items, id_col="doc")
     return judged.filter("not contaminated").select("doc.*")
@@ -48,8 +62,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    _small_batches(spark)
     columns = [c for c in docs.columns if c != "text"]
-    return sentencepiece_nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), sentencepiece_nbest.N_BEST, *columns, with_ids=True, entries=100_000, forget=True)
+    return sentencepiece_nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), sentencepiece_nbest.N_BEST, *columns, with_ids=True, entries=50_000, forget=True)
 
 
 STAGES = [
