@@ -7,8 +7,11 @@ bytes, smoothed by Witten-Bell interpolation with all shorter ones, and a contex
 difference of log-likelihoods reaches a threshold, which is set on the URLs that the rules decide so
 that the sum of both error rates is least.
 
-Counts cover all URLs under a rule.  A model is built from at most ``max_grams`` of the most frequent
-six-byte grams, so what is broadcast has a fixed bound.
+The models are built from the counts of all six-byte grams of URLs under a rule.  They are never in one
+place: the grams of all URLs, also of those to be judged, are dealt out by their second and third last
+bytes, so that all contexts of two bytes and more lie in one task, and shorter ones (65,536 two-byte
+grams at most) are broadcast.  This gives a table of every gram with its difference of log-likelihoods,
+and URLs pass through that table in broadcast blocks of about ``block_grams``.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
 judged by the models (null as the empty text); an empty URL has ratio 0; without URLs of both kinds
@@ -18,6 +21,7 @@ each keep a row; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .charlm import Counter, SortedHashes, bounded_counts, grouped
+from .charlm import Counter, SortedHashes, grouped
 from .common import blocks, materialize, utf8_views
 from .grams import LOWER, U
 
 ORDER = 5  #: bytes of the longest context
-MAX_GRAMS = 1 << 19
+LOW = 2  #: orders that are broadcast
+#: Grams of a broadcast block, and of a task that builds models.
+BLOCK_GRAMS, TASK_GRAMS = 1 << 19, 1 << 18
 STEPS = 2000  #: of the score histogram that sets the threshold, from -10 to 10 nats
 ALLOW, BLOCK = "allow", "block"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -84,11 +90,15 @@ def byte_grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Markov:
-    """A variable-order model; context and gram tables by order."""
+    """A variable-order model; context and gram tables by order.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, min_context: int):
-        self.contexts, self.grams = [], []
-        for order in range(ORDER + 1):
+    With ``below``, the lowest orders are taken from there, and keys need to be whole for the others only.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, min_context: int, orders: int = ORDER + 1, below: Markov | None = None):
+        self.contexts, self.grams = (list(below.contexts), list(below.grams)) if below else ([], [])
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        for order in range(len(self.contexts), orders):
             k, n, _ = grouped(keys & U((1 << 8 * (order + 1)) - 1), counts)
             stem, total, kinds = grouped(k >> U(8), n)
             kept = total >= min_context
@@ -113,44 +123,63 @@ class Markov:
 
 
 class Ratio(NamedTuple):
-    allowed: Markov
-    blocked: Markov
+    differences: DataFrame  #: ``(gram, differ, block)`` of every gram
+    blocks: int
     threshold: float
 
-    def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(offsets) - 1)
-        for start, end in blocks(offsets, 1 << 18):
-            keys, owner = byte_grams(raw[offsets[start] : offsets[end]], offsets[start : end + 1])
-            for lo in range(0, len(keys), 1 << 20):
-                part = keys[lo : lo + (1 << 20)]
-                differ = self.allowed.log_likelihood(part) - self.blocked.log_likelihood(part)
-                out[start:end] += np.bincount(owner[lo : lo + len(part)], differ, end - start)
-        return out / np.maximum(np.diff(offsets), 1)
-
 
-def train(labelled: DataFrame, max_grams: int = MAX_GRAMS, min_context: int = 4) -> Ratio | None:
-    """Models and threshold from all rows of ``labelled(url, verdict)``; None if one of the two kinds is missing."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """``(gram, allowed, blocked)`` of every gram of ``rows(url, verdict)``; a null verdict counts as neither."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for b in batches:
             raw, offsets = utf8_views(b.column(0))
-            allowed = np.array([v == ALLOW for v in b.column(1).to_pylist()], bool)
+            verdict = np.array([v or "" for v in b.column(1).to_pylist()], object)
             for start, end in blocks(offsets):
                 keys, owner = byte_grams(raw[offsets[start] : offsets[end]], offsets[start : end + 1])
-                mine = allowed[start:end][owner]
-                counter.add(ALLOW, keys[mine])
-                counter.add(BLOCK, keys[~mine])
+                mine = verdict[start:end][owner]
+                for label in (ALLOW, BLOCK, ""):
+                    counter.add(label, keys[mine == label])
         for label in counter.parts:
             keys, n = counter.total(label)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["label", "gram", "n"])
 
-    counts = labelled.select("url", "verdict").mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    kept = bounded_counts(materialize(counts, "url-grams"), max_grams).toArrow()
-    label, keys, n = np.array(kept["label"].to_pylist(), dtype=object), kept["gram"].to_numpy().view(U), kept["n"].to_numpy()
-    if set(label.tolist()) != {ALLOW, BLOCK}:
+    n = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    return rows.select("url", "verdict").mapInArrow(count, "label string, gram long, n long").groupBy("gram").agg(n(ALLOW).alias("allowed"), n(BLOCK).alias("blocked"))
+
+
+def _differences(counts: DataFrame, min_context: int) -> DataFrame:
+    """``(gram, differ)``: log-likelihood if allowed less that if blocked, of every gram of ``counts``."""
+    short = counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * LOW) - 1)).alias("gram")).agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
+    models = lambda t, **more: [Markov(t["gram"].to_numpy().view(U), t[x].to_numpy().astype(float), min_context, **y) for x, y in more.items()]
+    low = models(short.toArrow(), allowed={"orders": LOW}, blocked={"orders": LOW})
+    shared = counts.sparkSession.sparkContext.broadcast(low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if parts:
+            table = pa.Table.from_batches(parts)
+            allowed, blocked = models(table, **{x: {"below": m} for x, m in zip(("allowed", "blocked"), shared.value)})
+            for b in table.to_batches(1 << 16):
+                keys = b.column(0).to_numpy().view(U)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(allowed.log_likelihood(keys) - blocked.log_likelihood(keys))], ["gram", "differ"])
+
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1))
+    return counts.repartition(math.ceil(counts.count() / TASK_GRAMS) or 1, context).mapInArrow(run, "gram long, differ double")
+
+
+def train(labelled: DataFrame, others: DataFrame | None = None, block_grams: int = BLOCK_GRAMS, min_context: int = 4) -> Ratio | None:
+    """Models and threshold from all rows of ``labelled(url, verdict)``, for these and for ``others(url)``; None if one of the two kinds is missing."""
+    if {r["verdict"] for r in labelled.select("verdict").distinct().limit(3).collect()} != {ALLOW, BLOCK}:
         return None
-    models = Ratio(*(Markov(keys[label == x], n[label == x].astype(float), min_context) for x in (ALLOW, BLOCK)), 0.0)
+    rows = labelled.select("url", "verdict")
+    if others is not None:
+        rows = rows.unionByName(others.select("url", F.lit(None).cast("string").alias("verdict")))
+    counts = materialize(_counts(rows), "url-grams")
+    parts = math.ceil(counts.count() / block_grams) or 1
+    differences = _differences(counts, min_context).withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(parts)))
+    models = Ratio(materialize(differences, "url-differences"), parts, 0.0)
     step = F.least(F.greatest(F.floor((F.col("ratio") + 10) * (STEPS / 20)), F.lit(0)), F.lit(STEPS - 1)).cast("int")
     hist = _scored(labelled, models).groupBy(step.alias("step"), "verdict").agg(F.count("*").alias("n")).collect()  # 2 * STEPS rows at most
     by = {v: np.bincount([r["step"] for r in hist if r["verdict"] == v], [r["n"] for r in hist if r["verdict"] == v], STEPS) for v in (ALLOW, BLOCK)}
@@ -162,27 +191,46 @@ def train(labelled: DataFrame, max_grams: int = MAX_GRAMS, min_context: int = 4)
 
 
 def _scored(df: DataFrame, models: Ratio) -> DataFrame:
-    """``df(url, ...)`` with ``ratio``."""
-    shared = df.sparkSession.sparkContext.broadcast(models)
+    """``df(url, ...)`` with ``ratio``, by one pass for each block of grams."""
     at = df.columns.index("url")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ratio = shared.value.scores(*utf8_views(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ratio, pa.float64())], [*b.schema.names, "ratio"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{schema}, ratio double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", ratio double"
+    df = df.withColumn("ratio", F.lit(0.0))
+    for block in range(models.blocks):
+        table = models.differences.filter(F.col("block") == block).toArrow()
+        hashes = SortedHashes(table["gram"].to_numpy().view(U))
+        shared = df.sparkSession.sparkContext.broadcast((hashes, table["differ"].to_numpy()[hashes.order]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            hashes, differ = shared.value
+            for b in batches:
+                ratio = b.column(b.num_columns - 1).to_numpy() + _sums(hashes, differ, *utf8_views(b.column(at)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ratio, pa.float64())], b.schema.names)
+
+        df = df.mapInArrow(run, schema)
+        if block + 1 < models.blocks:
+            df = materialize(df, "url-sums")
+    return df
+
+
+def _sums(hashes: SortedHashes, differ: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """What the grams of a block add to the mean difference of each URL."""
+    out = np.zeros(len(offsets) - 1)
+    if len(differ):
+        for start, end in blocks(offsets, 1 << 18):
+            keys, owner = byte_grams(raw[offsets[start] : offsets[end]], offsets[start : end + 1])
+            where, there = hashes.find(keys)
+            out[start:end] = np.bincount(owner, np.where(there, differ[where], 0.0), end - start)
+    return out / np.maximum(np.diff(offsets), 1)
 
 
-def judge(pages: DataFrame, rules: list[Rule] = RULES, max_grams: int = MAX_GRAMS, min_context: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] = RULES, block_grams: int = BLOCK_GRAMS, min_context: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``(id, host, path, rule, verdict, ratio)`` for every row of ``pages``; ratio is null where a rule decides."""
     url = F.col(url_col).cast("string")
     host, path = host_and_path(url)
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(url, F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("fit", longest_rule(rules, F.col("host"), F.col("path"))).select("id", "url", "host", "path", "fit.rule", "fit.verdict")
     ruled, rest = rows.filter("rule is not null"), rows.filter("rule is null")
-    models = train(ruled.select("url", "verdict"), max_grams, min_context)
+    models = train(ruled.select("url", "verdict"), rest.select("url"), block_grams, min_context)
     judged = rest.drop("verdict").withColumn("ratio", F.lit(0.0)) if models is None else _scored(rest.drop("verdict"), models)
     judged = judged.withColumn("verdict", F.when(F.col("ratio") >= (models.threshold if models else 0.0), ALLOW).otherwise(BLOCK))
     out = ruled.withColumn("ratio", F.lit(None).cast("double")).unionByName(judged)

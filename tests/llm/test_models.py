@@ -111,6 +111,26 @@ def test_a_url_filter_with_one_kind_allows(spark):
     assert url_filter.train(spark.createDataFrame([("http://a.org/", "allow")], "url string, verdict string")) is None
 
 
+def test_no_gram_is_dropped_from_the_url_models(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "TASK_GRAMS", 500)
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choices(letters, k=9))
+    rows = [(f"http://{word('abcd')}.com/{word('ab')}", "allow") for _ in range(300)] * 3 + [(f"http://{word('wxyz')}.org/{word('yz')}", "block") for _ in range(12)]
+    labelled, others = spark.createDataFrame(rows, "url string, verdict string"), spark.createDataFrame([(f"http://{word(x)}.net",) for x in ("abcd", "wxyz", "aw")] * 4, "url string")
+    models = url_filter.train(labelled, others, block_grams=300)  # the blocked kind is rare, and no block holds all
+    assert models.blocks > 5
+    allowed, blocked = (plain_markov([u.encode() for u, v in rows if v == x], 4) for x in ("allow", "block"))
+    for r in url_filter._scored(others, models).collect():
+        u = r["url"].encode()
+        assert r["ratio"] == pytest.approx((allowed(u) - blocked(u)) / len(u), abs=1e-9)
+
+
+def test_a_rare_kind_still_blocks(spark):
+    pages = [(i, f"http://h{i}.com/fr/{i * 7919 % 1000}") for i in range(400)] + [(1000 + i, f"http://example.org/es/zzqq{i}") for i in range(2)] + [(2000, "http://q.net/zzqq1")]
+    got = {r["page_id"]: r for r in judge(spark.createDataFrame(pages, "page_id long, url string"), block_grams=400).collect()}
+    assert got[2000]["rule"] is None and got[2000]["ratio"] < 0 and len(got) == len(pages)
+
+
 # Language ID --------------------------------------------------------------------------------------
 
 
