@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages over the ``documents`` table.
 
 1. language ID: documents that no language model explains go;
-2. near-duplicates: of each group of near copies the document with the least id stays;
+2. near-duplicates: of each group of near copies (similarity 0.8 or more) the document with the least id stays;
 3. decontamination: documents that share ten words in a row with a benchmark item go;
 4. secrets: what a rule finds is replaced in the text, and ``n_chars`` follows;
 5. encoding: the four best segmentations, and the ids of the best.
@@ -24,6 +24,10 @@ from quillstack.llm.common import materialize, shared_path
 BATCH_ROWS = 2000
 
 
+#: Of near copies: the similarity in percent, and the collisions of 48 at which a pair at it is missed with a probability below 1e-5.
+NEAR, NEAR_MATCHES = 80, 25
+
+
 def _small_batches(spark: SparkSession) -> None:
     """The stages hand whole documents to Python and get them back, so their batches are kept small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -41,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     _small_batches(spark)
     text = F.sha2(F.coalesce("text", F.lit("")), 256)
     member = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", text.alias("sha"))
-    found = minhash_join.near_duplicates(docs.select(member.alias("member"), "text"), id_col="member")
+    found = minhash_join.near_duplicates(docs.select(member.alias("member"), "text"), NEAR, matches=NEAR_MATCHES, id_col="member")
     kept = found.filter("kept").select("member").distinct()
     single = docs.select(member.alias("member"), F.struct(*docs.columns).alias("doc")).groupBy("member").agg(F.first("doc").alias("doc"))
     return single.join(kept, "member", "left_semi").select("doc.*")

@@ -172,6 +172,16 @@ def test_pipeline(spark, documents, sf_dir):
     assert last.count() == len(ids) and last.filter("not decodes").count() == 0
 
 
+def test_the_pipeline_drops_near_copies_from_similarity_080_on(spark, documents, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words, rows = lambda k: [f"w{k}x{i}" for i in range(100)], []
+    for k in range(20):
+        for change, i in enumerate([(), (30, 60), (20, 50, 80)]):  # two changed words leave 86 of 106 shingles, three 81 of 111
+            rows.append((10 * k + change, " ".join("other" if j in i else w for j, w in enumerate(words(k))), "en", "s", 1))
+    kept = pipeline.near_duplicates(spark, documents(rows, extra=False), sf_dir)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r[0] for r in rows if r[0] % 10 != 1)
+
+
 def test_pipeline_of_nothing(spark, documents, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     kept = documents([], extra=False)
