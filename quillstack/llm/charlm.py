@@ -1,24 +1,28 @@
-"""Parts of the character language models: gram counting, the bound on a model's size, sorted hash arrays."""
+"""Parts of the character language models: gram counting, sorted hash arrays, tables of scores that pass in blocks."""
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .grams import mix
 
+#: Blocks of a table that one pass over the texts uses.
+HELD = 16
+
 
 class Counter:
     """Counts of 64-bit grams by label, kept compact."""
 
     def __init__(self):
-        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        self.pending: dict[str, int] = {}
+        self.parts: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.pending: dict[str | None, int] = {}
 
-    def add(self, label: str, grams: np.ndarray) -> None:
+    def add(self, label: str | None, grams: np.ndarray) -> None:
         keys, n = np.unique(grams, return_counts=True)
         self.parts.setdefault(label, []).append((keys, n))
         self.pending[label] = self.pending.get(label, 0) + len(keys)
@@ -26,7 +30,7 @@ class Counter:
             self.parts[label] = [self.total(label)]
             self.pending[label] = 0
 
-    def total(self, label: str) -> tuple[np.ndarray, np.ndarray]:
+    def total(self, label: str | None) -> tuple[np.ndarray, np.ndarray]:
         parts = self.parts[label]
         if len(parts) == 1:
             return parts[0]
@@ -34,22 +38,6 @@ class Counter:
         return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
-def bounded_counts(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of ``counts(label, gram, n)`` from the least count on at which at most ``limit`` rows stay.
-
-    Only the model is bounded by this, for it is broadcast; the counts cover the whole input.
-    """
-    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    sizes = {r["s"]: r["rows"] for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("rows")).collect()}
-    least, kept = 1, 0
-    for s in sorted(sizes, reverse=True):
-        if kept + sizes[s] > limit:
-            least = math.ceil(2 ** ((s + 1) / 8) - 1e-9)
-            break
-        kept += sizes[s]
-    return counts.filter(F.col("n") >= least) if least > 1 else counts
-
-
 class SortedHashes:
     """Keys as a sorted array of their hashes."""
 
@@ -71,3 +59,22 @@ def grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """``(distinct keys, sum of weights, rows)``."""
     found, at, rows = np.unique(keys, return_inverse=True, return_counts=True)
     return found, np.bincount(at, weights, len(found)), rows
+
+
+def passes(rows: DataFrame, blocks: int, pack: Callable[[pa.Table], tuple], held: int = HELD) -> Iterator[tuple[list[Broadcast], bool]]:
+    """``(blocks of a pass, whether it is the last)``: ``rows`` has a column ``block``, and ``pack`` makes arrays of a block.
+
+    Each block, and so each pass, has a fixed bound; it is the number of passes that grows with the table.
+    """
+    context = rows.sparkSession.sparkContext
+    for first in range(0, blocks, held):
+        last = min(first + held, blocks)
+        yield [context.broadcast(pack(rows.filter(rows["block"] == b).toArrow())) for b in range(first, last)], last == blocks
+
+
+def each(shared: list[Broadcast]) -> Iterator[tuple]:
+    """The blocks of a pass, of which a worker keeps one at a time in memory."""
+    for b in shared:
+        yield b.value
+        if len(shared) > 1:
+            vars(b).pop("_value", None)

@@ -11,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.llm import langid, sentencepiece_nbest, url_filter
-from quillstack.llm.charlm import bounded_counts
 from quillstack.llm.url_filter import RULES, judge
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -97,12 +96,7 @@ def test_ratios_against_the_definition(spark):
     assert max([scores[i] for i in scores if got[i]["verdict"] == "block"], default=-9) < min([scores[i] for i in scores if got[i]["verdict"] == "allow"], default=9)
 
 
-def test_the_bound_on_models_keeps_the_most_frequent(spark):
-    counts = spark.createDataFrame([("a", i, 1 + i % 50) for i in range(1000)], "label string, gram long, n long")
-    kept = bounded_counts(counts, 100)
-    least = kept.agg(F.min("n")).first()[0]
-    assert 0 < kept.count() <= 100 and kept.count() == counts.filter(F.col("n") >= least).count()
-    assert bounded_counts(counts, 1000).count() == 1000
+def test_no_urls(spark):
     assert judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert len(RULES) == 5
 
@@ -164,25 +158,77 @@ def plain_kneser_ney(texts):
     return p, {g for g in grams[1]}
 
 
-def test_kneser_ney_against_the_definition(spark):
-    rng = random.Random(2)
-    make = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(1, 6))) for _ in range(12))
-    train = [(make("abcé"), "aa") for _ in range(8)] + [(make("bcdß"), "bb") for _ in range(8)]
-    model = langid.train(spark.createDataFrame(train, "text string, lang string"))
-    assert model.langs == ["aa", "bb"]
+def check_against_the_definition(spark, train, tests, **sizes):
+    """Every text's cross-entropy in every language, by plain counting; returns the model."""
+    model = langid.train(spark.createDataFrame(train, "text string, lang string"), spark.createDataFrame([(t,) for t in tests], "text string"), **sizes)
+    assert model.langs == sorted({x for _, x in train})
     plain = [plain_kneser_ney([f" {t.lower()} " for t, x in train if x == lang]) for lang in model.langs]
-    uniform = 1 / (len(plain[0][1] | plain[1][1]) + 1)
+    uniform = 1 / (len(set().union(*(seen for _, seen in plain))) + 1)
     assert model.uniform == pytest.approx(math.log(uniform))
-    tests = [make("abcdz") for _ in range(6)] + ["q", "ABC  1,2 bc"]
-    entropy, n, has = model.cross_entropy(tests)
-    assert has.all()
+    blocks = [shared for shared, _ in langid.passes(model.table, model.blocks, langid._pack(len(model.langs)), held=1 << 10)]
+    sums, n, has = langid.cross_entropies(tests, blocks[0], len(model.langs))
+    assert has.all() and len(blocks) == 1
     for k, t in enumerate(tests):
         words = "".join(c if c.isalpha() else " " for c in t.lower()).split()
         s = "   " + " ".join(["", *words, ""])
         assert n[k] == len(s) - 4
         for c, (p, _) in enumerate(plain):
-            want = -sum(math.log(p(s[i - 3 : i], s[i], uniform)) for i in range(4, len(s))) / (len(s) - 4)
-            assert entropy[k, c] == pytest.approx(want, rel=1e-5)
+            want = sum(math.log(p(s[i - 3 : i], s[i], uniform)) for i in range(4, len(s)))
+            assert sums[k, c] == pytest.approx(want, rel=1e-5)
+    return model
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_cells": 40, "task_cells": 100}])
+def test_kneser_ney_against_the_definition(spark, sizes):
+    rng = random.Random(2)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(1, 6))) for _ in range(12))
+    train = [(make("abcé"), "aa") for _ in range(8)] + [(make("bcdß"), "bb") for _ in range(8)]
+    tests = [make("abcdz") for _ in range(6)] + ["q", "ABC  1,2 bc"]
+    model = check_against_the_definition(spark, train, tests, **sizes)
+    assert model.blocks > 5 if sizes else model.blocks == 1
+
+
+def test_a_rare_language_keeps_its_whole_model(spark, documents):
+    rng = random.Random(12)
+    make = lambda letters, k: " ".join("".join(rng.choices(letters, k=5)) for _ in range(k))
+    train = [(make("abcdefgh", 20), "aa") for _ in range(150)] + [(make("stuvwxyz", 20), "zz")]
+    check_against_the_definition(spark, train, [make("abcdwxyz", 5), make("stuvwxyz", 5)], block_cells=500, task_cells=700)
+    rows = [(i, t, x) for i, (t, x) in enumerate(train)] + [(1000, make("stuvwxyz", 8), None), (1001, make("abcdefgh", 8), None)]
+    plain = {r["doc_id"]: tuple(r) for r in langid.identify(documents(rows), "doc_id").collect()}
+    assert plain[1000][1] == plain[150][1] == "zz" and plain[1001][1] == "aa"
+    small = {r["doc_id"]: tuple(r) for r in langid.identify(documents(rows), "doc_id", block_cells=300, task_cells=500).collect()}
+    for i, r in plain.items():  # the size of blocks and tasks changes nothing
+        assert small[i][1] == r[1] and small[i][5] == r[5] and small[i][2] == pytest.approx(r[2]) and small[i][3] == pytest.approx(r[3])
+
+
+def test_several_passes_add_up(spark, documents):
+    rows = [(i, f"some words of text number {'abcdefgh'[i % 8] * 3}", "en" if i % 2 else "de") for i in range(20)] + [(20, None, "en")]
+    docs = documents(rows)
+    model = langid.train(docs, block_cells=20)
+    assert model.blocks > 6
+    want = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.score(docs, model, "doc_id").collect())
+    got = sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.score(docs, model, "doc_id", held=2).collect())
+    assert got == want and len(got) == 21
+
+
+def test_grams_that_all_occur_once(spark, documents):
+    docs = documents([(1, "abc", "aa"), (2, "xyz", "bb"), (3, "ab", None)])
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, "doc_id").collect()}
+    assert got == {1: "aa", 2: "bb", 3: "aa"}
+
+
+def test_long_texts_go_in_pieces():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab é1, ", k=n)) for n in (0, 5, 3000, 7, 900, 1, 999, 1000, 1001)] + [" ", "12 " * 700, None]
+    whole = [langid.grams(*langid.symbols([t])[:2])[0].tolist() for t in texts]
+    letters = [bool(langid.symbols([t])[2][0]) for t in texts]
+    for chars in (1, 2, 3, 10, 333, 1000, 1 << 20):
+        keys, has = [[] for _ in texts], [False] * len(texts)
+        for x in langid.stretches(texts, chars):
+            for k in range(len(x.has)):
+                keys[x.first + k] += x.keys[x.ends[k] : x.ends[k + 1]].tolist()
+                has[x.first + k] |= bool(x.has[k])
+        assert keys == whole and has == letters, chars
 
 
 def test_language_id_on_held_out_rows(spark, sf_dir):
@@ -193,26 +239,42 @@ def test_language_id_on_held_out_rows(spark, sf_dir):
     assert got.filter("rejected or score <= 0 or score > 1").count() == 0
 
 
+def test_held_out_rows_teach_nothing(spark, documents):
+    rows = [(i, "the cat and the dog sat on the mat", "en") for i in range(40)]
+    out = [r["doc_id"] for r in documents(rows).filter(langid.held_out()).collect()]
+    assert out
+    rows = [(i, "der hund und die katze", "de") if i in out else r for i, r in enumerate(rows)]
+    got = langid.identify(documents(rows), "doc_id", training=~langid.held_out()).collect()
+    assert {r["lang_pred"] for r in got} == {"en"} and len(got) == 40
+
+
 def test_odd_documents(spark, documents):
-    rows = [(1, None, "en"), (2, "", "en"), (3, "123 !!", "en"), (4, "the cat and the dog", "en"), (5, "der hund und die katze", "de"), (6, "the dog " * 20000, None), (4, "the cat and the dog", "en"), (7, "𝒜𝒷 ǅ İ", "en"), (8, "text", None)]
+    rows = [(1, None, "en"), (2, "", "en"), (3, "123 !!", "en"), (4, "the cat and the dog", "en"), (5, "der hund und die katze", "de"), (6, "the dog " * 200000, None), (4, "the cat and the dog", "en"), (7, "𝒜𝒷 ǅ İ", "en"), (8, "text", None)]
     docs = documents(rows)
-    got = langid.predict(docs, langid.train(docs), "doc_id").collect()
+    got = langid.identify(docs, "doc_id").collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 and by[i]["rejected"] for i in (1, 2, 3))
     assert by[4]["lang_pred"] == by[6]["lang_pred"] == "en" and by[5]["lang_pred"] == "de"
-    assert langid.train(docs.filter("lang is null")) is None
-    assert {r["lang_pred"] for r in langid.predict(docs, None, "doc_id").collect()} == {"und"}
-    assert langid.predict(documents([]), None, "doc_id").count() == 0
+    assert by[6]["symbols"] == len("the dog ") * 200000
+    assert langid.train(docs.filter("lang is null")) is None and langid.train(docs.filter("doc_id < 4")) is None
+    assert {r["lang_pred"] for r in langid.identify(docs, "doc_id", training=F.lit(False)).collect()} == {"und"}
+    assert langid.identify(documents([]), "doc_id").count() == 0
+    with pytest.raises(ValueError):
+        langid.train(documents([(i, "a text", f"x{i}") for i in range(langid.MAX_LANGS + 1)]))
 
 
 def test_what_no_model_explains_is_rejected(spark, documents):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["the", "cat", "and", "dog", "sat", "mat"], k=60)), "en") for i in range(60)]
     noise = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(500))
-    model = langid.train(documents(rows))
-    got = {r["doc_id"]: r["rejected"] for r in langid.predict(documents([*rows, (999, noise)]), model, "doc_id").collect()}
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(documents([*rows, (999, noise)]), "doc_id").collect()}
     assert got.pop(999) and not any(got.values())
+    # Junk that bears a language's name does not set its limit: every tenth row here.
+    junk = [(2000 + i, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(40)), "en" if i < 20 else None) for i in range(26)]
+    many = [(i, " ".join(rng.choices(["the", "cat", "and", "dog", "sat", "mat"], k=60)), "en") for i in range(200)]
+    got = {r["doc_id"]: r["rejected"] for r in langid.identify(documents([*many, *junk]), "doc_id").collect()}
+    assert not any(got[i] for i in range(200)) and all(got[2020 + i] for i in range(6))
 
 
 # Segmentation -------------------------------------------------------------------------------------
