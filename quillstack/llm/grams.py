@@ -23,6 +23,10 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
+#: Words that are hashed together.
+_WORDS_AT_ONCE = 1 << 17
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit moves every output bit."""
     x = x.astype(U, copy=True)
@@ -53,14 +57,18 @@ def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     if not len(starts):
         none = np.empty(0, np.int64)
         return Words(none.astype(U), none, none, np.zeros(docs + 1, np.int64))
-    lengths = np.diff(np.append(starts, len(raw)))
-    at = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
-    powers = np.cumprod(np.full(int(lengths.max()) + 1, _WORD_BASE, U))
-    values = (LOWER[raw[starts[0] :]].astype(U) + U(1)) * powers[at]
-    values[~inside[starts[0] :]] = 0
-    hashes = mix(np.add.reduceat(values, starts - starts[0]))
+    hashes = np.empty(len(starts), U)
+    for lo in range(0, len(starts), _WORDS_AT_ONCE):  # so that a very long text takes little more than its words
+        mine = starts[lo : lo + _WORDS_AT_ONCE]
+        begin, end = int(mine[0]), int(starts[lo + len(mine)]) if lo + len(mine) < len(starts) else len(raw)
+        lengths = np.diff(np.append(mine, end))
+        at = np.arange(end - begin) - np.repeat(mine - begin, lengths)
+        powers = np.cumprod(np.full(int(lengths.max()) + 1, _WORD_BASE, U))
+        values = (LOWER[raw[begin:end]].astype(U) + U(1)) * powers[at]
+        values[~inside[begin:end]] = 0
+        hashes[lo : lo + len(mine)] = mix(np.add.reduceat(values, mine - begin))
     bounds = np.searchsorted(starts, offsets - offsets[0])
-    return Words(hashes, np.repeat(np.arange(docs), np.diff(bounds)), starts, bounds)
+    return Words(hashes, np.repeat(np.arange(docs, dtype=np.int32), np.diff(bounds)), starts, bounds)
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

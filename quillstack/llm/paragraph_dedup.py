@@ -1,22 +1,23 @@
 """Substring removal by MinHash banding of paragraphs.
 
-A paragraph here is a line, cut further where the words themselves say so: after a word whose pair
-with the next one has the least hash within ``REACH`` words on either side.  So a passage that sits
-in the midst of other text falls into the same paragraphs in every document, but for its first and
-last; two cuts of a line are at least ``REACH + 1`` words apart.  Pieces of fewer than ``MIN_WORDS``
-words, which are found at the ends of lines only, are left alone.
-
-Paragraphs are sets of five-word shingles.  Their signatures are cut into bands of two minima; five
-bands give pairs at similarity 0.8 a recall of 0.994, and more above (see ``recall``).  Paragraphs
-that collide in a band are joined list by list as in ``minhash_join``, confirmed by exact Jaccard
-similarity on full sets, and grouped into components.  In each component the first occurrence, by id
-and place, is kept; the others are removals.  A component counts only if it spans two documents, and
-only within runs of neighbouring paragraphs of together at least ``MIN_RUN`` words, so that a short
-phrase that two clean documents share is left alone.
-
-The first pass sends eight-byte hashes only, each once a task, and one shuffle by band tells which
-hashes collide.  The second pass, with a bitmap of fixed size to pick them out, sends these
-paragraphs whole.
+A text is seen at two levels.  A *line* of ``MIN_WORDS`` words or more is a paragraph: its five-word
+shingles give a signature, cut into bands of two minima; five bands give pairs at similarity 0.8 a
+recall of 0.994, and more above (see ``recall``).  Lines that collide in a band are joined list by
+list as in ``minhash_join``, confirmed by exact Jaccard similarity on full sets, and grouped into
+components.  A *piece* runs across lines, from one word to the next whose pair with its follower has
+the least hash within ``REACH`` words on either side: so the words themselves say where pieces end,
+and a passage that stands in the midst of other text, or in short lines, falls into the same pieces
+in every document but for its first and last.  Pieces are short, so they are one paragraph only if
+they are equal; at 0.8 a changed word would part them anyway.
+
+In each component the first occurrence, by id and place, is kept; the others are removals.  A
+component counts only if it spans two documents, and only within runs of neighbours at its level
+(``GAP``) of together at least ``MIN_RUN`` words: shorter ones are phrases and boilerplate that documents share
+without being copies.  Lines that many documents share at any length are ``repeated_lines``, an exact
+join by digest.
+
+The first pass sends eight-byte hashes only, each once a block of text.  The second pass, with a
+bitmap of fixed size to pick them out, sends the paragraphs that collide.
 
 Defined results: rows equal in id and text are one document; null and empty texts, and texts under
 ``MIN_WORDS`` words, have no paragraphs; a null id is greater than any other; without repeats, or for
@@ -25,7 +26,6 @@ an empty table, the result is empty; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,13 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, release_shuffles, utf8_views
-from .grams import NON_SPACE, U, mix, shingles, words
+from .common import blocks, materialize, quoted, release_shuffles, utf8_views
+from .grams import NON_SPACE, U, Words, mix, shingles, words
 from .minhash_join import merge_lists, signatures
 
 K, BANDS, ROWS, PERCENT = 5, 5, 2, 80
-REACH, MIN_WORDS, MIN_RUN = 6, 7, 12
+REACH, MIN_WORDS, MIN_RUN = 4, 5, 20
+GAP = 2  #: places from one paragraph of a run to the next at most: one that differs may lie between
 BITMAP_BITS = 24
+UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -49,57 +51,80 @@ def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-class Paragraphs(NamedTuple):
+class Level(NamedTuple):
+    """The paragraphs of one level in a block of documents."""
+
     doc: np.ndarray
     place: np.ndarray  #: number within its document
     first: np.ndarray  #: first word
     last: np.ndarray  #: word after the last
-    start: np.ndarray  #: byte within the block
-    end: np.ndarray
-    flat: np.ndarray  #: shingles of all paragraphs
-    bounds: np.ndarray  #: of each paragraph within ``flat``
-    name: np.ndarray  #: hash of the shingle sequence
+    name: np.ndarray  #: 64-bit hash of the words, of which the lowest bit tells the level
+    second: np.ndarray  #: another one
+
+
+class Block(NamedTuple):
+    starts: np.ndarray  #: first byte of every word
+    ends: np.ndarray  #: byte after its last
+    lines: Level
+    pieces: Level
+    flat: np.ndarray  #: shingles of all lines
+    bounds: np.ndarray  #: of each line within ``flat``
 
 
-def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> Paragraphs:
+_SALTS = mix(np.arange(1, 4, dtype=U))
+
+
+def _level(w: Words, cut: np.ndarray, bit: int) -> Level:
+    """The paragraphs that end where ``cut`` says, but for those under ``MIN_WORDS`` words."""
+    after = np.flatnonzero(cut) + 1
+    first = np.append(0, after[:-1])[: len(after)]
+    long = after - first >= MIN_WORDS
+    first, after = first[long], after[long]
+    doc = w.doc[first]
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    place = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0)) if len(doc) else np.empty(0, np.int64)
+    count = after - first
+    begins = np.append(0, np.cumsum(count))
+    within = np.arange(begins[-1]) - np.repeat(begins[:-1], count)
+    own = w.hashes[within + np.repeat(first, count)]
+    sums = [np.add.reduceat(mix((own ^ salt) + within.astype(U) * _SALTS[2]), begins[:-1]) if len(own) else np.empty(0, U) for salt in _SALTS[:2]]
+    return Level(doc, place, first, after, (mix(sums[0]) & ~U(1)) | U(bit), mix(sums[1]))
+
+
+def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> Block:
+    """Both levels of the documents ``raw[offsets[d]:offsets[d + 1]]``."""
     offsets = offsets - offsets[0]
     w = words(raw, offsets, NON_SPACE)
     n = len(w.starts)
-    none = np.empty(0, np.int64)
-    if not n:
-        return Paragraphs(none, none, none, none, none, none, none.astype(U), np.zeros(1, np.int64), none.astype(U))
-    inside = NON_SPACE[raw]
-    final = inside.copy()
-    final[:-1] &= ~inside[1:]
-    final[offsets[1:][offsets[1:] > 0] - 1] = inside[offsets[1:][offsets[1:] > 0] - 1]
+    final = NON_SPACE[raw]
+    final[:-1] &= ~NON_SPACE[raw[1:]]
+    final[offsets[1:][offsets[1:] > 0] - 1] = NON_SPACE[raw[offsets[1:][offsets[1:] > 0] - 1]]
     ends = np.flatnonzero(final) + 1
-    line = np.cumsum(raw == 10)[w.starts] + (w.doc << 32)
-    same = line[1:] == line[:-1]
-    pair = np.append(np.where(same, mix(w.hashes[:-1] * U(3) + w.hashes[1:]), ~U(0)), ~U(0))
+    line = np.searchsorted(np.flatnonzero(raw == 10), w.starts)
+    cut = np.ones(n, bool)
+    cut[:-1] = (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
+    lines = _level(w, cut, 0)
+
+    same = w.doc[1:] == w.doc[:-1]
+    pair = np.full(n, ~U(0))
+    pair[:-1][same] = mix(w.hashes[:-1] * U(3) + w.hashes[1:])[same]
     cut = np.ones(n, bool)
-    for j in range(1, REACH + 1):  # of equal hashes the last is the least
-        apart = line[j:] != line[:-j]
+    for j in range(1, min(REACH + 1, n)):  # of equal hashes the last is the least
+        apart = w.doc[j:] != w.doc[:-j]
         cut[j:] &= apart | (pair[j:] <= pair[:-j])
         cut[:-j] &= apart | (pair[:-j] < pair[j:])
-    cut |= np.append(~same, True)
-    after = np.flatnonzero(cut) + 1
-    first = np.append(0, after[:-1])
-    long = after - first >= MIN_WORDS
-    first, after = first[long], after[long]
-    if not len(first):
-        return Paragraphs(none, none, none, none, none, none, none.astype(U), np.zeros(1, np.int64), none.astype(U))
-    doc = w.doc[first]
+    cut[:-1] |= ~same
+    cut[-1:] = True
+    pieces = _level(w, cut, 1)
+
     grams, at = shingles(w.hashes, w.doc, K)
     dense = np.zeros(n, U)
     dense[at] = grams
-    count = after - first - K + 1
+    count = lines.last - lines.first - K + 1
     bounds = np.append(0, np.cumsum(count))
-    within = np.arange(bounds[-1]) - np.repeat(bounds[:-1], count)
-    flat = dense[within + np.repeat(first, count)]
-    name = mix(np.add.reduceat(mix(flat + within.astype(U)), bounds[:-1]))
-    new = np.append(True, doc[1:] != doc[:-1])
-    place = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
-    return Paragraphs(doc, place, first, after, w.starts[first], ends[after - 1], flat, bounds, name)
+    flat = dense[np.arange(bounds[-1]) - np.repeat(bounds[:-1], count) + np.repeat(lines.first, count)]
+    return Block(w.starts, ends, lines, pieces, flat, bounds)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -112,7 +137,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _collisions(docs: DataFrame) -> DataFrame:
-    """``name`` of every paragraph that occurs twice, or collides with another in a band."""
+    """``name`` of every piece that occurs twice, and of every line that does or collides with another in a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,26 +146,29 @@ def _collisions(docs: DataFrame) -> DataFrame:
                 names, copies, keys = [], [], []
                 for lo, hi in blocks(offsets[start : end + 1]):
                     p = paragraphs(raw[offsets[start + lo] : offsets[start + hi]], offsets[start + lo : start + hi + 1])
-                    if len(p.name):
-                        name, at, n = np.unique(p.name, return_index=True, return_counts=True)
-                        names.append(name)
-                        copies.append(n)
-                        keys.append(band_keys(signatures(p.flat, p.bounds, BANDS * ROWS))[at])
-                if names:
-                    name, at, back = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-                    n = np.bincount(back, np.concatenate(copies)).astype(np.int32)
-                    key = np.concatenate(keys)[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(name.view(np.int64), BANDS)), pa.array(np.repeat(n, BANDS))], ["key", "name", "copies"])
-
-    posted = docs.select("text").mapInArrow(run, "key long, name long, copies int")
-    # Rows of one name in one task are one row, so a list has a row a task and name: its neighbours tell whether it is shared.
-    order = W.partitionBy("key").orderBy("name")
-    met = F.lag("name").over(order).isNotNull() | F.lead("name").over(order).isNotNull() | (F.col("copies") > 1)
-    return posted.withColumn("met", met).filter("met").select("name").distinct()
+                    for level in (p.lines, p.pieces):
+                        if len(level.name):
+                            name, at, n = np.unique(level.name, return_index=True, return_counts=True)
+                            names.append(name)
+                            copies.append(n)
+                            keys.append(band_keys(signatures(p.flat, p.bounds, BANDS * ROWS))[at] if level is p.lines else None)
+                for piece in (False, True):
+                    mine = [i for i, k in enumerate(keys) if (k is None) == piece]
+                    if mine:
+                        name, at, back = np.unique(np.concatenate([names[i] for i in mine]), return_index=True, return_inverse=True)
+                        n, name = np.bincount(back, np.concatenate([copies[i] for i in mine])).astype(np.int64), name.view(np.int64)
+                        key, times = (name, 1) if piece else (np.concatenate([keys[i] for i in mine])[at].ravel(), BANDS)
+                        yield pa.RecordBatch.from_arrays([pa.array([piece] * len(key), pa.bool_()), pa.array(key), pa.array(np.repeat(name, times)), pa.array(np.repeat(n, times))], ["piece", "key", "name", "copies"])
+
+    posted = materialize(docs.select("text").mapInArrow(run, "piece boolean, key long, name long, copies long"), "posted")
+    pieces = posted.filter("piece").groupBy("name").agg(F.sum("copies").alias("n")).filter("n > 1").select("name")
+    lines = posted.filter("not piece")
+    met = lines.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.sum("copies").alias("n")).filter("lo <> hi or n > 1").select("key")
+    return pieces.union(lines.join(met, "key", "left_semi").select("name").distinct())
 
 
 def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Every paragraph whose name is in ``wanted``, with its place, class, signature and shingles."""
+    """Every paragraph whose name is in ``wanted``, with its place and class, and a line also with its shingles."""
     spark = docs.sparkSession
     slot = F.pmod("name", F.lit(1 << BITMAP_BITS))
     bits = wanted.select(slot.alias("b")).groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 31 as int))")).alias("m"))
@@ -148,7 +176,7 @@ def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     table = bits.toArrow()  # at most 2 ** (BITMAP_BITS - 5) rows
     words_of[table["w"].to_numpy()] = table["m"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(words_of)
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, place int, start int, end int, n_words int, cls binary, shingles binary"
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, name long, place int, start int, end int, n_words int, cls binary, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, described = shared.value, set()
@@ -157,39 +185,42 @@ def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for start, end in blocks(offsets):
                 block = raw[offsets[start] : offsets[end]]
                 p = paragraphs(block, offsets[start : end + 1])
-                name = p.name.view(np.int64)
-                at = name & ((1 << BITMAP_BITS) - 1)
-                hit = np.flatnonzero((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
-                if not len(hit):
-                    continue
-                chars = np.append(0, np.cumsum((block & 0xC0) != 0x80))
-                base = chars[offsets[start : end + 1] - offsets[start]]
-                sets = [np.unique(p.flat[p.bounds[x] : p.bounds[x + 1]]) for x in hit]
-                cls = [n + hashlib.sha256(s.tobytes()).digest()[:8] for n, s in zip(_bytes_of(p.name[hit]), sets)]
-                doc = p.doc[hit]
-                columns = [
-                    b.column(0).take(pa.array(doc + start)),
-                    b.column(1).take(pa.array(doc + start)),
-                    pa.array(p.place[hit].astype(np.int32)),
-                    pa.array((chars[p.start[hit]] - base[doc]).astype(np.int32)),
-                    pa.array((chars[p.end[hit]] - base[doc]).astype(np.int32)),
-                    pa.array((p.last - p.first)[hit].astype(np.int32)),
-                    pa.array(cls, pa.binary()),
-                    pa.array([None if c in described else s.tobytes() for c, s in zip(cls, sets)], pa.binary()),
-                ]
-                described.update(cls)  # a task describes a class once, or a few times within a block
-                if len(described) > 1 << 18:
-                    described.clear()
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
+                chars = None
+                for level in (p.lines, p.pieces):
+                    name = level.name.view(np.int64)
+                    at = name & ((1 << BITMAP_BITS) - 1)
+                    hit = np.flatnonzero((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+                    if not len(hit):
+                        continue
+                    if chars is None:
+                        chars = np.zeros(len(block) + 1, np.int32)
+                        np.cumsum((block & 0xC0) != 0x80, out=chars[1:])
+                        base = chars[offsets[start : end + 1] - offsets[start]]
+                    first, last, doc = level.first[hit], level.last[hit], level.doc[hit]
+                    cls = pa.Array.from_buffers(pa.binary(16), len(hit), [None, pa.py_buffer(np.column_stack([level.name[hit], level.second[hit]]).astype(">u8").tobytes())]).cast(pa.binary())
+                    sets = [None] * len(hit)
+                    if level is p.lines:  # a task describes a class once, or a few times within a block
+                        for i, c in enumerate(cls.to_pylist()):
+                            if c not in described:
+                                sets[i] = np.unique(p.flat[p.bounds[hit[i]] : p.bounds[hit[i] + 1]]).tobytes()
+                                described.add(c)
+                        if len(described) > 1 << 18:
+                            described.clear()
+                    columns = [
+                        b.column(0).take(pa.array(doc + start)),
+                        b.column(1).take(pa.array(doc + start)),
+                        pa.array(name[hit]),
+                        pa.array(level.place[hit].astype(np.int32)),
+                        pa.array(chars[p.starts[first]] - base[doc]),
+                        pa.array(chars[p.ends[last - 1]] - base[doc]),
+                        pa.array((last - first).astype(np.int32)),
+                        cls,
+                        pa.array(sets, pa.binary()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     found = docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
-    low = wanted.select(F.col("name").bitwiseAND(F.lit((1 << 56) - 1)).alias("low"))
-    return found.join(low, F.conv(F.hex(F.substring("cls", 2, 7)), 16, 10).cast("long") == F.col("low"), "left_semi")
-
-
-def _bytes_of(names: np.ndarray) -> list[bytes]:
-    raw = names.astype(">u8").tobytes()
-    return [raw[i : i + 8] for i in range(0, len(raw), 8)]
+    return found.join(wanted, "name", "left_semi")
 
 
 def _described(found: DataFrame) -> DataFrame:
@@ -217,8 +248,9 @@ def _across_documents(found: DataFrame, heads: bool = False) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text_hash, paragraph, start, end, n_words, component_id, kept)`` of every paragraph that repeats across documents.
+    """``(id, text_hash, level, paragraph, start, end, n_words, component_id, kept)`` of every paragraph that repeats across documents.
 
+    ``paragraph`` numbers the lines and the pieces of a document, each from 0; a line and its pieces may both be there.
     ``start`` and ``end`` are code points of the text, ``component_id`` is the least id in the component;
     ``text_hash`` is the text's 64-bit hash, by which rows of one id are told apart.
     """
@@ -226,7 +258,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int =
     spark = docs.sparkSession
     wanted = materialize(_collisions(docs), "paragraph-names")
     release_shuffles(spark)
-    found = materialize(_occurrences(docs, wanted), "paragraphs")
+    level = F.when(F.col("name").bitwiseAND(1) == 1, "piece").otherwise("line")
+    found = materialize(_occurrences(docs, wanted).withColumn("level", level).drop("name"), "paragraphs")
     release_shuffles(spark)
     classes = materialize(_described(found), "paragraph-classes")
     shared = classes.select(F.explode("keys").alias("key"), "cls").groupBy("key").agg(F.count("*").alias("posts")).filter("posts > 1")
@@ -236,40 +269,57 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int =
 
     release_shuffles(spark)
 
-    found = found.drop("shingles").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).drop("cls")
-    found = materialize(_across_documents(found), "repeats")
+    # Only lines have components of several classes; a piece is one with its equals.
+    lines = found.filter("level = 'line'").drop("shingles").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
+    named = lines.withColumn("component", F.coalesce("component", "cls")).unionByName(found.filter("level = 'piece'").drop("shingles").withColumn("component", F.col("cls")))
+    found = materialize(_across_documents(named.drop("cls")), "repeats")
     release_shuffles(spark)
-    row = W.partitionBy("id", "text_hash").orderBy("place")
+    row = W.partitionBy("id", "text_hash", "level").orderBy("place")
     new = found.withColumn("before", F.lag("place").over(row)).filter("before is null or before < place").drop("before")  # rows equal in id and text
-    run = new.withColumn("run", F.col("place") - F.row_number().over(row))
-    run = run.withColumn("run_words", F.sum("n_words").over(W.partitionBy("id", "text_hash", "run"))).filter(F.col("run_words") >= min_run)
+    begins = F.coalesce(F.col("place") - F.lag("place").over(row) > GAP, F.lit(True)).cast("int")
+    run = new.withColumn("begins", begins).withColumn("run", F.sum("begins").over(row)).drop("begins")
+    run = run.withColumn("run_words", F.sum("n_words").over(W.partitionBy("id", "text_hash", "level", "run"))).filter(F.col("run_words") >= min_run)
     found = materialize(run.drop("run", "run_words"), "repeats")
     release_shuffles(spark)
     found = _across_documents(found, heads=True)
     kept = (F.col("head.id").eqNullSafe(F.col("id"))) & (F.col("head.text_hash") == F.col("text_hash")) & (F.col("head.place") == F.col("place"))
-    return found.select(F.col("id").alias(id_col), "text_hash", F.col("place").alias("paragraph"), "start", "end", "n_words", F.col("head.id").alias("component_id"), kept.alias("kept"))
+    return found.select(F.col("id").alias(id_col), "text_hash", "level", F.col("place").alias("paragraph"), "start", "end", "n_words", F.col("head.id").alias("component_id"), kept.alias("kept"))
+
+
+def repeated_lines(docs: DataFrame, least_docs: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(line, digest, documents, first_id)`` of every line, of any length, that so many documents have.
+
+    Lines are compared without the white space at their ends and with A-Z lower-cased, by SHA-256; empty ones
+    are left out.  Rows equal in id and text are one document; ``first_id`` is null only where all ids are.
+    """
+    line = F.explode(F.split(F.translate(F.col(text_col).cast("string"), UPPER, SMALL), "\n"))
+    # A document counts once a line; then lines add up before the shuffle.
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), line.alias("line"))
+    rows = rows.withColumn("line", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")).filter("line <> ''")
+    once = rows.groupBy(F.sha2("line", 256).alias("digest"), "id", "text_hash").agg(F.first("line").alias("line"))
+    return once.groupBy("digest").agg(F.first("line").alias("line"), F.count("*").alias("documents"), F.min("id").alias("first_id")).filter(F.col("documents") >= least_docs).select("line", "digest", "documents", "first_id")
 
 
 def remove_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the paragraphs of ``repeats`` that are not kept cut out of their texts; all columns and rows stay."""
     spans = repeats.filter("not kept").groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("__text_hash", F.xxhash64(text)).join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]) & (F.xxhash64(text) == spans["__hash"]), "left")
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
         out = []
         for t, c in zip(texts, cuts):
             at, kept = 0, []
-            for s in c:
-                kept.append(t[at : s["start"]])
-                at = s["end"]
+            for s in c:  # lines and pieces may overlap
+                kept.append(t[at : max(at, s["start"])])
+                at = max(at, s["end"])
             out.append("".join([*kept, t[at:]]))
         return type(texts)(out)
 
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    done = joined.withColumn(text_col, F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(cut(text, F.coalesce("__cuts", empty))))
-    return done.select(*docs.columns)
+    done = F.when(spans["__cuts"].isNull(), docs[text_col]).otherwise(cut(text, F.coalesce(spans["__cuts"], empty)))
+    return joined.select(*((done if c == text_col else docs[quoted(c)]).alias(c) for c in docs.columns))
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 from quillstack.llm.components import components
 from quillstack.llm.minhash_join import near_duplicates
-from quillstack.llm.paragraph_dedup import recall, remove_repeats, repeated_paragraphs
+from quillstack.llm.paragraph_dedup import recall, remove_repeats, repeated_lines, repeated_paragraphs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -150,7 +150,8 @@ def test_repeated_paragraphs(documents):
         part = texts[r["doc_id"]][r["start"] : r["end"]]
         assert len(word_list(part)) == r["n_words"] and part == part.strip()
     assert {r["component_id"] for r in got if r["kept"]} == {r["doc_id"] for r in got if r["kept"]}
-    covered = {d: sum(r["n_words"] for r in got if r["doc_id"] == d) for d in (2, 41)}
+    spans = {d: [(r["start"], r["end"]) for r in got if r["doc_id"] == d and not r["kept"]] for d in (2, 41)}  # lines and pieces overlap
+    covered = {d: sum(any(a <= m.start() < b for a, b in spans[d]) for m in re.finditer(r"\S+", texts[d])) for d in spans}
     assert covered[2] >= 30 and covered[41] >= 19
     left = {r["doc_id"]: r["text"] for r in remove_repeats(docs, found).collect()}
     assert left[1] == texts[1] and len(word_list(left[2])) == len(word_list(texts[2])) - covered[2]
@@ -174,22 +175,33 @@ def pair_hash(a, b):
     return int(mix(np.array([(word_hash(a) * 3 + word_hash(b)) % (1 << 64)], np.uint64))[0])
 
 
-def plain_paragraphs(text, reach=6, least=7):
-    """``(start, end, lower-cased words)`` by the definition, a line at a time."""
+def plain_pieces(text, reach=4, least=5):
+    """``(start, end, lower-cased words)`` by the definition, across lines."""
     out, top = [], (1 << 64) - 1
+    found = [(m.start(), m.end(), m[0].translate(LOWER)) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    pairs = [pair_hash(a[2], b[2]) for a, b in zip(found, found[1:])] + [top]
+    begin = 0
+    for i, p in enumerate(pairs if found else []):
+        before, behind = pairs[max(0, i - reach) : i], pairs[i + 1 : i + 1 + reach]
+        if i + 1 == len(pairs) or (all(p <= x for x in before) and all(p < x for x in behind)):
+            if i + 1 - begin >= least:
+                out.append((found[begin][0], found[i][1], [w for *_, w in found[begin : i + 1]]))
+            begin = i + 1
+    return out
+
+
+def plain_lines(text, least=5):
+    out = []
     for line in re.finditer("[^\n]+", text):
-        found = [(line.start() + m.start(), line.start() + m.end(), m[0].translate(LOWER)) for m in re.finditer(r"[^\x20\x09-\x0D]+", line[0])]
-        pairs = [pair_hash(a[2], b[2]) for a, b in zip(found, found[1:])] + [top]
-        begin = 0
-        for i, p in enumerate(pairs):
-            before, behind = pairs[max(0, i - reach) : i], pairs[i + 1 : i + 1 + reach]
-            if i + 1 == len(pairs) or (all(p <= x for x in before) and all(p < x for x in behind)):
-                if found and i + 1 - begin >= least:
-                    out.append((found[begin][0], found[i][1], [w for *_, w in found[begin : i + 1]]))
-                begin = i + 1
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", line[0]))
+        if len(found) >= least:
+            out.append((line.start() + found[0].start(), line.start() + found[-1].end(), [m[0].translate(LOWER) for m in found]))
     return out
 
 
+PLAIN = {"line": plain_lines, "piece": plain_pieces}
+
+
 def test_paragraphs_by_the_definition():
     import numpy as np
 
@@ -200,21 +212,66 @@ def test_paragraphs_by_the_definition():
     raw = [t.encode() for t in texts]
     p = paragraphs(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     starts = np.cumsum([0, *map(len, raw)])
+    names = {}
     for d, t in enumerate(texts):
-        got = [(len(raw[d][: s - starts[d]].decode()), len(raw[d][: e - starts[d]].decode()), b - a) for s, e, a, b, x in zip(p.start, p.end, p.first, p.last, p.doc) if x == d]
-        assert got == [(s, e, len(w)) for s, e, w in plain_paragraphs(t)], t
-        assert [int(x) for x in p.place[p.doc == d]] == list(range(len(got)))
-
-
-def test_a_passage_is_cut_alike_wherever_it_stands():
+        for kind, level in (("line", p.lines), ("piece", p.pieces)):
+            mine = np.flatnonzero(level.doc == d)
+            got = [(len(raw[d][: p.starts[level.first[x]] - starts[d]].decode()), len(raw[d][: p.ends[level.last[x] - 1] - starts[d]].decode()), int(level.last[x] - level.first[x])) for x in mine]
+            want = PLAIN[kind](t)
+            assert got == [(s, e, len(w)) for s, e, w in want], t
+            assert [int(x) for x in level.place[mine]] == list(range(len(got)))
+            for x, (*_, w) in zip(mine, want):  # equal words, equal names
+                assert names.setdefault((kind, *w), (level.name[x], level.second[x])) == (level.name[x], level.second[x])
+    assert len(set(names.values())) == len(names)
+
+
+def longest_run(a, b):
+    """Words of the longest run of pieces of text ``a`` that text ``b`` has."""
+    others, best, now, last = {tuple(w) for *_, w in plain_pieces(b)}, 0, 0, None
+    for place, (*_, w) in enumerate(plain_pieces(a)):
+        if tuple(w) in others:
+            now = now + len(w) if last is not None and place - last <= 2 else len(w)
+            last, best = place, max(best, now)
+    return best
+
+
+@pytest.mark.parametrize("size, per_line, edits, least", [(52, 60, 0, 0.98), (52, 7, 0, 0.98), (120, 6, 0, 1.0), (80, 100, 1, 0.97), (55, 100, 1, 0.65)])
+def test_a_passage_is_cut_alike_wherever_it_stands(size, per_line, edits, least):
     rng = random.Random(13)
     words_ = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
-    shared = 0
-    for _ in range(60):
-        passage = words_(60)
-        a, b = ({tuple(w) for *_, w in plain_paragraphs(" ".join(words_(20) + passage + words_(20)))} for _ in range(2))
-        shared += sum(map(len, a & b)) >= 12
-    assert shared >= 57
+    lines = lambda w: "\n".join(" ".join(w[i : i + per_line]) for i in range(0, len(w), per_line))
+    found = 0
+    for _ in range(100):
+        passage = words_(size)
+        other = list(passage)
+        for _ in range(edits):
+            other[rng.randrange(size)] = "edit"
+        a, b = (" ".join(words_(20)) + " " + lines(p) + " " + " ".join(words_(20)) for p in (passage, other))
+        found += longest_run(a, b) >= 20
+    assert found >= 100 * least
+
+
+def test_whole_lines_with_a_changed_word(documents):
+    """The similarity of 50 words with one changed is 0.8; all of the line is found."""
+    rng, rows = random.Random(21), []
+    for k in range(60):
+        w = [f"k{k}w{rng.randrange(3000)}" for _ in range(52)]
+        other = list(w)
+        other[rng.randrange(8, 44)] = "edit"
+        filler = lambda: sentence(rng, 15)
+        rows += [(2 * k, f"{filler()}\n{' '.join(w)}\n{filler()}"), (2 * k + 1, f"{filler()}\n{' '.join(other)}\n{filler()}")]
+    got = repeated_paragraphs(documents(rows)).filter("level = 'line' and n_words = 52").collect()
+    assert len({r["doc_id"] for r in got}) >= 116 and all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
+def test_short_repeats_are_left_alone_but_listed(documents):
+    rng = random.Random(22)
+    short = ["All rights reserved.", "Click here to read the rest of this story now"]
+    rows = [(i, f"{sentence(rng, 30)}\n  {short[0]} \n{sentence(rng, 30)}\n{short[1].upper() if i % 2 else short[1]}\n{short[0]}") for i in range(12)] + [(20, None), (21, ""), (22, "\n \n")]
+    assert repeated_paragraphs(documents(rows)).count() == 0
+    got = {r["line"]: (r["documents"], r["first_id"]) for r in repeated_lines(documents([*rows, rows[0]]), 10).collect()}
+    assert got == {x.lower(): (12, 0) for x in short}
+    assert repeated_lines(documents([])).count() == 0
 
 
 def test_repeats_within_one_document_stay(documents):
@@ -237,28 +294,31 @@ def test_paragraphs_against_plain_python(documents):
                 w[rng.randrange(len(w))] = "edit"
             parts.append(" ".join(w))
         rows.append((d, "\n".join(parts)))
-    found = [(d, p, len(w), shingle_set(" ".join(w))) for d, t in rows for p, (_, _, w) in enumerate(plain_paragraphs(t))]
-    u = Union(len(found))
-    for i, (*_, a) in enumerate(found):
-        for j in range(i):
-            if 100 * len(a & found[j][3]) >= 80 * len(a | found[j][3]):
-                u.join(i, j)
-
-    def across(chosen):
-        docs_of = collections.defaultdict(set)
-        for i in chosen:
-            docs_of[u.find(i)].add(found[i][0])
-        return [i for i in chosen if len(docs_of[u.find(i)]) > 1], docs_of
-
-    chosen, _ = across(range(len(found)))
-    runs, run_of = collections.Counter(), {}
-    for k, i in enumerate(chosen):
-        follows = k and found[chosen[k - 1]][:2] == (found[i][0], found[i][1] - 1)
-        run_of[i] = run_of[chosen[k - 1]] if follows else i
-        runs[run_of[i]] += found[i][2]
-    chosen, docs_of = across([i for i in chosen if runs[run_of[i]] >= 12])
-    want = {(found[i][0], found[i][1], min(docs_of[u.find(i)])) for i in chosen}
-    got = {(r["doc_id"], r["paragraph"], r["component_id"]) for r in repeated_paragraphs(documents(rows)).collect()}
+    want = set()
+    for kind, cut in PLAIN.items():
+        found = [(d, p, len(w), shingle_set(" ".join(w)) if kind == "line" else tuple(w)) for d, t in rows for p, (_, _, w) in enumerate(cut(t))]
+        u = Union(len(found))
+        for i, (*_, a) in enumerate(found):
+            for j in range(i):
+                b = found[j][3]
+                if a == b if kind == "piece" else 100 * len(a & b) >= 80 * len(a | b):
+                    u.join(i, j)
+
+        def across(chosen):
+            docs_of = collections.defaultdict(set)
+            for i in chosen:
+                docs_of[u.find(i)].add(found[i][0])
+            return [i for i in chosen if len(docs_of[u.find(i)]) > 1], docs_of
+
+        chosen, _ = across(range(len(found)))
+        runs, run_of = collections.Counter(), {}
+        for k, i in enumerate(chosen):
+            follows = k and found[chosen[k - 1]][0] == found[i][0] and found[i][1] - found[chosen[k - 1]][1] <= 2
+            run_of[i] = run_of[chosen[k - 1]] if follows else i
+            runs[run_of[i]] += found[i][2]
+        chosen, docs_of = across([i for i in chosen if runs[run_of[i]] >= 20])
+        want |= {(kind, found[i][0], found[i][1], min(docs_of[u.find(i)])) for i in chosen}
+    got = {(r["level"], r["doc_id"], r["paragraph"], r["component_id"]) for r in repeated_paragraphs(documents(rows)).collect()}
     assert len(want) > 50 and len(want ^ got) <= 0.01 * len(want)
 
 
