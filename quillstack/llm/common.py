@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -16,13 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset (one-machine tests) a
-    temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session.  Where that is unset, a temporary folder is made and
+    set on a single machine; on a cluster this is an error, for executors would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not root:
-        root = context.getCheckpointDir() or tempfile.mkdtemp(prefix="quillstack-")
+        root = context.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="quillstack-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -72,6 +77,11 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, as Spark's parser wants it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, p = hadoop_path(spark, path)
     return bool(fs.exists(p))

@@ -435,6 +435,10 @@ def lattice(model_path: str, entries: int) -> Lattice:
     return Lattice(model_path, entries)
 
 
+#: What an encoding adds to a row.
+COLUMNS = ["n_pieces", "costs", "ids_sha256", "decodes", "ids"]
+
+
 def encode(docs: DataFrame, model_path: str, n: int, *keep: Column | str, with_ids: bool = False, text_col: str = "text", entries: int = ENTRIES, forget: bool = False) -> DataFrame:
     """Columns ``keep`` with ``n_pieces``, ``costs``, ``ids_sha256`` (both best first), ``decodes`` and, if asked for, ``ids`` of the best.
 
