@@ -9,65 +9,77 @@
 Each stage takes all rows that its predecessor kept and, but for the last, returns the same columns.
 A null text is no language's and goes in the first stage.  Rows equal in id and text are one document
 from the second stage on.  An empty table passes through as an empty table.
+
+The first three stages hand only texts to Python and get decisions back, by a digest of the text; the
+documents themselves stay in Spark.  What goes is written as a table of digests and anti-joined: Spark
+broadcasts that table if its size allows, and shuffles both sides otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import decontaminate, langid, minhash_join, secrets, sentencepiece_nbest
-from quillstack.llm.common import materialize, shared_path
-
+from quillstack.llm.common import arrow_batch_rows, materialize, quoted, shared_path
 
-#: Rows of whole documents that go to Python at once.
+#: Rows with their texts that go to Python at once.
 BATCH_ROWS = 2000
 
-
 #: Of near copies: the similarity in percent, and the collisions of 48 at which a pair at it is missed with a probability below 1e-5.
 NEAR, NEAR_MATCHES = 80, 25
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """The stages hand whole documents to Python and get them back, so their batches are kept small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    spark.conf.set(name, min(BATCH_ROWS, rows) if rows > 0 else BATCH_ROWS)
+def _digest(docs: DataFrame) -> Column:
+    """16 bytes of the text's SHA-256; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)), 1, 16)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for those whose text is in ``gone(digest)``."""
+    gone = materialize(gone.distinct(), "gone")
+    return docs.join(gone, _digest(docs) == gone["digest"], "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
-    judged = langid.predict(docs, langid.train(docs), F.struct(*docs.columns).alias("doc"))
-    return judged.filter("not rejected").select("doc.*")
+    with arrow_batch_rows(spark, BATCH_ROWS):
+        judged = langid.identify(docs, _digest(docs).alias("digest"))
+        return _without(docs, judged.filter("rejected").select("digest"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    member = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", text.alias("sha"))
-    found = minhash_join.near_duplicates(docs.select(member.alias("member"), "text"), NEAR, matches=NEAR_MATCHES, id_col="member")
-    kept = found.filter("kept").select("member").distinct()
-    single = docs.select(member.alias("member"), F.struct(*docs.columns).alias("doc")).groupBy("member").agg(F.first("doc").alias("doc"))
-    return single.join(kept, "member", "left_semi").select("doc.*")
+    member = F.struct(docs["doc_id"].isNull().alias("last"), docs["doc_id"], _digest(docs).alias("digest"))
+    with arrow_batch_rows(spark, BATCH_ROWS):
+        found = minhash_join.near_duplicates(docs.select(member.alias("member"), docs["text"]), NEAR, matches=NEAR_MATCHES, id_col="member")
+        found = found.groupBy("member").agg(F.first("kept").alias("kept"), F.count("*").alias("copies")).filter("not kept or copies > 1")
+        found = materialize(found.select("member.doc_id", "member.digest", "kept"), "decided")
+    same = lambda other: docs["doc_id"].eqNullSafe(other["doc_id"]) & (_digest(docs) == other["digest"])
+    # Rows equal in id and text are rare: only they are brought together.
+    several = found.filter("kept")
+    columns = [docs[quoted(c)] for c in docs.columns]
+    several = docs.join(several, same(several)).select(several["doc_id"].alias("__id"), several["digest"].alias("__digest"), F.struct(*columns).alias("__doc"))
+    one = several.groupBy("__id", "__digest").agg(F.first("__doc").alias("__doc")).select("__doc.*")
+    return docs.join(found, same(found), "left_anti").unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    judged = decontaminate.decontaminate(docs.select(F.struct(*docs.columns).alias("doc"), "text"), items, id_col="doc")
-    return judged.filter("not contaminated").select("doc.*")
+    with arrow_batch_rows(spark, BATCH_ROWS):
+        judged = decontaminate.decontaminate(docs.select(_digest(docs).alias("digest"), docs["text"]), items, id_col="digest")
+        return _without(docs, judged.filter("contaminated").select("digest"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = secrets.redact_documents(docs, shared_path(spark, "secret-ledger"))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    n = F.coalesce(F.length(clean["text"]), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return clean.withColumn("n_chars", n)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns but the text, then those of the encoding; of columns with one name the encoding's stay."""
     import public_tokenizers
 
-    _small_batches(spark)
-    columns = [c for c in docs.columns if c != "text"]
+    columns = [quoted(c) for c in docs.columns if c != "text" and c not in sentencepiece_nbest.COLUMNS]
     return sentencepiece_nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), sentencepiece_nbest.N_BEST, *columns, with_ids=True, entries=50_000, forget=True)
 
 
