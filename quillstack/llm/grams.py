@@ -84,6 +84,14 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, n
     return mix(h[at] + U(k)), at
 
 
+def gram_at(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """The hashes that ``shingles`` gives the runs of ``k`` words that begin at ``starts``."""
+    h = hashes[starts]
+    for j in range(1, k):
+        h = h * _GRAM_BASE + hashes[starts + j]
+    return mix(h + U(k))
+
+
 def winnow(grams: np.ndarray, at: np.ndarray, doc_of: np.ndarray, window: int) -> np.ndarray:
     """Indexes into ``grams`` of the rightmost least hash of each run of ``window`` grams of a document."""
     n = len(grams) - window + 1

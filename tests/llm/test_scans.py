@@ -5,12 +5,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillstack.llm import decontaminate as decontamination
 from quillstack.llm import secrets
 from quillstack.llm.decontaminate import decontaminate, item_blocks
+from quillstack.llm.grams import ALNUM, words
 from quillstack.llm.secrets import redact_documents, scan_documents
 from quillstack.llm.token_counts import TokenCounter, count_tokens
 
@@ -207,7 +211,7 @@ def test_decontamination(spark, documents, block_bytes):
         rows.append((k, " | ".join(parts)))
     rows.append(rows[-1])
     table = spark.createDataFrame(items, "item_id string, text string")
-    got = decontaminate(documents(rows), table, block_bytes=block_bytes).collect()
+    got = decontaminate(documents(rows), table, block_bytes=block_bytes, held=3).collect()
     want = []
     for i, t in rows:
         n, hit, names = expected_hits(t, items)
@@ -216,6 +220,31 @@ def test_decontamination(spark, documents, block_bytes):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_a_preamble_of_thousands_of_items_costs_a_document_little(spark, documents):
+    preamble = " ".join(f"p{i}" for i in range(60))
+    items = [(i, f"{preamble} own{i} question{i}") for i in range(4000)]
+    rows = [(i, f"before {preamble} after {i}") for i in range(1500)] + [(9000, f"{preamble} own7 question7"), (9001, "nothing " * 30)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in decontaminate(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(got[i]["n_hit"] == 60 and got[i]["n_items"] == 4000 for i in range(1500))
+    assert (got[9000]["n_hit"], got[9000]["n_items"]) == (62, 4000) and not got[9001]["contaminated"]
+    assert got[3]["items_sha256"] == hashlib.sha256(",".join(sorted(str(i) for i in range(4000))).encode()).hexdigest()
+
+
+def test_a_long_document_goes_in_stretches(spark, documents, monkeypatch):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"w{rng.randrange(40)}" for _ in range(n))) for k, n in enumerate([4, 9, 10, 14, 60])]
+    text = " ".join(rng.choice([f"w{rng.randrange(40)}", items[rng.randrange(5)][1]]) for _ in range(900))
+    monkeypatch.setattr(decontamination, "STRETCH", 37)
+    w = words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), ALNUM)
+    hit = np.zeros(len(w.hashes), bool)
+    index = decontamination.Index([(str(k), t) for k, t in items], 10, 5)
+    found = index.search(w, hit)
+    n, want, names = expected_hits(text, [(str(k), t) for k, t in items])
+    assert (len(hit), int(hit.sum()), sorted(index.listed(found[0]))) == (n, want, names)
+
+
 def test_decontamination_of_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(documents([]), none).count() == 0
