@@ -75,7 +75,7 @@ def _index(spark: SparkSession, store: MailStore, args: argparse.Namespace, sett
 
 
 def _search(store: MailStore, args: argparse.Namespace) -> int:
-    result = search.search(store.mails(), _query(args), args.limit, args.sort, args.whole_word)
+    result = search.search(store.mails(), _query(args), args.limit, args.sort, args.whole_word, index=store.postings())
     if args.json:
         print(export.result_json(result))
     elif args.csv:
@@ -94,7 +94,7 @@ def _export(store: MailStore, args: argparse.Namespace) -> int:
     if not raw and not args.all:
         print("give a query, or --all", file=sys.stderr)
         return 2
-    found = search.matches(store.mails(), search.parse(raw), args.whole_word)
+    found = search.matches(store.mails(), search.parse(raw), args.whole_word, index=store.postings())
     if args.format == "eml":
         n = export.write_eml(found, args.out)
     else:

@@ -21,8 +21,16 @@ def newest_first() -> list[Column]:
     return [F.desc("rowid"), F.asc("message_id")]
 
 
-def matches(mails: DataFrame, q: Query, whole_word: bool = False, below: int | None = None, folders: list[str] | None = None) -> DataFrame:
-    """All messages of a query, in no order.  ``below`` pages by key; ``folders`` is an exact set."""
+#: Candidates of an index that are named to the scan of messages, so that it skips other months and row groups.
+NAMED = 1000
+
+
+def matches(mails: DataFrame, q: Query, whole_word: bool = False, below: int | None = None, folders: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
+    """All messages of a query, in no order.  ``below`` pages by key; ``folders`` is an exact set.
+
+    With an ``index`` of postings, the messages that hold all bigrams of the positive terms are looked up
+    first, and only their texts are tested.
+    """
     found = mails.filter(C.predicate(q, prune="month" in mails.columns))
     if whole_word:
         found = found.filter(C.whole_word_predicate(q))
@@ -30,6 +38,12 @@ def matches(mails: DataFrame, q: Query, whole_word: bool = False, below: int | N
         found = found.filter(F.col("rowid") < below)
     if folders:
         found = found.filter(F.col("folder_path").isin(folders))
+    if index is not None and (grams := rank.required_grams(q)):
+        held = rank.candidates(index, grams, "month")
+        few = held.limit(NAMED + 1).collect()
+        if len(few) > NAMED:
+            return found.join(held, ["month", "rowid"], "left_semi")
+        found = found.filter(F.col("month").isin(sorted({r["month"] for r in few})) & F.col("rowid").isin(sorted(r["rowid"] for r in few)))
     return found
 
 
@@ -55,16 +69,21 @@ def search(
     folders: list[str] | None = None,
     relevance_candidates: int | None = None,
     now: datetime | None = None,
+    index: DataFrame | None = None,
 ) -> SearchResult:
-    """Runs a query.  ``relevance_candidates`` ranks only so many of the newest matches; otherwise all are ranked."""
+    """Runs a query.  ``relevance_candidates`` ranks only so many of the newest matches; otherwise all are ranked.
+
+    With an ``index``, candidates and the statistics of a ranking come from there.
+    """
     began = time.perf_counter()
     q = parse(raw, now)
     warnings = [*q.warnings, *(f"{t.label!r} is too short for the index; it was searched in the text" for t in q.terms() if not X.bigrams_of(t.text))]
-    found = matches(mails, q, whole_word, below, folders)
+    found = matches(mails, q, whole_word, below, folders, index)
     if sort == "relevance" and (grams := rank.query_grams(q)):
         if relevance_candidates is not None:
             found = found.orderBy(*newest_first()).limit(relevance_candidates)
-        page = hits(top(found, limit + 1, q, rank.stats(mails, grams)), "score")
+        stats = rank.stats(mails, grams) if index is None else rank.stats_from_index(mails, index, grams)
+        page = hits(top(found, limit + 1, q, stats), "score")
     else:
         if sort == "relevance":
             warnings.append("nothing to rank by; newest first")

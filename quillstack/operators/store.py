@@ -1,29 +1,36 @@
-"""The ``mails`` table as immutable snapshots, the ingest manifest and the error log.
-
-The table is partitioned by month and, below that, by the upsert that wrote the month; files are
-sorted by key.  An upsert writes anew only the months that it touches and then swaps a pointer file,
-which names the valid writing of each month.  So readers see one state or the other whole, and an
-upsert that is repeated changes nothing.  Of rows with one id the last by container and place wins.
+"""The ``mails`` table and its bigram index as immutable snapshots, the ingest manifest and the error log.
+
+Both tables are partitioned by month and, below that, by the upsert that wrote the month; files of
+``mails`` are sorted by key, those of the index by gram.  An upsert writes anew only the months that it
+touches and then publishes the next numbered pointer, which names the valid writing of each month.  A
+pointer is written under another name and renamed to a number that must be free, so readers see one
+state or the other whole, of two writers the later one starts over, and a crash at any point leaves
+the state before.  An upsert that is repeated changes nothing.  Of rows with one id the last by
+container and place wins.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Settings
 from ..functions import text as X
 from ..model import ERROR_SCHEMA, MAILS_SCHEMA
 from ..plans.compile import with_search_columns
+from . import rank
 
-STATES = ("DISCOVERED", "PARSING", "WRITING", "COMPLETED", "FAILED")
+STATES = ("PARSING", "WRITING", "COMPLETED", "FAILED")
+INDEX_SCHEMA = "gram string, field string, rowid long, tf long, month string"
 STATE_SCHEMA = "path string, size long, mtime double, status string, mails_written long, error string, updated_at long"
 
 
@@ -37,7 +44,7 @@ class _Files:
     """Small files through Hadoop's file systems, so that a store can lie anywhere Spark writes."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -55,9 +62,9 @@ class _Files:
         finally:
             stream.close()
 
-    def replace(self, path: str, text: str) -> None:
-        """Writes beside the target and renames over it."""
-        fs, p = self._at(path)
+    def _draft(self, path: str, text: str):
+        """``(file context, draft, target)`` with the draft written beside the target."""
+        fs, target = self._at(path)
         _, draft = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(draft, True)
         try:
@@ -65,9 +72,33 @@ class _Files:
             stream.hsync()
         finally:
             stream.close()
-        fs.delete(p, False)
-        if not fs.rename(draft, p):
-            raise OSError(f"could not rename {draft.toString()} to {path}")
+        return self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf), fs.makeQualified(draft), fs.makeQualified(target)
+
+    def _rename(self, context, draft, target, how: str) -> None:
+        kinds = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
+        options = self.gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = next(k for k in kinds if k.name() == how)
+        context.rename(draft, target, options)
+
+    def replace(self, path: str, text: str) -> None:
+        """Writes beside the target and renames over it, in one step."""
+        self._rename(*self._draft(path, text), "OVERWRITE")
+
+    def create(self, path: str, text: str) -> bool:
+        """Writes beside the target and renames to it; False if it is there already."""
+        context, draft, target = self._draft(path, text)
+        try:
+            self._rename(context, draft, target, "NONE")
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            self.delete(draft.toString())
+            return False
+        return True
+
+    def names(self, path: str) -> list[str]:
+        fs, p = self._at(path)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
 
     def folders(self, pattern: str) -> list[str]:
         fs, p = self._at(pattern)
@@ -84,17 +115,34 @@ def last_per_id(mails: DataFrame) -> DataFrame:
     return mails.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
+#: Keys that are told apart together: a power of two of neighbouring ones, well above the messages of one second.
+KEY_SLOTS = 1 << 14
+
+
+def distinct_keys(rows: DataFrame, base: Column) -> DataFrame:
+    """``rows`` with a ``rowid`` of their own each: ``base``, or where that is taken a following key, in order of ids.
+
+    Ranges of ``KEY_SLOTS`` neighbouring keys are dealt with by themselves, so that no task has more than
+    those of a part of one second.  Within one, keys go up until they are free, and those that would leave
+    the range at its end take the last free ones in it; only if a range has more rows than keys do they leave it.
+    """
+    upto = W.partitionBy("__range").orderBy("__base", "message_id")
+    ranged = rows.withColumn("__base", base).withColumn("__range", F.floor(F.col("__base") / KEY_SLOTS))
+    placed = ranged.withColumn("__n", F.row_number().over(upto)).withColumn("__all", F.count("*").over(W.partitionBy("__range")))
+    up = F.max(F.col("__base") - F.col("__n")).over(upto.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("__n")
+    last = (F.col("__range") + 1) * KEY_SLOTS - F.col("__all") + F.col("__n") - 1
+    key = F.when(F.col("__all") <= KEY_SLOTS, F.least(up, last)).otherwise(up)
+    return placed.withColumn("rowid", key.cast("long")).drop("__base", "__range", "__n", "__all")
+
+
 def separate_keys(mails: DataFrame) -> DataFrame:
-    """Rows whose keys collide get the following keys, in order of their ids."""
-    base = X.row_key(F.col("date_utc"), F.col("message_id"))
-    order = W.partitionBy("rowid").orderBy("message_id")
-    return mails.withColumn("rowid", base).withColumn("rowid", F.col("rowid") + F.row_number().over(order) - 1)
+    """``mails`` with keys from date and id, no two alike."""
+    return distinct_keys(mails, X.row_key(F.col("date_utc"), F.col("message_id"))).select(*mails.columns)
 
 
 def merge(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """``base`` with the rows of ``updates`` put in by id."""
-    updates = last_per_id(updates)
-    return separate_keys(base.join(updates.select("message_id"), "message_id", "left_anti").unionByName(updates))
+    """``base`` with the rows of ``updates``, of one an id, put in by id."""
+    return base.join(updates.select("message_id"), "message_id", "left_anti").unionByName(updates)
 
 
 def merge_counts(base: DataFrame, updates: DataFrame) -> DataFrame:
@@ -118,60 +166,85 @@ def retry(action, attempts: int, waits: tuple[float, ...], transient=lambda e: "
 class MailStore:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
         self.spark, self.root, self.settings, self.files = spark, root.rstrip("/"), settings or Settings(), _Files(spark)
-        self.pointer, self.data = f"{self.root}/CURRENT", f"{self.root}/data"
+        self.pointers, self.data, self.index = f"{self.root}/pointers", f"{self.root}/data", f"{self.root}/index"
 
-    def months(self) -> dict[str, str]:
+    def version(self) -> int:
+        """The number of the newest pointer; 0 before the first upsert."""
+        return max((int(n[:-5]) for n in self.files.names(self.pointers) if re.fullmatch(r"\d+\.json", n)), default=0)
+
+    def months(self, version: int | None = None) -> dict[str, str]:
         """The valid writing of each month."""
-        return json.loads(self.files.read(self.pointer)) if self.files.exists(self.pointer) else {}
+        version = self.version() if version is None else version
+        return json.loads(self.files.read(f"{self.pointers}/{version:012d}.json")) if version else {}
 
     def _empty(self) -> DataFrame:
         return with_search_columns(self.spark.createDataFrame([], MAILS_SCHEMA), self.settings.strip_quoted_replies)
 
-    def mails(self) -> DataFrame:
-        """The current table with its search columns; empty before the first upsert."""
-        valid, empty = self.months(), self._empty()
-        if not valid:
+    def _valid(self, path: str, empty: DataFrame, months: dict[str, str]) -> DataFrame:
+        if not months:
             return empty
-        table = self.spark.read.schema(empty.schema.add("snap", "string")).parquet(self.data)
+        schema = T.StructType([*(f for f in empty.schema.fields if f.name != "month"), T.StructField("month", T.StringType()), T.StructField("snap", T.StringType())])
+        table = self.spark.read.schema(schema).parquet(path)
         # Both columns are folders, so this chooses folders and no rows.
-        return table.filter(F.concat_ws("/", "month", "snap").isin([f"{m}/{s}" for m, s in valid.items()])).select(*empty.columns)
+        return table.filter(F.concat_ws("/", "month", "snap").isin([f"{m}/{s}" for m, s in months.items()])).select(*empty.columns)
+
+    def mails(self) -> DataFrame:
+        """The current table with its search columns; empty before the first upsert."""
+        return self._valid(self.data, self._empty(), self.months())
+
+    def postings(self) -> DataFrame:
+        """The current bigram index: ``(gram, field, rowid, tf, month)``."""
+        return self._valid(self.index, self.spark.createDataFrame([], INDEX_SCHEMA), self.months())
 
     def upsert(self, updates: DataFrame) -> UpsertCounts:
         return retry(lambda: self._upsert(updates), self.settings.retry_max_attempts, self.settings.retry_backoff_seconds)
 
     def _upsert(self, updates: DataFrame) -> UpsertCounts:
-        before = self.months()
-        fresh = with_search_columns(last_per_id(updates).select(*MAILS_SCHEMA.fieldNames()), self.settings.strip_quoted_replies)
-        base = self.mails().select(*fresh.columns)
-        counts = merge_counts(base, fresh).first()
-        moved = base.join(fresh.select("message_id"), "message_id", "left_semi").select("month")
-        touched = sorted(r[0] for r in fresh.select("month").union(moved).distinct().collect())  # months
-        # Unchanged rows keep their folded text: only new rows pass through the fold.
-        rest = base.filter(F.col("month").isin(touched)).join(fresh.select("message_id"), "message_id", "left_anti")
+        version = self.version()
+        before = self.months(version)
         snap = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-        merged = separate_keys(rest.unionByName(fresh)).withColumn("snap", F.lit(snap))
-        # A rebalance keeps a month together but splits a large one.
-        merged.hint("rebalance", "month").sortWithinPartitions("month", F.desc("rowid")).write.mode("append").partitionBy("month", "snap").option("compression", "zstd").parquet(self.data)
-        written = {m: snap for m in touched if self.files.exists(f"{self.data}/month={m}/snap={snap}")}
-        if self.months() != before:
+        # The new rows are normalised once; what follows reads them back.
+        draft, empty = f"{self.root}/drafts/{snap}", self._empty()
+        try:
+            prepared = with_search_columns(last_per_id(updates).select(*MAILS_SCHEMA.fieldNames()), self.settings.strip_quoted_replies)
+            prepared.write.parquet(draft)
+            fresh = self.spark.read.schema(empty.schema).parquet(draft)
+            base = self._valid(self.data, empty, before)
+            counts = merge_counts(base, fresh).first()
+            moved = base.join(fresh.select("message_id"), "message_id", "left_semi").select("month")
+            touched = sorted(r[0] for r in fresh.select("month").union(moved).distinct().collect())  # months
+            # Unchanged rows keep their folded text: only new rows pass through the fold.
+            merged = separate_keys(merge(base.filter(F.col("month").isin(touched)), fresh)).withColumn("snap", F.lit(snap))
+            # A rebalance keeps a month together but splits a large one.
+            merged.hint("rebalance", "month").sortWithinPartitions("month", F.desc("rowid")).write.mode("append").partitionBy("month", "snap").option("compression", "zstd").parquet(self.data)
+            written = {m: snap for m in touched if self.files.exists(f"{self.data}/month={m}/snap={snap}")}
+            index = rank.postings(self._valid(self.data, empty, written), "month").withColumn("snap", F.lit(snap))
+            index.hint("rebalance", "month", "gram").sortWithinPartitions("month", "gram", "field", "rowid").write.mode("append").partitionBy("month", "snap").option("compression", "zstd").parquet(self.index)
+        finally:
+            self.files.delete(draft)
+        after = {m: s for m, s in before.items() if m not in touched} | written
+        if not self.files.create(f"{self.pointers}/{version + 1:012d}.json", json.dumps(after, sort_keys=True)):
             self._drop(written)
             raise RuntimeError("conflict: another writer has changed the store")
-        after = {m: s for m, s in before.items() if m not in touched} | written
-        self.files.replace(self.pointer, json.dumps(after, sort_keys=True))
         return UpsertCounts(counts["inserted"], counts["updated"])
 
     def _drop(self, months: dict[str, str]) -> None:
         for m, s in months.items():
-            self.files.delete(f"{self.data}/month={m}/snap={s}")
+            for table in (self.data, self.index):
+                self.files.delete(f"{table}/month={m}/snap={s}")
 
     def vacuum(self, older_than_s: float = 24 * 3600) -> int:
-        """Deletes writings that are no longer valid and older than that; returns their number."""
-        valid, limit, gone = self.months(), (time.time() - older_than_s) * 1000, 0
+        """Deletes writings that are no longer valid and older than that, and pointers before the newest; returns the number of writings."""
+        version = self.version()
+        valid, limit, gone = self.months(version), (time.time() - older_than_s) * 1000, 0
         for path in self.files.folders(f"{self.data}/month=*/snap=*"):
             month, snap = (x.partition("=")[2] for x in path.rsplit("/", 2)[1:])
             if valid.get(month) != snap and int(snap.partition("-")[0]) < limit:
-                self.files.delete(path)
+                self._drop({month: snap})
                 gone += 1
+        for name in self.files.names(self.pointers):
+            if re.fullmatch(r"\d+\.json", name) and int(name[:-5]) < version:
+                self.files.delete(f"{self.pointers}/{name}")
         return gone
 
     def log_errors(self, errors: DataFrame) -> None:

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.operators import export, search, store
+from quillstack.config import Settings
+from quillstack.model import MAILS_SCHEMA
+from quillstack.operators import export, rank, search, store
 from quillstack.operators.normalize import errors, normalize
 from quillstack.operators.store import Manifest, MailStore
 from quillstack.sources.discovery import choose_reader, discover, optional_module
@@ -103,6 +106,86 @@ def test_an_upsert_writes_only_the_months_it_touches(spark, boxes, tmp_path):
     assert found.count() == 4 and "PartitionFilters: [" in found._jdf.queryExecution().toString()
 
 
+def test_no_two_keys_are_alike(spark, monkeypatch):
+    rows = [("a", 100), ("b", 100), ("c", 101), ("d", 101), ("e", 300), ("f", 7), ("g", 7), ("h", 7)]
+    keyed = lambda rows: {r["message_id"]: r["rowid"] for r in store.distinct_keys(spark.createDataFrame(rows, "message_id string, base long"), F.col("base")).collect()}
+    got = keyed(rows)
+    assert got == {"a": 100, "b": 101, "c": 102, "d": 103, "e": 300, "f": 7, "g": 8, "h": 9}
+    edge = store.KEY_SLOTS
+    got = keyed([(f"m{i}", edge - 1 - i % 2) for i in range(6)] + [("n", edge), ("o", edge)])
+    assert sorted(got.values()) == [*range(edge - 6, edge), edge, edge + 1] and got["n"] == edge
+    monkeypatch.setattr(store, "KEY_SLOTS", 8)
+    rng = random.Random(3)
+    got = keyed([(f"m{i}", 64 * rng.randrange(50) + rng.randrange(64)) for i in range(300)])
+    assert len(set(got.values())) == len(got) == 300
+
+
+def test_a_writer_that_dies_leaves_the_store_as_it_was(spark, boxes, tmp_path, monkeypatch):
+    batch = normalize(read_containers(spark, [boxes(a="FAKE:4")], **OPTIONS), now=1)
+    mails = MailStore(spark, str(tmp_path / "store"))
+    mails.upsert(batch)
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:  # between the draft of the pointer and its name
+        m.setattr(type(mails.files), "_rename", dies)
+        with pytest.raises(RuntimeError, match="killed"):
+            mails.upsert(batch.withColumn("subject", F.lit("lost")))
+    other = MailStore(spark, str(tmp_path / "store"))
+    assert other.mails().count() == 4 and other.mails().filter("subject = 'lost'").count() == 0
+    assert vars(other.upsert(batch.withColumn("subject", F.lit("kept")))) == {"inserted": 0, "updated": 4}
+    assert mails.mails().filter("subject = 'kept'").count() == 4 and mails.version() == 2
+
+
+def test_of_two_writers_the_later_one_starts_over(spark, boxes, tmp_path, monkeypatch):
+    batch = normalize(read_containers(spark, [boxes(a="FAKE:4")], **OPTIONS), now=1)
+    a, b = (MailStore(spark, str(tmp_path / "store"), Settings(retry_backoff_seconds=(0.0,))) for _ in range(2))
+    a.upsert(batch.limit(1))
+    create, lost = a.files.create, []
+
+    def after_another(path, text):
+        if not lost:
+            lost.append(path)
+            b.upsert(batch.withColumn("message_id", F.concat("message_id", F.lit("-b"))))
+        return create(path, text)
+
+    monkeypatch.setattr(a.files, "create", after_another)
+    assert vars(a.upsert(batch)) == {"inserted": 3, "updated": 1}
+    assert a.mails().count() == 8 and a.version() == 3
+
+
+def test_the_index_follows_the_store(spark, boxes, tmp_path):
+    root = boxes(a="FAKE:20", b="FAKE:15")
+    mails = MailStore(spark, str(tmp_path / "store"))
+    mails.upsert(normalize(read_containers(spark, [root], **OPTIONS), now=1))
+    mails.upsert(mails.mails().select(*MAILS_SCHEMA.fieldNames()).limit(3).withColumn("subject", F.lit("zebra xylophone")))
+    rows = lambda df: sorted(map(tuple, df.select("gram", "field", "rowid", "tf").collect()))
+    assert rows(mails.postings()) == rows(rank.postings(mails.mails()))
+    for raw in ("계약서", "zebra", "subject:zebra xylo", "zebra NOT xylophone", "nothing here", "a", "", "계약 OR zebra"):
+        q = search.parse(raw)
+        keys = [sorted(r[0] for r in search.matches(mails.mails(), q, index=i).select("rowid").collect()) for i in (None, mails.postings())]
+        assert keys[0] == keys[1], raw
+        grams = rank.query_grams(q)
+        assert not grams or rank.stats(mails.mails(), grams) == rank.stats_from_index(mails.mails(), mails.postings(), grams)
+        a, b = (search.search(mails.mails(), raw, sort="relevance", index=i).hits.collect() for i in (None, mails.postings()))
+        assert a == b, raw
+
+
+def test_a_selective_search_reads_few_messages(spark, tmp_path):
+    mails = MailStore(spark, str(tmp_path / "store"))
+    day = F.col("id") * 86400 * 3 + 1704067200
+    made = spark.range(300).select(
+        *(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("message_id", "date_utc", "body", "subject", "file_path") else {"message_id": F.concat(F.lit("m"), "id"), "date_utc": day, "body": F.concat(F.lit("text of "), F.sha2(F.col("id").cast("string"), 256)), "subject": F.when(F.col("id") == 150, "quetzal").otherwise("plain"), "file_path": F.lit("x")}[f.name].alias(f.name) for f in MAILS_SCHEMA.fields)
+    )
+    mails.upsert(made)
+    found = search.matches(mails.mails(), search.parse("quetzal"), index=mails.postings())
+    assert [r["message_id"] for r in found.collect()] == ["m150"]
+    assert len(mails.months()) > 20 and len(found.inputFiles()) > 20  # before pruning
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_colliding_keys_keep_both_rows(spark, boxes):
     batch = normalize(read_containers(spark, [boxes(a="FAKE:1")], **OPTIONS), now=1)
     both = batch.unionByName(batch).withColumn("rowid", F.lit(5).cast("long"))
