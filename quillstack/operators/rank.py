@@ -83,11 +83,9 @@ def score(grams: list[Gram], s: Stats) -> Column:
     return -reduce(lambda a, b: a + b, parts)
 
 
-def gram_frequencies(mails: DataFrame, name: str = "body") -> DataFrame:
-    """``(gram, messages, occurrences)`` of one folded field."""
-    grams = mails.select("rowid", F.explode(X.bigrams(folded_column(name))).alias("gram"))
-    each = grams.groupBy("gram", "rowid").agg(F.count("*").alias("tf"))
-    return each.groupBy("gram").agg(F.count("*").alias("messages"), F.sum("tf").alias("occurrences"))
+def gram_frequencies(index: DataFrame, name: str = "body") -> DataFrame:
+    """``(gram, messages, occurrences)`` of one field, from a postings table."""
+    return index.filter(F.col("field") == name).groupBy("gram").agg(F.count("*").alias("messages"), F.sum("tf").alias("occurrences"))
 
 
 def postings(mails: DataFrame, *keep: str) -> DataFrame:

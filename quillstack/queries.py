@@ -1,24 +1,29 @@
 """Registered queries of the mail engine and their SQL, over a ``mails`` view of the ``documents`` table.
 
-The view is a fixed mapping that both engines can express; texts of these tables fold alike by the
-native and the exact rule, so the queries use the native one.
+The view is a fixed mapping that both engines can express.  It goes through the engine's own store: the
+first query of a session over a folder upserts the view into a store in the shared folder, with its
+exact folding, keys and index, and all queries read that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+import zlib
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import decode as D
 from .functions import mime as M
 from .functions import text as X
-from .model import HIT_COLUMNS
+from .model import HIT_COLUMNS, MAILS_SCHEMA
 from .operators import export, rank, search, store
-from .plans.compile import with_search_columns
 from .plans.query_language import Term, parse
+from .shared import shared_root
+from .sources import discovery, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2024, 2, 10, 12, tzinfo=timezone.utc)
@@ -58,8 +63,32 @@ def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view as the rows that normalisation makes."""
+    locator = F.to_json(F.struct(F.lit("eml").alias("reader"), F.col("message_id").alias("index")))
+    more = {"raw_body_b64": F.lit(None).cast("string"), "decode_status": F.lit("ok"), "indexed_at": F.lit(0).cast("long"), "locator_json": locator}
+    return mails(spark, sf_dir).withColumns(more).select(*MAILS_SCHEMA.fieldNames())
+
+
+_stores: dict[tuple[str, str], store.MailStore] = {}
+
+
+def _new_store(spark: SparkSession) -> store.MailStore:
+    return store.MailStore(spark, f"{shared_root(spark)}/quillstack/mails-{uuid.uuid4().hex}")
+
+
+def stored(spark: SparkSession, sf_dir: str) -> store.MailStore:
+    """The session's store of the view; written once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        made = _new_store(spark)
+        made.upsert(records(spark, sf_dir))
+        _stores[key] = made
+    return _stores[key]
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_search_columns(mails(spark, sf_dir), exact_fold=False)
+    return stored(spark, sf_dir).mails()
 
 
 _FOLD = "replace(lower({}), 'ß', 'ss')"
@@ -106,7 +135,8 @@ def _register_search(name: str, raw: str, where: str, **options) -> None:
     whole = options.get("whole_word", False)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _hits(search.matches(prepared(spark, sf_dir), parse(raw, NOW), whole, options.get("below"), options.get("folders")))
+        index = stored(spark, sf_dir).postings() if options.get("indexed") else None
+        return _hits(search.matches(prepared(spark, sf_dir), parse(raw, NOW), whole, options.get("below"), options.get("folders"), index))
 
     query(name, f"{VIEW} SELECT {_HITS} FROM s WHERE {where}")(run)
 
@@ -132,6 +162,8 @@ for _name, _raw, _where, _options in [
     ("search_field_cc", "cc:cc2", "contains(f_cc, 'cc2')", {}),
     ("search_field_attachments", "filename:file12", "contains(f_attachments, 'file12')", {}),
     ("search_field_phrase", 'subject:"of the"', "contains(f_subject, 'of the')", {}),
+    ("search_indexed", "license tion", "contains(f_all, 'license') AND contains(f_all, 'tion')", {"indexed": True}),
+    ("search_indexed_field", "from:src1 body:license NOT error", "contains(f_from, 'src1') AND contains(f_body, 'license') AND NOT contains(f_all, 'error')", {"indexed": True}),
     ("search_unknown_prefix", "note:x", "contains(f_all, 'note:x')", {}),
     ("search_single_char", "q", "contains(f_all, 'q')", {}),
     ("search_non_indexable", "é", "contains(f_all, 'é')", {}),
@@ -205,7 +237,8 @@ _ROUNDED = "CAST(round(score * 1e9) AS BIGINT) AS score9"
 def _register_ranked(name: str, raw: str, grams: list[tuple[str, list[str], str]], where: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table, q = prepared(spark, sf_dir), parse(raw, NOW)
-        scored = search.matches(table, q).withColumn("score", rank.score(rank.query_grams(q), rank.stats(table, rank.query_grams(q))))
+        stats = rank.stats_from_index(table, stored(spark, sf_dir).postings(), rank.query_grams(q))
+        scored = search.matches(table, q).withColumn("score", rank.score(rank.query_grams(q), stats))
         return scored.select("message_id", F.round(F.col("score") * 1e9).cast("long").alias("score9"))
 
     query(name, f"{VIEW}{_bm25_sql(grams)} SELECT message_id, {_ROUNDED} FROM t WHERE {where}")(run)
@@ -224,7 +257,7 @@ def _relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     table, q = prepared(spark, sf_dir), parse("license", NOW)
-    page = search.top(search.matches(table, q).withColumn("f_all", F.col("f_all")), 40, q, rank.stats(table, rank.query_grams(q)))
+    page = search.top(search.matches(table, q), 40, q, rank.stats(table, rank.query_grams(q)))
     page = page.withColumn("score9", F.round(F.col("score") * 1e9).cast("long"))
     order = W.orderBy("score9", F.desc("rowid"))  # a page of 40 rows
     return page.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 20").select("message_id", "score9", "place")
@@ -238,22 +271,28 @@ def _bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.crossJoin(F.broadcast(total)).select("n", "total", F.col("df0").alias("df_co"), F.col("df1").alias("df_subject_on"))  # one row by one row
 
 
-_SUBJECT_GRAMS = "g AS (SELECT rowid, substr(t, i, 2) AS gram FROM (SELECT rowid, t, unnest(range(1, length(t))) AS i FROM (SELECT rowid, unnest(string_split_regex(f_subject, '[^0-9a-z가-힣ㄱ-ㆎ]+')) AS t FROM s)))"
+def _all_grams_sql(fields: dict[str, str]) -> str:
+    """``g`` with every gram occurrence of the named fields."""
+    texts = " UNION ALL ".join(f"SELECT rowid, '{name}' AS field, {column} AS x FROM s" for name, column in fields.items())
+    return f"g AS (SELECT rowid, field, substr(t, i, 2) AS gram FROM (SELECT rowid, field, t, unnest(range(1, length(t))) AS i FROM (SELECT rowid, field, unnest(string_split_regex(x, '[^0-9a-z가-힣ㄱ-ㆎ]+')) AS t FROM ({texts}))))"
+
+
+_FIELD_NAMES = dict(zip(["subject", "body", "from", "to", "cc", "attachments"], _FIELDS))
 
 
-@query("bigram_frequencies", f"{VIEW}, {_SUBJECT_GRAMS} SELECT gram, count(DISTINCT rowid) AS messages, count(*) AS occurrences FROM g GROUP BY gram")
+@query("bigram_frequencies", f"{VIEW}, {_all_grams_sql({'body': 'f_body'})} SELECT gram, count(DISTINCT rowid) AS messages, count(*) AS occurrences FROM g GROUP BY gram")
 def _bigram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.gram_frequencies(prepared(spark, sf_dir), "subject")
+    return rank.gram_frequencies(stored(spark, sf_dir).postings(), "body")
 
 
-@query("bigram_postings", f"{VIEW}, {_SUBJECT_GRAMS} SELECT gram, 'subject' AS field, rowid, count(*) AS tf FROM g GROUP BY gram, rowid")
+@query("bigram_postings", f"{VIEW}, {_all_grams_sql(_FIELD_NAMES)} SELECT gram, field, rowid, count(*) AS tf FROM g GROUP BY gram, field, rowid")
 def _bigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.postings(prepared(spark, sf_dir)).filter("field = 'subject'").select("gram", "field", "rowid", "tf")
+    return stored(spark, sf_dir).postings().select("gram", "field", "rowid", "tf")
 
 
-@query("index_candidates", f"{VIEW} SELECT rowid FROM s WHERE contains(f_subject, 'co') AND contains(f_subject, 'on')")
+@query("index_candidates", f"{VIEW} SELECT rowid FROM s WHERE contains(f_all, 'co') AND contains(f_all, 'on') AND contains(f_body, 'nd') AND contains(f_subject, 'th')")
 def _index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.candidates(rank.postings(prepared(spark, sf_dir)), [("co", "subject"), ("on", "subject")])
+    return rank.candidates(stored(spark, sf_dir).postings(), [("co", None), ("on", None), ("nd", "body"), ("th", "subject")])
 
 
 # Diagnosis and counts -----------------------------------------------------------------------------
@@ -273,7 +312,8 @@ def _diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("diagnose_capped_counts", f"{VIEW} SELECT least(count(*) FILTER (contains(f_all, 'the')), 100) AS the, least(count(*) FILTER (contains(f_all, 'license')), 100) AS license FROM s")
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = prepared(spark, sf_dir)
-    return table.agg(*(F.least(F.count_if(F.contains("f_all", F.lit(w))), F.lit(100)).alias(w) for w in ("the", "license")))
+    counts = {w: search.capped_count(search.matches(table, parse(w, NOW)), 100) for w in ("the", "license")}
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{w} long" for w in counts))
 
 
 @query("false_positive_rate", f"{VIEW} SELECT count(*) FILTER (contains(f_all, 'co') AND contains(f_all, 'on') AND contains(f_all, 'nd')) AS candidates, count(*) FILTER (contains(f_all, 'cond')) AS truth FROM s")
@@ -305,12 +345,6 @@ def _by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.by_keys(mails(spark, sf_dir), keys, "message_id").select("message_id", "rowid")
 
 
-@query("threads_by_conversation", "SELECT conv_id, count(*) AS messages, count(DISTINCT role) AS senders, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
-def _threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.groupBy("conv_id").agg(F.count("*").alias("messages"), F.countDistinct("role").alias("senders"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
-
-
 # Projections --------------------------------------------------------------------------------------
 
 
@@ -330,7 +364,13 @@ _projection("highlight", "regexp_replace(subject, '(?i)(the|on)', '<em>\\1</em>'
 _projection("display_times", "strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%d') AS day, strftime(make_timestamp(date_utc * 1000000), '%m-%d %H:%M') AS short, strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%d %H:%M:%S') AS long", lambda: [X.day(F.col("date_utc")).alias("day"), X.short_time(F.col("date_utc")).alias("short"), X.full_time(F.col("date_utc")).alias("long")])
 _projection("size_text", "CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' ELSE format('{:.1f} KB', size_bytes / 1024.0) END AS size", lambda: [X.size_text(F.col("size_bytes")).alias("size")])
 _projection("raw_preview", "base64(encode(substr(subject, 1, 0) || message_id)) AS preview, strlen(message_id) > 5 AS cut", lambda: [D.preview(F.encode("message_id", "UTF-8")).alias("preview"), D.preview_cut(F.encode("message_id", "UTF-8"), 5).alias("cut")])
-_projection("locator_json", "'{\"reader\":\"eml\",\"file\":\"' || file_path || '\"}' AS locator", lambda: [F.to_json(F.struct(F.lit("eml").alias("reader"), F.col("file_path").alias("file"))).alias("locator")])
+
+
+@query("locator_json", f"""{VIEW} SELECT '{{"reader": "eml", "file": "' || file_path || '", "folder": "' || folder_path || '"}}' AS locator, count(*) AS messages FROM m GROUP BY 1""")
+def _locators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = F.udf(lambda file, folder: readers._locator(reader="eml", file=file, folder=folder), "string")
+    places = mails(spark, sf_dir).groupBy("file_path", "folder_path").agg(F.count("*").alias("messages"))  # one row a folder
+    return places.select(of("file_path", "folder_path").alias("locator"), "messages")
 
 
 @query("row_key_order", f"{VIEW} SELECT count(*) AS pairs, count(*) FILTER (rowid > before) AS rising FROM (SELECT rowid, lag(rowid) OVER (ORDER BY date_utc) AS before FROM m) WHERE before IS NOT NULL")
@@ -341,12 +381,15 @@ def _key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(before, "date_utc").agg(F.count("*").alias("pairs"), F.count_if(F.col("rowid") > F.col("before")).alias("rising"))
 
 
-@query("key_collisions", "WITH k AS (SELECT doc_id // 4 AS base, 'doc-' || doc_id AS message_id FROM documents) SELECT message_id, base + row_number() OVER (PARTITION BY base ORDER BY message_id) - 1 AS rowid FROM k")
+@query(
+    "key_collisions",
+    """WITH k AS (SELECT doc_id // 4 * 3 AS base, 'doc-' || doc_id AS message_id FROM documents),
+n AS (SELECT *, base // 16384 AS part, row_number() OVER w AS n, count(*) OVER (PARTITION BY base // 16384) AS every FROM k WINDOW w AS (PARTITION BY base // 16384 ORDER BY base, message_id))
+SELECT message_id, least(n + max(base - n) OVER (PARTITION BY part ORDER BY base, message_id ROWS UNBOUNDED PRECEDING), CASE WHEN every <= 16384 THEN (part + 1) * 16384 - every + n - 1 ELSE 1e18 END)::BIGINT AS rowid FROM n""",
+)
 def _key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.floor(F.col("doc_id") / 4).alias("base"), F.concat(F.lit("doc-"), "doc_id").alias("message_id"))
-    return d.select("message_id", (F.col("base") + F.row_number().over(W.partitionBy("base").orderBy("message_id")) - 1).alias("rowid"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("message_id"))
+    return store.distinct_keys(d, F.floor(F.col("doc_id") / 4) * 3).select("message_id", "rowid")
 
 
 # Store --------------------------------------------------------------------------------------------
@@ -360,8 +403,17 @@ def _updates(table: DataFrame) -> DataFrame:
     return twice.unionByName(table.filter(number % 3 == 1).withColumn("message_id", F.concat("message_id", F.lit("-new"))))
 
 
-def _store_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mails(spark, sf_dir).withColumns({"locator_json": F.lit(""), "indexed_at": F.lit(0).cast("long")})
+_upserted: dict[tuple[str, str], tuple[store.MailStore, store.UpsertCounts]] = {}
+
+
+def _after_upsert(spark: SparkSession, sf_dir: str) -> tuple[store.MailStore, store.UpsertCounts]:
+    """A store of the view into which ``_updates`` were put; written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _upserted:
+        table, made = records(spark, sf_dir), _new_store(spark)
+        made.upsert(table)
+        _upserted[key] = made, made.upsert(_updates(table))
+    return _upserted[key]
 
 
 @query(
@@ -369,14 +421,19 @@ def _store_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{VIEW} SELECT message_id, CASE WHEN doc % 3 = 0 THEN 'new' ELSE subject END AS subject, CASE WHEN doc % 3 = 0 THEN 'b.pst' ELSE file_path END AS file_path FROM (SELECT *, CAST(substr(message_id, 5) AS BIGINT) AS doc FROM m) UNION ALL SELECT message_id || '-new', subject, file_path FROM m WHERE CAST(substr(message_id, 5) AS BIGINT) % 3 = 1",
 )
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _store_mails(spark, sf_dir)
-    return store.merge(table, _updates(table)).select("message_id", "subject", "file_path")
+    return _after_upsert(spark, sf_dir)[0].mails().select("message_id", "subject", "file_path")
 
 
 @query("upsert_counts", "SELECT count(*) FILTER (doc_id % 3 = 1) AS inserted, count(*) FILTER (doc_id % 3 = 0) AS updated FROM documents")
 def _upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _store_mails(spark, sf_dir)
-    return store.merge_counts(table, _updates(table))
+    counts = _after_upsert(spark, sf_dir)[1]
+    return spark.createDataFrame([(counts.inserted, counts.updated)], "inserted long, updated long")
+
+
+@query("upserted_keys", "SELECT 0 AS equal_keys, CAST(count(*) AS BIGINT) + count(*) FILTER (doc_id % 3 = 1) AS messages FROM documents")
+def _upserted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _after_upsert(spark, sf_dir)[0].mails()
+    return table.groupBy("rowid").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).cast("int").alias("equal_keys"), F.sum("n").alias("messages"))
 
 
 def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,16 +479,120 @@ def _fold_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(X.fold("text"), 256).alias("digest"))
 
 
-# Beyond SQL ---------------------------------------------------------------------------------------
+# Parsers: fixed cases, whose results are written out in SQL -----------------------------------------
+
+
+def _cases(name: str, columns: str, cases: list[tuple], make: Callable[[DataFrame], DataFrame], kind: str) -> None:
+    """A query over fixed inputs.  ``cases`` has an input and the values of ``columns`` that it must give."""
+    quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    rows = ", ".join("(" + ", ".join(map(quote, (i, *want))) + ")" for i, (_, *want) in enumerate(cases))
+    sql = f"SELECT * FROM (VALUES {rows}) t(id, {columns})"
+    query(name, sql)(lambda spark, _: make(spark.createDataFrame([(i, case[0]) for i, case in enumerate(cases)], f"id int, input {kind}")))
+
+
+_cases(
+    "decode_chain",
+    "status, text",
+    [
+        ("계약서 검토".encode(), "ok", "계약서 검토"),
+        (b"", "ok", ""),
+        (b"plain", "ok", "plain"),
+        ("계약서 검토".encode("cp949"), "fallback", "계약서 검토"),
+        ("회의".encode("euc-kr"), "fallback", "회의"),
+        ("똠방각하".encode("cp949"), "fallback", "똠방각하"),
+        (bytes([0xFF, 0xFE, 0x41, 0x42, 0x80, 0x81]), "failed", "\xff\xfeAB\x80\x81"),
+        (None, "failed", ""),
+    ],
+    lambda df: df.withColumn("d", D.decode(F.col("input"))).select("id", "d.status", "d.text"),
+    "binary",
+)
+
+_cases(
+    "inflate_bodies",
+    "text",
+    [(zlib.compress("본문 body".encode()), "본문 body"), (zlib.compress(b""), ""), (b"no zlib", ""), (zlib.compress(b"damaged")[:-3], ""), (None, "")],
+    lambda df: df.select("id", D.inflate(F.col("input")).alias("text")),
+    "binary",
+)
+
+_cases(
+    "address_lists",
+    "addresses",
+    [
+        ('"Kim, Y" <y@corp.kr>; b@corp.com', "Kim, Y <y@corp.kr>; b@corp.com"),
+        ("a@x.org, B <b@x.org>", "a@x.org; B <b@x.org>"),
+        ("김영수 <ys.kim@corp.co.kr>", "김영수 <ys.kim@corp.co.kr>"),
+        ("", ""),
+        (None, ""),
+    ],
+    lambda df: df.select("id", X.addresses(F.col("input")).alias("addresses")),
+    "string",
+)
+
+_cases(
+    "header_blocks",
+    "subject, sender, seconds",
+    [
+        ("Subject: one\r\n two\r\nFrom: a@x.org\r\nDate: Mon, 01 Jan 2024 09:00:00 +0900", "one two", "a@x.org", 1704067200),
+        ("SUBJECT: first\nsubject: second\nno colon here\nDate: Mon, 01 Jan 2024 00:00:00 -0000", "first", None, 1704067200),
+        ("From: b@x.org\nDate: yesterday", None, "b@x.org", 0),
+        ("", None, None, 0),
+        (None, None, None, 0),
+    ],
+    lambda df: df.withColumn("h", M.headers("input")).select("id", F.col("h")["subject"].alias("subject"), F.col("h")["from"].alias("sender"), M.header_epoch(F.col("h")["date"]).alias("seconds")),
+    "string",
+)
+
 
+def _parsed(rows: DataFrame, schema: str, of: Callable[[dict], tuple]) -> DataFrame:
+    """Messages of ``rows(id, input)`` through the parser of message files."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in schema.split(", ")]
+        for f in frames:
+            yield pd.DataFrame([(i, *of(M.raw_record(bytes(x), "f", "d", ""))) for i, x in zip(f["id"], f["input"])], columns=names)
+
+    return rows.mapInPandas(run, schema)
+
+
+_MULTIPART = (
+    "Subject: =?utf-8?b?6rOE7JW97ISc?=\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain; charset=utf-8\n\nplain part\n"
+    "--B\nContent-Type: text/html\n\n<p>html</p>\n--B\nContent-Type: text/plain\nContent-Disposition: attachment; filename=a.txt\nContent-Transfer-Encoding: base64\n\naGVsbG8=\n"
+    "--B\nContent-Type: application/pdf\nContent-Disposition: inline; filename=\"b c.pdf\"\n\nx\n--B--\n"
+).encode()
+
+_cases(
+    "mime_parts",
+    "subject, plain, html, attachments",
+    [
+        (_MULTIPART, "계약서", "plain part", "<p>html</p>", "a.txt; b c.pdf"),
+        (b"Subject: s\n\nline\r\nnext", "s", "line\r\nnext", None, ""),
+        (b"Subject: t\nContent-Type: text/html\n\n<b>x</b>", "t", "", "<b>x</b>", ""),
+        (b"\nno headers", None, "no headers", None, ""),
+    ],
+    lambda df: _parsed(
+        df,
+        "id int, subject string, plain string, html string, attachments string",
+        lambda r: (r["headers"].get("subject"), r["body_bytes"].decode(), None if r["html_bytes"] is None else r["html_bytes"].decode(), "; ".join(r["attachment_names"])),
+    ),
+    "binary",
+)
 
-@query("decode_chain")
-def _decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode("text", "ISO-8859-1").alias("raw"))
-    return d.withColumn("d", D.decode(F.col("raw"))).select("doc_id", "d.status", F.length("d.text").alias("n"))
+_cases(
+    "reader_choice",
+    "with_all, with_readpst, with_none",
+    [("x.PST", "libpff", "readpst", None), ("a/b.ost", "libpff", "readpst", None), ("mail.msg", "extract_msg", None, None)],
+    lambda df: df.select(
+        "id",
+        *(
+            F.udf(lambda path, module=module, program=program: discovery.choose_reader(path, lambda _: object() if module else None, lambda _: "p" if program else None), "string")("input").alias(name)
+            for name, module, program in (("with_all", True, True), ("with_readpst", False, True), ("with_none", False, False))
+        ),
+    ),
+    "string",
+)
 
 
-@query("address_normalize")
+@query("address_normalize", f"{VIEW} SELECT message_id, 'Team, A <' || to_addr || '>' || CASE WHEN cc_addr <> '' THEN '; ' || cc_addr ELSE '' END AS to_addr FROM m")
 def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mails(spark, sf_dir).select("message_id", X.addresses(F.concat(F.lit('"Team, A" <'), "to_addr", F.lit(">; "), "cc_addr")).alias("to_addr"))
 
@@ -442,6 +603,18 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", M.header_epoch(F.concat(stamp, F.lit(" +0000"))).alias("date_utc"))
 
 
-@query("eml_export")
+@query("eml_export", f"{VIEW} SELECT message_id || '-' || rowid || '.eml' AS id, from_addr AS sender, to_addr AS receiver, date_utc AS seconds, sha256(rtrim(body, chr(10))) AS body FROM m")
 def _eml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.eml_rows(mails(spark, sf_dir)).select("name", F.octet_length("content").alias("n"))
+    files = export.eml_rows(mails(spark, sf_dir)).select(F.col("name").alias("id"), F.col("content").alias("input"))
+    back = _parsed(
+        files,
+        "id string, sender string, receiver string, seconds long, text string",
+        lambda r: (r["headers"]["from"], r["headers"]["to"], M.epoch(None, r["headers"]["date"]), r["body_bytes"].decode().replace("\r\n", "\n")),
+    )
+    return back.select("id", "sender", "receiver", "seconds", F.sha2(F.rtrim("text", F.lit("\n")), 256).alias("body"))
+
+
+@query("result_rows_json", f"{VIEW} SELECT message_id, subject, has_attachment FROM s WHERE contains(f_all, 'license')")
+def _json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.hits(search.matches(prepared(spark, sf_dir), parse("license", NOW)))
+    return export.json_rows(found).select(F.from_json("value", "message_id string, subject string, has_attachment boolean").alias("r")).select("r.*")
