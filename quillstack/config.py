@@ -11,6 +11,7 @@ from typing import Any
 class Settings:
     batch_size: int = 1000
     workers: int = 0  #: 0 leaves it to Spark
+    commit_containers: int = 64  #: containers that are read side by side and committed together
     retry_max_attempts: int = 3
     retry_backoff_seconds: tuple[float, ...] = (0.5, 1.0, 2.0)
     readpst_tmp_dir: str | None = None
@@ -27,6 +28,7 @@ class Settings:
 PLACES = {
     "batch_size": ("indexing", "batch_size"),
     "workers": ("indexing", "workers"),
+    "commit_containers": ("indexing", "commit_containers"),
     "retry_max_attempts": ("indexing", "retry", "max_attempts"),
     "retry_backoff_seconds": ("indexing", "retry", "backoff_seconds"),
     "readpst_tmp_dir": ("indexing", "readpst_tmp_dir"),

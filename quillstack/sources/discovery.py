@@ -10,6 +10,7 @@ from importlib import import_module
 from types import ModuleType
 
 EXTENSIONS = (".pst", ".ost", ".msg")
+GUIDANCE = "no reader is installed for this container: stores need libpff (pypff) or the readpst program, messages need extract-msg"
 
 
 def optional_module(name: str) -> ModuleType | None:
@@ -71,11 +72,10 @@ def size_of(path: str) -> tuple[int, float]:
 
 
 def plan(paths: list[str], recursive: bool = False, unchanged=lambda path, size, mtime: False) -> list[Plan]:
-    """What an ingest of ``paths`` would do."""
+    """What an ingest of ``paths`` would do.  A container without a reader is not skipped: it fails."""
     out = []
     for path in discover(paths, recursive):
         size, mtime = size_of(path)
         reader = choose_reader(path)
-        skip = "unchanged" if unchanged(path, size, mtime) else "no reader" if reader is None else None
-        out.append(Plan(path, size, mtime, reader, skip))
+        out.append(Plan(path, size, mtime, reader, "unchanged" if unchanged(path, size, mtime) else None))
     return out

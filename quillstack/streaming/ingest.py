@@ -1,12 +1,19 @@
-"""Ingest as a stream: containers in, upserted snapshots out.
+"""Ingest in groups of containers, once or as a stream.
 
-A micro-batch that is repeated after a failure upserts the same rows again, which changes nothing.
+A group is read side by side, upserted and committed, and then noted in the manifest, so what is done
+stays done whenever the run ends, and a group that is repeated changes nothing.  The stream follows the
+listing of the folders with Spark's file source: its checkpoint keeps what was seen, in compacted form, and
+``commit_containers`` is what a trigger admits.  Contents are read by the containers' own readers only.
 """
 
 from __future__ import annotations
 
-import json
+import os
+import re
 from collections.abc import Callable
+from fnmatch import fnmatch
+from functools import reduce
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +22,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import Settings
 from ..operators.normalize import errors, normalize
 from ..operators.store import MailStore
-from ..sources.discovery import Plan, plan
-from ..sources.mailbox import read_containers, register_sources
+from ..sources.discovery import GUIDANCE, Plan, plan
+from ..sources.mailbox import read_containers
 
+#: Spark's own columns of files.
+FILES = "path string, modificationTime timestamp, length long, content binary"
 Event = Callable[[str, dict], None]
 
 
@@ -39,48 +48,63 @@ def write_batch(store: MailStore, raw: DataFrame, settings: Settings, on_event:
 
 
 def start(spark: SparkSession, store: MailStore, paths: list[str], checkpoint: str, settings: Settings | None = None, recursive: bool = False, once: bool = True, on_event: Event = lambda kind, info: None, **options: str) -> StreamingQuery:
-    """Follows ``paths``; with ``once`` it takes what is there and ends, else it runs until ``stop()``."""
+    """Follows ``paths`` for new containers; with ``once`` it takes what is there and ends, else it runs until ``stop()``.
+
+    A trigger takes at most ``commit_containers`` of them a path.  Containers that change are taken again by ``index``.
+    """
     settings = settings or Settings()
-    register_sources(spark)
-    stream = spark.readStream.format("mailbox").options(paths=json.dumps(paths), recursive=str(recursive).lower(), **options).load()
-    writer = stream.writeStream.foreachBatch(lambda batch, _: write_batch(store, batch, settings, on_event)).option("checkpointLocation", checkpoint)
+    listing = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", settings.commit_containers)
+    listing = listing.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pPoOmM][sS][tTgG]")
+    tops = [os.path.abspath(p) for p in paths]
+    names = reduce(DataFrame.unionByName, (listing.load(p).select("path") for p in paths))  # no content is read
+
+    def take(batch: DataFrame, _: int) -> None:
+        found = sorted(re.sub("^file:/+", "/", r["path"]) for r in batch.collect())  # as many as a trigger admits
+        if not recursive:
+            found = [f for f in found if os.path.dirname(f) in tops or any(fnmatch(f, t) for t in tops)]
+        index(spark, store, found, settings, on_event=on_event, **options)
+
+    writer = names.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
 def index(spark: SparkSession, store: MailStore, paths: list[str], settings: Settings | None = None, recursive: bool = False, on_event: Event = lambda kind, info: None, **options: str) -> dict:
-    """Reads what is new or changed once, and keeps the manifest; returns totals.
-
-    The containers of a run are read side by side and committed together.
-    """
+    """Reads what is new or changed once, and keeps the manifest; returns totals."""
     settings = settings or Settings()
     state = store.state()
     plans = plan(paths, recursive, state.unchanged)
     if options.get("reader"):
-        plans = [Plan(p.path, p.size, p.mtime, options["reader"], None if p.skip == "no reader" else p.skip) for p in plans]
+        plans = [Plan(p.path, p.size, p.mtime, options["reader"], p.skip) for p in plans]
     todo = [p for p in plans if p.skip is None]
     for p in plans:
         on_event("skipped" if p.skip else "resolved", {"path": p.path, "reader": p.reader, "reason": p.skip})
+    totals = {"completed": 0, "failed": 0, "skipped": len(plans) - len(todo), "written": 0, "errors": 0}
     for p in todo:
-        state.set(p.path, "PARSING", size=p.size, mtime=p.mtime)
+        if p.reader is None:
+            state.set(p.path, "FAILED", size=p.size, mtime=p.mtime, error=GUIDANCE)
+            totals["failed"] += 1
+            on_event("failed", {"path": p.path, "error": GUIDANCE})
+        else:
+            state.set(p.path, "PARSING", size=p.size, mtime=p.mtime)
     state.save()
-    totals = {"completed": 0, "failed": 0, "skipped": len(plans) - len(todo), "written": 0, "errors": 0}
-    if not todo:
-        return totals
-    raw = read_containers(spark, [p.path for p in todo], False, **options).persist()
-    try:
-        for p in todo:
+    for group in batched([p for p in todo if p.reader], max(settings.commit_containers, 1)):
+        for p in group:
             state.set(p.path, "WRITING")
         state.save()
-        info = write_batch(store, raw, settings, on_event)
-        of = raw.groupBy("file_path").agg(F.count_if(F.col("error").isNull()).alias("good"), F.max("error").alias("error"))
-        seen = {r["file_path"]: r for r in of.collect()}  # one row a container
-    finally:
-        raw.unpersist()
-    for p in todo:
-        row = seen.get(p.path)
-        failed = row is not None and row["good"] == 0 and row["error"] is not None
-        state.set(p.path, "FAILED" if failed else "COMPLETED", mails_written=row["good"] if row else 0, error=row["error"] if failed else None)
-        totals["failed" if failed else "completed"] += 1
-        on_event("failed" if failed else "done", {"path": p.path})
-    state.save()
-    return totals | {"written": info["inserted"] + info["updated"], "errors": info["errors"]}
+        raw = read_containers(spark, [p.path for p in group], False, **options).persist()
+        try:
+            info = write_batch(store, raw, settings, on_event)
+            of = raw.groupBy("file_path").agg(F.count_if(F.col("error").isNull()).alias("good"), F.max("error").alias("error"))
+            seen = {r["file_path"]: r for r in of.collect()}  # one row a container
+        finally:
+            raw.unpersist()
+        for p in group:
+            row = seen.get(p.path)
+            failed = row is not None and row["good"] == 0 and row["error"] is not None
+            state.set(p.path, "FAILED" if failed else "COMPLETED", mails_written=row["good"] if row else 0, error=row["error"] if failed else None)
+            totals["failed" if failed else "completed"] += 1
+            on_event("failed" if failed else "done", {"path": p.path})
+        state.save()
+        totals["written"] += info["inserted"] + info["updated"]
+        totals["errors"] += info["errors"]
+    return totals

@@ -204,6 +204,46 @@ def test_stream(spark, boxes, tmp_path):
     assert mails.mails().count() == 7
 
 
+def test_a_stream_admits_a_bounded_number_of_containers(spark, boxes, tmp_path):
+    events, settings = [], Settings(commit_containers=2)
+    root = boxes(**{f"b{i}": f"FAKE:{i + 1}" for i in range(5)})
+    (tmp_path / "note.txt").write_text("FAKE:9")
+    mails = MailStore(spark, str(tmp_path / "store"))
+    ingest.start(spark, mails, [root], str(tmp_path / "checkpoint"), settings, on_event=lambda kind, info: events.append((kind, info)), **OPTIONS).awaitTermination(120)
+    assert mails.mails().count() == 15 and mails.version() == 3  # two, two and one
+    assert [k for k, _ in events].count("done") == 5 and [k for k, _ in events].count("batch") == 3
+
+
+def test_what_is_committed_stays_when_a_run_ends(spark, boxes, tmp_path, monkeypatch):
+    root = boxes(a="FAKE:4", b="FAKE:5", c="FAKE:6")
+    mails, settings = MailStore(spark, str(tmp_path / "store")), Settings(commit_containers=1)
+    write, calls = ingest.write_batch, []
+
+    def ends(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return write(*args)
+
+    monkeypatch.setattr(ingest, "write_batch", ends)
+    with pytest.raises(KeyboardInterrupt):
+        ingest.index(spark, mails, [root], settings, **OPTIONS)
+    assert mails.mails().count() == 9 and sorted(e["status"] for e in mails.state().entries.values()) == ["COMPLETED", "COMPLETED", "WRITING"]
+    got = ingest.index(spark, mails, [root], settings, **OPTIONS)
+    assert (got["skipped"], got["completed"], got["written"]) == (2, 1, 6) and mails.mails().count() == 15
+
+
+def test_a_container_without_a_reader_fails_with_guidance(spark, boxes, tmp_path):
+    mails, events = MailStore(spark, str(tmp_path / "store")), []
+    if choose_reader("a.pst"):
+        pytest.skip("a reader is installed")
+    got = ingest.index(spark, mails, [boxes(a="FAKE:4")], on_event=lambda kind, info: events.append((kind, info)))
+    assert (got["completed"], got["failed"], got["skipped"]) == (0, 1, 0)
+    entry = next(iter(mails.state().entries.values()))
+    assert entry["status"] == "FAILED" and "libpff" in entry["error"] and ("failed", "libpff") in [(k, "libpff" if "libpff" in i.get("error", "") else "") for k, i in events]
+    assert ingest.index(spark, mails, [str(tmp_path)])["failed"] == 1  # it is tried again
+
+
 def test_manifest(spark, tmp_path):
     mails = MailStore(spark, str(tmp_path))
     state = mails.state()
