@@ -1,10 +1,8 @@
-"""What the operators share: the shared folder, materialised tables, and Arrow text buffers."""
+"""What the operators share: materialised tables and Arrow text buffers."""
 
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -13,24 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` of the session.  Where that is unset, a temporary folder is made and
-    set on a single machine; on a cluster this is an error, for executors would each write to their own disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not root:
-        root = context.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="quillstack-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(root)
-    return root.rstrip("/")
+from ..shared import shared_root
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -58,6 +39,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what ``materialize`` has written for ``df``, which nothing may read any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        delete_path(df.sparkSession, folder)
+
+
 @contextmanager
 def arrow_batch_rows(spark: SparkSession, rows: int):
     """Within this, Python gets at most so many rows in an Arrow batch: for rows that are large each."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_path, materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -30,8 +30,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         last, edges = edges, materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
-        for file in last.inputFiles()[:1]:
-            delete_path(edges.sparkSession, file.rsplit("/", 1)[0])
+        discard(last)
         now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if now == before:
             break

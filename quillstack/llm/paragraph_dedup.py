@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, quoted, release_shuffles, utf8_views
+from .common import blocks, discard, materialize, quoted, release_shuffles, utf8_views
 from .grams import NON_SPACE, U, Words, mix, shingles, words
 from .minhash_join import merge_lists, signatures
 
@@ -164,7 +164,9 @@ def _collisions(docs: DataFrame) -> DataFrame:
     pieces = posted.filter("piece").groupBy("name").agg(F.sum("copies").alias("n")).filter("n > 1").select("name")
     lines = posted.filter("not piece")
     met = lines.groupBy("key").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.sum("copies").alias("n")).filter("lo <> hi or n > 1").select("key")
-    return pieces.union(lines.join(met, "key", "left_semi").select("name").distinct())
+    wanted = materialize(pieces.union(lines.join(met, "key", "left_semi").select("name").distinct()), "paragraph-names")
+    discard(posted)
+    return wanted
 
 
 def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -256,7 +258,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int =
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    wanted = materialize(_collisions(docs), "paragraph-names")
+    wanted = _collisions(docs)
     release_shuffles(spark)
     level = F.when(F.col("name").bitwiseAND(1) == 1, "piece").otherwise("line")
     found = materialize(_occurrences(docs, wanted).withColumn("level", level).drop("name"), "paragraphs")
@@ -272,14 +274,16 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int =
     # Only lines have components of several classes; a piece is one with its equals.
     lines = found.filter("level = 'line'").drop("shingles").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
     named = lines.withColumn("component", F.coalesce("component", "cls")).unionByName(found.filter("level = 'piece'").drop("shingles").withColumn("component", F.col("cls")))
-    found = materialize(_across_documents(named.drop("cls")), "repeats")
+    seen, found = found, materialize(_across_documents(named.drop("cls")), "repeats")
+    discard(seen)
     release_shuffles(spark)
     row = W.partitionBy("id", "text_hash", "level").orderBy("place")
     new = found.withColumn("before", F.lag("place").over(row)).filter("before is null or before < place").drop("before")  # rows equal in id and text
     begins = F.coalesce(F.col("place") - F.lag("place").over(row) > GAP, F.lit(True)).cast("int")
     run = new.withColumn("begins", begins).withColumn("run", F.sum("begins").over(row)).drop("begins")
     run = run.withColumn("run_words", F.sum("n_words").over(W.partitionBy("id", "text_hash", "level", "run"))).filter(F.col("run_words") >= min_run)
-    found = materialize(run.drop("run", "run_words"), "repeats")
+    seen, found = found, materialize(run.drop("run", "run_words"), "repeats")
+    discard(seen)
     release_shuffles(spark)
     found = _across_documents(found, heads=True)
     kept = (F.col("head.id").eqNullSafe(F.col("id"))) & (F.col("head.text_hash") == F.col("text_hash")) & (F.col("head.place") == F.col("place"))
