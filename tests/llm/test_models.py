@@ -114,11 +114,39 @@ def test_no_gram_is_dropped_from_the_url_models(spark, monkeypatch):
     models = url_filter.train(labelled, others, block_grams=300)  # the blocked kind is rare, and no block holds all
     assert models.blocks > 5
     allowed, blocked = (plain_markov([u.encode() for u, v in rows if v == x], 4) for x in ("allow", "block"))
-    for r in url_filter._scored(others, models).collect():
+    for r in [*url_filter._scored(others, models).collect(), *url_filter._scored(others, models, held=2).collect()]:
         u = r["url"].encode()
         assert r["ratio"] == pytest.approx((allowed(u) - blocked(u)) / len(u), abs=1e-9)
 
 
+def test_the_threshold_is_set_on_hosts_that_the_models_have_not_seen(spark):
+    """Against plain models of the other half of the hosts."""
+    rng = random.Random(17)
+    word = lambda letters, k: "".join(rng.choices(letters, k=k))
+    rows = [(f"http://{word('abcd', 2)}.com/{word('abcdwx', 6)}", "allow") for _ in range(150)] + [(f"http://{word('wxyz', 2)}.org/{word('cdwxyz', 6)}", "block") for _ in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, verdict string")
+    models = url_filter.train(labelled)
+    halves = {r["url"]: r["half"] for r in labelled.select("url", F.pmod(F.xxhash64(url_filter.host_and_path(F.col("url"))[0]), F.lit(2)).alias("half")).collect()}
+    scores = []
+    for half in (0, 1):
+        allowed, blocked = (plain_markov([u.encode() for u, v in rows if v == x and halves[u] != half], 4) for x in ("allow", "block"))
+        scores += [((allowed(u.encode()) - blocked(u.encode())) / len(u), v) for u, v in rows if halves[u] == half]
+    error = lambda t: sum(s < t for s, v in scores if v == "allow") / 150 + sum(s >= t for s, v in scores if v == "block") / 60
+    best = min(error(t / 100) for t in range(-1000, 1001))
+    assert error(models.threshold) == pytest.approx(best, abs=0.03) and len(set(halves.values())) == 2
+
+
+def test_ratio_verdicts_on_urls_of_known_kind(spark):
+    rng = random.Random(19)
+    word = lambda letters: "".join(rng.choices(letters, k=6))
+    good = lambda: f"{word('aeiou') + word('tns')}"
+    bad = lambda: f"{word('qxz')}-{word('jkv')}"
+    pages = [(i, f"http://h{i}.com/fr/{good()}") for i in range(200)] + [(1000 + i, f"http://h{i}.com/de/{bad()}") for i in range(200)]
+    pages += [(2000 + i, f"http://n{i}.net/x/{good()}") for i in range(50)] + [(3000 + i, f"http://n{i}.net/x/{bad()}") for i in range(50)]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert sum(got[2000 + i] == "allow" for i in range(50)) >= 48 and sum(got[3000 + i] == "block" for i in range(50)) >= 48
+
+
 def test_a_rare_kind_still_blocks(spark):
     pages = [(i, f"http://h{i}.com/fr/{i * 7919 % 1000}") for i in range(400)] + [(1000 + i, f"http://example.org/es/zzqq{i}") for i in range(2)] + [(2000, "http://q.net/zzqq1")]
     got = {r["page_id"]: r for r in judge(spark.createDataFrame(pages, "page_id long, url string"), block_grams=400).collect()}
