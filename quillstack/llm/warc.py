@@ -2,7 +2,9 @@
 
 A capture is three records: the request, the response (or, for a payload seen before, a revisit that
 names the response), and metadata.  Request and metadata name the response in WARC-Concurrent-To.
-Reading groups the records of any archives by that identifier into one nested row a capture.
+Reading groups records by that identifier into one nested row a capture.  Archives of other writers
+may name each other in another order, or in chains: for these ``linked`` makes the identifiers of all
+records that hang together one, by connected components.
 
 Archives are gzip files of about ``archive_bytes`` of payload, written by Spark's own writer: each
 record ends in two line ends, which are the writer's line separator.  So the commit protocol covers
@@ -15,13 +17,19 @@ once, by page id.
 
 Defined results: a null payload is empty; payloads below the limit are responses all; repeated page
 ids each keep their row, and rows that tie for the least id with equal payloads are responses all; a
-null page id is greater than any other and, if it stands alone, refers to nothing; control characters and
+null page id is greater than any other and, if it stands alone, refers to nothing; of records of other
+writers, a missing record id is made from the file and place, a missing or unknown digest leaves
+``intact`` null, and else ``intact`` tells whether it is that of the payload; headers that are not UTF-8
+are taken as Latin-1; of repeated headers all of WARC-Concurrent-To count, and the first of any other;
+metadata without our notes has nulls for them; control characters and
 spaces of a URL are percent-encoded in headers, and a null URL is empty; an empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -31,6 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path
+from .components import components
 
 ARCHIVE_BYTES, LEAST_SHARED = 8 << 20, 100
 END, STOP = "\r\n", "\r\n\r\n"
@@ -98,12 +107,15 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     records.write.option("lineSep", STOP).option("compression", "gzip").text(path)
 
 
-RECORD_SCHEMA = "capture string, kind string, record_id string, target string, refers_to string, digest string, bytes long, page_id long, block binary"
+RECORD_SCHEMA = "capture string, kind string, record_id string, concurrent array<string>, target string, refers_to string, digest string, intact boolean, bytes long, page_id long, block binary"
 
 
 def _members(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file of one or more gzip members, a step at a time."""
+    """The bytes of a file of one or more gzip members, or of one that is not packed, a step at a time."""
     at = 0
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[k : k + step] for k in range(0, len(content), step))
+        return
     while at < len(content):
         unzip = zlib.decompressobj(31)
         while not unzip.eof:
@@ -115,8 +127,15 @@ def _members(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
         at -= len(unzip.unused_data)
 
 
-def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[str, dict[str, str], bytes]]:
-    """``(type, headers, block)`` of each record; header names are lower-cased."""
+def _text(raw: bytes) -> str:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[str, dict[str, list[str]], bytes]]:
+    """``(type, headers, block)`` of each record; header names are lower-cased and have all of their values."""
     have = bytearray()
 
     def fill(n: int) -> bool:
@@ -137,30 +156,60 @@ def parse_records(chunks: Iterator[bytes]) -> Iterator[tuple[str, dict[str, str]
             seen = len(have)
             if not fill(seen + 1):
                 raise ValueError("a record's header does not end")
-        lines = have[:end].decode().split(END)
+        lines = _text(bytes(have[:end])).split(END)
         if not lines[0].startswith("WARC/"):
             raise ValueError("a record does not begin with its version")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        stop = end + len(STOP) + int(fields["content-length"])
+        fields: dict[str, list[str]] = {}
+        for k, _, v in (x.partition(":") for x in lines[1:]):
+            fields.setdefault(k.strip().lower(), []).append(v.strip())
+        stop = end + len(STOP) + int(fields["content-length"][0])
         if not fill(stop):
             raise ValueError("a record's block does not end")
-        yield fields["warc-type"], fields, bytes(have[end + len(STOP) : stop])
+        yield fields.get("warc-type", [""])[0], fields, bytes(have[end + len(STOP) : stop])
         del have[:stop]
 
 
-def _rows(content: bytes, payloads: bool) -> Iterator[dict]:
-    for kind, fields, block in parse_records(_members(content)):
-        row = {"kind": kind, "record_id": fields["warc-record-id"], "target": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to")}
-        row["capture"] = fields.get("warc-concurrent-to", row["record_id"])
+def _declared(value: str | None) -> tuple[str, bytes] | None:
+    """``(algorithm, digest)`` of a digest header in hexadecimal or base 32; None if it is neither or not known."""
+    name, _, text = (value or "").partition(":")
+    name = name.lower().replace("-", "")
+    size = {"sha1": 20, "sha256": 32, "md5": 16}.get(name)
+    for read in (bytes.fromhex, lambda t: base64.b32decode(t.upper() + "=" * (-len(t) % 8))):
+        try:
+            if size and len(raw := read(text)) == size:
+                return name, raw
+        except (ValueError, binascii.Error):
+            continue
+    return None
+
+
+def _whole(notes: dict[str, str], name: str) -> int | None:
+    try:
+        return int(notes[name])
+    except (KeyError, ValueError):
+        return None
+
+
+def _rows(content: bytes, payloads: bool, file: str = "") -> Iterator[dict]:
+    for place, (kind, fields, block) in enumerate(parse_records(_members(content))):
+        first = lambda name, fields=fields: fields.get(name, [None])[0]
+        row = {"kind": kind, "record_id": first("warc-record-id") or f"<{file}:{place}>", "concurrent": fields.get("warc-concurrent-to", []), "target": first("warc-target-uri"), "refers_to": first("warc-refers-to")}
+        row["capture"] = first("warc-concurrent-to") or row["record_id"]
         if kind in ("response", "revisit"):
-            payload = block[block.index(STOP.encode()) + len(STOP) :]
-            declared = fields["warc-payload-digest"].removeprefix("sha256:")
-            if kind == "response" and hashlib.sha256(payload).hexdigest() != declared:
-                raise ValueError(f"{row['record_id']}: the payload does not have the declared digest")
-            row |= {"digest": declared, "bytes": len(payload) if kind == "response" else None, "block": payload if payloads else None}
+            row["capture"] = row["record_id"]
+            at = block.find(STOP.encode())
+            payload = block[at + len(STOP) :] if at >= 0 else block  # without headers of its own
+            declared = _declared(first("warc-payload-digest"))
+            if kind == "response":
+                whole = hashlib.sha256(payload).digest()
+                intact = declared and (whole if declared[0] == "sha256" else hashlib.new(declared[0], payload).digest()) == declared[1]
+                row |= {"digest": whole.hex(), "intact": intact, "bytes": len(payload)}
+            else:
+                row["digest"] = declared[1].hex() if declared and declared[0] == "sha256" else None
+            row["block"] = payload if payloads else None
         elif kind == "metadata":
-            notes = dict(x.split(": ", 1) for x in block.decode().split(END) if ": " in x)
-            row |= {"bytes": int(notes["payloadBytes"]), "page_id": None if notes["pageId"] == "null" else int(notes["pageId"])}
+            notes = dict(x.split(": ", 1) for x in _text(block).split(END) if ": " in x)
+            row |= {"bytes": _whole(notes, "payloadBytes"), "page_id": _whole(notes, "pageId")}
         elif payloads:
             row["block"] = block
         yield row
@@ -171,9 +220,9 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(0):
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows, size = [], 0
-                for row in _rows(content.as_py(), payloads):
+                for row in _rows(content.as_py(), payloads, name):
                     rows.append(row)
                     size += 500 + len(row.get("block") or b"")
                     if size > 4 << 20:
@@ -182,20 +231,28 @@ def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _arrow_schema())
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RECORD_SCHEMA)
 
 
 def _arrow_schema() -> pa.Schema:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in RECORD_SCHEMA.split(", "))])
 
 
+def linked(records: DataFrame) -> DataFrame:
+    """``records`` with one ``capture`` for all that name each other in WARC-Concurrent-To, directly or by others between."""
+    links = materialize(records.select(F.col("record_id").alias("a"), F.explode("concurrent").alias("b")), "warc-links")
+    found = materialize(components(links), "warc-captures")
+    joined = records.join(found, records["record_id"] == found["node"], "left")
+    return joined.select(*(F.coalesce(found["component"], records["record_id"]).alias(c) if c == "capture" else records[c] for c in records.columns))
+
+
 def captures(records: DataFrame) -> DataFrame:
     """One nested row a capture: response (or revisit), request and metadata, joined by concurrent-to identifiers."""
     answer = F.col("kind").isin("response", "revisit")
     part = lambda kind, *fields: F.first(F.when(kind, F.struct(*fields)), ignorenulls=True)
     return records.groupBy("capture").agg(
-        part(answer, "kind", "record_id", "target", "refers_to", "digest", "bytes", F.col("block").alias("payload")).alias("response"),
+        part(answer, "kind", "record_id", "target", "refers_to", "digest", "intact", "bytes", F.col("block").alias("payload")).alias("response"),
         part(F.col("kind") == "request", "record_id", "target", "block").alias("request"),
         part(F.col("kind") == "metadata", "record_id", "page_id", "bytes").alias("metadata"),
     )
@@ -205,9 +262,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     whole = captures(read_records(spark, path, payloads=False)).filter("response is not null")
+    damaged = F.raise_error(F.concat(F.col("response.record_id"), F.lit(": the payload does not have the declared digest")))
+    whole = whole.withColumn("response", F.when(F.coalesce("response.intact", F.lit(True)), F.col("response")).otherwise(damaged))
     return whole.select(
         F.col("metadata.page_id").alias("page_id"),
-        F.col("metadata.bytes").alias("payload_bytes"),
+        F.coalesce("response.bytes", "metadata.bytes").alias("payload_bytes"),  # a revisit does not hold its payload
         F.col("response.digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
         F.regexp_extract("response.refers_to", "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long").alias("refers_to"),

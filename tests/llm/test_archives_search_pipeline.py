@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import math
@@ -84,6 +85,41 @@ def test_damaged_archives_are_told(tmp_path):
         list(warc._members(packed[:-12]))
 
 
+def record(kind, block, *fields):
+    head = [b"WARC/1.0", b"WARC-Type: " + kind.encode(), *(f.encode() if isinstance(f, str) else f for f in fields), b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    body = b"HTTP/1.0 200 OK\r\n\r\nhello"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    records = [
+        record("warcinfo", b"software: x\r\n", "WARC-Record-ID: <i>"),
+        # The request comes first and names nothing; metadata names the request; the response names both.
+        record("request", b"GET /", "WARC-Record-ID: <q1>"),
+        record("response", body, "WARC-Record-ID: <r1>", "WARC-Concurrent-To: <q1>", "WARC-Concurrent-To: <x1>", f"WARC-Payload-Digest: {sha1}", b"WARC-Target-URI: http://caf\xe9/"),
+        record("metadata", b"fetchTimeMs: 5\r\nvia: \xff\r\n", "WARC-Record-ID: <m1>", "WARC-Concurrent-To: <q1>"),
+        # A response without a digest or headers of its own, one with a wrong digest, one with a digest of no known kind.
+        record("response", b"dns answer", "WARC-Record-ID: <r2>"),
+        record("response", body, "WARC-Record-ID: <r3>", "WARC-Payload-Digest: sha256:" + "0" * 64),
+        record("response", body, "WARC-Record-ID: <r4>", "WARC-Payload-Digest: blake3:xyz"),
+        record("revisit", b"HTTP/1.0 304\r\n\r\n", "WARC-Record-ID: <v1>", "WARC-Refers-To: <r1>", "WARC-Payload-Digest: sha256:" + base64.b32encode(hashlib.sha256(b"hello").digest()).decode()),
+        record("metadata", b"pageId: nine\r\npayloadBytes: 1e3\r\n", "WARC-Concurrent-To: <v1>"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:1]))
+    found = warc.read_records(spark, str(tmp_path))
+    assert found.count() == len(records) + 1
+    whole = {r["response"]["record_id"]: r for r in warc.captures(warc.linked(found)).collect() if r["response"]}
+    assert set(whole) == {"<r1>", "<r2>", "<r3>", "<r4>", "<v1>"}
+    first = whole["<r1>"]
+    assert first["request"]["record_id"] == "<q1>" and first["metadata"]["record_id"] == "<m1>" and first["metadata"]["bytes"] is None
+    assert first["response"]["target"] == "http://café/" and first["response"]["intact"] is True and first["response"]["digest"] == hashlib.sha256(b"hello").hexdigest()
+    assert bytes(whole["<r2>"]["response"]["payload"]) == b"dns answer" and [whole[f"<r{i}>"]["response"]["intact"] for i in (2, 3, 4)] == [None, False, None]
+    assert whole["<v1>"]["response"]["digest"] == hashlib.sha256(b"hello").hexdigest() and whole["<v1>"]["metadata"]["page_id"] is None
+    assert whole["<r3>"]["request"] is None
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert warc.captures(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
