@@ -79,8 +79,11 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All columns but the text, then those of the encoding; of columns with one name the encoding's stay."""
     import public_tokenizers
 
-    columns = [quoted(c) for c in docs.columns if c != "text" and c not in sentencepiece_nbest.COLUMNS]
-    return sentencepiece_nbest.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), sentencepiece_nbest.N_BEST, *columns, with_ids=True, entries=50_000, forget=True)
+    names = [c for c in docs.columns if c != "text" and c not in sentencepiece_nbest.COLUMNS]
+    columns = [docs[quoted(c)].alias(f"__{i}") for i, c in enumerate(names)]  # for Python, names without dots
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = sentencepiece_nbest.encode(docs, model, sentencepiece_nbest.N_BEST, *columns, with_ids=True, entries=50_000, forget=True)
+    return encoded.toDF(*names, *sentencepiece_nbest.COLUMNS)
 
 
 STAGES = [
