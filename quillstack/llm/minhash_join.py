@@ -263,8 +263,8 @@ def _across(open_lists: DataFrame, named: DataFrame, classes: DataFrame, prefixe
 
     Pairs of short lists are listed.  Those of longer ones are counted block by block.  Where few survive they are confirmed one by one; where many do
     (a large group of texts that are near copies of some and not of others) the full sets are brought
-    to the block, and only links that join components leave it.  So the rows that are made follow the
-    members of the lists, not their pairs.
+    to the block, and only links that join components leave it.  A member goes to each of the other blocks
+    of its list, so the rows that are made are members times blocks by two at most, and not pairs.
     """
     short = named.join(open_lists.filter(F.col("posts") <= SHORT).select("key"), "key")
     other = short.select("key", F.col("cls").alias("cls2"), F.col("component").alias("component2"))
@@ -306,7 +306,7 @@ def _across(open_lists: DataFrame, named: DataFrame, classes: DataFrame, prefixe
                 found = _joining_links(a, b, _survivors(a, b, batch.column(0)[r].as_py(), matches, percent), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([a.cls[x] for x, _ in found], pa.binary()), pa.array([b.cls[y] for _, y in found], pa.binary())], ["a", "b"])
 
-    with arrow_batch_rows(open_lists.sparkSession, BATCH):
+    with arrow_batch_rows(open_lists.sparkSession, 1):  # with their full sets, blocks are large
         many = materialize(_blocks_of(crowd, [*columns, "shingles"], crowded).mapInArrow(link, "a binary, b binary"), "crowd-links")
     return _confirm(few, sets, percent).unionByName(many)
 

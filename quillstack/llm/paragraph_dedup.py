@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import blocks, discard, materialize, quoted, release_shuffles, utf8_views
-from .grams import NON_SPACE, U, Words, mix, shingles, words
+from .grams import NON_SPACE, U, Words, gram_at, mix, words
 from .minhash_join import merge_lists, signatures
 
 K, BANDS, ROWS, PERCENT = 5, 5, 2, 80
@@ -71,6 +71,8 @@ class Block(NamedTuple):
     bounds: np.ndarray  #: of each line within ``flat``
 
 
+#: Paragraphs that are named together, so that a very long text takes little more than its words.
+_AT_ONCE = 1 << 15
 _SALTS = mix(np.arange(1, 4, dtype=U))
 
 
@@ -84,11 +86,14 @@ def _level(w: Words, cut: np.ndarray, bit: int) -> Level:
     new = np.ones(len(doc), bool)
     new[1:] = doc[1:] != doc[:-1]
     place = np.arange(len(doc)) - np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0)) if len(doc) else np.empty(0, np.int64)
-    count = after - first
-    begins = np.append(0, np.cumsum(count))
-    within = np.arange(begins[-1]) - np.repeat(begins[:-1], count)
-    own = w.hashes[within + np.repeat(first, count)]
-    sums = [np.add.reduceat(mix((own ^ salt) + within.astype(U) * _SALTS[2]), begins[:-1]) if len(own) else np.empty(0, U) for salt in _SALTS[:2]]
+    sums = np.empty((2, len(first)), U)
+    for lo in range(0, len(first), _AT_ONCE):
+        count = (after - first)[lo : lo + _AT_ONCE]
+        begins = np.append(0, np.cumsum(count))
+        within = np.arange(begins[-1]) - np.repeat(begins[:-1], count)
+        own = w.hashes[within + np.repeat(first[lo : lo + _AT_ONCE], count)]
+        for side, salt in enumerate(_SALTS[:2]):
+            sums[side, lo : lo + _AT_ONCE] = np.add.reduceat(mix((own ^ salt) + within.astype(U) * _SALTS[2]), begins[:-1])
     return Level(doc, place, first, after, (mix(sums[0]) & ~U(1)) | U(bit), mix(sums[1]))
 
 
@@ -105,10 +110,13 @@ def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> Block:
     cut = np.ones(n, bool)
     cut[:-1] = (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
     lines = _level(w, cut, 0)
+    del line
 
     same = w.doc[1:] == w.doc[:-1]
     pair = np.full(n, ~U(0))
-    pair[:-1][same] = mix(w.hashes[:-1] * U(3) + w.hashes[1:])[same]
+    for lo in range(0, n - 1, 1 << 18):
+        pair[lo : min(lo + (1 << 18), n - 1)] = mix(w.hashes[lo : n - 1][: 1 << 18] * U(3) + w.hashes[lo + 1 :][: 1 << 18])
+    pair[:-1][~same] = ~U(0)
     cut = np.ones(n, bool)
     for j in range(1, min(REACH + 1, n)):  # of equal hashes the last is the least
         apart = w.doc[j:] != w.doc[:-j]
@@ -118,12 +126,10 @@ def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> Block:
     cut[-1:] = True
     pieces = _level(w, cut, 1)
 
-    grams, at = shingles(w.hashes, w.doc, K)
-    dense = np.zeros(n, U)
-    dense[at] = grams
     count = lines.last - lines.first - K + 1
     bounds = np.append(0, np.cumsum(count))
-    flat = dense[np.arange(bounds[-1]) - np.repeat(bounds[:-1], count) + np.repeat(lines.first, count)]
+    begins = np.arange(bounds[-1]) + np.repeat(lines.first - bounds[:-1], count)
+    flat = gram_at(w.hashes, begins, K)
     return Block(w.starts, ends, lines, pieces, flat, bounds)
 
 
