@@ -19,6 +19,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/quillstack/{name}-{uuid.uuid4().hex}"
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """Where a table that outlives a run is kept: the session's setting ``quillstack.<name>``, else a fresh path."""
+    return spark.conf.get(f"quillstack.{name}", None) or shared_path(spark, name)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of results that nothing refers to any more.
 

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, path_exists, shared_path
+from .common import kept_path, materialize, path_exists
 
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 _RUNS = re.compile(" +[^ ]*")
@@ -149,4 +149,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), shared_path(spark, "token-counts"))
+    return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), kept_path(spark, "token-counts"))

@@ -164,6 +164,18 @@ def test_redaction_against_the_ledger(spark, documents, tmp_path):
         assert by[i] == out + text[at:]
 
 
+def test_a_ledger_outlives_a_run_by_a_setting(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "ledger")
+    spark.conf.set("quillstack.secret-ledger", path)
+    try:
+        first = sorted(map(str, secrets.op8_secret_scans(spark, sf_dir).collect()))
+        blobs = spark.read.parquet(path).count()
+        assert blobs and sorted(map(str, secrets.op8_secret_scans(spark, sf_dir).collect())) == first
+        assert spark.read.parquet(path).count() == blobs  # nothing was scanned again
+    finally:
+        spark.conf.unset("quillstack.secret-ledger")
+
+
 def test_redaction_keeps_odd_columns(spark, tmp_path):
     docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", "b", 2), (2, None, "c", 3)], "doc_id long, text string, `a.b` string, blob int")
     got = redact_documents(docs, str(tmp_path / "ledger"))
