@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import decontaminate, langid, minhash_join, secrets, sentencepiece_nbest
-from quillstack.llm.common import arrow_batch_rows, materialize, quoted, shared_path
+from quillstack.llm.common import arrow_batch_rows, kept_path, materialize, quoted
 
 #: Rows with their texts that go to Python at once.
 BATCH_ROWS = 2000
@@ -70,7 +70,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secrets.redact_documents(docs, shared_path(spark, "secret-ledger"))
+    clean = secrets.redact_documents(docs, kept_path(spark, "secret-ledger"))
     n = F.coalesce(F.length(clean["text"]), F.lit(0)).cast(docs.schema["n_chars"].dataType)
     return clean.withColumn("n_chars", n)
 
