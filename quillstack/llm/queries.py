@@ -13,8 +13,8 @@ from .minhash_join import op7_minhash_near_dedup
 from .paragraph_dedup import op10_paragraph_dedup
 from .secrets import op8_secret_scans
 from .sentencepiece_nbest import op4_sentencepiece_nbest
+from .source_audit import op12_source_audit
 from .token_counts import op9_token_counts
-
 from .topk import op3_exact_topk
 from .url_filter import op1_url_filter
 from .warc import op2_warc
@@ -32,8 +32,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scans": op8_secret_scans,
         "op9_token_counts": op9_token_counts,
         "op10_paragraph_dedup": op10_paragraph_dedup,
+        "op12_source_audit": op12_source_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": sql.op2(), "op3_exact_topk": sql.op3(), "op6_decontamination": sql.op6(), "op7_minhash_near_dedup": sql.op7(), "op8_secret_scans": sql.op8()}
+    return {
+        "op2_warc": sql.op2(),
+        "op3_exact_topk": sql.op3(),
+        "op6_decontamination": sql.op6(),
+        "op7_minhash_near_dedup": sql.op7(),
+        "op8_secret_scans": sql.op8(),
+        "op12_source_audit": sql.op12(),
+    }
