@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .decontaminate import op6_decontamination
+from .hard_negatives import op11_hard_negatives
 from .langid import op5_language_id
 from .minhash_join import op7_minhash_near_dedup
+from .mixing import op13_source_mix
 from .paragraph_dedup import op10_paragraph_dedup
 from .secrets import op8_secret_scans
 from .sentencepiece_nbest import op4_sentencepiece_nbest
@@ -32,7 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scans": op8_secret_scans,
         "op9_token_counts": op9_token_counts,
         "op10_paragraph_dedup": op10_paragraph_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_source_audit": op12_source_audit,
+        "op13_source_mix": op13_source_mix,
     }
 
 
@@ -43,5 +47,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": sql.op6(),
         "op7_minhash_near_dedup": sql.op7(),
         "op8_secret_scans": sql.op8(),
+        "op11_hard_negatives": sql.op11(),
         "op12_source_audit": sql.op12(),
     }
