@@ -10,7 +10,8 @@ the gradient of a convex dual.  Newton's method finds all tilts at once: each it
 source, of gradient and curvature over the sizes that occur, kept within brackets that always hold the root.
 
 Copies: sizes are gone through from the largest to the least, each rounded so that the words taken so far come
-nearest to those expected so far; the error of a source ends below its least documents' sizes.  Which documents
+nearest to those expected so far; what a source of few documents is then off by is made up by exchanging single
+copies of two sizes.  Which documents
 of one size get the copy more is decided by a hash of ``doc_id``: the copies are dealt out over buckets of some
 thousand documents in proportion, exactly, and in a bucket to the least hashes.  So a size that a third of
 all documents have is in no one task.  All sums are of whole or decimal numbers: the order of rows changes nothing.
@@ -28,6 +29,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -37,8 +39,8 @@ from .common import discard, materialize
 
 WEIGHTS, MOST = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of one size that are ranked together, about; alike rows that are put out at once; iterations at most.
-BUCKET, REPEAT, ROUNDS = 4096, 1 << 16, 200
+#: Documents of one size that are ranked together, about; alike rows that are put out at once; iterations and exchanges at most.
+BUCKET, REPEAT, ROUNDS, SETTLE = 4096, 1 << 16, 200, 50
 _WIDE = "decimal(38,0)"
 
 
@@ -115,6 +117,22 @@ def tilts(classes: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select("place", "mean", "tilt")
 
 
+def _settle(sizes: np.ndarray, copies: np.ndarray, most: np.ndarray, left: float) -> np.ndarray:
+    """Brings the words that are ``left`` towards 0 by a copy more of one size, one less of another, or both, as often as that helps."""
+    for _ in range(SETTLE):
+        more, less = np.append(0, sizes[copies < most][::-1]), np.append(0, sizes[copies > 0][::-1])  # ascending, as ``sizes`` descends
+        at = np.searchsorted(less, more - left)
+        near = np.stack([less[np.clip(at - 1, 0, None)], less[np.clip(at, None, len(less) - 1)]])
+        off = np.abs(left - (more - near))
+        side, i = np.unravel_index(off.argmin(), off.shape)
+        if off[side, i] >= abs(left):
+            break
+        up, down = more[i], near[side, i]
+        copies = copies + ((sizes == up) & (up > 0)) - ((sizes == down) & (down > 0))
+        left -= up - down
+    return copies
+
+
 def _round(frame: pd.DataFrame) -> pd.DataFrame:
     """Copies of each size of one source, from the largest size on."""
     frame = frame.sort_values("size", ascending=False)
@@ -124,7 +142,8 @@ def _round(frame: pd.DataFrame) -> pd.DataFrame:
         copies = min(max(math.floor((wanted - taken) / size + 0.5), 0), MOST * docs)
         taken += copies * size
         out.append(copies)
-    return frame.assign(copies=out)[["place", "size", "docs", "copies"]]
+    copies = _settle(frame["size"].to_numpy(), np.array(out, np.int64), MOST * frame["docs"].to_numpy(), frame["target"].iloc[0] - taken)
+    return frame.assign(copies=copies)[["place", "size", "docs", "copies"]]
 
 
 def _alike(rows: DataFrame) -> DataFrame:
@@ -146,10 +165,11 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     by_source = lambda df: df.join(known, df["source"].eqNullSafe(known["__source"])).drop("__source", "source")
     classes = materialize(by_source(classes), "classes")
     filled = classes.filter("size > 0")
-    rated = filled.join(tilts(filled, sources), "place").select("place", "size", "docs", F.expr(_rate("tilt")).alias("rate"))
+    rated = filled.join(tilts(filled, sources), "place").join(sources.select("place", "target"), "place")
+    rated = rated.select("place", "target", "size", "docs", F.expr(_rate("tilt")).alias("rate"))
     rated = materialize(rated, "rates")
     copies = rated.groupBy("place").applyInPandas(_round, "place long, size long, docs long, copies long")
-    copies = copies.join(rated.drop("docs"), ["place", "size"])
+    copies = copies.join(rated.drop("docs", "target"), ["place", "size"])
     plan = classes.join(copies.drop("docs"), ["place", "size"], "left").na.fill(0, ["copies"])
     plan = materialize(plan.select("place", "size", "docs", "rate", F.expr("copies div docs").alias("least"), F.expr("copies % docs").alias("more")), "copies")
     # Buckets of documents of one size: how many of each get the copy more.
