@@ -75,7 +75,8 @@ def _index(spark: SparkSession, store: MailStore, args: argparse.Namespace, sett
 
 
 def _search(store: MailStore, args: argparse.Namespace) -> int:
-    result = search.search(store.mails(), _query(args), args.limit, args.sort, args.whole_word, index=store.postings())
+    now = store.snapshot()
+    result = search.search(now.mails(), _query(args), args.limit, args.sort, args.whole_word, index=now)
     if args.json:
         print(export.result_json(result))
     elif args.csv:
@@ -94,7 +95,8 @@ def _export(store: MailStore, args: argparse.Namespace) -> int:
     if not raw and not args.all:
         print("give a query, or --all", file=sys.stderr)
         return 2
-    found = search.matches(store.mails(), search.parse(raw), args.whole_word, index=store.postings())
+    now = store.snapshot()
+    found = search.matches(now.mails(), search.parse(raw), args.whole_word, index=now)
     if args.format == "eml":
         n = export.write_eml(found, args.out)
     else:
@@ -104,7 +106,7 @@ def _export(store: MailStore, args: argparse.Namespace) -> int:
 
 
 def _attach(store: MailStore, args: argparse.Namespace) -> int:
-    row = search.get_full(store.mails(), args.message_id).select("file_path", "locator_json").first()
+    row = store.snapshot().get(args.message_id).select("file_path", "locator_json").first()
     if row is None:
         print("no such message", file=sys.stderr)
         return 1
@@ -131,7 +133,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in search.list_folders(store.mails()).toLocalIterator():
             print(r[0])
         return 0
-    row = search.get_full(store.mails(), args.message_id).select(*export.EXPORT_COLUMNS, F.col("decode_status")).first()
+    row = store.snapshot().get(args.message_id).select(*export.EXPORT_COLUMNS, F.col("decode_status")).first()
     if row is None:
         print("no such message", file=sys.stderr)
         return 1

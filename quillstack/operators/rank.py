@@ -4,9 +4,9 @@
 scores are better.  Lengths are counted over all six fields; a term of one field counts its grams in
 that field only.  Every occurrence of a gram in the query counts for itself; negated terms add nothing.
 
-The statistics of all grams of the query are a single row, from one aggregation over the corpus or, where
-there is an index of postings, from its lists of these grams; the score is then an expression of the
-row, so ranking is a scan of the matches and a top-k without a join.
+The statistics of all grams of the query are a single row, from one aggregation over the corpus or from
+the dictionary of a store; the score is then an expression of the row, so ranking is a scan of the
+matches and a top-k without a join.  With a store, ``indexed.best`` opens only what can be on the page.
 """
 
 from __future__ import annotations
@@ -55,15 +55,9 @@ def stats(mails: DataFrame, grams: list[Gram]) -> Stats:
     return Stats(row["n"], row["avgdl"] or 0.0, {g: row[f"df{i}"] for i, g in enumerate(dict.fromkeys(grams))})
 
 
-def stats_from_index(mails: DataFrame, index: DataFrame, grams: list[Gram]) -> Stats:
-    """The same as ``stats``, from postings: no text is read."""
-    distinct = list(dict.fromkeys(grams))
-    size = mails.agg(F.count("*").alias("n"), F.avg("n_grams").alias("avgdl")).first()
-    lists = index.filter(F.col("gram").isin([g for g, _ in distinct]))
-    # A message counts once a gram, whatever fields have it.
-    each = lists.groupBy("gram", "rowid").agg(F.collect_set("field").alias("fields"))  # six fields at most
-    held = each.agg(*(F.count_if((F.col("gram") == g) & (F.array_contains("fields", f) if f else F.lit(True))).alias(f"df{i}") for i, (g, f) in enumerate(distinct))).first()
-    return Stats(size["n"], size["avgdl"] or 0.0, {g: held[f"df{i}"] for i, g in enumerate(distinct)})
+def stats_from_index(index, grams: list[Gram]) -> Stats:
+    """The same as ``stats``, from the dictionary of a store's snapshot: neither texts nor postings are read."""
+    return Stats(index.rows, index.length / index.rows if index.rows else 0.0, index.frequencies(list(dict.fromkeys(grams))))
 
 
 def idf(messages: int, holders: int) -> float:
@@ -83,26 +77,6 @@ def score(grams: list[Gram], s: Stats) -> Column:
     return -reduce(lambda a, b: a + b, parts)
 
 
-def gram_frequencies(index: DataFrame, name: str = "body") -> DataFrame:
-    """``(gram, messages, occurrences)`` of one field, from a postings table."""
-    return index.filter(F.col("field") == name).groupBy("gram").agg(F.count("*").alias("messages"), F.sum("tf").alias("occurrences"))
-
-
-def postings(mails: DataFrame, *keep: str) -> DataFrame:
-    """The inverted index as a table: ``(gram, field, rowid, tf)`` and columns ``keep`` of the message."""
-    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(c).alias("t")) for f, c in FOLDED.items())))
-    grams = mails.select("rowid", *keep, fields.alias("x")).select("rowid", *keep, "x.field", F.explode(X.bigrams(F.col("x.t"))).alias("gram"))
-    return grams.groupBy("gram", "field", "rowid", *keep).agg(F.count("*").alias("tf")).select("gram", "field", "rowid", "tf", *keep)
-
-
 def required_grams(q: Query) -> list[Gram]:
     """Grams, with their fields, that every match of a query has: those of its positive terms."""
     return list(dict.fromkeys((g, t.field) for t in q.terms() for g in X.bigrams_of(t.text)))
-
-
-def candidates(index: DataFrame, grams: list[Gram], *keep: str) -> DataFrame:
-    """``rowid``, and columns ``keep`` of the index, of the messages that hold every gram."""
-    wanted = list(dict.fromkeys(grams))
-    tests = [F.max((F.col("gram") == g) & ((F.col("field") == f) if f else F.lit(True))) for g, f in wanted]
-    kept = index.filter(F.col("gram").isin(sorted({g for g, _ in wanted})))
-    return kept.groupBy("rowid", *keep).agg(reduce(lambda a, b: a & b, tests).alias("all")).filter("all").select("rowid", *keep)

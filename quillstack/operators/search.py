@@ -12,7 +12,8 @@ from ..functions import text as X
 from ..model import HIT_COLUMNS, Probe, SearchResult
 from ..plans import compile as C
 from ..plans.query_language import Query, Term, parse
-from . import rank
+from . import indexed, rank
+from .store import Snapshot
 
 PROBE_CAP = 1000
 
@@ -21,15 +22,11 @@ def newest_first() -> list[Column]:
     return [F.desc("rowid"), F.asc("message_id")]
 
 
-#: Candidates of an index that are named to the scan of messages, so that it skips other months and row groups.
-NAMED = 1000
-
-
-def matches(mails: DataFrame, q: Query, whole_word: bool = False, below: int | None = None, folders: list[str] | None = None, index: DataFrame | None = None) -> DataFrame:
+def matches(mails: DataFrame, q: Query, whole_word: bool = False, below: int | None = None, folders: list[str] | None = None, index: Snapshot | None = None) -> DataFrame:
     """All messages of a query, in no order.  ``below`` pages by key; ``folders`` is an exact set.
 
-    With an ``index`` of postings, the messages that hold all bigrams of the positive terms are looked up
-    first, and only their texts are tested.
+    With an ``index``, the snapshot that ``mails`` is of, messages are read only where the grams of the positive
+    terms can be, if these are rare enough to be worth the look-up.
     """
     found = mails.filter(C.predicate(q, prune="month" in mails.columns))
     if whole_word:
@@ -38,13 +35,7 @@ def matches(mails: DataFrame, q: Query, whole_word: bool = False, below: int | N
         found = found.filter(F.col("rowid") < below)
     if folders:
         found = found.filter(F.col("folder_path").isin(folders))
-    if index is not None and (grams := rank.required_grams(q)):
-        held = rank.candidates(index, grams, "month")
-        few = held.limit(NAMED + 1).collect()
-        if len(few) > NAMED:
-            return found.join(held, ["month", "rowid"], "left_semi")
-        found = found.filter(F.col("month").isin(sorted({r["month"] for r in few})) & F.col("rowid").isin(sorted(r["rowid"] for r in few)))
-    return found
+    return found if index is None else indexed.narrowed(found, index, q)
 
 
 def top(found: DataFrame, limit: int, q: Query | None = None, stats: rank.Stats | None = None) -> DataFrame:
@@ -69,29 +60,42 @@ def search(
     folders: list[str] | None = None,
     relevance_candidates: int | None = None,
     now: datetime | None = None,
-    index: DataFrame | None = None,
+    index: Snapshot | None = None,
 ) -> SearchResult:
     """Runs a query.  ``relevance_candidates`` ranks only so many of the newest matches; otherwise all are ranked.
 
-    With an ``index``, candidates and the statistics of a ranking come from there.
+    With an ``index``, the snapshot that ``mails`` is of, newest matches are looked for from the last month on, the best
+    from the most promising slice on, and of a query with a gram that no message has no text is read.
     """
     began = time.perf_counter()
     q = parse(raw, now)
     warnings = [*q.warnings, *(f"{t.label!r} is too short for the index; it was searched in the text" for t in q.terms() if not X.bigrams_of(t.text))]
     found = matches(mails, q, whole_word, below, folders, index)
+    columns = list(HIT_COLUMNS)
     if sort == "relevance" and (grams := rank.query_grams(q)):
+        page = None
         if relevance_candidates is not None:
             found = found.orderBy(*newest_first()).limit(relevance_candidates)
-        stats = rank.stats(mails, grams) if index is None else rank.stats_from_index(mails, index, grams)
-        page = hits(top(found, limit + 1, q, stats), "score")
+        elif index is not None:
+            whole = matches(index.all_rows(), q, whole_word, below, folders)
+            page = indexed.best(whole, index, q, limit + 1, [F.asc("score"), *newest_first()], columns)
+        if page is None:
+            stats = rank.stats(mails, grams) if index is None else rank.stats_from_index(index, grams)
+            rows = hits(top(found, limit + 1, q, stats), "score").collect()
+        else:
+            rows = page.rows
+        schema = hits(mails.withColumn("score", F.lit(0.0)), "score").schema
     else:
         if sort == "relevance":
             warnings.append("nothing to rank by; newest first")
-        page = hits(top(found, limit + 1))
-    rows = page.collect()  # a page, in order
-    result = SearchResult(mails.sparkSession.createDataFrame(rows[:limit], page.schema), warnings, len(rows) > limit)
+        if index is None:
+            rows = hits(top(found, limit + 1)).collect()  # a page, in order
+        else:
+            rows = indexed.newest(found, index, limit + 1, newest_first(), columns).rows
+        schema = hits(mails).schema
+    result = SearchResult(mails.sparkSession.createDataFrame(rows[:limit], schema), warnings, len(rows) > limit)
     if not rows:
-        result.diagnosis = diagnose(mails, q)
+        result.diagnosis = diagnose(mails, q, index=index)
         if whole_word and matches(mails, q, False, below, folders).limit(1).count():
             result.warnings.append("whole-word matching left no message")
     result.elapsed_ms = (time.perf_counter() - began) * 1000
@@ -116,7 +120,14 @@ def diagnosis_frame(mails: DataFrame, q: Query, cap: int = PROBE_CAP) -> DataFra
     return one.select(rows.alias("r")).select("r.label", "r.n", X.count_text(F.col("r.n"), cap).alias("count"), (F.col("r.n") == 0).alias("culprit"))
 
 
-def diagnose(mails: DataFrame, q: Query, cap: int = PROBE_CAP) -> list[Probe]:
+def diagnose(mails: DataFrame, q: Query, cap: int = PROBE_CAP, index: Snapshot | None = None) -> list[Probe]:
+    """With an ``index``, terms with a gram that no message has are told from the dictionary, and nothing else is read if these are all there is."""
+    absent = set()
+    if index is not None:
+        held = index.frequencies(list(dict.fromkeys(rank.required_grams(q))))
+        absent = {t.label for t in q.terms() if any(held[g, t.field] == 0 for g in X.bigrams_of(t.text))}
+        if absent and len(probes(q)) == len(q.terms()) and absent == {t.label for t in q.terms()}:
+            return [Probe(t.label, "0건", True) for t in q.terms()]
     return [Probe(r["label"], r["count"], r["culprit"]) for r in diagnosis_frame(mails, q, cap).collect()]
 
 
@@ -139,10 +150,6 @@ def list_folders(mails: DataFrame) -> DataFrame:
     return mails.select("folder_path").filter("folder_path <> ''").distinct().orderBy("folder_path")
 
 
-def get_full(mails: DataFrame, message_id: str) -> DataFrame:
-    return mails.filter(F.col("message_id") == message_id)
-
-
 def by_keys(mails: DataFrame, keys: DataFrame, on: str = "rowid") -> DataFrame:
     """Messages whose key is in a table of keys, newest first."""
     return mails.join(keys.select(on), on, "left_semi").orderBy(*newest_first())

@@ -1,12 +1,15 @@
-"""The ``mails`` table and its bigram index as immutable snapshots, the ingest manifest and the error log.
-
-Both tables are partitioned by month and, below that, by the upsert that wrote the month; files of
-``mails`` are sorted by key, those of the index by gram.  An upsert writes anew only the months that it
-touches and then publishes the next numbered pointer, which names the valid writing of each month.  A
-pointer is written under another name and renamed to a number that must be free, so readers see one
-state or the other whole, of two writers the later one starts over, and a crash at any point leaves
-the state before.  An upsert that is repeated changes nothing.  Of rows with one id the last by
-container and place wins.
+"""The ``mails`` table and its bigram index as levels of immutable segments, the state log and the error log.
+
+An upsert writes one segment and nothing else: its messages by month, sorted by key; blocks of postings and what
+they add to and take from the dictionary of grams; a directory from ids to keys and months; and a list of the older
+rows that its messages replace.  Readers leave out rows that a later segment lists.  When the newest segments
+come to as much as those before them, they are merged into one, so a message is written anew a number of times
+that grows with the logarithm of the store.
+
+The next numbered pointer then names the valid segments.  It is written under another name and renamed to a number
+that must be free, so readers see one state or the other whole, of two writers the later one starts over, and
+a crash at any point leaves the state before.  An upsert that is repeated changes nothing but the levels.  Of rows
+with one id the last by container and place wins; a message keeps its key unless its date changes.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import re
 import time
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +31,11 @@ from ..config import Settings
 from ..functions import text as X
 from ..model import ERROR_SCHEMA, MAILS_SCHEMA
 from ..plans.compile import with_search_columns
-from . import rank
+from ..shared import batch_rows
+from . import blocks as B
+from . import keys as K
 
 STATES = ("PARSING", "WRITING", "COMPLETED", "FAILED")
-INDEX_SCHEMA = "gram string, field string, rowid long, tf long, month string"
 STATE_SCHEMA = "path string, size long, mtime double, status string, mails_written long, error string, updated_at long"
 
 
@@ -115,132 +120,314 @@ def last_per_id(mails: DataFrame) -> DataFrame:
     return mails.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 
-#: Keys that are told apart together: a power of two of neighbouring ones, well above the messages of one second.
-KEY_SLOTS = 1 << 14
+def retry(action, attempts: int, waits: tuple[float, ...], transient=lambda e: "conflict" in str(e).lower()):
+    """Repeats ``action`` after errors that pass by themselves."""
+    for n in range(attempts):
+        try:
+            return action()
+        except Exception as e:
+            if n + 1 == attempts or not transient(e):
+                raise
+            time.sleep(waits[min(n, len(waits) - 1)])
 
 
-def distinct_keys(rows: DataFrame, base: Column) -> DataFrame:
-    """``rows`` with a ``rowid`` of their own each: ``base``, or where that is taken a following key, in order of ids.
+#: Segments that are merged together at least, and rows below which sizes do not matter.
+FANOUT, SMALL = 4, 1000
+#: Rows that an upsert or a lookup names to a scan, which then skips files and row groups; beyond that it joins.
+NAMED = 1000
+TABLES = ("data", "blocks", "grams", "ids", "gone")
+IDS_SCHEMA = "hash long, message_id string, rowid long, month string, date_utc long"
+GONE_SCHEMA = "rowid long, month string"
 
-    Ranges of ``KEY_SLOTS`` neighbouring keys are dealt with by themselves, so that no task has more than
-    those of a part of one second.  Within one, keys go up until they are free, and those that would leave
-    the range at its end take the last free ones in it; only if a range has more rows than keys do they leave it.
-    """
-    upto = W.partitionBy("__range").orderBy("__base", "message_id")
-    ranged = rows.withColumn("__base", base).withColumn("__range", F.floor(F.col("__base") / KEY_SLOTS))
-    placed = ranged.withColumn("__n", F.row_number().over(upto)).withColumn("__all", F.count("*").over(W.partitionBy("__range")))
-    up = F.max(F.col("__base") - F.col("__n")).over(upto.rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("__n")
-    last = (F.col("__range") + 1) * KEY_SLOTS - F.col("__all") + F.col("__n") - 1
-    key = F.when(F.col("__all") <= KEY_SLOTS, F.least(up, last)).otherwise(up)
-    return placed.withColumn("rowid", key.cast("long")).drop("__base", "__range", "__n", "__all")
 
+def _schema(fields: str) -> T.StructType:
+    return T.StructType.fromDDL(fields)
 
-def separate_keys(mails: DataFrame) -> DataFrame:
-    """``mails`` with keys from date and id, no two alike."""
-    return distinct_keys(mails, X.row_key(F.col("date_utc"), F.col("message_id"))).select(*mails.columns)
 
+def among(column: str, numbers: list[int]) -> Column:
+    """Whether a column is one of some numbers, as one expression whatever their number."""
+    return F.expr(f"{column} in ({', '.join(f'{n}L' for n in sorted(numbers))})") if numbers else F.lit(False)
 
-def merge(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """``base`` with the rows of ``updates``, of one an id, put in by id."""
-    return base.join(updates.select("message_id"), "message_id", "left_anti").unionByName(updates)
 
+def named(places: list) -> Column:
+    """Whether a row is one of ``places(month, rowid)``; the months choose folders."""
+    return F.col("month").isin(sorted({p["month"] for p in places})) & among("rowid", [p["rowid"] for p in places])
 
-def merge_counts(base: DataFrame, updates: DataFrame) -> DataFrame:
-    """``(inserted, updated)`` of an upsert, from the ids alone."""
-    known = base.select("message_id", F.lit(True).alias("known"))
-    joined = updates.select("message_id").distinct().join(known, "message_id", "left")
-    return joined.agg(F.count_if(F.col("known").isNull()).alias("inserted"), F.count_if("known").alias("updated"))
 
+def _few(rows: DataFrame) -> list:
+    """All rows if they can be named, else more than that."""
+    return rows.limit(NAMED + 1).collect()
 
-def retry(action, attempts: int, waits: tuple[float, ...], transient=lambda e: "conflict" in str(e).lower()):
-    """Repeats ``action`` after errors that pass by themselves."""
-    for n in range(attempts):
-        try:
-            return action()
-        except Exception as e:
-            if n + 1 == attempts or not transient(e):
-                raise
-            time.sleep(waits[min(n, len(waits) - 1)])
+
+class Snapshot:
+    """One state of a store: what a pointer names."""
+
+    def __init__(self, store: MailStore, version: int):
+        self.store, self.spark, self.version = store, store.spark, version
+        named = json.loads(store.files.read(f"{store.pointers}/{version:012d}.json")) if version else {}
+        self.segments: list[dict] = named.get("segments", [])
+        self.rows, self.length = named.get("rows", 0), named.get("length", 0)
+        self._ascii: dict | None = None
+
+    def months(self) -> dict[str, int]:
+        """Months that have messages, with the greatest key of each."""
+        out: dict[str, int] = {}
+        for s in self.segments:
+            for month, (_, last) in s["months"].items():
+                out[month] = max(out.get(month, last), last)
+        return out
+
+    def _read(self, table: str, schema: T.StructType, segments: list[dict] | None = None) -> DataFrame:
+        """A table of the segments, with ``seq`` of each: later ones are greater."""
+        segments = [s for s in (self.segments if segments is None else segments) if table != "gone" or s["gone"]]
+        whole = T.StructType([*schema.fields, T.StructField("seg", T.StringType())])
+        if not segments:
+            return self.spark.createDataFrame([], whole).withColumn("seq", F.lit(0).cast("long")).drop("seg")
+        base = f"{self.store.root}/{table}"
+        read = self.spark.read.schema(whole).option("basePath", base).parquet(*(f"{base}/seg={s['id']}" for s in segments))
+        # The segment is a folder, so this reads nothing.
+        number = F.element_at(F.create_map(*(F.lit(x) for s in segments for x in (s["id"], s["seq"]))), F.col("seg"))
+        return read.withColumn("seq", number.cast("long")).drop("seg")
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """``rows(rowid, month, seq, ...)`` without those that a later segment replaces."""
+        if not any(s["gone"] for s in self.segments[1:]):
+            return rows
+        gone = self._read("gone", _schema(GONE_SCHEMA)).select(F.col("rowid").alias("__rowid"), F.col("month").alias("__month"), F.col("seq").alias("__seq"))
+        return rows.join(gone, (rows["month"] == gone["__month"]) & (rows["rowid"] == gone["__rowid"]) & (rows["seq"] < gone["__seq"]), "left_anti")
+
+    def all_rows(self, segments: list[dict] | None = None) -> DataFrame:
+        """Live messages with ``seq``."""
+        return self._live(self._read("data", self.store.schema, segments)).select(*self.store.schema.fieldNames(), "seq")
+
+    def mails(self) -> DataFrame:
+        """The current table with its search columns; empty before the first upsert."""
+        return self.all_rows().drop("seq")
+
+    def blocks(self, segments: list[dict] | None = None) -> DataFrame:
+        """Blocks of postings with ``seq``; they speak of replaced messages too."""
+        return self._read("blocks", _schema(B.SCHEMA), segments)
+
+    def postings(self) -> DataFrame:
+        """The current bigram index: ``(gram, field, rowid, tf, month)``."""
+        return self._live(B.postings(self.blocks(), "month", "seq")).drop("seq")
+
+    def dictionary(self) -> DataFrame:
+        """``(gram, field, messages, occurrences)`` of the live messages; field ``''`` is all of them together."""
+        each = self._read("grams", _schema(B.DICTIONARY)).groupBy("gram", "field").agg(F.sum("messages").alias("messages"), F.sum("occurrences").alias("occurrences"))
+        return each.filter("messages > 0")
+
+    def frequencies(self, grams: list[tuple[str, str | None]]) -> dict[tuple[str, str | None], int]:
+        """How many live messages have each gram (in a field); from the dictionary alone.
+
+        Those of ASCII grams are read once a state: there are 36 * 36 grams in 7 places at most.
+        """
+        held = {}
+        plain = [g for g in grams if g[0].isascii()]
+        if plain and self._ascii is None:
+            ascii_only = self.dictionary().filter(F.col("gram").rlike("^[0-9a-z]{2}$"))
+            self._ascii = {(r["gram"], r["field"] or None): r["messages"] for r in ascii_only.collect()}
+        held |= {g: (self._ascii or {}).get(g, 0) for g in plain}
+        if others := [g for g in grams if not g[0].isascii()]:
+            found = self.dictionary().filter(F.col("gram").isin(sorted({g for g, _ in others}))).collect()  # seven rows a gram
+            found = {(r["gram"], r["field"] or None): r["messages"] for r in found}
+            held |= {g: found.get(g, 0) for g in others}
+        return held
+
+    def directory(self) -> DataFrame:
+        """``(hash, message_id, rowid, month, date_utc, seq)``: every place that an id has had; the last by ``seq`` is valid."""
+        return self._read("ids", _schema(IDS_SCHEMA))
+
+    def locate(self, ids: DataFrame) -> DataFrame:
+        """``(message_id, rowid, month, date_utc)`` of those of ``ids(message_id)`` that are there."""
+        wanted = ids.select("message_id").distinct().withColumn("hash", F.xxhash64("message_id"))
+        few = _few(wanted)
+        found = self.directory()
+        if len(few) <= NAMED:  # statistics and Bloom filters of the directory leave out what cannot have them
+            found = found.filter(among("hash", [r["hash"] for r in few]) & F.col("message_id").isin([r["message_id"] for r in few]))
+        else:
+            found = found.join(wanted, ["hash", "message_id"], "left_semi")
+        last = F.max_by(F.struct("rowid", "month", "date_utc"), "seq").alias("x")
+        return found.groupBy("message_id").agg(last).select("message_id", "x.*")
+
+    def get(self, message_id: str) -> DataFrame:
+        """The message with an id: a look into the directory, then one key of one month."""
+        places = self.locate(self.spark.createDataFrame([(message_id,)], "message_id string")).collect()
+        return self.at(places)
+
+    def at(self, places: list) -> DataFrame:
+        """Messages at named ``(month, rowid)``."""
+        return self.mails().filter(named(places))
+
+    def lookup(self, ids: DataFrame) -> DataFrame:
+        """The messages of ``ids(message_id)``, newest first."""
+        places = self.locate(ids).select("month", "rowid")
+        few = _few(places)
+        found = self.at(few) if len(few) <= NAMED else self.mails().join(places, ["month", "rowid"], "left_semi")
+        return found.orderBy(F.desc("rowid"))
 
 
 class MailStore:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
         self.spark, self.root, self.settings, self.files = spark, root.rstrip("/"), settings or Settings(), _Files(spark)
-        self.pointers, self.data, self.index = f"{self.root}/pointers", f"{self.root}/data", f"{self.root}/index"
+        self.pointers = f"{self.root}/pointers"
+        self._seen: Snapshot | None = None
 
     def version(self) -> int:
         """The number of the newest pointer; 0 before the first upsert."""
         return max((int(n[:-5]) for n in self.files.names(self.pointers) if re.fullmatch(r"\d+\.json", n)), default=0)
 
-    def months(self, version: int | None = None) -> dict[str, str]:
-        """The valid writing of each month."""
-        version = self.version() if version is None else version
-        return json.loads(self.files.read(f"{self.pointers}/{version:012d}.json")) if version else {}
+    def snapshot(self) -> Snapshot:
+        """The newest state."""
+        version = self.version()
+        if self._seen is None or self._seen.version != version:
+            self._seen = Snapshot(self, version)
+        return self._seen
 
-    def _empty(self) -> DataFrame:
-        return with_search_columns(self.spark.createDataFrame([], MAILS_SCHEMA), self.settings.strip_quoted_replies)
+    def months(self) -> list[str]:
+        return sorted(self.snapshot().months())
 
-    def _valid(self, path: str, empty: DataFrame, months: dict[str, str]) -> DataFrame:
-        if not months:
-            return empty
-        schema = T.StructType([*(f for f in empty.schema.fields if f.name != "month"), T.StructField("month", T.StringType()), T.StructField("snap", T.StringType())])
-        table = self.spark.read.schema(schema).parquet(path)
-        # Both columns are folders, so this chooses folders and no rows.
-        return table.filter(F.concat_ws("/", "month", "snap").isin([f"{m}/{s}" for m, s in months.items()])).select(*empty.columns)
+    @cached_property
+    def schema(self) -> T.StructType:
+        """Of messages with their search columns; the month, a folder, comes last."""
+        return with_search_columns(self.spark.createDataFrame([], MAILS_SCHEMA), self.settings.strip_quoted_replies).schema
 
     def mails(self) -> DataFrame:
-        """The current table with its search columns; empty before the first upsert."""
-        return self._valid(self.data, self._empty(), self.months())
+        return self.snapshot().mails()
 
     def postings(self) -> DataFrame:
-        """The current bigram index: ``(gram, field, rowid, tf, month)``."""
-        return self._valid(self.index, self.spark.createDataFrame([], INDEX_SCHEMA), self.months())
+        return self.snapshot().postings()
 
     def upsert(self, updates: DataFrame) -> UpsertCounts:
-        return retry(lambda: self._upsert(updates), self.settings.retry_max_attempts, self.settings.retry_backoff_seconds)
+        counts = retry(lambda: self._upsert(updates), self.settings.retry_max_attempts, self.settings.retry_backoff_seconds)
+        self.compact()
+        return counts
+
+    def _drafts(self, folder: str):
+        """A function that writes frames below ``folder`` and reads them back."""
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            path = f"{folder}/{name}-{uuid.uuid4().hex[:8]}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        return write
 
     def _upsert(self, updates: DataFrame) -> UpsertCounts:
-        version = self.version()
-        before = self.months(version)
-        snap = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-        # The new rows are normalised once; what follows reads them back.
-        draft, empty = f"{self.root}/drafts/{snap}", self._empty()
+        now, seg = self.snapshot(), f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        folder = f"{self.root}/drafts/{seg}"
+        write = self._drafts(folder)
         try:
-            prepared = with_search_columns(last_per_id(updates).select(*MAILS_SCHEMA.fieldNames()), self.settings.strip_quoted_replies)
-            prepared.write.parquet(draft)
-            fresh = self.spark.read.schema(empty.schema).parquet(draft)
-            base = self._valid(self.data, empty, before)
-            counts = merge_counts(base, fresh).first()
-            moved = base.join(fresh.select("message_id"), "message_id", "left_semi").select("month")
-            touched = sorted(r[0] for r in fresh.select("month").union(moved).distinct().collect())  # months
-            # Unchanged rows keep their folded text: only new rows pass through the fold.
-            merged = separate_keys(merge(base.filter(F.col("month").isin(touched)), fresh)).withColumn("snap", F.lit(snap))
-            # A rebalance keeps a month together but splits a large one.
-            merged.hint("rebalance", "month").sortWithinPartitions("month", F.desc("rowid")).write.mode("append").partitionBy("month", "snap").option("compression", "zstd").parquet(self.data)
-            written = {m: snap for m in touched if self.files.exists(f"{self.data}/month={m}/snap={snap}")}
-            index = rank.postings(self._valid(self.data, empty, written), "month").withColumn("snap", F.lit(snap))
-            index.hint("rebalance", "month", "gram").sortWithinPartitions("month", "gram", "field", "rowid").write.mode("append").partitionBy("month", "snap").option("compression", "zstd").parquet(self.index)
+            # The new rows are normalised once; what follows reads them back.
+            fresh = write(with_search_columns(last_per_id(updates).select(*MAILS_SCHEMA.fieldNames()), self.settings.strip_quoted_replies), "fresh").drop("rowid")
+            known = write(now.locate(fresh), "known") if now.segments else None
+            new, kept = fresh, None
+            if known is not None:
+                same = known.select("message_id", "date_utc", "rowid")
+                kept = fresh.select("message_id", "date_utc").join(same, ["message_id", "date_utc"]).select("message_id", "rowid")
+                new = fresh.join(kept, "message_id", "left_anti")
+            base = X.row_key(F.col("date_utc"), F.col("message_id"))
+            keys = K.allocate(new.select("message_id", "date_utc"), base, write, now.mails().select("rowid") if known is not None else None).select("message_id", "rowid")
+            keys = keys if kept is None else keys.unionByName(kept)
+            rows = fresh.join(keys, "message_id").select(*self.schema.fieldNames())
+            segment = self._write(seg, rows, known.select("rowid", "month") if known is not None else None, now)
+        except BaseException:
+            self._drop(seg)
+            raise
         finally:
-            self.files.delete(draft)
-        after = {m: s for m, s in before.items() if m not in touched} | written
-        if not self.files.create(f"{self.pointers}/{version + 1:012d}.json", json.dumps(after, sort_keys=True)):
-            self._drop(written)
+            self.files.delete(folder)
+        updated = segment["gone"]
+        if not segment["rows"]:
+            self._drop(seg)
+            return UpsertCounts(0, 0)
+        after = {"segments": [*now.segments, {k: segment[k] for k in ("id", "seq", "rows", "gone", "months")}], "rows": now.rows + segment["rows"] - updated, "length": now.length + segment["length"]}
+        self._publish(now, after, seg)
+        return UpsertCounts(segment["rows"] - updated, updated)
+
+    def _write(self, seg: str, rows: DataFrame, gone: DataFrame | None, now: Snapshot, merged: list[dict] | None = None) -> dict:
+        """Writes all tables of a segment; with ``merged``, one that stands for those segments."""
+        path = lambda table: f"{self.root}/{table}/seg={seg}"
+        zstd = lambda df: df.write.option("compression", "zstd").option("parquet.writer.version", "v2")
+        # A rebalance keeps a month together but splits a large one.
+        zstd(rows.hint("rebalance", "month").sortWithinPartitions("month", F.desc("rowid"))).partitionBy("month").parquet(path("data"))
+        if not self.files.exists(path("data")) or not self.files.folders(f"{path('data')}/month=*"):
+            return {"rows": 0, "gone": 0}
+        data = self.spark.read.schema(self.schema).parquet(path("data"))
+        facts = data.groupBy("month").agg(F.count("*").alias("n"), F.max("rowid").alias("last")).collect()  # one row a month
+        with batch_rows(self.spark, B.SLICE):
+            zstd(B.blocks(data).hint("rebalance", "month", "gram").sortWithinPartitions("month", "gram", "field", "slice")).partitionBy("month").parquet(path("blocks"))
+        blocks = self.spark.read.schema(_schema(B.SCHEMA)).parquet(path("blocks")) if self.files.folders(f"{path('blocks')}/month=*") else self.spark.createDataFrame([], B.SCHEMA)
+        words, n_gone = B.dictionary(blocks), 0
+        if merged is not None:
+            words = now._read("grams", _schema(B.DICTIONARY), merged).drop("seq")
+            ids = now._read("ids", _schema(IDS_SCHEMA), merged)
+            ids = ids.groupBy("hash", "message_id").agg(F.max_by(F.struct("rowid", "month", "date_utc"), "seq").alias("x")).select("hash", "message_id", "x.*")
+        else:
+            ids = data.select(F.xxhash64("message_id").alias("hash"), "message_id", "rowid", "month", "date_utc")
+        if gone is not None:
+            zstd(gone).parquet(path("gone"))
+            gone = self.spark.read.schema(GONE_SCHEMA).parquet(path("gone"))
+            few = _few(gone)
+            n_gone = len(few) if len(few) <= NAMED else gone.count()
+            if merged is None and n_gone:  # what the rows that are replaced had
+                replaced = now.at(few) if len(few) <= NAMED else now.mails().join(gone, ["month", "rowid"], "left_semi")
+                words = words.unionByName(B.dictionary(B.blocks(replaced.sortWithinPartitions("month", F.desc("rowid"))), -1))
+        words = words.groupBy("gram", "field").agg(F.sum("messages").alias("messages"), F.sum("occurrences").alias("occurrences"))
+        words = words.filter("messages <> 0 or occurrences <> 0")
+        with batch_rows(self.spark, B.SLICE):
+            zstd(words.hint("rebalance", "gram").sortWithinPartitions("gram", "field")).parquet(path("grams"))
+        words = self.spark.read.schema(B.DICTIONARY).parquet(path("grams"))
+        length = words.filter(F.col("field") == B.ALL).agg(F.sum("occurrences")).first()[0] or 0
+        n = sum(f["n"] for f in facts)
+        bloom = {"enabled": "true", "expected.ndv": str(n), "adaptive.enabled": "true"}
+        directory = zstd(ids.repartitionByRange("hash").sortWithinPartitions("hash"))
+        directory.options(**{f"parquet.bloom.filter.{k}" + ("" if k.startswith("adaptive") else "#message_id"): v for k, v in bloom.items()}).parquet(path("ids"))
+        return {"id": seg, "rows": n, "gone": n_gone, "seq": max((s["seq"] for s in now.segments), default=0) + 1, "months": {f["month"]: [f["n"], f["last"]] for f in facts}, "length": length}
+
+    def _publish(self, now: Snapshot, after: dict, seg: str) -> None:
+        if not self.files.create(f"{self.pointers}/{now.version + 1:012d}.json", json.dumps(after, sort_keys=True)):
+            self._drop(seg)
             raise RuntimeError("conflict: another writer has changed the store")
-        return UpsertCounts(counts["inserted"], counts["updated"])
 
-    def _drop(self, months: dict[str, str]) -> None:
-        for m, s in months.items():
-            for table in (self.data, self.index):
-                self.files.delete(f"{table}/month={m}/snap={s}")
+    def _drop(self, seg: str) -> None:
+        for table in TABLES:
+            self.files.delete(f"{self.root}/{table}/seg={seg}")
+
+    def compact(self, everything: bool = False) -> bool:
+        """Merges the newest segments if they are due, or all; whether it did.  Another writer's upsert meanwhile goes first."""
+        now = self.snapshot()
+        first, size = len(now.segments), 0
+        for i in range(len(now.segments) - 1, -1, -1):
+            if not everything and now.segments[i]["rows"] > FANOUT * max(size, SMALL):
+                break
+            first, size = i, size + now.segments[i]["rows"]
+        chosen = now.segments[first:]
+        if len(chosen) < (2 if everything else FANOUT):
+            return False
+        seg = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+        older = now.segments[:first]
+        gone = now._read("gone", _schema(GONE_SCHEMA), chosen).select("rowid", "month").distinct() if older and any(s["gone"] for s in chosen) else None
+        try:
+            segment = self._write(seg, now.all_rows(chosen).drop("seq"), gone, now, chosen)
+            if not segment["rows"]:
+                raise RuntimeError("conflict: nothing is left of these segments")
+            made = {k: segment[k] for k in ("id", "rows", "gone", "months")} | {"seq": chosen[-1]["seq"]}
+            self._publish(now, {"segments": [*older, made], "rows": now.rows, "length": now.length}, seg)
+        except RuntimeError as e:
+            if "conflict" not in str(e):
+                raise
+            self._drop(seg)
+            return False
+        return True
 
     def vacuum(self, older_than_s: float = 24 * 3600) -> int:
-        """Deletes writings that are no longer valid and older than that, and pointers before the newest; returns the number of writings."""
+        """Deletes segments that are no longer valid and older than that, and pointers before the newest; returns the number of segments."""
         version = self.version()
-        valid, limit, gone = self.months(version), (time.time() - older_than_s) * 1000, 0
-        for path in self.files.folders(f"{self.data}/month=*/snap=*"):
-            month, snap = (x.partition("=")[2] for x in path.rsplit("/", 2)[1:])
-            if valid.get(month) != snap and int(snap.partition("-")[0]) < limit:
-                self._drop({month: snap})
+        valid, limit, gone = {s["id"] for s in self.snapshot().segments}, (time.time() - older_than_s) * 1000, 0
+        for path in self.files.folders(f"{self.root}/data/seg=*"):
+            seg = path.rsplit("/", 1)[1].partition("=")[2]
+            if seg not in valid and int(seg.partition("-")[0]) < limit:
+                self._drop(seg)
                 gone += 1
         for name in self.files.names(self.pointers):
             if re.fullmatch(r"\d+\.json", name) and int(name[:-5]) < version:

@@ -20,7 +20,7 @@ from .functions import decode as D
 from .functions import mime as M
 from .functions import text as X
 from .model import HIT_COLUMNS, MAILS_SCHEMA
-from .operators import export, rank, search, store
+from .operators import export, indexed, keys, rank, search, store
 from .plans.query_language import Term, parse
 from .shared import shared_root
 from .sources import discovery, readers
@@ -135,7 +135,7 @@ def _register_search(name: str, raw: str, where: str, **options) -> None:
     whole = options.get("whole_word", False)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        index = stored(spark, sf_dir).postings() if options.get("indexed") else None
+        index = stored(spark, sf_dir).snapshot() if options.get("indexed") else None
         return _hits(search.matches(prepared(spark, sf_dir), parse(raw, NOW), whole, options.get("below"), options.get("folders"), index))
 
     query(name, f"{VIEW} SELECT {_HITS} FROM s WHERE {where}")(run)
@@ -145,6 +145,13 @@ def _day(n: int) -> int:
     return 1704067200 + n * 86400
 
 
+@query("search_indexed_rare", f"{VIEW} SELECT {_HITS} FROM s WHERE contains(f_attachments, 'file48') AND contains(f_from, 'src8')")
+def _indexed_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looked up however small the store is."""
+    now, q = stored(spark, sf_dir).snapshot(), parse("filename:file48 from:src8", NOW)
+    return _hits(indexed.narrowed(search.matches(now.mails(), q), now, q, worth=0))
+
+
 for _name, _raw, _where, _options in [
     ("search_bare", "license", "contains(f_all, 'license')", {}),
     ("search_and", "license the", "contains(f_all, 'license') AND contains(f_all, 'the')", {}),
@@ -198,14 +205,20 @@ for _name, _raw, _where, _options in [
 # Top-k and ranking --------------------------------------------------------------------------------
 
 
+def _page(spark: SparkSession, sf_dir: str, raw: str, **options) -> DataFrame:
+    """A page of 20 as the command line has it."""
+    now = stored(spark, sf_dir).snapshot()
+    return _hits(search.search(now.mails(), raw, 20, now=NOW, index=now, **options).hits)
+
+
 @query("search_topk_date", f"{VIEW} SELECT {_HITS} FROM s WHERE contains(f_all, 'the') ORDER BY rowid DESC, message_id LIMIT 20")
 def _topk_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(search.top(search.matches(prepared(spark, sf_dir), parse("the", NOW)), 20))
+    return _page(spark, sf_dir, "the")
 
 
 @query("search_page_keyset", f"{VIEW} SELECT {_HITS} FROM s WHERE contains(f_all, 'the') AND rowid < {_day(25) << 20} ORDER BY rowid DESC, message_id LIMIT 20")
 def _page_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(search.top(search.matches(prepared(spark, sf_dir), parse("the", NOW), below=_day(25) << 20), 20))
+    return _page(spark, sf_dir, "the", below=_day(25) << 20)
 
 
 def _grams_sql(column: str) -> str:
@@ -237,7 +250,7 @@ _ROUNDED = "CAST(round(score * 1e9) AS BIGINT) AS score9"
 def _register_ranked(name: str, raw: str, grams: list[tuple[str, list[str], str]], where: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         table, q = prepared(spark, sf_dir), parse(raw, NOW)
-        stats = rank.stats_from_index(table, stored(spark, sf_dir).postings(), rank.query_grams(q))
+        stats = rank.stats_from_index(stored(spark, sf_dir).snapshot(), rank.query_grams(q))
         scored = search.matches(table, q).withColumn("score", rank.score(rank.query_grams(q), stats))
         return scored.select("message_id", F.round(F.col("score") * 1e9).cast("long").alias("score9"))
 
@@ -256,8 +269,10 @@ _register_ranked("search_relevance_repeated", "con con", [("co", _FIELDS, "f_all
 def _relevance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    table, q = prepared(spark, sf_dir), parse("license", NOW)
-    page = search.top(search.matches(table, q), 40, q, rank.stats(table, rank.query_grams(q)))
+    now, q = stored(spark, sf_dir).snapshot(), parse("license", NOW)
+    whole = search.matches(now.all_rows(), q)
+    found = indexed.best(whole, now, q, 40, [F.asc("score"), *search.newest_first()], ["message_id", "rowid"])
+    page = spark.createDataFrame(found.rows, "message_id string, rowid long, score double")
     page = page.withColumn("score9", F.round(F.col("score") * 1e9).cast("long"))
     order = W.orderBy("score9", F.desc("rowid"))  # a page of 40 rows
     return page.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 20").select("message_id", "score9", "place")
@@ -282,7 +297,7 @@ _FIELD_NAMES = dict(zip(["subject", "body", "from", "to", "cc", "attachments"],
 
 @query("bigram_frequencies", f"{VIEW}, {_all_grams_sql({'body': 'f_body'})} SELECT gram, count(DISTINCT rowid) AS messages, count(*) AS occurrences FROM g GROUP BY gram")
 def _bigram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.gram_frequencies(stored(spark, sf_dir).postings(), "body")
+    return stored(spark, sf_dir).snapshot().dictionary().filter("field = 'body'").select("gram", "messages", "occurrences")
 
 
 @query("bigram_postings", f"{VIEW}, {_all_grams_sql(_FIELD_NAMES)} SELECT gram, field, rowid, count(*) AS tf FROM g GROUP BY gram, field, rowid")
@@ -292,7 +307,7 @@ def _bigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("index_candidates", f"{VIEW} SELECT rowid FROM s WHERE contains(f_all, 'co') AND contains(f_all, 'on') AND contains(f_body, 'nd') AND contains(f_subject, 'th')")
 def _index_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.candidates(stored(spark, sf_dir).postings(), [("co", None), ("on", None), ("nd", "body"), ("th", "subject")])
+    return indexed.candidates(stored(spark, sf_dir).snapshot(), [("co", None), ("on", None), ("nd", "body"), ("th", "subject")])
 
 
 # Diagnosis and counts -----------------------------------------------------------------------------
@@ -331,18 +346,18 @@ def _whole_word_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("list_folders", f"{VIEW} SELECT DISTINCT folder_path FROM m WHERE folder_path <> ''")
 def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.list_folders(mails(spark, sf_dir))
+    return search.list_folders(prepared(spark, sf_dir))
 
 
 @query("get_full", f"{VIEW} SELECT rowid, message_id, folder_path, from_addr, to_addr, cc_addr, date_utc, subject, body, size_bytes FROM m WHERE message_id = 'doc-42'")
 def _get_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.get_full(mails(spark, sf_dir), "doc-42").select("rowid", "message_id", "folder_path", "from_addr", "to_addr", "cc_addr", "date_utc", "subject", "body", "size_bytes")
+    return stored(spark, sf_dir).snapshot().get("doc-42").select("rowid", "message_id", "folder_path", "from_addr", "to_addr", "cc_addr", "date_utc", "subject", "body", "size_bytes")
 
 
 @query("lookup_by_keys", f"{VIEW} SELECT message_id, rowid FROM m WHERE message_id IN (SELECT 'doc-' || doc_id FROM labels WHERE toxic = 1)")
 def _by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select(F.concat(F.lit("doc-"), "doc_id").alias("message_id"))
-    return search.by_keys(mails(spark, sf_dir), keys, "message_id").select("message_id", "rowid")
+    return stored(spark, sf_dir).snapshot().lookup(keys).select("message_id", "rowid")
 
 
 # Projections --------------------------------------------------------------------------------------
@@ -381,15 +396,32 @@ def _key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(before, "date_utc").agg(F.count("*").alias("pairs"), F.count_if(F.col("rowid") > F.col("before")).alias("rising"))
 
 
+def _drafts(spark: SparkSession) -> keys.Write:
+    return _new_store(spark)._drafts(f"{shared_root(spark)}/quillstack/keys-{uuid.uuid4().hex}")
+
+
 @query(
     "key_collisions",
-    """WITH k AS (SELECT doc_id // 4 * 3 AS base, 'doc-' || doc_id AS message_id FROM documents),
-n AS (SELECT *, base // 16384 AS part, row_number() OVER w AS n, count(*) OVER (PARTITION BY base // 16384) AS every FROM k WINDOW w AS (PARTITION BY base // 16384 ORDER BY base, message_id))
-SELECT message_id, least(n + max(base - n) OVER (PARTITION BY part ORDER BY base, message_id ROWS UNBOUNDED PRECEDING), CASE WHEN every <= 16384 THEN (part + 1) * 16384 - every + n - 1 ELSE 1e18 END)::BIGINT AS rowid FROM n""",
+    """WITH k AS (SELECT doc_id // 4 * 3 + 5 AS base, 'doc-' || doc_id AS message_id FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY base, message_id) AS n FROM k)
+SELECT message_id, CAST(n + max(base - n) OVER (ORDER BY base, message_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS rowid FROM n""",
 )
 def _key_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("message_id"))
-    return store.distinct_keys(d, F.floor(F.col("doc_id") / 4) * 3).select("message_id", "rowid")
+    return keys.allocate(d, F.floor(F.col("doc_id") / 4) * 3 + 5, _drafts(spark)).select("message_id", "rowid")
+
+
+@query(
+    "keys_beside_taken",
+    """WITH RECURSIVE free AS (SELECT x, row_number() OVER (ORDER BY x) AS f FROM (SELECT unnest(range(0, (SELECT 8 * max(doc_id) + 20 FROM documents))) AS x) WHERE x % 5 NOT IN (1, 2)),
+k AS (SELECT 'doc-' || doc_id AS message_id, doc_id // 4 * 3 AS base FROM documents), p AS (SELECT message_id, base, (SELECT min(f) FROM free WHERE x >= base) AS f FROM k),
+n AS (SELECT *, row_number() OVER (ORDER BY base, message_id) AS n FROM p), s AS (SELECT message_id, n + max(f - n) OVER (ORDER BY base, message_id ROWS UNBOUNDED PRECEDING) AS f FROM n)
+SELECT message_id, CAST(x AS BIGINT) AS rowid FROM s JOIN free USING (f)""",
+)
+def _keys_beside_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys of any five are taken."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("message_id"))
+    every = d.select(F.explode(F.array(*(F.col("doc_id") * 2 * 5 + i for i in (1, 2, 6, 7)))).alias("rowid"))
+    return keys.allocate(d, F.floor(F.col("doc_id") / 4) * 3, _drafts(spark), every).select("message_id", "rowid")
 
 
 # Store --------------------------------------------------------------------------------------------
@@ -466,7 +498,7 @@ def _recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("export_rows", f"{VIEW} SELECT message_id, CAST(has_attachment AS INTEGER) AS has_attachment, attachments AS attachment_names, body FROM m")
 def _export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.flat(mails(spark, sf_dir), ["message_id", "has_attachment", "attachment_names", "body"])
+    return export.flat(prepared(spark, sf_dir), ["message_id", "has_attachment", "attachment_names", "body"])
 
 
 @query("hit_csv_rows", f"{VIEW} SELECT strftime(make_timestamp(date_utc * 1000000), '%Y-%m-%d') AS date, from_addr, subject, folder_path, attachments AS attachment_names, message_id FROM s WHERE contains(f_all, 'license')")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +26,15 @@ def shared_root(spark: SparkSession) -> str:
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Within this, Python gets at most so many rows in an Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions.text import fold_text
 from quillstack.model import MAILS_SCHEMA
-from quillstack.operators import rank, search
+from quillstack.operators import search
 from quillstack.plans.compile import FOLDED, with_search_columns
 from quillstack.plans.query_language import Either, parse
 
@@ -124,14 +124,6 @@ def test_the_predicate_agrees_with_plain_python(spark):
         assert {r[0] for r in search.matches(t, q).select("message_id").collect()} == expected, raw
 
 
-def test_index_candidates_are_a_superset(populated):
-    index = rank.postings(populated)
-    q = parse("계약서")
-    got = {r[0] for r in rank.candidates(index, rank.query_grams(q)).collect()}
-    truth = {r[0] for r in search.matches(populated, q).select("rowid").collect()}
-    assert truth <= got
-
-
 def test_filters_reach_the_scan(spark, populated, tmp_path, capsys):
     path = str(tmp_path / "mails")
     populated.write.parquet(path)

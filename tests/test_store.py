@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.config import Settings
+from quillstack.functions import text as X
 from quillstack.model import MAILS_SCHEMA
-from quillstack.operators import export, rank, search, store
+from quillstack.operators import blocks, export, indexed, keys, rank, search, store
 from quillstack.operators.normalize import errors, normalize
 from quillstack.operators.store import Manifest, MailStore
+from quillstack.plans.compile import FOLDED
 from quillstack.sources.discovery import choose_reader, discover, optional_module
 from quillstack.sources.mailbox import read_containers, read_eml
 from quillstack.sources.readers import fetch_attachment
@@ -89,35 +91,56 @@ def test_upserts(spark, boxes, tmp_path):
     assert mails.mails().count() == 6 and mails.mails().filter("subject = 'changed'").count() == 1
 
 
-def test_an_upsert_writes_only_the_months_it_touches(spark, boxes, tmp_path):
+def test_an_upsert_writes_only_what_is_new(spark, boxes, tmp_path):
     batch = normalize(read_containers(spark, [boxes(a="FAKE:4")], **OPTIONS), now=1)
     spread = batch.withColumn("date_utc", F.when(F.col("locator_json").contains("1"), 1709251200).otherwise(F.col("date_utc")).cast("long"))
     mails = MailStore(spark, str(tmp_path / "store"))
     mails.upsert(spread)
-    first = mails.months()
-    assert set(first) == {"2024-01", "2024-03"} and mails.mails().count() == 4
+    assert mails.months() == ["2024-01", "2024-03"] and mails.mails().count() == 4
+    keys = {r["message_id"]: r["rowid"] for r in mails.mails().collect()}
     mails.upsert(spread.filter("date_utc >= 1709251200").withColumn("subject", F.lit("late")))
-    second = mails.months()
-    assert second["2024-01"] == first["2024-01"] and second["2024-03"] != first["2024-03"]
+    first, second = mails.snapshot().segments
+    assert set(second["months"]) == {"2024-03"} and (second["rows"], second["gone"]) == (1, 1) and first["rows"] == 4
+    assert {r["message_id"]: r["rowid"] for r in mails.mails().collect()} == keys
     mails.upsert(spread.filter("date_utc >= 1709251200").withColumn("date_utc", F.lit(1704067200).cast("long")))  # moves to January
-    assert set(mails.months()) == {"2024-01"} and mails.mails().count() == 4
+    assert mails.mails().filter("month = '2024-03'").count() == 0 and mails.mails().count() == 4
+    assert mails.compact(everything=True) and mails.months() == ["2024-01"] and len(mails.snapshot().segments) == 1
     assert mails.vacuum(-1) == 3 and mails.mails().count() == 4
+    assert sorted(os.listdir(tmp_path / "store" / "data")) == [f"seg={mails.snapshot().segments[0]['id']}"]
     found = search.matches(mails.mails(), search.parse("after:2024-01-01 before:2024-02-01"))
     assert found.count() == 4 and "PartitionFilters: [" in found._jdf.queryExecution().toString()
+    assert not mails.compact(everything=True)
 
 
-def test_no_two_keys_are_alike(spark, monkeypatch):
-    rows = [("a", 100), ("b", 100), ("c", 101), ("d", 101), ("e", 300), ("f", 7), ("g", 7), ("h", 7)]
-    keyed = lambda rows: {r["message_id"]: r["rowid"] for r in store.distinct_keys(spark.createDataFrame(rows, "message_id string, base long"), F.col("base")).collect()}
-    got = keyed(rows)
-    assert got == {"a": 100, "b": 101, "c": 102, "d": 103, "e": 300, "f": 7, "g": 8, "h": 9}
-    edge = store.KEY_SLOTS
-    got = keyed([(f"m{i}", edge - 1 - i % 2) for i in range(6)] + [("n", edge), ("o", edge)])
-    assert sorted(got.values()) == [*range(edge - 6, edge), edge, edge + 1] and got["n"] == edge
-    monkeypatch.setattr(store, "KEY_SLOTS", 8)
-    rng = random.Random(3)
-    got = keyed([(f"m{i}", 64 * rng.randrange(50) + rng.randrange(64)) for i in range(300)])
-    assert len(set(got.values())) == len(got) == 300
+def drafts(spark, tmp_path):
+    return MailStore(spark, str(tmp_path / "keys"))._drafts(str(tmp_path / "keys" / "drafts"))
+
+
+def plain_keys(rows, taken=()):
+    used, out = set(taken), {}
+    for base, i in sorted((b, i) for i, b in rows):
+        while base in used:
+            base += 1
+        used.add(base)
+        out[i] = base
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_two_keys_are_alike(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(f"m{i}", rng.choice([7, 100, rng.randrange(400)])) for i in range(300)]
+    taken = [set(), {8}, set(range(5, 60)) | {100, 900}, {rng.randrange(700) for _ in range(300)}][seed]
+    df = spark.createDataFrame(rows, "message_id string, base long").repartition(3)
+    got = keys.allocate(df, F.col("base"), drafts(spark, tmp_path), spark.createDataFrame([(t,) for t in taken], "rowid long") if taken else None)
+    assert {r["message_id"]: r["rowid"] for r in got.collect()} == plain_keys(rows, taken)
+
+
+def test_two_million_undated_messages_have_as_many_keys(spark, tmp_path):
+    rows = spark.range(2_000_000).select(F.concat(F.lit("m"), "id").alias("message_id"), F.lit(0).cast("long").alias("date_utc"))
+    got = keys.allocate(rows, X.row_key(F.col("date_utc"), F.col("message_id")), drafts(spark, tmp_path))
+    facts = got.agg(F.count("*").alias("n"), F.count_distinct("rowid").alias("keys"), F.max("rowid").alias("last")).first()
+    assert facts["n"] == facts["keys"] == 2_000_000 and facts["last"] < 2_000_100
 
 
 def test_a_writer_that_dies_leaves_the_store_as_it_was(spark, boxes, tmp_path, monkeypatch):
@@ -155,42 +178,150 @@ def test_of_two_writers_the_later_one_starts_over(spark, boxes, tmp_path, monkey
     assert a.mails().count() == 8 and a.version() == 3
 
 
-def test_the_index_follows_the_store(spark, boxes, tmp_path):
-    root = boxes(a="FAKE:20", b="FAKE:15")
-    mails = MailStore(spark, str(tmp_path / "store"))
-    mails.upsert(normalize(read_containers(spark, [root], **OPTIONS), now=1))
-    mails.upsert(mails.mails().select(*MAILS_SCHEMA.fieldNames()).limit(3).withColumn("subject", F.lit("zebra xylophone")))
-    rows = lambda df: sorted(map(tuple, df.select("gram", "field", "rowid", "tf").collect()))
-    assert rows(mails.postings()) == rows(rank.postings(mails.mails()))
-    for raw in ("계약서", "zebra", "subject:zebra xylo", "zebra NOT xylophone", "nothing here", "a", "", "계약 OR zebra"):
+def plain_postings(mails):
+    """``(gram, field, rowid, tf)`` by the expressions that queries use."""
+    out = {}
+    for r in mails.select("rowid", *FOLDED.values()).collect():
+        for field, column in FOLDED.items():
+            for g in X.bigrams_of(r[column]):
+                out[g, field, r["rowid"]] = out.get((g, field, r["rowid"]), 0) + 1
+    return out
+
+
+def check_index(mails, raws=("계약서", "zebra", "subject:zebra xylo", "zebra NOT xylophone", "nothing here", "a", "", "계약 OR zebra", "계약 계약")):
+    now = mails.snapshot()
+    want = plain_postings(now.mails())
+    got = {(r["gram"], r["field"], r["rowid"]): r["tf"] for r in now.postings().collect()}
+    assert got == want
+    held, times = {}, {}
+    for (g, f, i), n in want.items():
+        for field in (f, ""):
+            held.setdefault((g, field), set()).add(i)
+            times[g, field] = times.get((g, field), 0) + n
+    assert {(r["gram"], r["field"]): (r["messages"], r["occurrences"]) for r in now.dictionary().collect()} == {k: (len(v), times[k]) for k, v in held.items()}
+    assert (now.rows, now.length) == now.mails().agg(F.count("*"), F.coalesce(F.sum("n_grams"), F.lit(0))).first()
+    for raw in raws:
         q = search.parse(raw)
-        keys = [sorted(r[0] for r in search.matches(mails.mails(), q, index=i).select("rowid").collect()) for i in (None, mails.postings())]
-        assert keys[0] == keys[1], raw
+        found = [sorted(r[0] for r in search.matches(now.mails(), q, index=i).select("rowid").collect()) for i in (None, now)]
+        assert found[0] == found[1], raw
         grams = rank.query_grams(q)
-        assert not grams or rank.stats(mails.mails(), grams) == rank.stats_from_index(mails.mails(), mails.postings(), grams)
-        a, b = (search.search(mails.mails(), raw, sort="relevance", index=i).hits.collect() for i in (None, mails.postings()))
-        assert a == b, raw
+        assert not grams or rank.stats(now.mails(), grams) == rank.stats_from_index(now, grams)
+        for sort in ("relevance", "date"):
+            a, b = (search.search(now.mails(), raw, sort=sort, limit=7, index=i) for i in (None, now))
+            assert a.hits.collect() == b.hits.collect() and a.more_available == b.more_available, (raw, sort)
 
 
-def test_a_selective_search_reads_few_messages(spark, tmp_path):
+def test_the_index_follows_the_store(spark, boxes, tmp_path, monkeypatch):
+    monkeypatch.setattr(indexed, "WORTH", 0)
+    root = boxes(a="FAKE:20", b="FAKE:15")
+    mails = MailStore(spark, str(tmp_path / "store"))
+    mails.upsert(normalize(read_containers(spark, [root], **OPTIONS), now=1))
+    mails.upsert(mails.mails().select(*MAILS_SCHEMA.fieldNames()).limit(3).withColumn("subject", F.lit("zebra xylophone")))
+    check_index(mails)
+
+
+def made(spark, rows):
+    """Messages ``(id, date, subject, body, container)``."""
+    df = spark.createDataFrame(rows, "message_id string, date_utc long, subject string, body string, file_path string")
+    return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in MAILS_SCHEMA.fields))
+
+
+def test_upserts_equal_a_model(spark, tmp_path, monkeypatch):
+    """Random upserts, with moves, repeats and merges of segments, against a dictionary."""
+    monkeypatch.setattr(store, "SMALL", 6)
+    monkeypatch.setattr(store, "FANOUT", 3)
+    monkeypatch.setattr(blocks, "SLICE", 4)
+    monkeypatch.setattr(indexed, "WORTH", 0)
+    monkeypatch.setattr(indexed, "OPENED", 1)
+    rng, model = random.Random(11), {}
+    words = ["zebra", "xylophone", "계약서", "가나", "aa", "banana", "é", "q"]
+    mails, most = MailStore(spark, str(tmp_path / "store")), 0
+    for step in range(7):
+        ids = [f"m{rng.randrange(40)}" for _ in range(12 if step % 3 else 25)]
+        rows = [(i, rng.choice([0, 0, 1704067200, 1706900000 + 3000000 * rng.randrange(4)]), " ".join(rng.choices(words, k=3)), " ".join(rng.choices(words, k=rng.randrange(30))), f"{step}-{k}") for k, i in enumerate(ids)]
+        last = {i: (i, d, s, b) for i, d, s, b, _ in sorted(rows, key=lambda r: r[4])}
+        counts = mails.upsert(made(spark, rows))
+        assert (counts.inserted, counts.updated) == (len(last.keys() - model.keys()), len(last.keys() & model.keys()))
+        before = {r["message_id"]: (r["date_utc"], r["rowid"]) for r in mails.mails().collect()} if step == 6 else None
+        model |= last
+        found = mails.mails().collect()
+        assert sorted((r["message_id"], r["date_utc"], r["subject"], r["body"]) for r in found) == sorted(model.values())
+        assert len({r["rowid"] for r in found}) == len(model)
+        most = max(most, len(mails.snapshot().segments))
+    assert 1 < most < 6 and mails.version() > 7  # some were merged
+    check_index(mails, ("zebra 계약서", "banana NOT xylophone", "subject:aa", "q", "zebra"))
+    places = {r["message_id"]: (r["rowid"], r["subject"]) for r in mails.mails().collect()}
+    for i in ("m1", "m7", "m39", "absent"):
+        got = [(r["rowid"], r["subject"]) for r in mails.snapshot().get(i).collect()]
+        assert got == ([places[i]] if i in places else [])
+    wanted = spark.createDataFrame([(i,) for i in [*list(places)[:9], "absent"]], "message_id string")
+    assert [r["rowid"] for r in mails.snapshot().lookup(wanted).collect()] == sorted((places[i][0] for i in list(places)[:9]), reverse=True)
+    assert before is None or {i: k for i, (_, k) in before.items()} == {i: k for i, (k, _) in places.items()}
+
+
+def folder_bytes(path, seg=""):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if seg in d)
+
+
+def spread_store(spark, tmp_path, n=4000):
+    """Messages every three hours, with words of their own, ``common`` in all and ``quetzal`` in one."""
     mails = MailStore(spark, str(tmp_path / "store"))
-    day = F.col("id") * 86400 * 3 + 1704067200
-    made = spark.range(300).select(
-        *(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("message_id", "date_utc", "body", "subject", "file_path") else {"message_id": F.concat(F.lit("m"), "id"), "date_utc": day, "body": F.concat(F.lit("text of "), F.sha2(F.col("id").cast("string"), 256)), "subject": F.when(F.col("id") == 150, "quetzal").otherwise("plain"), "file_path": F.lit("x")}[f.name].alias(f.name) for f in MAILS_SCHEMA.fields)
-    )
-    mails.upsert(made)
-    found = search.matches(mails.mails(), search.parse("quetzal"), index=mails.postings())
-    assert [r["message_id"] for r in found.collect()] == ["m150"]
-    assert len(mails.months()) > 20 and len(found.inputFiles()) > 20  # before pruning
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "month#" in plan.split("PartitionFilters: [")[1].split("]")[0]
-
-
-def test_colliding_keys_keep_both_rows(spark, boxes):
-    batch = normalize(read_containers(spark, [boxes(a="FAKE:1")], **OPTIONS), now=1)
-    both = batch.unionByName(batch).withColumn("rowid", F.lit(5).cast("long"))
-    keys = [r[0] for r in store.separate_keys(both).select("rowid").collect()]
-    assert len(set(keys)) == 2 and max(keys) - min(keys) == 1
+    rows = spark.range(n).select(F.concat(F.lit("m"), "id").alias("message_id"), (F.col("id") * 10800 + 1704067200).alias("date_utc"), F.when(F.col("id") == 150, "quetzal").otherwise("plain").alias("subject"), F.concat(F.lit("common "), F.repeat(F.sha2(F.col("id").cast("string"), 512), 3), F.repeat(F.lit(" often"), (F.col("id") % 7 == 3).cast("int") * (F.col("id") / 100).cast("int"))).alias("body"), F.lit("x").alias("file_path"))
+    rows = rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in MAILS_SCHEMA.fields))
+    mails.upsert(rows)
+    return mails, rows
+
+
+def test_what_one_row_and_one_page_cost(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "SLICE", 100)
+    mails, rows = spread_store(spark, tmp_path)
+    whole = folder_bytes(tmp_path / "store")
+    mails.upsert(rows.filter("message_id = 'm7'").withColumn("subject", F.lit("changed")))
+    written = folder_bytes(tmp_path / "store", mails.snapshot().segments[-1]["id"])
+    assert written < whole / 100, (written, whole)
+    now = mails.snapshot()
+    order, columns = search.newest_first(), ["rowid", "message_id"]
+    months = len(now.months())
+    page = indexed.newest(search.matches(now.mails(), search.parse("common")), now, 20, order, columns)
+    assert [r["message_id"] for r in page.rows] == [f"m{i}" for i in range(3999, 3979, -1)]
+    assert page.opened < months / 4  # as many as have 500 messages; here a month has up to 248
+    page = indexed.newest(search.matches(now.mails(), search.parse("quetzal")), now, 20, order, columns)
+    assert [r["message_id"] for r in page.rows] == ["m150"] and page.opened == months
+    # The best by relevance: the slices with the longest runs of the word suffice.
+    q = search.parse("often")
+    page = indexed.best(search.matches(now.all_rows(), q), now, q, 5, [F.asc("score"), *order], columns)
+    want = search.top(search.matches(now.mails(), q), 5, q, rank.stats(now.mails(), rank.query_grams(q))).select(*columns, "score").collect()
+    assert [tuple(r) for r in page.rows] == [tuple(r) for r in want] and 0 < page.opened < page.of / 2
+    # A look-up of a rare word reads few rows; a word with a gram that nobody has reads none.
+    q = search.parse("quetzal")
+    few = indexed.narrowed(search.matches(now.mails(), q), now, q, worth=0)
+    assert [r["message_id"] for r in few.collect()] == ["m150"]
+    assert "month#" in few._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert rows_scanned(few) * 10 < rows_scanned(search.matches(now.mails(), q))
+    assert indexed.narrowed(now.mails(), now, search.parse("xylophone"), worth=0).count() == 0
+    result = search.search(now.mails(), "xylophone vivid", index=now)
+    assert [(p.label, p.count, p.culprit) for p in result.diagnosis] == [("xylophone", "0건", True), ("vivid", "0건", True)]
+    assert rows_scanned(now.get("m3000")) <= 248
+
+
+def rows_scanned(df):
+    """Rows that the scans of messages in the plan have read."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+            continue
+        if name == "FileSourceScanExec" and "/data/" in node.relation().location().rootPaths().mkString(","):
+            total += node.metrics().get("numOutputRows").get().value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
 
 
 def test_stream(spark, boxes, tmp_path):
