@@ -12,8 +12,8 @@ they are equal; at 0.8 a changed word would part them anyway.
 
 In each component the first occurrence, by id and place, is kept; the others are removals.  A
 component counts only if it spans two documents, and only within runs of neighbours at its level
-(``GAP``) of together at least ``MIN_RUN`` words: shorter ones are phrases and boilerplate that documents share
-without being copies.  Lines that many documents share at any length are ``repeated_lines``, an exact
+(``GAP``) of together at least ``MIN_RUN`` words, or four fifths of their text, however short that is: other
+short ones are phrases and boilerplate that documents share without being copies.  Lines that many documents share at any length are ``repeated_lines``, an exact
 join by digest.
 
 The first pass sends eight-byte hashes only, each once a block of text.  The second pass, with a
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, materialize, quoted, release_shuffles, utf8_views
+from .common import arrow_batch_rows, blocks, discard, materialize, quoted, release_shuffles, utf8_views
 from .grams import NON_SPACE, U, Words, gram_at, mix, words
 from .minhash_join import merge_lists, signatures
 
@@ -43,6 +43,7 @@ K, BANDS, ROWS, PERCENT = 5, 5, 2, 80
 REACH, MIN_WORDS, MIN_RUN = 4, 5, 20
 GAP = 2  #: places from one paragraph of a run to the next at most: one that differs may lie between
 BITMAP_BITS = 24
+BATCH_ROWS = 1000  #: rows that go to Python at once
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -184,7 +185,7 @@ def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     table = bits.toArrow()  # at most 2 ** (BITMAP_BITS - 5) rows
     words_of[table["w"].to_numpy()] = table["m"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(words_of)
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, name long, place int, start int, end int, n_words int, cls binary, shingles binary"
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_hash long, name long, place int, start int, end int, n_words int, text_words int, cls binary, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, described = shared.value, set()
@@ -204,6 +205,7 @@ def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         chars = np.zeros(len(block) + 1, np.int32)
                         np.cumsum((block & 0xC0) != 0x80, out=chars[1:])
                         base = chars[offsets[start : end + 1] - offsets[start]]
+                        every = np.diff(np.searchsorted(p.starts, offsets[start : end + 1] - offsets[start])).astype(np.int32)
                     first, last, doc = level.first[hit], level.last[hit], level.doc[hit]
                     cls = pa.Array.from_buffers(pa.binary(16), len(hit), [None, pa.py_buffer(np.column_stack([level.name[hit], level.second[hit]]).astype(">u8").tobytes())]).cast(pa.binary())
                     sets = [None] * len(hit)
@@ -222,6 +224,7 @@ def _occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         pa.array(chars[p.starts[first]] - base[doc]),
                         pa.array(chars[p.ends[last - 1]] - base[doc]),
                         pa.array((last - first).astype(np.int32)),
+                        pa.array(every[doc]),
                         cls,
                         pa.array(sets, pa.binary()),
                     ]
@@ -256,6 +259,12 @@ def _across_documents(found: DataFrame, heads: bool = False) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int = MIN_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """See ``_repeated``; Python gets small batches, for pairs of paragraphs come with their full sets."""
+    with arrow_batch_rows(docs.sparkSession, BATCH_ROWS):
+        return _repeated(docs, percent, min_run, id_col, text_col)
+
+
+def _repeated(docs: DataFrame, percent: int, min_run: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, text_hash, level, paragraph, start, end, n_words, component_id, kept)`` of every paragraph that repeats across documents.
 
     ``paragraph`` numbers the lines and the pieces of a document, each from 0; a line and its pieces may both be there.
@@ -287,8 +296,9 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_run: int =
     new = found.withColumn("before", F.lag("place").over(row)).filter("before is null or before < place").drop("before")  # rows equal in id and text
     begins = F.coalesce(F.col("place") - F.lag("place").over(row) > GAP, F.lit(True)).cast("int")
     run = new.withColumn("begins", begins).withColumn("run", F.sum("begins").over(row)).drop("begins")
-    run = run.withColumn("run_words", F.sum("n_words").over(W.partitionBy("id", "text_hash", "level", "run"))).filter(F.col("run_words") >= min_run)
-    seen, found = found, materialize(run.drop("run", "run_words"), "repeats")
+    run = run.withColumn("run_words", F.sum("n_words").over(W.partitionBy("id", "text_hash", "level", "run")))
+    run = run.filter((F.col("run_words") >= min_run) | (100 * F.col("run_words") >= percent * F.col("text_words")))
+    seen, found = found, materialize(run.drop("run", "run_words", "text_words"), "repeats")
     discard(seen)
     release_shuffles(spark)
     found = _across_documents(found, heads=True)

@@ -274,6 +274,17 @@ def test_short_repeats_are_left_alone_but_listed(documents):
     assert repeated_lines(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("n", [5, 8, 12, 19])
+def test_short_texts_that_are_copies_as_a_whole(documents, n):
+    """A repeat under 20 words counts where it is four fifths of its text, and not within a longer one."""
+    rng = random.Random(n)
+    copy = sentence(rng, n)
+    rows = [(i, copy) for i in range(50)] + [(100, f"{copy} {'end ' * (n // 8)}"), (200, f"{sentence(rng, 40)}\n{copy}\n{sentence(rng, 40)}"), (300, sentence(rng, n))]
+    got = repeated_paragraphs(documents(rows)).filter("level = 'line'").collect()
+    assert {r["doc_id"] for r in got} - {100} == set(range(50)) and {r["component_id"] for r in got} == {0}
+    assert [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
 def test_repeats_within_one_document_stay(documents):
     rng = random.Random(9)
     passage = " ".join(sentence(rng, 12) for _ in range(3))
@@ -316,7 +327,8 @@ def test_paragraphs_against_plain_python(documents):
             follows = k and found[chosen[k - 1]][0] == found[i][0] and found[i][1] - found[chosen[k - 1]][1] <= 2
             run_of[i] = run_of[chosen[k - 1]] if follows else i
             runs[run_of[i]] += found[i][2]
-        chosen, docs_of = across([i for i in chosen if runs[run_of[i]] >= 20])
+        words_of = {d: len(word_list(t)) for d, t in rows}
+        chosen, docs_of = across([i for i in chosen if runs[run_of[i]] >= 20 or 5 * runs[run_of[i]] >= 4 * words_of[found[i][0]]])
         want |= {(kind, found[i][0], found[i][1], min(docs_of[u.find(i)])) for i in chosen}
     got = {(r["level"], r["doc_id"], r["paragraph"], r["component_id"]) for r in repeated_paragraphs(documents(rows)).collect()}
     assert len(want) > 50 and len(want ^ got) <= 0.01 * len(want)

@@ -132,6 +132,14 @@ def leaves(text, value, run=6):
     return any(value[i : i + run] in text for i in range(len(value) - run + 1))
 
 
+@pytest.mark.parametrize("run", ["eyJ", "eyJabcdefgh.", "eyJ-", "AKIA", "a0", "token", "token ", "api_key=", "gho_", "-----BEGIN ", "-----BEGIN RSA PRIVATE KEY-----", "PRIVATE KEY", "\"' := "])
+def test_rules_take_time_in_proportion_to_the_text(documents, run):
+    text = (run * (1_000_000 // len(run) + 1))[:1_000_000]
+    began = time.perf_counter()
+    secrets.scan_blobs(documents([(1, text)]).select(F.lit("b").alias("blob"), "text")).collect()
+    assert time.perf_counter() - began < 20  # on a busy machine; a quadratic rule takes minutes
+
+
 def test_nothing_of_a_secret_remains(documents, tmp_path):
     rng, rows, planted = random.Random(4), [], {}
     for i in range(150):
