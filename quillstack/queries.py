@@ -7,6 +7,7 @@ exact folding, keys and index, and all queries read that.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ from .model import HIT_COLUMNS, MAILS_SCHEMA
 from .operators import export, indexed, keys, rank, search, store
 from .plans.query_language import Term, parse
 from .shared import shared_root
-from .sources import discovery, readers
+from .sources import discovery
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2024, 2, 10, 12, tzinfo=timezone.utc)
@@ -381,11 +382,25 @@ _projection("size_text", "CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' EL
 _projection("raw_preview", "base64(encode(substr(subject, 1, 0) || message_id)) AS preview, strlen(message_id) > 5 AS cut", lambda: [D.preview(F.encode("message_id", "UTF-8")).alias("preview"), D.preview_cut(F.encode("message_id", "UTF-8"), 5).alias("cut")])
 
 
-@query("locator_json", f"""{VIEW} SELECT '{{"reader": "eml", "file": "' || file_path || '", "folder": "' || folder_path || '"}}' AS locator, count(*) AS messages FROM m GROUP BY 1""")
+@query("locator_json", f"""{VIEW} SELECT message_id, '{{"reader":"eml","index":"' || message_id || '"}}' AS locator FROM m""")
 def _locators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = F.udf(lambda file, folder: readers._locator(reader="eml", file=file, folder=folder), "string")
-    places = mails(spark, sf_dir).groupBy("file_path", "folder_path").agg(F.count("*").alias("messages"))  # one row a folder
-    return places.select(of("file_path", "folder_path").alias("locator"), "messages")
+    return prepared(spark, sf_dir).select("message_id", F.col("locator_json").alias("locator"))
+
+
+@query(
+    "search_page_more",
+    f"{VIEW}, c AS (SELECT count(*) FILTER (contains(f_all, 'license')) AS license, count(*) FILTER (contains(f_all, 'the')) AS the, count(*) FILTER (contains(f_attachments, 'file48.pdf')) AS one FROM s) SELECT unnest(['license', 'the', 'filename:file48.pdf']) AS query, unnest([least(license, 20), least(the, 20), least(one, 20)]) AS shown, unnest([license > 20, the > 20, one > 20]) AS more FROM c",
+)
+def _page_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = stored(spark, sf_dir).snapshot()
+    pages = {raw: search.search(now.mails(), raw, 20, now=NOW, index=now) for raw in ("license", "the", "filename:file48.pdf")}
+    return spark.createDataFrame([(raw, p.hits.count(), p.more_available) for raw, p in pages.items()], "query string, shown long, more boolean")
+
+
+@query("gram_prefix", f"{VIEW}, {_all_grams_sql(dict(zip(['subject', 'body', 'from', 'to', 'cc', 'attachments'], _FIELDS)))} SELECT gram, count(DISTINCT rowid) AS messages FROM g WHERE gram LIKE 'q%' GROUP BY gram")
+def _gram_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary by the beginning of a gram."""
+    return stored(spark, sf_dir).snapshot().dictionary().filter(F.col("gram").startswith("q") & (F.col("field") == "")).select("gram", "messages")
 
 
 @query("row_key_order", f"{VIEW} SELECT count(*) AS pairs, count(*) FILTER (rowid > before) AS rising FROM (SELECT rowid, lag(rowid) OVER (ORDER BY date_utc) AS before FROM m) WHERE before IS NOT NULL")
@@ -492,8 +507,12 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("recent_errors", "SELECT 'doc-' || doc_id AS file_path, n_chars AS ts FROM documents ORDER BY n_chars DESC, file_path, lang LIMIT 500")
 def _recent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return store.recent(d.select(F.concat(F.lit("doc-"), "doc_id").alias("file_path"), F.col("n_chars").alias("ts"), F.col("lang").alias("error"))).select("file_path", "ts")
+    """Written to a store's error log, in two batches, and read back."""
+    d, log = spark.read.parquet(f"{sf_dir}/documents.parquet"), _new_store(spark)
+    rows = d.select(F.concat(F.lit("doc-"), "doc_id").alias("file_path"), F.lit("").alias("folder_path"), F.lit("ValueError").alias("error_type"), F.col("lang").alias("error"), F.col("n_chars").alias("ts"))
+    for half in (0, 1):
+        log.log_errors(rows.filter(F.col("ts") % 2 == half))
+    return log.recent_errors().select("file_path", "ts")
 
 
 @query("export_rows", f"{VIEW} SELECT message_id, CAST(has_attachment AS INTEGER) AS has_attachment, attachments AS attachment_names, body FROM m")
@@ -511,69 +530,68 @@ def _fold_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(X.fold("text"), 256).alias("digest"))
 
 
-# Parsers: fixed cases, whose results are written out in SQL -----------------------------------------
+# Parsers: inputs made of the tables, in the encodings and layouts that containers have -----------------
 
 
-def _cases(name: str, columns: str, cases: list[tuple], make: Callable[[DataFrame], DataFrame], kind: str) -> None:
-    """A query over fixed inputs.  ``cases`` has an input and the values of ``columns`` that it must give."""
-    quote = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    rows = ", ".join("(" + ", ".join(map(quote, (i, *want))) + ")" for i, (_, *want) in enumerate(cases))
-    sql = f"SELECT * FROM (VALUES {rows}) t(id, {columns})"
-    query(name, sql)(lambda spark, _: make(spark.createDataFrame([(i, case[0]) for i, case in enumerate(cases)], f"id int, input {kind}")))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
 
 
-_cases(
+@query(
     "decode_chain",
-    "status, text",
-    [
-        ("계약서 검토".encode(), "ok", "계약서 검토"),
-        (b"", "ok", ""),
-        (b"plain", "ok", "plain"),
-        ("계약서 검토".encode("cp949"), "fallback", "계약서 검토"),
-        ("회의".encode("euc-kr"), "fallback", "회의"),
-        ("똠방각하".encode("cp949"), "fallback", "똠방각하"),
-        (bytes([0xFF, 0xFE, 0x41, 0x42, 0x80, 0x81]), "failed", "\xff\xfeAB\x80\x81"),
-        (None, "failed", ""),
-    ],
-    lambda df: df.withColumn("d", D.decode(F.col("input"))).select("id", "d.status", "d.text"),
-    "binary",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'fallback' ELSE 'failed' END AS status,
+  sha256(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '계약서 ' || doc_id WHEN 2 THEN 'ÿþAB' || chr(128) || chr(129) || doc_id ELSE '' END) AS digest FROM documents""",
 )
+def _decode_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTF-8, CP949, bytes of no charset, and no bytes."""
+    number, kind = F.encode(F.col("doc_id").cast("string"), "UTF-8"), F.col("doc_id") % 4
+    raw = lambda text, charset: F.lit(text.encode(charset))
+    body = F.when(kind == 0, F.encode("text", "UTF-8")).when(kind == 1, F.concat(raw("계약서 ", "cp949"), number)).when(kind == 2, F.concat(raw("ÿþAB\x80\x81", "latin-1"), number))
+    return _documents(spark, sf_dir).withColumn("d", D.decode(body)).select("doc_id", "d.status", F.sha2("d.text", 256).alias("digest"))
 
-_cases(
-    "inflate_bodies",
-    "text",
-    [(zlib.compress("본문 body".encode()), "본문 body"), (zlib.compress(b""), ""), (b"no zlib", ""), (zlib.compress(b"damaged")[:-3], ""), (None, "")],
-    lambda df: df.select("id", D.inflate(F.col("input")).alias("text")),
-    "binary",
-)
 
-_cases(
+@query("inflate_bodies", "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END) AS digest FROM documents")
+def _inflate_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed texts, damaged ones, and bytes that are none."""
+
+    @F.pandas_udf("binary")
+    def packed(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: zlib.compress(t.encode()))
+
+    whole, kind = packed("text"), F.col("doc_id") % 3
+    body = F.when(kind == 0, whole).when(kind == 1, F.substring(whole, F.lit(1), F.octet_length(whole) - 3)).otherwise(F.encode("text", "UTF-8"))
+    return _documents(spark, sf_dir).withColumn("body", body).select("doc_id", F.sha2(D.inflate(F.col("body")), 256).alias("digest"))
+
+
+@query(
     "address_lists",
-    "addresses",
-    [
-        ('"Kim, Y" <y@corp.kr>; b@corp.com', "Kim, Y <y@corp.kr>; b@corp.com"),
-        ("a@x.org, B <b@x.org>", "a@x.org; B <b@x.org>"),
-        ("김영수 <ys.kim@corp.co.kr>", "김영수 <ys.kim@corp.co.kr>"),
-        ("", ""),
-        (None, ""),
-    ],
-    lambda df: df.select("id", X.addresses(F.col("input")).alias("addresses")),
-    "string",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Kim, Y <y' || doc_id || '@corp.kr>; ' || source || '@corp.com' WHEN 1 THEN 'a' || doc_id || '@x.org; B <' || source || '@x.org>'
+  WHEN 2 THEN '김영수 <' || source || '@corp.co.kr>' ELSE '' END AS addresses FROM documents""",
 )
+def _address_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    listed = (
+        F.when(i % 5 == 0, F.concat(F.lit('"Kim, Y" <y'), i, F.lit("@corp.kr>; "), "source", F.lit("@corp.com")))
+        .when(i % 5 == 1, F.concat(F.lit("a"), i, F.lit("@x.org, B <"), "source", F.lit("@x.org>")))
+        .when(i % 5 == 2, F.concat(F.lit("김영수 <"), "source", F.lit("@corp.co.kr>")))
+        .when(i % 5 == 3, F.lit(""))
+    )
+    return _documents(spark, sf_dir).select("doc_id", X.addresses(listed).alias("addresses"))
+
 
-_cases(
+@query(
     "header_blocks",
-    "subject, sender, seconds",
-    [
-        ("Subject: one\r\n two\r\nFrom: a@x.org\r\nDate: Mon, 01 Jan 2024 09:00:00 +0900", "one two", "a@x.org", 1704067200),
-        ("SUBJECT: first\nsubject: second\nno colon here\nDate: Mon, 01 Jan 2024 00:00:00 -0000", "first", None, 1704067200),
-        ("From: b@x.org\nDate: yesterday", None, "b@x.org", 0),
-        ("", None, None, 0),
-        (None, None, None, 0),
-    ],
-    lambda df: df.withColumn("h", M.headers("input")).select("id", F.col("h")["subject"].alias("subject"), F.col("h")["from"].alias("sender"), M.header_epoch(F.col("h")["date"]).alias("seconds")),
-    "string",
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'number ' || doc_id || ' of ' || lang WHEN 1 THEN 'first ' || source END AS subject, CASE WHEN doc_id % 3 = 0 THEN source || '@x.org' END AS sender,
+  CASE WHEN doc_id % 3 = 0 THEN 1704067200 + doc_id * 3600 ELSE 0 END AS seconds FROM documents""",
 )
+def _header_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folded subject and a date with its zone; repeated names, a line without a colon and no date; nothing."""
+    i = F.col("doc_id")
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1704067200 + 9 * 3600) + i * 3600), "EEE, dd MMM yyyy HH:mm:ss")
+    block = F.when(i % 3 == 0, F.concat(F.lit("Subject: number "), i, F.lit("\r\n of "), "lang", F.lit("\r\nFrom: "), "source", F.lit("@x.org\r\nDate: "), stamp, F.lit(" +0900")))
+    block = block.when(i % 3 == 1, F.concat(F.lit("SUBJECT: first "), "source", F.lit("\nsubject: second\nno colon here\nDate: yesterday")))
+    read = _documents(spark, sf_dir).withColumn("h", M.headers(block))
+    return read.select("doc_id", F.col("h")["subject"].alias("subject"), F.col("h")["from"].alias("sender"), M.header_epoch(F.col("h")["date"]).alias("seconds"))
 
 
 def _parsed(rows: DataFrame, schema: str, of: Callable[[dict], tuple]) -> DataFrame:
@@ -586,42 +604,32 @@ def _parsed(rows: DataFrame, schema: str, of: Callable[[dict], tuple]) -> DataFr
     return rows.mapInPandas(run, schema)
 
 
-_MULTIPART = (
-    "Subject: =?utf-8?b?6rOE7JW97ISc?=\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain; charset=utf-8\n\nplain part\n"
-    "--B\nContent-Type: text/html\n\n<p>html</p>\n--B\nContent-Type: text/plain\nContent-Disposition: attachment; filename=a.txt\nContent-Transfer-Encoding: base64\n\naGVsbG8=\n"
-    "--B\nContent-Type: application/pdf\nContent-Disposition: inline; filename=\"b c.pdf\"\n\nx\n--B--\n"
-).encode()
-
-_cases(
+@query(
     "mime_parts",
-    "subject, plain, html, attachments",
-    [
-        (_MULTIPART, "계약서", "plain part", "<p>html</p>", "a.txt; b c.pdf"),
-        (b"Subject: s\n\nline\r\nnext", "s", "line\r\nnext", None, ""),
-        (b"Subject: t\nContent-Type: text/html\n\n<b>x</b>", "t", "", "<b>x</b>", ""),
-        (b"\nno headers", None, "no headers", None, ""),
-    ],
-    lambda df: _parsed(
-        df,
-        "id int, subject string, plain string, html string, attachments string",
-        lambda r: (r["headers"].get("subject"), r["body_bytes"].decode(), None if r["html_bytes"] is None else r["html_bytes"].decode(), "; ".join(r["attachment_names"])),
-    ),
-    "binary",
+    """SELECT page_id AS id, CASE WHEN page_id % 3 = 2 THEN 't' || page_id ELSE '계약서 ' || page_id END AS subject, CASE page_id % 3 WHEN 0 THEN 'plain ' || page_id WHEN 1 THEN 'line' || chr(13) || chr(10) || page_id ELSE '' END AS plain,
+  CASE WHEN page_id % 3 <> 1 THEN sha256(html) END AS html, CASE WHEN page_id % 3 = 0 THEN 'a' || page_id || '.txt; b c.pdf' ELSE '' END AS attachments FROM pages""",
 )
+def _mime_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as mails: with parts and attachments, as plain text, and as HTML alone."""
+    i, part = F.col("page_id"), "\n--=_B\nContent-Type: "
+    subject = F.concat(F.lit("Subject: =?utf-8?b?"), F.base64(F.encode(F.concat(F.lit("계약서 "), i), "UTF-8")), F.lit("?=\n"))
+    html = F.concat(F.lit("text/html\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode("html", "UTF-8")))
+    parts = [subject, F.lit("MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=\"=_B\"\n"), F.lit(part + "text/plain; charset=utf-8\n\nplain "), i, F.lit(part), html]
+    parts += [F.lit(part + "text/plain\nContent-Disposition: attachment; filename=a"), i, F.lit(".txt\nContent-Transfer-Encoding: base64\n\naGVsbG8="), F.lit(part + "application/pdf\nContent-Disposition: inline; filename=\"b c.pdf\"\n\nx\n--=_B--\n")]
+    mail = F.when(i % 3 == 0, F.concat(*parts)).when(i % 3 == 1, F.concat(subject, F.lit("\nline\r\n"), i)).otherwise(F.concat(F.lit("Subject: t"), i, F.lit("\nContent-Type: "), html))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(i.alias("id"), F.encode(mail, "UTF-8").alias("input"))
+    digest = lambda raw: None if raw is None else hashlib.sha256(raw).hexdigest()
+    return _parsed(rows, "id long, subject string, plain string, html string, attachments string", lambda r: (r["headers"].get("subject"), r["body_bytes"].decode(), digest(r["html_bytes"]), "; ".join(r["attachment_names"])))
 
-_cases(
+
+@query(
     "reader_choice",
-    "with_all, with_readpst, with_none",
-    [("x.PST", "libpff", "readpst", None), ("a/b.ost", "libpff", "readpst", None), ("mail.msg", "extract_msg", None, None)],
-    lambda df: df.select(
-        "id",
-        *(
-            F.udf(lambda path, module=module, program=program: discovery.choose_reader(path, lambda _: object() if module else None, lambda _: "p" if program else None), "string")("input").alias(name)
-            for name, module, program in (("with_all", True, True), ("with_readpst", False, True), ("with_none", False, False))
-        ),
-    ),
-    "string",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'libpff' WHEN 1 THEN 'libpff' WHEN 2 THEN 'extract_msg' END AS with_all, CASE WHEN doc_id % 4 < 2 THEN 'readpst' END AS with_readpst, CAST(NULL AS VARCHAR) AS with_none FROM documents""",
 )
+def _reader_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat("source", F.lit("/box"), "doc_id", F.element_at(F.array(*map(F.lit, (".PST", ".ost", ".msg", ".txt"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    with_ = lambda *there: discovery.reader_of(path, {x: x in there for x in ("libpff", "readpst", "extract_msg")})
+    return _documents(spark, sf_dir).select("doc_id", with_("libpff", "readpst", "extract_msg").alias("with_all"), with_("readpst").alias("with_readpst"), with_().alias("with_none"))
 
 
 @query("address_normalize", f"{VIEW} SELECT message_id, 'Team, A <' || to_addr || '>' || CASE WHEN cc_addr <> '' THEN '; ' || cc_addr ELSE '' END AS to_addr FROM m")

@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from importlib import import_module
 from types import ModuleType
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 EXTENSIONS = (".pst", ".ost", ".msg")
 GUIDANCE = "no reader is installed for this container: stores need libpff (pypff) or the readpst program, messages need extract-msg"
 
@@ -62,6 +65,19 @@ def choose_reader(path: str, has=optional_module, which=shutil.which) -> str | N
     return "extract_msg" if has("extract_msg") else None
 
 
+def readers_here() -> dict[str, bool]:
+    """Which readers this machine has."""
+    return {"libpff": bool(optional_module("pypff")), "readpst": bool(shutil.which("readpst")), "extract_msg": bool(optional_module("extract_msg"))}
+
+
+def reader_of(path: Column, there: dict[str, bool]) -> Column:
+    """The same choice for a column of paths, where ``there`` says which readers there are; null for other files too."""
+    kind = F.lower(F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
+    store = next((F.lit(r) for r in ("libpff", "readpst") if there.get(r)), F.lit(None).cast("string"))
+    message = F.lit("extract_msg" if there.get("extract_msg") else None).cast("string")
+    return F.when(kind.isin(".pst", ".ost"), store).when(kind == ".msg", message)
+
+
 def size_of(path: str) -> tuple[int, float]:
     """Bytes and time of change; of a folder, the sum and the latest."""
     if not os.path.isdir(path):
