@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .config import load_settings
 from .operators import export, search
-from .operators.store import MailStore
+from .operators.store import MailStore, pending
 from .plans.query_language import compose
 from .sources.discovery import plan
 from .sources.readers import fetch_attachment
@@ -65,8 +65,10 @@ def _query(args: argparse.Namespace) -> str:
 
 def _index(spark: SparkSession, store: MailStore, args: argparse.Namespace, settings) -> int:
     if args.dry_run:
-        for p in plan(args.paths, args.recursive, store.state().unchanged):
-            print(p.path, p.size, p.reader or "-", p.skip or "")
+        plans, todo = plan(spark, args.paths, args.recursive), F.lit("unchanged")
+        due = pending(plans, store.state().frame()).select("path", F.lit("").alias("due"))
+        for p in plans.join(due, "path", "left").withColumn("skip", F.coalesce("due", todo)).orderBy("path").toLocalIterator():
+            print(p["path"], p["size"], p["reader"] or "-", p["skip"])
         return 0
     more = {"reader": args.reader} if args.reader else {}
     totals = ingest.index(spark, store, args.paths, settings, args.recursive, plugins=args.plugins, **more)

@@ -85,10 +85,6 @@ class _Files:
         options[0] = next(k for k in kinds if k.name() == how)
         context.rename(draft, target, options)
 
-    def replace(self, path: str, text: str) -> None:
-        """Writes beside the target and renames over it, in one step."""
-        self._rename(*self._draft(path, text), "OVERWRITE")
-
     def create(self, path: str, text: str) -> bool:
         """Writes beside the target and renames to it; False if it is there already."""
         context, draft, target = self._draft(path, text)
@@ -443,41 +439,79 @@ class MailStore:
             return self.spark.createDataFrame([], ERROR_SCHEMA)
         return recent(self.spark.read.schema(ERROR_SCHEMA).option("mode", "DROPMALFORMED").json(path), most)
 
-    def state(self) -> Manifest:
-        return Manifest(self.files, f"{self.root}/state.json")
+    def state(self) -> StateLog:
+        return StateLog(self.spark, self.files, f"{self.root}/state")
 
 
 def recent(errors: DataFrame, most: int = 500) -> DataFrame:
     return errors.orderBy(F.desc("ts"), "file_path", "error").limit(most)
 
 
-class Manifest:
-    """What became of each container; an unreadable file counts as empty."""
+class StateLog:
+    """What became of each container, as records that are only ever appended.
 
-    def __init__(self, files: _Files, path: str):
-        self.files, self.path = files, path
-        try:
-            self.entries: dict[str, dict] = json.loads(files.read(path)) if files.exists(path) else {}
-            if not isinstance(self.entries, dict):
-                self.entries = {}
-        except (ValueError, Py4JJavaError):
-            self.entries = {}
+    ``save`` writes what was set since the last as one numbered file, whatever the number of containers.  After
+    ``FOLD`` files, Spark folds them and the last base into a new base, the last record of a path
+    staying.  Readers take the newest whole base and the files after it; lines that cannot be read are
+    left out.  Numbers are given out as those of pointers are, so two writers do not overwrite each other.
+    """
+
+    FOLD = 64
+
+    def __init__(self, spark: SparkSession, files: _Files, path: str):
+        self.spark, self.files, self.path = spark, files, path
+        self.unsaved: dict[str, dict] = {}
 
-    def set(self, path: str, status: str, **more) -> None:
+    def set(self, path: str, status: str, size: int | None = None, mtime: float | None = None, mails_written: int | None = None, error: str | None = None) -> None:
         if status not in STATES:
             raise ValueError(f"unknown status {status!r}")
-        self.entries[path] = {**self.entries.get(path, {}), **more, "status": status, "updated_at": int(time.time())}
+        self.unsaved[path] = {"path": path, "size": size, "mtime": mtime, "status": status, "mails_written": mails_written, "error": error, "updated_at": int(time.time())}
 
-    def save(self) -> None:
-        self.files.replace(self.path, json.dumps(self.entries, ensure_ascii=False, indent=1))
+    def _numbers(self, kind: str) -> list[int]:
+        return sorted(int(m[1]) for n in self.files.names(self.path) if (m := re.fullmatch(rf"{kind}-(\d+)(?:\.json)?", n)))
 
-    def unchanged(self, path: str, size: int, mtime: float) -> bool:
-        entry = self.entries.get(path)
-        return bool(entry) and entry["status"] == "COMPLETED" and entry.get("size") == size and abs((entry.get("mtime") or 0) - mtime) < 1.0
+    def _base(self) -> int:
+        """The number of the newest base that is whole; 0 if there is none."""
+        return max((n for n in self._numbers("base") if self.files.exists(f"{self.path}/base-{n:012d}/_SUCCESS")), default=0)
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, e.get("size"), e.get("mtime"), e["status"], e.get("mails_written"), e.get("error"), e.get("updated_at")) for p, e in self.entries.items()]
-        return spark.createDataFrame(rows, STATE_SCHEMA)
+    def save(self) -> None:
+        if not self.unsaved:
+            return
+        base = self._base()
+        number = max([base, *self._numbers("log")]) + 1
+        while True:
+            lines = "".join(json.dumps({**r, "seq": number}, ensure_ascii=False) + "\n" for r in self.unsaved.values())
+            if self.files.create(f"{self.path}/log-{number:012d}.json", lines):
+                break
+            number += 1
+        self.unsaved.clear()
+        if number - base >= self.FOLD:
+            self._fold(number)
+
+    def _fold(self, number: int) -> None:
+        """Records up to a number become a base; what it stands for goes, but for the base before, which a reader may hold."""
+        before, logs = self._base(), [n for n in self._numbers("log") if n <= number]
+        self._records(number).write.mode("overwrite").json(f"{self.path}/base-{number:012d}")
+        for n in self._numbers("base"):
+            if n < before:
+                self.files.delete(f"{self.path}/base-{n:012d}")
+        for n in logs:
+            if n <= before:
+                self.files.delete(f"{self.path}/log-{n:012d}.json")
+
+    def _records(self, upto: int | None = None) -> DataFrame:
+        base = self._base()
+        logs = [n for n in self._numbers("log") if n > base and (upto is None or n <= upto)]
+        paths = [f"{self.path}/log-{n:012d}.json" for n in logs] + ([f"{self.path}/base-{base:012d}"] if base else [])
+        if not paths:
+            return self.spark.createDataFrame([], f"{STATE_SCHEMA}, seq long")
+        read = self.spark.read.schema(f"{STATE_SCHEMA}, seq long").option("mode", "DROPMALFORMED").json(paths).filter("path is not null and status is not null")
+        last = F.max_by(F.struct(*(c for c in read.columns if c != "path")), "seq").alias("x")
+        return read.groupBy("path").agg(last).select("path", "x.*")
+
+    def frame(self) -> DataFrame:
+        """The last record of each container."""
+        return self._records().drop("seq")
 
 
 def pending(plan: DataFrame, state: DataFrame) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 import glob
 import os
 import shutil
-from dataclasses import dataclass
 from importlib import import_module
 from types import ModuleType
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTENSIONS = (".pst", ".ost", ".msg")
@@ -49,15 +48,6 @@ def discover(paths: list[str], recursive: bool = False) -> list[str]:
     return sorted(os.path.abspath(x) for x in found)
 
 
-@dataclass(frozen=True)
-class Plan:
-    path: str
-    size: int
-    mtime: float
-    reader: str | None
-    skip: str | None = None
-
-
 def choose_reader(path: str, has=optional_module, which=shutil.which) -> str | None:
     """The first reader that is there: for stores libpff, then the readpst program; for messages extract-msg."""
     if os.path.splitext(path)[1].lower() in (".pst", ".ost"):
@@ -87,11 +77,13 @@ def size_of(path: str) -> tuple[int, float]:
     return sum(i.st_size for i in infos), max((i.st_mtime for i in infos), default=os.stat(path).st_mtime)
 
 
-def plan(paths: list[str], recursive: bool = False, unchanged=lambda path, size, mtime: False) -> list[Plan]:
-    """What an ingest of ``paths`` would do.  A container without a reader is not skipped: it fails."""
-    out = []
-    for path in discover(paths, recursive):
-        size, mtime = size_of(path)
-        reader = choose_reader(path)
-        out.append(Plan(path, size, mtime, reader, "unchanged" if unchanged(path, size, mtime) else None))
-    return out
+PLAN_SCHEMA = "path string, size long, mtime double"
+
+
+def plan(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
+    """``(path, size, mtime, reader)`` of the containers that ``paths`` name; the reader is null where none is installed."""
+    found = [(p, *size_of(p)) for p in discover(paths, recursive)]
+    plans = spark.createDataFrame([(p, s, float(m)) for p, s, m in found], PLAN_SCHEMA)
+    folder = F.lit("extract_msg" if readers_here()["extract_msg"] else None).cast("string")
+    kind = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
+    return plans.withColumn("reader", F.when(kind.isin(*EXTENSIONS), reader_of(F.col("path"), readers_here())).otherwise(folder))

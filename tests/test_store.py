@@ -12,7 +12,7 @@ from quillstack.functions import text as X
 from quillstack.model import MAILS_SCHEMA
 from quillstack.operators import blocks, export, indexed, keys, rank, search, store
 from quillstack.operators.normalize import errors, normalize
-from quillstack.operators.store import Manifest, MailStore
+from quillstack.operators.store import MailStore, StateLog
 from quillstack.plans.compile import FOLDED
 from quillstack.sources.discovery import choose_reader, discover, optional_module
 from quillstack.sources.mailbox import read_containers, read_eml
@@ -76,7 +76,7 @@ def test_index_and_rerun(spark, boxes, tmp_path):
     again = ingest.index(spark, mails, [root], **OPTIONS)
     assert (again["skipped"], again["completed"], again["failed"]) == (2, 0, 1)
     assert mails.mails().count() == 35
-    assert {(r["status"], r["files"], r["mails"]) for r in store.summary(mails.state().frame(spark)).collect()} == {("COMPLETED", 2, 35), ("FAILED", 1, 0)}
+    assert {(r["status"], r["files"], r["mails"]) for r in store.summary(mails.state().frame()).collect()} == {("COMPLETED", 2, 35), ("FAILED", 1, 0)}
     assert search.search(mails.mails(), "계약서", limit=50).hits.count() == 35
 
 
@@ -359,7 +359,7 @@ def test_what_is_committed_stays_when_a_run_ends(spark, boxes, tmp_path, monkeyp
     monkeypatch.setattr(ingest, "write_batch", ends)
     with pytest.raises(KeyboardInterrupt):
         ingest.index(spark, mails, [root], settings, **OPTIONS)
-    assert mails.mails().count() == 9 and sorted(e["status"] for e in mails.state().entries.values()) == ["COMPLETED", "COMPLETED", "WRITING"]
+    assert mails.mails().count() == 9 and sorted(e["status"] for e in mails.state().frame().collect()) == ["COMPLETED", "COMPLETED", "WRITING"]
     got = ingest.index(spark, mails, [root], settings, **OPTIONS)
     assert (got["skipped"], got["completed"], got["written"]) == (2, 1, 6) and mails.mails().count() == 15
 
@@ -370,22 +370,38 @@ def test_a_container_without_a_reader_fails_with_guidance(spark, boxes, tmp_path
         pytest.skip("a reader is installed")
     got = ingest.index(spark, mails, [boxes(a="FAKE:4")], on_event=lambda kind, info: events.append((kind, info)))
     assert (got["completed"], got["failed"], got["skipped"]) == (0, 1, 0)
-    entry = next(iter(mails.state().entries.values()))
+    entry = mails.state().frame().first()
     assert entry["status"] == "FAILED" and "libpff" in entry["error"] and ("failed", "libpff") in [(k, "libpff" if "libpff" in i.get("error", "") else "") for k, i in events]
     assert ingest.index(spark, mails, [str(tmp_path)])["failed"] == 1  # it is tried again
 
 
-def test_manifest(spark, tmp_path):
+def test_state_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(StateLog, "FOLD", 4)
     mails = MailStore(spark, str(tmp_path))
-    state = mails.state()
-    state.set("p", "COMPLETED", size=10, mtime=5.0)
-    state.save()
-    again = mails.state()
-    assert again.unchanged("p", 10, 5.5) and not again.unchanged("p", 11, 5.0) and not again.unchanged("p", 10, 7.0)
+    assert mails.state().frame().count() == 0
+    state, want, sizes = mails.state(), {}, []
+    for step in range(14):
+        for p in (f"p{step}", f"p{step % 3}", "é ö"):
+            status = ("COMPLETED", "FAILED")[step % 2]
+            state.set(p, status, size=step, mtime=step + 0.5, error="e\n" if step % 2 else None)
+            want[p] = (status, step, step + 0.5, "e\n" if step % 2 else None)
+        state.save()
+        state.save()  # nothing new
+        sizes += [os.path.getsize(tmp_path / "state" / f) for f in os.listdir(tmp_path / "state") if f == f"log-{step + 1:012d}.json"]
+        if step in (0, 5, 13):
+            got = {r["path"]: (r["status"], r["size"], r["mtime"], r["error"]) for r in mails.state().frame().collect()}
+            assert got == want
+    assert max(sizes) < 600 and len([n for n in os.listdir(tmp_path / "state") if not n.startswith(".")]) <= 10
     with pytest.raises(ValueError):
         state.set("p", "NONSENSE")
-    (tmp_path / "state.json").write_text("{broken")
-    assert Manifest(mails.files, str(tmp_path / "state.json")).entries == {}
+    (tmp_path / "state" / "log-000000000099.json").write_text("{broken\n")
+    os.makedirs(tmp_path / "state" / "base-000000000200")  # of a writer that died
+    other = StateLog(spark, mails.files, str(tmp_path / "state"))
+    other.set("new", "WRITING", size=1, mtime=2.0)
+    other.save()
+    assert {r["path"] for r in mails.state().frame().collect()} == {*want, "new"}
+    plan = spark.createDataFrame([("p12", 12, 12.9), ("p12x", 1, 1.0), ("p11", 11, 11.5), ("p10", 10, 99.0), ("new", 1, 2.0)], "path string, size long, mtime double")
+    assert {r["path"] for r in store.pending(plan, mails.state().frame()).collect()} == {"p12x", "p11", "p10", "new"}
 
 
 def test_exports(spark, boxes, tmp_path):
