@@ -51,6 +51,7 @@ def _arguments() -> argparse.ArgumentParser:
 
     show = commands.add_parser("show")
     show.add_argument("message_id")
+    show.add_argument("--highlight", metavar="QUERY", default="", help="mark what a query looks for")
     attach = commands.add_parser("attach")
     attach.add_argument("message_id")
     attach.add_argument("--index", type=int, default=0)
@@ -135,7 +136,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in search.list_folders(store.mails()).toLocalIterator():
             print(r[0])
         return 0
-    row = store.snapshot().get(args.message_id).select(*export.EXPORT_COLUMNS, F.col("decode_status")).first()
+    found, marks = store.snapshot().get(args.message_id), search.parse(args.highlight)
+    for column in ("subject", "body"):
+        found = search.highlighted(found, marks, column, column)
+    row = found.select(*export.EXPORT_COLUMNS, F.col("decode_status")).first()
     if row is None:
         print("no such message", file=sys.stderr)
         return 1

@@ -21,7 +21,6 @@ import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +33,7 @@ from ..plans.compile import with_search_columns
 from ..shared import batch_rows
 from . import blocks as B
 from . import keys as K
+from .files import Files
 
 STATES = ("PARSING", "WRITING", "COMPLETED", "FAILED")
 STATE_SCHEMA = "path string, size long, mtime double, status string, mails_written long, error string, updated_at long"
@@ -45,71 +45,6 @@ class UpsertCounts:
     updated: int
 
 
-class _Files:
-    """Small files through Hadoop's file systems, so that a store can lie anywhere Spark writes."""
-
-    def __init__(self, spark: SparkSession):
-        self.jvm, self.conf, self.gateway = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._gateway
-
-    def _at(self, path: str):
-        p = self.jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.conf), p
-
-    def exists(self, path: str) -> bool:
-        fs, p = self._at(path)
-        return bool(fs.exists(p))
-
-    def read(self, path: str) -> str:
-        fs, p = self._at(path)
-        stream = fs.open(p)
-        try:
-            return str(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _draft(self, path: str, text: str):
-        """``(file context, draft, target)`` with the draft written beside the target."""
-        fs, target = self._at(path)
-        _, draft = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(draft, True)
-        try:
-            stream.write(bytearray(text.encode()))
-            stream.hsync()
-        finally:
-            stream.close()
-        return self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf), fs.makeQualified(draft), fs.makeQualified(target)
-
-    def _rename(self, context, draft, target, how: str) -> None:
-        kinds = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
-        options = self.gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        options[0] = next(k for k in kinds if k.name() == how)
-        context.rename(draft, target, options)
-
-    def create(self, path: str, text: str) -> bool:
-        """Writes beside the target and renames to it; False if it is there already."""
-        context, draft, target = self._draft(path, text)
-        try:
-            self._rename(context, draft, target, "NONE")
-        except Py4JJavaError as e:
-            if "FileAlreadyExistsException" not in str(e.java_exception):
-                raise
-            self.delete(draft.toString())
-            return False
-        return True
-
-    def names(self, path: str) -> list[str]:
-        fs, p = self._at(path)
-        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-
-    def folders(self, pattern: str) -> list[str]:
-        fs, p = self._at(pattern)
-        return [f.getPath().toString() for f in fs.globStatus(p) or [] if f.isDirectory()]
-
-    def delete(self, path: str) -> None:
-        fs, p = self._at(path)
-        fs.delete(p, True)
-
-
 def last_per_id(mails: DataFrame) -> DataFrame:
     """One row for each ``message_id``: the last by file path, then by locator."""
     order = W.partitionBy("message_id").orderBy(F.desc("file_path"), F.desc("locator_json"), F.desc("indexed_at"))
@@ -265,7 +200,7 @@ class Snapshot:
 
 class MailStore:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
-        self.spark, self.root, self.settings, self.files = spark, root.rstrip("/"), settings or Settings(), _Files(spark)
+        self.spark, self.root, self.settings, self.files = spark, root.rstrip("/"), settings or Settings(), Files(spark)
         self.pointers = f"{self.root}/pointers"
         self._seen: Snapshot | None = None
 
@@ -458,7 +393,7 @@ class StateLog:
 
     FOLD = 64
 
-    def __init__(self, spark: SparkSession, files: _Files, path: str):
+    def __init__(self, spark: SparkSession, files: Files, path: str):
         self.spark, self.files, self.path = spark, files, path
         self.unsaved: dict[str, dict] = {}
 

@@ -403,6 +403,12 @@ def _gram_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir).snapshot().dictionary().filter(F.col("gram").startswith("q") & (F.col("field") == "")).select("gram", "messages")
 
 
+@query("highlight_hits", f"{VIEW} SELECT message_id, sha256(regexp_replace(body, '(?i)(license|tion)', '<em>\\1</em>', 'g')) AS digest FROM s WHERE contains(f_all, 'license') AND contains(f_body, 'tion') AND contains(f_from, 'src')")
+def _highlight_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now, q = stored(spark, sf_dir).snapshot(), parse("license body:tion from:src", NOW)
+    return search.highlighted(search.matches(now.mails(), q, index=now), q).select("message_id", F.sha2("highlighted", 256).alias("digest"))
+
+
 @query("row_key_order", f"{VIEW} SELECT count(*) AS pairs, count(*) FILTER (rowid > before) AS rising FROM (SELECT rowid, lag(rowid) OVER (ORDER BY date_utc) AS before FROM m) WHERE before IS NOT NULL")
 def _key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Each message against the one an hour before it, by an equi-join instead of a global window.

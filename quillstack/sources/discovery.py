@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import shutil
+from fnmatch import translate
+from functools import reduce
 from importlib import import_module
 from types import ModuleType
 
@@ -68,22 +71,52 @@ def reader_of(path: Column, there: dict[str, bool]) -> Column:
     return F.when(kind.isin(".pst", ".ost"), store).when(kind == ".msg", message)
 
 
-def size_of(path: str) -> tuple[int, float]:
-    """Bytes and time of change; of a folder, the sum and the latest."""
-    if not os.path.isdir(path):
-        info = os.stat(path)
-        return info.st_size, info.st_mtime
-    infos = [os.stat(os.path.join(top, n)) for top, _, names in os.walk(path) for n in names]
-    return sum(i.st_size for i in infos), max((i.st_mtime for i in infos), default=os.stat(path).st_mtime)
-
-
-PLAN_SCHEMA = "path string, size long, mtime double"
+LISTED = "path string, modificationTime timestamp, length long, content binary"
+
+
+def containers(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
+    """``(path, size, mtime)`` of the same containers as ``discover``, on any file system.
+
+    Spark's file source lists the folders, with tasks where there are many, and reads no file; what is a container
+    follows from paths alone.  A folder of ``.msg`` files has the bytes of all that is below it, and the latest change.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    tops, alone = [], []
+    for path in paths:  # as many as a user names
+        base, deep, tail = path.partition("**")
+        p = jvm.org.apache.hadoop.fs.Path(base.rstrip("/") or "/" if deep else path)
+        fs = p.getFileSystem(conf)
+        for f in fs.globStatus(p) or []:
+            place = f.getPath().toString()
+            (tops if f.isDirectory() else alone).append((place, recursive, tail.lstrip("/") if deep else None))
+    found = []
+    literal = lambda place: re.sub(r"([\[\]{}*?\\])", r"\\\1", place)
+    read = lambda places: spark.read.format("binaryFile").schema(LISTED).option("recursiveFileLookup", "true").load(list(map(literal, places))).select("path", F.col("length").alias("size"), (F.unix_millis("modificationTime") / 1000).alias("mtime"))
+    kind, parent = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1)), F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    if alone:
+        found.append(read([p for p, *_ in alone]).filter(kind.isin(*EXTENSIONS)))
+    for top, deep, pattern in tops:
+        files = read([top]).withColumn("kind", kind).withColumn("parent", parent)
+        if pattern is not None:  # names below, at any depth
+            found.append(files.filter(kind.isin(*EXTENSIONS) & F.regexp_extract("path", "([^/]*)$", 1).rlike(f"^{translate(pattern)}")).select("path", "size", "mtime"))
+            continue
+        here = F.lit(True) if deep else F.col("parent") == top.rstrip("/")
+        found.append(files.filter(here & kind.isin(".pst", ".ost")).select("path", "size", "mtime"))
+        units = files.filter(here & (kind == ".msg")).select(F.col("parent").alias("unit")).distinct()
+        # Each file counts for every folder above it that is a unit.
+        names = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda n: F.array_join(F.slice(names, F.lit(1), n), "/"))
+        inside = files.select(F.explode(above).alias("unit"), "size", "mtime").join(units, "unit")
+        found.append(inside.groupBy(F.col("unit").alias("path")).agg(F.sum("size").alias("size"), F.max("mtime").alias("mtime")))
+    if not found:
+        return spark.createDataFrame([], "path string, size long, mtime double")
+    every = reduce(DataFrame.unionByName, found).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    return every.groupBy("path").agg(F.max("size").alias("size"), F.max("mtime").alias("mtime"))
 
 
 def plan(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
     """``(path, size, mtime, reader)`` of the containers that ``paths`` name; the reader is null where none is installed."""
-    found = [(p, *size_of(p)) for p in discover(paths, recursive)]
-    plans = spark.createDataFrame([(p, s, float(m)) for p, s, m in found], PLAN_SCHEMA)
-    folder = F.lit("extract_msg" if readers_here()["extract_msg"] else None).cast("string")
+    here = readers_here()
+    folder = F.lit("extract_msg" if here["extract_msg"] else None).cast("string")
     kind = F.lower(F.regexp_extract("path", r"(\.[^./\\]*)$", 1))
-    return plans.withColumn("reader", F.when(kind.isin(*EXTENSIONS), reader_of(F.col("path"), readers_here())).otherwise(folder))
+    return containers(spark, paths, recursive).withColumn("reader", F.when(kind.isin(*EXTENSIONS), reader_of(F.col("path"), here)).otherwise(folder))

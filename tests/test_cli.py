@@ -27,6 +27,7 @@ def test_all_commands(spark, tmp_path, capsys):
     assert run("folders") == 0 and capsys.readouterr().out.split() == ["Inbox"]
     message = f"{tmp_path}/a.pst-0"
     assert run("show", message) == 0 and "계약서 검토 0" in capsys.readouterr().out
+    assert run("show", message, "--highlight", "검토 from:user") == 0 and "계약서 <em>검토</em> 0" in capsys.readouterr().out
     assert run("show", "none") == 1
     assert run("attach", message, "--out", str(tmp_path / "out")) == 0
     assert (tmp_path / "out" / "계약서.pdf").read_bytes() == b"content 0"

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import csv
 import json
 import os
 import random
@@ -14,7 +15,7 @@ from quillstack.operators import blocks, export, indexed, keys, rank, search, st
 from quillstack.operators.normalize import errors, normalize
 from quillstack.operators.store import MailStore, StateLog
 from quillstack.plans.compile import FOLDED
-from quillstack.sources.discovery import choose_reader, discover, optional_module
+from quillstack.sources.discovery import choose_reader, containers, discover, optional_module
 from quillstack.sources.mailbox import read_containers, read_eml
 from quillstack.sources.readers import fetch_attachment
 from quillstack.streaming import ingest
@@ -44,6 +45,23 @@ def test_discovery(tmp_path):
     assert names(discover([str(tmp_path / "a.pst"), str(tmp_path / "*.pst")])) == ["a.pst"]
 
 
+def test_listing_by_spark_equals_the_local_walk(spark, tmp_path):
+    for n, name in enumerate(("a.pst", "nested/b.PST", "nested/deep/c.ost", "ignore.txt", "mails/x.msg", "mails/sub/y.msg", "mails/sub/note.txt", "mails/sub/z.pst", "sp ace/é%20.pst", "empty/none.txt", "br[ack]et {x}/w.pst")):
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True, parents=True)
+        p.write_text("x" * (n + 1))
+    sizes = lambda path: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names) if os.path.isdir(path) else os.path.getsize(path)
+    for paths in ([""], ["a.pst", "*.pst"], ["nested", "mails"], ["mails/x.msg"], ["missing", "ignore.txt"], ["*"], ["nested/**/*.ost"], ["br?ack?et*"]):
+        for recursive in (False, True):
+            if "**" in paths[0] and not recursive:
+                continue
+            given = [str(tmp_path / p) for p in paths]
+            got = {r["path"]: r for r in containers(spark, given, recursive).collect()}
+            assert sorted(got) == discover(given, recursive), (paths, recursive)
+            for path, r in got.items():
+                assert r["size"] == sizes(path) and r["mtime"] > 1e9
+
+
 def test_reader_choice():
     none, all_of = (lambda name: None), (lambda name: object())
     assert choose_reader("x.PST", all_of, none) == "libpff"
@@ -409,8 +427,15 @@ def test_exports(spark, boxes, tmp_path):
     out = tmp_path / "x.csv"
     assert export.write_csv_file(batch, str(out)) == 5
     assert out.read_bytes().startswith(b"\xef\xbb\xbf") and len(out.read_text(encoding="utf-8-sig").splitlines()) == 6
-    export.write_csv(batch, str(tmp_path / "parts"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "parts")).count() == 5
+    odd = spark.createDataFrame([(i, ['a"b', "x,y", "two\nlines", "plain é", None][i % 5], i % 2 == 0, ["p", "q"][: i % 3]) for i in range(1000)], "rowid long, subject string, has_attachment boolean, attachment_names array<string>")
+    columns = ["rowid", "subject", "has_attachment", "attachment_names"]
+    assert export.write_csv_file(odd.repartition(7).orderBy(F.desc("rowid")), str(out), columns) == 1000
+    with open(out, encoding="utf-8-sig", newline="") as f:
+        back = list(csv.reader(f))
+    assert back[0] == columns and [int(r[0]) for r in back[1:]] == list(range(999, -1, -1))
+    assert back[1:4] == [["999", "", "0", ""], ["998", "plain é", "1", "p; q"], ["997", "two\nlines", "0", "p"]]
+    assert export.write_csv_file(odd.filter("false"), str(out), columns) == 0 and out.read_bytes() == b"\xef\xbb\xbf" + ",".join(columns).encode() + b"\r\n"
+    assert not [n for n in os.listdir(tmp_path) if "parts" in n or "draft" in n]
     folder = tmp_path / "eml"
     assert export.write_eml(batch, str(folder)) == 5
     back = normalize(read_eml(spark, str(folder)), now=1)
