@@ -5,8 +5,10 @@ cost from the start; read backwards that is the exact cost still to go, so an A-
 end yields segmentations in order of their cost, the best first, and never expands one in vain.
 
 Costs are whole numbers, micro-nats, so sums are exact.  A unigram model's pieces cost their negated
-scores.  A BPE model stores merge ranks instead; by Zipf's law the piece of rank r costs
-``ln(r + 2)``.  A character without a piece becomes its byte pieces, which cost what the last rank does.
+scores.  A BPE model stores merge ranks instead, as negated scores too; by Zipf's law the piece of rank r
+costs ``ln(r + 1)``.  So a piece that no merge makes, which models hold at a rank of 10^9 (runs of
+spaces), costs twice what the last merged one does.  A character without a piece becomes its byte pieces, which
+cost what the last merged rank does.
 
 Long texts: no piece spans a pair of characters that is adjacent in no piece, so the lattice falls
 apart there: at every space, and within words at many other places.  Each part is solved by a
@@ -94,8 +96,8 @@ class Lattice:
             cost = {i: round(-1e6 * s) for i, _, s in plain}
             self.byte_cost = max(cost.values())
         else:
-            cost = {i: round(1e6 * math.log(r + 2)) for r, (i, _, _) in enumerate(plain)}
-            self.byte_cost = round(1e6 * math.log(len(plain) + 2))
+            cost = {i: round(1e6 * math.log(max(-s, 0) + 1)) for i, _, s in plain}
+            self.byte_cost = round(1e6 * math.log(len(plain) + 1))
         self.bytewise = bytewise
         #: piece or beginning of one: (id, cost), or (-1, 0) if it is only a beginning
         self.edges: dict[str, tuple[int, int]] = {}

@@ -336,6 +336,65 @@ def test_n_best_against_all_segmentations():
         assert all(lat.decode(np.array(ids, "<i4")) == text.replace("▁", " ") for _, ids in got)
 
 
+def unigram_model(path):
+    """A small model made by hand: pieces with scores of their own, and all bytes."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m, rng = pb.ModelProto(), random.Random(12)
+    kinds = pb.ModelProto.SentencePiece
+
+    def add(piece, score, kind):
+        m.pieces.add(piece=piece, score=score, type=kind)
+
+    add("<unk>", 0, kinds.UNKNOWN)
+    add("<s>", 0, kinds.CONTROL)
+    add("</s>", 0, kinds.CONTROL)
+    for b in range(256):
+        add(f"<0x{b:02X}>", -30, kinds.BYTE)
+    pieces = {*"▁abcdé", *("".join(rng.choices("▁abcdé", k=rng.randrange(2, 6))) for _ in range(150))}
+    for piece in sorted(p for p in pieces if "▁" not in p[1:]):
+        add(piece, -round(rng.uniform(2, 12), 3), kinds.NORMAL)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = m.trainer_spec.UNIGRAM, True
+    m.trainer_spec.vocab_size = len(m.pieces)
+    n = m.normalizer_spec
+    n.name, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces = "identity", True, False, True
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def n_best(lat, text, n):
+    """``(cost, ids)`` of the segmentations that spell the text."""
+    return [(c, np.frombuffer(b"".join(ids), "<i4").tolist()) for c, ids, _, right in lat.n_best(text, n) if right]
+
+
+def test_n_best_of_a_unigram_model_are_the_librarys(tmp_path):
+    import sentencepiece
+
+    path = unigram_model(tmp_path / "unigram.model")
+    lat, library = sentencepiece_nbest.Lattice(path, 200), sentencepiece.SentencePieceProcessor(model_file=path)
+    scores, rng = {i: library.get_score(i) for i in range(library.get_piece_size())}, random.Random(13)
+    for text in ["a", "abcd", " ", "  a  b", "éé", *("".join(rng.choices("abcdé ", k=rng.randrange(1, 14))) for _ in range(300))]:
+        got, want = n_best(lat, text, 4), library.nbest_encode_as_ids(text, 4)
+        cost = lambda ids: sum(-round(1e6 * scores[i]) for i in ids)
+        assert [c for c, _ in got] == pytest.approx([cost(ids) for _, ids in got], abs=20)
+        assert [c for c, _ in got] == pytest.approx([cost(ids) for ids in want], abs=20), text
+
+
+def test_spaces_take_the_fewest_pieces_and_words_their_own():
+    """No merge makes a run of spaces: such a piece is taken only where nothing else can be."""
+    import sentencepiece
+
+    lat, library = sentencepiece_nbest.Lattice(MODEL, 200), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pieces = lambda text: [library.id_to_piece(i) for i in n_best(lat, text, 1)[0][1]]
+    assert pieces("the") == ["▁the"]
+    for n in range(1, 40):
+        got = pieces(" " * n + "the")
+        spaces = [p for p in got if not p.strip("▁")]
+        assert got[-1] in ("▁the", "the") and "".join(got) == "▁" * (n + 1) + "the" and len(got) == len(spaces) + 1 and len(spaces) <= n // 16 + 2
+    for text in ("x  y", "a   b c    d"):
+        assert library.decode([library.piece_to_id(p) for p in pieces(text)]) == text
+
+
 def test_decoding_agrees_with_the_library():
     import sentencepiece
 
