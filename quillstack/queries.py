@@ -22,9 +22,10 @@ from .functions import mime as M
 from .functions import text as X
 from .model import HIT_COLUMNS, MAILS_SCHEMA
 from .operators import export, indexed, keys, rank, search, store
+from .operators.normalize import normalize
 from .plans.query_language import Term, parse
 from .shared import shared_root
-from .sources import discovery
+from .sources import discovery, mailbox
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(2024, 2, 10, 12, tzinfo=timezone.utc)
@@ -499,16 +500,23 @@ _CONTAINERS = "c AS (SELECT source || '.pst' AS path, CAST(sum(n_chars) AS BIGIN
 
 @query("incremental_skip", f"WITH {_CONTAINERS} SELECT path, size FROM c WHERE NOT (first % 4 = 0 OR first % 4 = 1)")
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = _containers(spark, sf_dir)
-    status = F.when(F.col("first") % 4 == 3, "FAILED").otherwise("COMPLETED")
-    state = plan.select("path", F.when(F.col("first") % 4 == 2, F.col("size") + 1).otherwise(F.col("size")).alias("size"), (F.col("mtime") + 0.5).alias("mtime"), status.alias("status"))
-    return store.pending(plan, state).select("path", "size")
+    """What a store's state log leaves to do: new, changed and failed containers."""
+    plan, state = _containers(spark, sf_dir), _new_store(spark).state()
+    for half in (0, 1):  # the second records replace the first
+        for r in plan.toLocalIterator():
+            status = ("WRITING", "FAILED" if r["first"] % 4 == 3 else "COMPLETED")[half]
+            state.set(r["path"], status, r["size"] + (r["first"] % 4 == 2), r["mtime"] + 0.5)
+        state.save()
+    return store.pending(plan, state.frame()).select("path", "size")
 
 
 @query("ingest_summary", f"WITH {_CONTAINERS} SELECT CASE WHEN first % 4 = 3 THEN 'FAILED' ELSE 'COMPLETED' END AS status, count(*) AS files, CAST(sum(mtime) AS BIGINT) AS mails FROM c GROUP BY 1")
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(F.col("first") % 4 == 3, "FAILED").otherwise("COMPLETED")
-    return store.summary(_containers(spark, sf_dir).select(status.alias("status"), F.col("mtime").cast("long").alias("mails_written")))
+    state = _new_store(spark).state()
+    for r in _containers(spark, sf_dir).toLocalIterator():
+        state.set(r["path"], "FAILED" if r["first"] % 4 == 3 else "COMPLETED", r["size"], r["mtime"], int(r["mtime"]))
+    state.save()
+    return store.summary(state.frame())
 
 
 @query("recent_errors", "SELECT 'doc-' || doc_id AS file_path, n_chars AS ts FROM documents ORDER BY n_chars DESC, file_path, lang LIMIT 500")
@@ -660,6 +668,26 @@ def _eml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("id", "sender", "receiver", "seconds", F.sha2(F.rtrim("text", F.lit("\n")), 256).alias("body"))
 
 
+@query("eml_files", f"{VIEW} SELECT message_id, from_addr, to_addr, cc_addr, date_utc, subject, sha256(rtrim(body, chr(10))) AS body FROM m")
+def _eml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages as files, read and normalised again."""
+    folder = f"{shared_root(spark)}/quillstack/eml-{uuid.uuid4().hex}"
+    export.write_eml(prepared(spark, sf_dir), folder)
+    back = normalize(mailbox.read_eml(spark, folder), now=0)
+    body = F.sha2(F.rtrim(F.replace("body", F.lit("\r\n"), F.lit("\n")), F.lit("\n")), 256)
+    return back.select("message_id", "from_addr", "to_addr", "cc_addr", "date_utc", "subject", body.alias("body"))
+
+
+@query("csv_export", f"{VIEW}, o AS (SELECT *, row_number() OVER (ORDER BY rowid DESC) AS place FROM m) SELECT message_id, CAST(has_attachment AS INTEGER) AS has_attachment, attachments AS attachment_names, sha256(body) AS body FROM o")
+def _csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages, newest first, in one CSV file, read again."""
+    path = f"{shared_root(spark)}/quillstack/export-{uuid.uuid4().hex}.csv"
+    columns = ["message_id", "has_attachment", "attachment_names", "body"]
+    export.write_csv_file(prepared(spark, sf_dir).orderBy(*search.newest_first()), path, columns)
+    back = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    return back.select("message_id", F.col("has_attachment").cast("int"), F.coalesce("attachment_names", F.lit("")).alias("attachment_names"), F.sha2("body", 256).alias("body"))
+
+
 @query("result_rows_json", f"{VIEW} SELECT message_id, subject, has_attachment FROM s WHERE contains(f_all, 'license')")
 def _json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.hits(search.matches(prepared(spark, sf_dir), parse("license", NOW)))
