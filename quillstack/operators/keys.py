@@ -54,9 +54,12 @@ def running_sum(rows: DataFrame, value: Column, order: list[Column], name: str,
     return _carried(parts, carried, "__before").withColumn(name, F.col("__before") + _so_far(F.sum("__value"))).drop("__at", "__value", "__before")
 
 
-def parked(rows: DataFrame, base: Column, order: list[Column], write: Write) -> DataFrame:
-    """``rows`` with a ``slot`` of their own each: ``base``, or the first that those before in ``order`` leave free; bases rise in that order."""
-    parts, facts = _ranges(rows.withColumn("__base", base), order, write, F.max(F.col("__base") - _local()).alias("far"))
+def parked(rows: DataFrame, base: Column, order: list[Column], write: Write) -> tuple[DataFrame, tuple[int, int] | None]:
+    """``rows`` with a ``slot`` of their own each: ``base``, or the first that those before in ``order`` leave free; bases rise in that order.
+
+    Also the least and the greatest slot, if there are rows.
+    """
+    parts, facts = _ranges(rows.withColumn("__base", base), order, write, F.max(F.col("__base") - _local()).alias("far"), F.min("__base").alias("least"))
     start, far, carried = 0, -(1 << 62), []
     for f in facts:
         carried.append((f["p"], start, far))
@@ -64,22 +67,24 @@ def parked(rows: DataFrame, base: Column, order: list[Column], write: Write) ->
         start += f["n"]
     placed = _carried(parts, carried, "__start", "__far")
     furthest = F.greatest("__far", _so_far(F.max(F.col("__base") - _local())) - F.col("__start"))
-    return placed.withColumn("slot", furthest + F.col("__start") + _local()).drop("__at", "__base", "__start", "__far")
+    ends = (facts[0]["least"], far + start - 1) if facts else None
+    return placed.withColumn("slot", furthest + F.col("__start") + _local()).drop("__at", "__base", "__start", "__far"), ends
 
 
 def allocate(rows: DataFrame, base: Column, write: Write, taken: DataFrame | None = None) -> DataFrame:
     """``rows(message_id, ...)`` with a ``rowid`` each, no two alike and none among those of ``taken(rowid)``."""
-    placed = write(parked(rows, base, [base, F.col("message_id")], write).withColumnRenamed("slot", "rowid"), "keys")
-    if taken is None:
+    placed, ends = parked(rows, base, [base, F.col("message_id")], write)
+    placed = write(placed.withColumnRenamed("slot", "rowid"), "keys")
+    if taken is None or ends is None:
         return placed
-    least, most = placed.agg(F.min("rowid"), F.max("rowid")).first()
-    if least is None or not taken.filter(F.col("rowid").between(least, most)).join(placed, "rowid", "left_semi").limit(1).count():
+    taken = taken.select("rowid").filter(F.col("rowid") >= ends[0])
+    if not taken.filter(F.col("rowid") <= ends[1]).join(placed, "rowid", "left_semi").limit(1).count():
         return placed
     # Some are taken: the same among the free keys only, each of which is its number among them.
-    taken = taken.filter(F.col("rowid") >= least).select("rowid")
     street = rows.withColumn("__at_key", base).withColumn("__taken", F.lit(0)).unionByName(taken.select(F.col("rowid").alias("__at_key"), F.lit(1).alias("__taken")), allowMissingColumns=True)
     counted = running_sum(street, F.col("__taken"), [F.col("__at_key"), F.col("__taken"), F.col("message_id")], "__passed", write)
-    fresh = parked(counted.filter("__taken = 0"), F.col("__at_key") - F.col("__passed"), [F.col("__at_key"), F.col("message_id")], write).drop("__taken", "__at_key", "__passed")
+    fresh, _ = parked(counted.filter("__taken = 0"), F.col("__at_key") - F.col("__passed"), [F.col("__at_key"), F.col("message_id")], write)
+    fresh = fresh.drop("__taken", "__at_key", "__passed")
     ends = counted.filter("__taken = 1").select((F.col("__at_key") - F.col("__passed") + 1).alias("slot"), F.lit(1).alias("__taken"))
     back = running_sum(fresh.withColumn("__taken", F.lit(0)).unionByName(ends, allowMissingColumns=True), F.col("__taken"), [F.col("slot"), F.desc("__taken"), F.col("message_id")], "__passed", write)
     return write(back.filter("__taken = 0").withColumn("rowid", F.col("slot") + F.col("__passed")).drop("slot", "__passed", "__taken"), "keys")

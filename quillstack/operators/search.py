@@ -150,11 +150,6 @@ def list_folders(mails: DataFrame) -> DataFrame:
     return mails.select("folder_path").filter("folder_path <> ''").distinct().orderBy("folder_path")
 
 
-def by_keys(mails: DataFrame, keys: DataFrame, on: str = "rowid") -> DataFrame:
-    """Messages whose key is in a table of keys, newest first."""
-    return mails.join(keys.select(on), on, "left_semi").orderBy(*newest_first())
-
-
 def highlighted(found: DataFrame, q: Query, column: str = "body", name: str = "highlighted") -> DataFrame:
     """``found`` with what the positive terms find in a column marked: those of that field, and those of none."""
     return found.withColumn(name, X.highlight(F.col(column), [t.text for t in q.terms() if t.field in (None, column)]))

@@ -18,6 +18,7 @@ import json
 import re
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -284,36 +285,42 @@ class MailStore:
         if not self.files.exists(path("data")) or not self.files.folders(f"{path('data')}/month=*"):
             return {"rows": 0, "gone": 0}
         data = self.spark.read.schema(self.schema).parquet(path("data"))
-        facts = data.groupBy("month").agg(F.count("*").alias("n"), F.max("rowid").alias("last")).collect()  # one row a month
-        with batch_rows(self.spark, B.SLICE):
-            zstd(B.blocks(data).hint("rebalance", "month", "gram").sortWithinPartitions("month", "gram", "field", "slice")).partitionBy("month").parquet(path("blocks"))
-        blocks = self.spark.read.schema(_schema(B.SCHEMA)).parquet(path("blocks")) if self.files.folders(f"{path('blocks')}/month=*") else self.spark.createDataFrame([], B.SCHEMA)
-        words, n_gone = B.dictionary(blocks), 0
         if merged is not None:
-            words = now._read("grams", _schema(B.DICTIONARY), merged).drop("seq")
             ids = now._read("ids", _schema(IDS_SCHEMA), merged)
             ids = ids.groupBy("hash", "message_id").agg(F.max_by(F.struct("rowid", "month", "date_utc"), "seq").alias("x")).select("hash", "message_id", "x.*")
         else:
             ids = data.select(F.xxhash64("message_id").alias("hash"), "message_id", "rowid", "month", "date_utc")
-        if gone is not None:
+        directory = zstd(ids.repartitionByRange("hash").sortWithinPartitions("hash"))
+        directory = directory.option("parquet.bloom.filter.enabled#message_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+
+        def write_ids() -> None:
+            ids_at_most = sum(f["n"] for f in facts.result())  # for the size of the filters
+            directory.option("parquet.bloom.filter.expected.ndv#message_id", str(ids_at_most)).parquet(path("ids"))
+
+        def write_gone() -> list:
             zstd(gone).parquet(path("gone"))
-            gone = self.spark.read.schema(GONE_SCHEMA).parquet(path("gone"))
-            few = _few(gone)
-            n_gone = len(few) if len(few) <= NAMED else gone.count()
-            if merged is None and n_gone:  # what the rows that are replaced had
-                replaced = now.at(few) if len(few) <= NAMED else now.mails().join(gone, ["month", "rowid"], "left_semi")
-                words = words.unionByName(B.dictionary(B.blocks(replaced.sortWithinPartitions("month", F.desc("rowid"))), -1))
-        words = words.groupBy("gram", "field").agg(F.sum("messages").alias("messages"), F.sum("occurrences").alias("occurrences"))
-        words = words.filter("messages <> 0 or occurrences <> 0")
-        with batch_rows(self.spark, B.SLICE):
+            return _few(self.spark.read.schema(GONE_SCHEMA).parquet(path("gone")))
+
+        with ThreadPoolExecutor(3) as beside, batch_rows(self.spark, B.SLICE):  # jobs that do not need each other
+            facts = beside.submit(lambda: data.groupBy("month").agg(F.count("*").alias("n"), F.max("rowid").alias("last")).collect())  # one row a month
+            listed = beside.submit(write_ids)
+            few = beside.submit(write_gone) if gone is not None else None
+            zstd(B.blocks(data).hint("rebalance", "month", "gram").sortWithinPartitions("month", "gram", "field", "slice")).partitionBy("month").parquet(path("blocks"))
+            blocks = self.spark.read.schema(_schema(B.SCHEMA)).parquet(path("blocks")) if self.files.folders(f"{path('blocks')}/month=*") else self.spark.createDataFrame([], B.SCHEMA)
+            words, n_gone = B.dictionary(blocks) if merged is None else now._read("grams", _schema(B.DICTIONARY), merged).drop("seq"), 0
+            if few is not None:
+                few, every = few.result(), self.spark.read.schema(GONE_SCHEMA).parquet(path("gone"))
+                n_gone = len(few) if len(few) <= NAMED else every.count()
+                if merged is None and n_gone:  # what the rows that are replaced had
+                    replaced = now.at(few) if len(few) <= NAMED else now.mails().join(every, ["month", "rowid"], "left_semi")
+                    words = words.unionByName(B.dictionary(B.blocks(replaced.sortWithinPartitions("month", F.desc("rowid"))), -1))
+            words = words.groupBy("gram", "field").agg(F.sum("messages").alias("messages"), F.sum("occurrences").alias("occurrences"))
+            words = words.filter("messages <> 0 or occurrences <> 0")
             zstd(words.hint("rebalance", "gram").sortWithinPartitions("gram", "field")).parquet(path("grams"))
-        words = self.spark.read.schema(B.DICTIONARY).parquet(path("grams"))
-        length = words.filter(F.col("field") == B.ALL).agg(F.sum("occurrences")).first()[0] or 0
-        n = sum(f["n"] for f in facts)
-        bloom = {"enabled": "true", "expected.ndv": str(n), "adaptive.enabled": "true"}
-        directory = zstd(ids.repartitionByRange("hash").sortWithinPartitions("hash"))
-        directory.options(**{f"parquet.bloom.filter.{k}" + ("" if k.startswith("adaptive") else "#message_id"): v for k, v in bloom.items()}).parquet(path("ids"))
-        return {"id": seg, "rows": n, "gone": n_gone, "seq": max((s["seq"] for s in now.segments), default=0) + 1, "months": {f["month"]: [f["n"], f["last"]] for f in facts}, "length": length}
+            words = self.spark.read.schema(B.DICTIONARY).parquet(path("grams"))
+            length = words.filter(F.col("field") == B.ALL).agg(F.sum("occurrences")).first()[0] or 0
+            facts, _ = facts.result(), listed.result()
+        return {"id": seg, "rows": sum(f["n"] for f in facts), "gone": n_gone, "seq": max((s["seq"] for s in now.segments), default=0) + 1, "months": {f["month"]: [f["n"], f["last"]] for f in facts}, "length": length}
 
     def _publish(self, now: Snapshot, after: dict, seg: str) -> None:
         if not self.files.create(f"{self.pointers}/{now.version + 1:012d}.json", json.dumps(after, sort_keys=True)):
@@ -352,7 +359,7 @@ class MailStore:
         return True
 
     def vacuum(self, older_than_s: float = 24 * 3600) -> int:
-        """Deletes segments that are no longer valid and older than that, and pointers before the newest; returns the number of segments."""
+        """Deletes segments that are no longer valid and older than that, drafts as old, and pointers before the newest; returns the number of segments."""
         version = self.version()
         valid, limit, gone = {s["id"] for s in self.snapshot().segments}, (time.time() - older_than_s) * 1000, 0
         for path in self.files.folders(f"{self.root}/data/seg=*"):
@@ -360,6 +367,9 @@ class MailStore:
             if seg not in valid and int(seg.partition("-")[0]) < limit:
                 self._drop(seg)
                 gone += 1
+        for path in self.files.folders(f"{self.root}/drafts/*"):  # of writers that died
+            if int(path.rsplit("/", 1)[1].partition("-")[0]) < limit:
+                self.files.delete(path)
         for name in self.files.names(self.pointers):
             if re.fullmatch(r"\d+\.json", name) and int(name[:-5]) < version:
                 self.files.delete(f"{self.pointers}/{name}")

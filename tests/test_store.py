@@ -123,7 +123,10 @@ def test_an_upsert_writes_only_what_is_new(spark, boxes, tmp_path):
     mails.upsert(spread.filter("date_utc >= 1709251200").withColumn("date_utc", F.lit(1704067200).cast("long")))  # moves to January
     assert mails.mails().filter("month = '2024-03'").count() == 0 and mails.mails().count() == 4
     assert mails.compact(everything=True) and mails.months() == ["2024-01"] and len(mails.snapshot().segments) == 1
-    assert mails.vacuum(-1) == 3 and mails.mails().count() == 4
+    left = tmp_path / "store" / "drafts" / "000000000000001-dead"
+    left.mkdir(parents=True, exist_ok=True)
+    assert mails.vacuum(-1) == 3 and mails.mails().count() == 4 and not left.exists()
+    assert vars(mails.upsert(spread.filter("false"))) == {"inserted": 0, "updated": 0} and mails.version() == 4
     assert sorted(os.listdir(tmp_path / "store" / "data")) == [f"seg={mails.snapshot().segments[0]['id']}"]
     found = search.matches(mails.mails(), search.parse("after:2024-01-01 before:2024-02-01"))
     assert found.count() == 4 and "PartitionFilters: [" in found._jdf.queryExecution().toString()
