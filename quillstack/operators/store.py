@@ -96,9 +96,9 @@ class Snapshot:
 
     def __init__(self, store: MailStore, version: int):
         self.store, self.spark, self.version = store, store.spark, version
-        named = json.loads(store.files.read(f"{store.pointers}/{version:012d}.json")) if version else {}
-        self.segments: list[dict] = named.get("segments", [])
-        self.rows, self.length = named.get("rows", 0), named.get("length", 0)
+        state = json.loads(store.files.read(f"{store.pointers}/{version:012d}.json")) if version else {}
+        self.segments: list[dict] = state.get("segments", [])
+        self.rows, self.length = state.get("rows", 0), state.get("length", 0)
         self._ascii: dict | None = None
 
     def months(self) -> dict[str, int]:
