@@ -14,8 +14,8 @@ kept terms there.  Two shares differ by ``floor((p - q)^2 / q)``; all of this is
   times that, corrected by the counts that each source has (terms with equal counts at once) and by the terms
   that both have; no table of all terms by all sources is made.
 
-Texts are counted in Python, a stretch at a time, and counts added up before anything is shuffled: a word
-that is everywhere is one row a task.
+Texts are counted in numpy and Arrow, a block at a time, and counts added up before anything is shuffled: a word
+that is everywhere is one row a task, or one for each ``HELD`` counts.
 
 Defined results: a null text, language or source counts as empty; repeated rows are documents each; a source
 without kept terms has pairs, with a share of n = 0 for each term, and no term rows; where V is 0, pairs have
@@ -26,19 +26,24 @@ from __future__ import annotations
 
 import os.path
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, utf8_views
+from .common import blocks, discard, materialize, utf8_views
 
 LEAST_DOCS, TOP = 3, 200
-#: Bytes of a text that are split at once, counters that a task holds, and rows beyond ``k`` that are simply ranked.
-STRETCH, HELD, SLACK = 1 << 20, 1 << 18, 256
+#: Bytes of a long text that are split at once, counts that a task holds, and rows beyond ``k`` that are simply ranked.
+STRETCH, HELD, SLACK = 1 << 20, 1 << 20, 256
+#: Bytes of texts that are counted at once (a text with more is a long one), and rows of a batch for Spark.
+BLOCK, ROWS = 1 << 23, 1 << 16
+_INSIDE = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _TERM, _GAP = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[^A-Za-z\x80-\xff]")
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
@@ -53,34 +58,84 @@ def _stretches(raw: bytes) -> Iterator[bytes]:
         start = end
 
 
-def _emit(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
-    for (lang, source), (counts, docs) in held.items():
-        # The first row tells that the group is there, even if it has no term.
-        terms = pa.concat_arrays([pa.array([None], pa.binary()), pa.array(list(counts), pa.binary())]).view(pa.string())
-        n = [0, *counts.values()]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array([source] * len(n)), terms, pa.array(n, pa.int64()), pa.array([0, *(docs[t] for t in counts)], pa.int64())], schema=_COUNTS)
+def _long_counts(raw: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms of one text, a stretch at a time, with occurrences, and 1 document each."""
+    counts: Counter = Counter()
+    for piece in _stretches(raw):
+        counts.update(_TERM.findall(piece.lower()))
+    return pa.array(list(counts), pa.binary()).view(pa.string()), np.fromiter(counts.values(), np.int64, len(counts)), np.ones(len(counts), np.int64)
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values of a sorted array begin, and their lengths."""
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return begin, np.diff(np.append(begin, len(key)))
+
+
+def _block_counts(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """``(group, term, occurrences, documents)`` of the texts that lie at ``at`` in ``raw``, each of a group."""
+    inside = _INSIDE[raw]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = at[:-1][at[:-1] < len(raw)]
+    first[begins] = inside[begins]  # no term reaches from a text into the next
+    starts = np.append(np.flatnonzero(first[inside]), np.count_nonzero(inside)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(_LOWER[raw[inside]])]).dictionary_encode()
+    if not len(words):
+        return np.empty(0, np.int64), words.dictionary, np.empty(0, np.int64), np.empty(0, np.int64)
+    size = len(words.dictionary)
+    text = np.repeat(np.arange(len(group)), np.diff(np.searchsorted(np.flatnonzero(first), at)))
+    key = np.sort(text * size + words.indices.to_numpy())
+    begin, n = _runs(key)
+    text, code = np.divmod(key[begin], size)
+    key = group[text] * size + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin, docs = _runs(key)
+    of, code = np.divmod(key[begin], size)
+    return of, words.dictionary.take(pa.array(code)), np.add.reduceat(n[order], begin), docs
+
+
+def _merged(held: list[pa.Table]) -> pa.Table:
+    table = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return table.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"])
+
+
+def _emit(groups: dict[tuple[str, str], int], held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    langs, sources = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+    none = pa.array([0] * len(groups), pa.int64())
+    # These rows tell that the groups are there, even if they have no term.
+    yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(len(groups), pa.string()), none, none], schema=_COUNTS)
+    for t in held:
+        for b in t.to_batches(max_chunksize=ROWS):
+            yield pa.RecordBatch.from_arrays([langs.take(b.column(0)), sources.take(b.column(0)), *b.columns[1:]], schema=_COUNTS)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict = defaultdict(lambda: (Counter(), Counter()))
-    size = 0
+    groups: dict[tuple[str, str], int] = {}
+    held: list[pa.Table] = []
+    rows = 0
     for b in batches:
         raw, at = utf8_views(b.column(2))
-        for i, group in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            counts, docs = held[group]
-            before = len(counts)
-            seen: set[bytes] = set()
-            for piece in _stretches(raw[at[i] : at[i + 1]].tobytes()):
-                words = _TERM.findall(piece.lower())
-                counts.update(words)
-                seen.update(words)
-            docs.update(seen)
-            size += len(counts) - before
-            if size > HELD:
-                yield from _emit(held)
-                held.clear()
-                size = 0
-    yield from _emit(held)
+        of = np.array([groups.setdefault(g, len(groups)) for g in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.int64)
+        for start, end in blocks(at, BLOCK):
+            piece, bounds = raw[at[start] : at[end]], at[start : end + 1] - at[start]
+            if len(piece) > BLOCK:  # one text
+                terms, n, docs = _long_counts(piece.tobytes())
+                group = np.full(len(terms), of[start])
+            else:
+                group, terms, n, docs = _block_counts(piece, bounds, of[start:end])
+            held.append(pa.table([pa.array(group), terms, pa.array(n), pa.array(docs)], names=["group", "term", "n", "docs"]))
+            rows += len(terms)
+            if rows > 2 * HELD:
+                held = [_merged(held)]
+                rows = held[0].num_rows
+            if rows > HELD and len(held) == 1:
+                yield from _emit(groups, held)
+                held, rows = [], 0
+    if held:
+        held = [_merged(held)]
+    yield from _emit(groups, held)
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -88,7 +143,8 @@ def term_counts(documents: DataFrame) -> DataFrame:
     none = F.lit("")
     texts = documents.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), F.col("text").cast("string").alias("text"))
     counted = texts.mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # Tasks have added up what they have: adding up again before the shuffle would merge next to nothing.
+    return counted.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(n: str, size: str, kept: str) -> str:
@@ -160,9 +216,10 @@ def audit(documents: DataFrame, least_docs: int = LEAST_DOCS, k: int = TOP) -> D
     counted = materialize(term_counts(documents), "terms")
     terms = counted.filter(F.col("term").isNotNull())
     kept = terms.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).filter(F.col("docs") >= least_docs).drop("docs")
-    chosen = materialize(terms.drop("docs").join(kept, ["lang", "term"]), "kept-terms")
+    kept = materialize(kept, "kept")
+    chosen = materialize(terms.drop("docs").join(kept.hint("shuffle_hash"), ["lang", "term"]), "kept-terms")
     sizes = chosen.groupBy("lang", "source").agg(F.sum("n").alias("size"))
-    langs = chosen.groupBy("lang", "term").agg(F.first("all_n").alias("all_n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("all_size"))
+    langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_n").alias("all_size"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     stats = counted.filter(F.col("term").isNull()).select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     stats = materialize(stats.select("lang", "source", zero("size"), zero("kept"), zero("all_size")), "source-sizes")
@@ -174,7 +231,7 @@ def audit(documents: DataFrame, least_docs: int = LEAST_DOCS, k: int = TOP) -> D
     best = leading(value.withColumn("key", key), ["lang", "source"], "key", k)
     result = _ranked(best, "term").filter(F.col("rank") <= k).unionByName(_ranked(_pairs(shares, stats), "pair"))
     result = materialize(result, "audit")
-    for table in (counted, chosen, stats, shares):
+    for table in (counted, kept, chosen, stats, shares):
         discard(table)
     return result
 
